@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import mixing, packing, sharding
+from quarrymill.llm import langid, mixing, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (mixing.op5_mix_documents, packing.op6_pack_documents, sharding.op10_shard_documents)}
+    return {f.__name__: f for f in (
+        mixing.op5_mix_documents,
+        packing.op6_pack_documents,
+        langid.op9_identify_language,
+        sharding.op10_shard_documents,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
