@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import langid, mixing, packing, sharding
+from quarrymill.llm import langid, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        quality.op2_quality_rules,
         mixing.op5_mix_documents,
         packing.op6_pack_documents,
         langid.op9_identify_language,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_documents": mixing.OP5_SQL}
+    return {"op2_quality_rules": quality.OP2_SQL, "op5_mix_documents": mixing.OP5_SQL}
