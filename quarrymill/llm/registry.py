@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import langid, mixing, packing, quality, sharding
+from quarrymill.llm import langid, mixing, neardup, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op2_quality_rules,
         mixing.op5_mix_documents,
         packing.op6_pack_documents,
+        neardup.op7_near_duplicates,
         langid.op9_identify_language,
         sharding.op10_shard_documents,
     )}
