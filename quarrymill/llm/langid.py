@@ -25,6 +25,7 @@ DICT_BYTES = 64_000
 DOCS_PER_LANG = 400
 EXCERPT = 600
 MAX_LANGS = 256
+DRAW = 1 << 40
 LEVEL, MIN_MATCH, BLOCK = 6, 3, 2048
 MARGIN = 0.02
 #: Evidence per byte that a sum is smaller, for the score.
@@ -48,9 +49,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     Rows with a null text or language teach nothing. Documents are drawn by a hash of their id, so reruns agree.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(text, 1, EXCERPT).alias("excerpt"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    sizes = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    langs = [x for x, _ in sizes]
+    if not langs:
+        return []
+    # a hash lets about twice the wanted documents of each language through, whatever their number
+    share = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, min(DRAW, -(-2 * DOCS_PER_LANG * DRAW // n)))])
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(DRAW)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "excerpt")
-    sample = rows.where(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= DOCS_PER_LANG)
+    sample = sample.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= DOCS_PER_LANG)
     found: dict[str, list[bytes]] = {x: [] for x in langs}
     for row in sample.orderBy("lang", "n").select("lang", "excerpt").collect():  # bounded by the three limits
         found[row["lang"]].append(fold(row["excerpt"]))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import langid, mixing, neardup, packing, quality, sharding
+from quarrymill.llm import langid, mixing, neardup, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        pii.op1_personal_data,
         quality.op2_quality_rules,
         mixing.op5_mix_documents,
         packing.op6_pack_documents,
