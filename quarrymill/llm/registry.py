@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import langid, mixing, neardup, packing, pii, quality, sharding
+from quarrymill.llm import langid, mixing, neardup, packing, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op5_mix_documents,
         packing.op6_pack_documents,
         neardup.op7_near_duplicates,
+        toxicity.op8_score_toxicity,
         langid.op9_identify_language,
         sharding.op10_shard_documents,
     )}
