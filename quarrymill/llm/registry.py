@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import html_text, langid, mixing, neardup, packing, pii, quality, sharding, toxicity
+from quarrymill.llm import html_text, langid, media, mixing, neardup, packing, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         pii.op1_personal_data,
         quality.op2_quality_rules,
+        media.op3_media_columns,
         html_text.op4_page_text,
         mixing.op5_mix_documents,
         packing.op6_pack_documents,
