@@ -9,11 +9,14 @@ Counting is by prefix and skip: if LEAST of a class's postings must be shared, t
 postings a pair must meet within all but the last LEAST - 1 of each. The order is by frequency, so each class skips its
 LEAST - 1 most frequent postings, and what many documents share (a passage, a licence) is hardly ever joined on.
 
-Which documents link transitively is wanted, not every pair, so work stays linear in a posting's length where its
-classes do link: members meet one member of the posting (its smallest, then one drawn by a hash), whose collisions are
-counted over the whole signature and which are then confirmed on the full sets. Postings whose members already lie in
-one component are done. For those that are left every pair of different components is counted exactly, in blocks of
-bounded size, so no cap ever drops a partner. Every link is confirmed on full sets.
+Which documents link transitively is wanted, not every pair, so nothing lists the pairs of a group. First families are
+found, the connected components of the candidate pairs: a class meets one member of its postings (the smallest of the
+posting, the one it collides with most often; then one drawn by a hash), and for postings whose members then still lie
+in different families every pair is counted, in blocks of bounded size that tell only which families they join. Then
+each family is resolved on full sets. Families of up to ``BLOCK`` classes are one block, in which every pair is compared.
+In a larger one all members are first compared with a few drawn members; the largest component that gives needs no
+comparison within itself, and the rest is compared with it and with itself, block by block. So every pair of a family
+that isn't already connected is compared on full sets, no cap drops a partner, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from quarrymill.llm.common import map_batches, slices, table, written
 COORDS, LEAST = 48, 24
 PER_CENT = 80
 BLOCK = 256
+DRAWN = 3
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -71,8 +75,8 @@ def signature(found: np.ndarray, coords: int = COORDS) -> np.ndarray:
 
 def features(docs: DataFrame, words_each: int, coords: int = COORDS) -> DataFrame:
     """doc_id, n_shingles, fp1, fp2 (128 bits of the set), sig; for an empty set the last three are null."""
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.list_(pa.int64()))])
+    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +87,7 @@ def features(docs: DataFrame, words_each: int, coords: int = COORDS) -> DataFram
                     sizes.append(len(found))
                     if len(found):
                         a, b = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                        one.append(a), two.append(b), sigs.append(signature(found, coords).astype(np.int64))
+                        one.append(a), two.append(b), sigs.append(signature(found, coords).view(np.int32))
                     else:
                         one.append(None), two.append(None), sigs.append(None)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip((sizes, one, two, sigs), list(arrow)[1:]))], schema=arrow)
@@ -92,24 +96,28 @@ def features(docs: DataFrame, words_each: int, coords: int = COORDS) -> DataFram
 
 
 def set_rows(docs: DataFrame, words_each: int) -> DataFrame:
-    """node, members: the shingle hashes of each row."""
-    arrow = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
+    """node, family, members: the shingle hashes of each row."""
+    arrow = pa.schema([("node", pa.int64()), ("family", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 128):
                 sets = [shingle_set(t, words_each).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, arrow.field(1).type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, arrow.field(2).type)], schema=arrow)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "node long, members array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "family"), run, "node long, family long, members array<long>")
 
 
 def prefix_postings(sigs: DataFrame, least: int, coords: int) -> DataFrame:
-    """post, node: each class under its rarest shared postings, all but the ``least`` - 1 most frequent of the ``coords``."""
-    posts = sigs.select("node", "fp1", F.posexplode("sig").alias("k", "v")).select("node", "fp1", F.expr("shiftleft(k::bigint, 32) + v").alias("post"))
+    """post, node: each class under its rarest shared postings, all but the ``least`` - 1 most frequent of the ``coords``.
+
+    A node with several classes (rows that share an id) skips none.
+    """
+    posts = sigs.select("node", F.posexplode("sig").alias("k", "v")).select("node", F.expr("shiftleft(k::bigint, 32) + (v::bigint & 4294967295)").alias("post"))
     shared = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    met = posts.join(shared, "post").groupBy("node", "fp1").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("found"))  # at most coords
-    met = met.where(F.size("found") >= least).select("node", F.explode(F.slice("found", F.lit(1), F.size("found") - (least - 1))).alias("x"))
+    met = posts.join(shared, "post").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("found"))  # at most coords a class
+    skip = F.when(F.size("found") <= coords, F.lit(least - 1)).otherwise(F.lit(0))
+    met = met.where(F.size("found") >= least).select("node", F.explode(F.slice("found", F.lit(1), F.size("found") - skip)).alias("x"))
     return met.select("x.post", "node").distinct()
 
 
@@ -122,13 +130,6 @@ def alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).where(agree >= least).select("a", "b").distinct()
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: 100 * intersection >= 80 * union of the full sets."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("both", both).where((F.size("ma") + F.size("mb") - F.col("both")) * PER_CENT <= F.col("both") * 100).select("a", "b").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of every node of the edges (a, b).
 
@@ -163,55 +164,166 @@ def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(new), "labels")
 
 
+def often_met(met: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), one for each b: the a it meets in most postings, the smallest of those."""
+    count = met.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return count.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+
+
 def mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """post, node, label, n of the postings of three or more whose members lie in different components (a posting of two is settled by its one pair)."""
+    """post, node, label, n of the postings whose members lie in different components."""
     own = labels.select(F.col("node").alias("l2"), "label")
     named = posts.join(own, F.col("node") == F.col("l2"), "left").select("post", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("post").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("post", "n")
+    open_ = named.groupBy("post").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("post", "n")
     return named.join(open_, "post")
 
 
-def counted_blocks(members: DataFrame, sigs: DataFrame, least: int, coords: int) -> DataFrame:
-    """Pairs (a, b) of different components, out of the postings' members, that agree in ``least`` coordinates.
+def spanning(node: np.ndarray, label: np.ndarray, rows: np.ndarray, cols: np.ndarray, links) -> list[tuple[int, int]]:
+    """Links that join components: ``links(i, js)`` tells which of the members ``js`` link with member ``i``.
 
-    A long posting is dealt into parts of about ``BLOCK`` members; a task sees two parts at a time.
+    Members with one label are in one component already, and only pairs of different ones are asked for.
     """
-    rows = members.join(sigs.select("node", "n_shingles", "sig"), "node").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("post", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "node", "label", "n_shingles", "sig")
-    rows = rows.repartition("post", "p", "q").sortWithinPartitions("post", "p", "q")
+    root, out = label.copy(), []
+    within = rows is cols
+    for i in rows:
+        js = cols[(cols > i) & (root[cols] != root[i])] if within else cols[root[cols] != root[i]]
+        if len(js):
+            for j in js[links(i, js)]:
+                if root[j] != root[i]:
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def by_block(rows: DataFrame, key: list[str], fn) -> DataFrame:
+    """Links (a, b) that ``fn`` (a pyarrow table of one block's rows to pairs) finds in each block, the rows that share ``key``."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
-        sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, coords)
-        second = rows.column("second").to_numpy()
-        same = rows.column("p")[0].as_py() == rows.column("q")[0].as_py()
-        rows_of, cols_of = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-        out_a, out_b = [], []
-        for i in rows_of:
-            js = cols_of[cols_of > i] if same else cols_of
-            js = js[(label[js] != label[i]) & (np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * PER_CENT)]
-            if len(js):
-                js = js[(sig[js] == sig[i]).sum(axis=1) >= least]
-                out_a.append(np.minimum(node[js], node[i])), out_b.append(np.maximum(node[js], node[i]))
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in pairs], pa.int64()) for k in (0, 1)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = [held.column(c).to_numpy() for c in ("post", "p", "q")]
-            starts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
-            found = [pairs(held.slice(i, j - i)) for i, j in zip(starts, starts[1:])]
-            held = held.slice(starts[-1])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=arrow)
-        if held is not None and held.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(held)], schema=arrow)
+            for part in slices(batch, 512):
+                now = pa.Table.from_batches([part])
+                held = now if held is None else pa.concat_tables([held, now])
+                cols = [held.column(c).to_numpy() for c in key]
+                starts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in cols], axis=0)) + 1).tolist()]
+                found = [x for i, j in zip(starts, starts[1:]) if j - i > 1 for x in fn(held.slice(i, j - i))]
+                held = held.slice(starts[-1])
+                if found:
+                    yield batch_of(found)
+        if held is not None and held.num_rows > 1:
+            yield batch_of(fn(held))
+
+    return map_batches(rows.repartition(*key).sortWithinPartitions(*key), run, "a long, b long")
+
+
+def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The members to compare: all with all in a block of one part, else those of one part with those of the other."""
+    second = block.column("second").to_numpy()
+    if not second.any():
+        every = np.arange(block.num_rows)
+        return every, every
+    return np.flatnonzero(~second), np.flatnonzero(second)
+
+
+def counted_blocks(members: DataFrame, sigs: DataFrame, least: int, coords: int) -> DataFrame:
+    """Pairs (a, b) that join components, out of the postings' members that agree in ``least`` coordinates; each posting in blocks."""
+    rows = members.join(sigs.select("node", "n_shingles", "sig"), "node").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("post", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "node", "label", "n_shingles", "sig")
+
+    def count(block: pa.Table) -> list[tuple[int, int]]:
+        if block.column("p")[0] != block.column("q")[0] and len(set(block.column("second").to_pylist())) < 2:
+            return []  # the other part is empty
+        node, label, size = (block.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
+        sig = block.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, coords)
+
+        def links(i: int, js: np.ndarray) -> np.ndarray:
+            return ((sig[js] == sig[i]).sum(axis=1) >= least) & (np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * PER_CENT)
 
-    return map_batches(rows, run, "a long, b long").distinct()
+        return spanning(node, label, *_sides(block), links)
+
+    return by_block(rows, ["post", "p", "q"], count).distinct()
+
+
+def families(sigs: DataFrame, posts: DataFrame, least: int, coords: int) -> DataFrame:
+    """node, label: the connected components of the candidate pairs."""
+    first = posts.groupBy("post").agg(F.min("node").alias("a")).join(posts, "post").select("a", F.col("node").alias("b"))
+    labels = components(written(alike(often_met(first), sigs, least), "pairs"))
+    left = written(mixed(posts, labels), "mixed")
+    drawn = left.groupBy("post").agg(F.min_by(F.struct("node", "label"), F.xxhash64("post", "node")).alias("x")).select("post", F.col("x.node").alias("a"), F.col("x.label").alias("la"))
+    met = left.join(drawn, "post").where("label <> la").select("a", F.col("node").alias("b"))
+    labels = relabel(labels, written(alike(often_met(met), sigs, least), "pairs"))
+    return relabel(labels, written(counted_blocks(mixed(posts, labels), sigs, least, coords), "pairs"))
+
+
+def compare_block(block: pa.Table) -> list[tuple[int, int]]:
+    """Links that join components of a block's members, from exact intersections of their full sets."""
+    if block.column("kind")[0].as_py() or block.column("p")[0] != block.column("q")[0]:
+        if len(set(block.column("second").to_pylist())) < 2:
+            return []  # the other part is empty
+    node, label = (block.column(c).to_numpy() for c in ("node", "label"))
+    column = block.column("members").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(node)), sizes)
+    _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[where]
+    column_of, owner = (np.cumsum(shared) - 1)[where[keep]], owner[keep]
+    order = np.argsort(column_of, kind="stable")
+    column_of, owner = column_of[order], owner[order]
+    rows, cols = _sides(block)
+    both = np.zeros((len(node), len(node)), np.float32)
+    wide = int(shared.sum())
+    for lo in range(0, wide, 4096):
+        i, j = np.searchsorted(column_of, (lo, lo + 4096))
+        dense = np.zeros((len(node), min(4096, wide - lo)), np.float32)
+        dense[owner[i:j], column_of[i:j] - lo] = 1
+        both += dense @ dense.T
+
+    def links(i: int, js: np.ndarray) -> np.ndarray:
+        met = both[i, js].astype(np.int64)
+        return met * 100 >= (sizes[i] + sizes[js] - met) * PER_CENT
+
+    return spanning(node, label, rows, cols, links)
+
+
+def resolve(sets: DataFrame) -> DataFrame:
+    """node, label: the components of the links, confirmed on full sets, within families; ``sets`` has node, family, members."""
+    size = sets.groupBy("family").agg(F.count("*").alias("n"))
+    all_rows = sets.select("node", "family").distinct().join(size, "family")
+    large = all_rows.where(F.col("n") > BLOCK)
+    labels: DataFrame | None = None
+    if not large.isEmpty():
+        long = sets.join(large.select("node").distinct(), "node", "left_semi")
+        for turn in range(DRAWN):
+            ids = large.groupBy("family").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+            middle = long.select(F.col("node").alias("a"), F.col("members").alias("ma")).join(ids, "a").select("family", "a", "ma")
+            met = long.join(middle, "family").where("node <> a").withColumn("both", F.size(F.array_intersect("members", "ma")))
+            links = met.where((F.size("members") + F.size("ma") - F.col("both")) * PER_CENT <= F.col("both") * 100).select("a", F.col("node").alias("b"))
+            labels = relabel(labels, written(links, "links"))
+    if labels is None:
+        named = all_rows.withColumn("label", F.col("node"))
+    else:
+        named = all_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = written(named, "members")
+    most = named.where(F.col("n") > BLOCK).groupBy("family", "label").agg(F.count("*").alias("m")).groupBy("family").agg(F.max_by(F.struct("label", "m"), F.struct("m", "label")).alias("x")).select("family", F.col("x.label").alias("main"), F.col("x.m").alias("m"))
+    parts = named.join(most, "family", "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < n")
+    count = lambda c: F.ceil(c / BLOCK).cast("int")
+    parts = parts.withColumn("first", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).withColumn("mp", count(F.col("m"))).withColumn("rp", count(F.col("n") - F.col("m")))
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("mp")).otherwise(F.col("rp"))).cast("int")
+    parts = parts.withColumn("part", part)
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    cross = lambda x, y, second: F.struct(F.lit(True).alias("kind"), x.cast("int").alias("p"), y.cast("int").alias("q"), F.lit(second).alias("second"))
+    own = lambda x: F.struct(F.lit(False).alias("kind"), F.least(F.col("part"), x).alias("p"), F.greatest(F.col("part"), x).alias("q"), (F.col("part") > x).alias("second"))
+    spots = F.when(F.col("first"), F.transform(upto("rp"), lambda x: cross(F.col("part"), x, False))).otherwise(F.concat(F.transform(upto("mp"), lambda x: cross(x, F.col("part"), True)), F.transform(upto("rp"), own)))
+    blocks = parts.select("node", "family", "label", F.explode(spots).alias("x")).select("node", "family", "label", "x.*")
+    rows = blocks.join(sets.select("node", "members"), "node")
+    return relabel(labels, written(by_block(rows, ["family", "kind", "p", "q"], compare_block), "links"))
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 2, coords: int = COORDS, least: int = LEAST) -> DataFrame:
@@ -228,18 +340,9 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, coords: int = COORDS,
     sigs = found.join(classes.where("node is not null").select("fp1", "fp2", F.col("node").alias("doc_id")), ["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("node"), "fp1", "fp2", "n_shingles", "sig").dropDuplicates(["node", "fp1", "fp2"])
     sigs = written(sigs, "signatures")
     posts = written(prefix_postings(sigs, least, coords), "postings")
-    firsts = posts.groupBy("post").agg(F.min("node").alias("a")).join(posts, "post").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    cands = written(alike(firsts, sigs, least), "pairs")
-    involved = posts.join(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"), "post").select(F.col("node").alias("doc_id")).distinct()
-    sets = written(set_rows(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), words_each), "sets")
-    labels = components(confirm(cands, sets))
-    left = written(mixed(posts, labels), "mixed")
-    if not left.isEmpty():
-        drawn = left.groupBy("post").agg(F.min_by(F.struct("node", "label"), F.xxhash64("post", "node")).alias("x")).select("post", F.col("x.node").alias("c"), F.col("x.label").alias("lc"))
-        met = left.join(drawn, "post").where("label <> lc").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        labels = relabel(labels, written(confirm(alike(met, sigs, least), sets), "links"))
-        rest = mixed(posts, labels)
-        labels = relabel(labels, written(confirm(counted_blocks(rest, sigs, least, coords), sets), "links"))
+    family = families(sigs, posts, least, coords).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(family, "doc_id")
+    labels = resolve(written(set_rows(texts, words_each), "sets"))
     named = found.join(classes, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "node")
     named = named.join(labels.select(F.col("node").alias("n2"), "label"), F.col("node") == F.col("n2"), "left")
     named = named.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "node")))
