@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import map_batches, slices, table, written
 
 WINDOW = 1024
-OPEN_WINDOWS = 64
+OPEN_WINDOWS = 16
 MIN_GAP = 16
 MERGE_PARTITIONS = 16
 SEPARATOR = 0
