@@ -3,7 +3,7 @@
 1. Sizes (words) are summed by source; target words follow from the weights, capped at ``MAX_EPOCHS`` passes
    over a source, the excess reshared by weight (water-filling in closed form over the sources ordered by cap).
 2. Each source's documents are put in a shuffled order (md5 of seed and id) and that stream of words is cut into
-   blocks that differ by one word at most; a source's quota is its target in blocks.
+   blocks that differ by one word at most, the longer ones evenly among the others; a source's quota is its target in blocks.
 3. Slot i of the schedule has the golden-ratio point frac(i * phi), as an integer of 32 bits. Mapped through the
    cumulative quotas it names a source; slots are ranked per source, and the r-th slot of a source takes its block
    r modulo the number of its blocks. So any run of slots holds the sources in the target proportions within a few
@@ -100,18 +100,16 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _block(x: Column) -> Column:
-    """The block that holds word ``x`` of a source: the first source_size % n_blocks blocks have a word more than the others."""
+def _start(j: Column) -> Column:
+    """The first word of block ``j``: floor(j * source_size / n_blocks), without a product beyond 64 bits."""
     size, n = F.col("source_size"), F.col("n_blocks")
-    short = _div(size, n)
-    long = size % n * (short + 1)
-    return F.when(x < long, _div(x, short + 1)).otherwise(size % n + _div(x - long, short)).cast("long")
+    return (j * _div(size, n) + _div(j * (size % n), n)).cast("long")
 
 
-def _start(j: Column) -> Column:
-    """The first word of block ``j``."""
-    size, n = F.col("source_size"), F.col("n_blocks")
-    return (j * _div(size, n) + F.least(j, size % n)).cast("long")
+def _block(x: Column) -> Column:
+    """The block that holds word ``x`` of a source: a guess in doubles, which is off by one at most, set right."""
+    guess = F.floor(x / F.col("source_size") * F.col("n_blocks")).cast("long")
+    return guess + F.when(_start(guess + 1) <= x, 1).when(_start(guess) > x, -1).otherwise(0)
 
 
 def taken_pieces(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -186,7 +184,7 @@ quotas as (
          case when n = 0 then 0 else source_size // n end as q, case when n = 0 then 0 else source_size % n end as r from targets),
 spans as (
   select *, case when n = 0 then 0 else quota // n end as passes,
-         case when n = 0 then 0 else (quota % n) * q + least(quota % n, r) end as rest from quotas),
+         case when n = 0 then 0 else (quota % n) * q + (quota % n) * r // n end as rest from quotas),
 placed as (
   select s.doc_id, s.size, p.source_size, p.target, p.passes, p.rest,
          (sum(s.size) over (partition by s.source order by s.key, s.doc_id, s.size rows unbounded preceding) - s.size)::bigint as first
