@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space; the pattern reads the same in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; Spark splits and schedules, ``fn`` sees one bounded batch at a time."""
+    """mapInArrow; Spark splits and schedules, ``fn`` sees one bounded batch at a time.
+
+    Batches are bounded by bytes too, as texts may be long, unless the session says otherwise.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, "8m")
     return df.mapInArrow(fn, schema)
 
 

@@ -13,8 +13,8 @@ Which documents link transitively is wanted, not every pair, so nothing lists th
 found, the connected components of the candidate pairs: a class meets one member of its postings (the smallest of the
 posting, the one it collides with most often; then one drawn by a hash), and for postings whose members then still lie
 in different families every pair is counted, in blocks of bounded size that tell only which families they join. Then
-each family is resolved on full sets. Families of up to ``BLOCK`` classes are one block, in which every pair is compared.
-In a larger one all members are first compared with a few drawn members; the largest component that gives needs no
+each family is resolved on full sets. Families of up to ``BLOCK`` classes
+(and ``BLOCK_SHINGLES`` hashes) are one block, in which every pair is compared. In a larger one all members are first compared with a few drawn members; the largest component that gives needs no
 comparison within itself, and the rest is compared with it and with itself, block by block. So every pair of a family
 that isn't already connected is compared on full sets, no cap drops a partner, and no group meets in one task.
 """
@@ -34,7 +34,7 @@ from quarrymill.llm.common import map_batches, slices, table, written
 
 COORDS, LEAST = 48, 24
 PER_CENT = 80
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000  # members and hashes of a part; a block is two parts
 DRAWN = 3
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -294,9 +294,11 @@ def compare_block(block: pa.Table) -> list[tuple[int, int]]:
 
 def resolve(sets: DataFrame) -> DataFrame:
     """node, label: the components of the links, confirmed on full sets, within families; ``sets`` has node, family, members."""
-    size = sets.groupBy("family").agg(F.count("*").alias("n"))
-    all_rows = sets.select("node", "family").distinct().join(size, "family")
-    large = all_rows.where(F.col("n") > BLOCK)
+    sizes = sets.groupBy("node", "family").agg(F.sum(F.size("members")).cast("long").alias("w"))
+    family = sizes.groupBy("family").agg(F.count("*").alias("n"), F.sum("w").alias("all_w"))
+    all_rows = sizes.join(family, "family")
+    is_large = (F.col("n") > BLOCK) | (F.col("all_w") > BLOCK_SHINGLES)
+    large = all_rows.where(is_large)
     labels: DataFrame | None = None
     if not large.isEmpty():
         long = sets.join(large.select("node").distinct(), "node", "left_semi")
@@ -311,10 +313,10 @@ def resolve(sets: DataFrame) -> DataFrame:
     else:
         named = all_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named, "members")
-    most = named.where(F.col("n") > BLOCK).groupBy("family", "label").agg(F.count("*").alias("m")).groupBy("family").agg(F.max_by(F.struct("label", "m"), F.struct("m", "label")).alias("x")).select("family", F.col("x.label").alias("main"), F.col("x.m").alias("m"))
-    parts = named.join(most, "family", "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < n")
-    count = lambda c: F.ceil(c / BLOCK).cast("int")
-    parts = parts.withColumn("first", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).withColumn("mp", count(F.col("m"))).withColumn("rp", count(F.col("n") - F.col("m")))
+    most = named.where(is_large).groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("w").alias("main_w")).groupBy("family").agg(F.max_by(F.struct("label", "m", "main_w"), F.struct("m", "label")).alias("x")).select("family", F.col("x.label").alias("main"), F.col("x.m").alias("m"), F.col("x.main_w").alias("main_w"))
+    parts = named.join(most, "family", "left").withColumn("m", F.coalesce("m", F.lit(0))).withColumn("main_w", F.coalesce("main_w", F.lit(0))).where("m < n")
+    count = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    parts = parts.withColumn("first", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).withColumn("mp", count(F.col("m"), F.col("main_w"))).withColumn("rp", count(F.col("n") - F.col("m"), F.col("all_w") - F.col("main_w")))
     part = F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("mp")).otherwise(F.col("rp"))).cast("int")
     parts = parts.withColumn("part", part)
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
