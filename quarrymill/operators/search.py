@@ -59,6 +59,10 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in raw if t not in STOP_WORDS))
 
 
+def _times(words: Column, term: Column) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def text_leg(df: DataFrame, text: str, key: str, terms: list[str], k: int = LEG, bm25: bool = False, stemmed: bool = False) -> DataFrame:
     """The k rows that match best by any term; adds hits or the BM25 score as text_score, and rank_t (long). No terms, no rows."""
     if not terms:
@@ -72,7 +76,7 @@ def text_leg(df: DataFrame, text: str, key: str, terms: list[str], k: int = LEG,
         hit = [F.array_contains("__w", w).cast("int") for w in want]
         rows = rows.withColumn("text_score", sum(hit[1:], hit[0]).cast("double")).where("text_score > 0")
     else:
-        tf = [F.size(F.filter("__w", lambda x, w=w: x == w)) for w in want]
+        tf = [_times(F.col("__w"), w) for w in want]
         rows = rows.withColumn("__tf", F.array(*tf)).withColumn("__n", F.size("__w"))
         stats = rows.agg(F.count("*").alias("docs"), F.avg("__n").alias("length"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
         rows = rows.where(F.array_max("__tf") > 0).join(F.broadcast(stats))  # one row
