@@ -45,7 +45,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES, None) is None:
         conf.set(BATCH_BYTES, "8m")
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # workers are used again: they keep nothing of this task
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[str]:
