@@ -34,8 +34,10 @@ from quarrymill.llm.common import map_batches, slices, table, written
 
 COORDS, LEAST = 48, 24
 PER_CENT = 80
-BLOCK, BLOCK_SHINGLES = 256, 1_000_000  # members and hashes of a part; a block is two parts
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # members and hashes of a part; a block is two parts
 DRAWN = 3
+#: Families' members (two longs each) up to this number, 32 MB, are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -283,7 +285,7 @@ def compare_block(block: pa.Table) -> list[tuple[int, int]]:
         i, j = np.searchsorted(column_of, (lo, lo + 4096))
         dense = np.zeros((len(node), min(4096, wide - lo)), np.float32)
         dense[owner[i:j], column_of[i:j] - lo] = 1
-        both += dense @ dense.T
+        both[np.ix_(rows, cols)] += dense[rows] @ dense[cols].T
 
     def links(i: int, js: np.ndarray) -> np.ndarray:
         met = both[i, js].astype(np.int64)
@@ -302,12 +304,12 @@ def resolve(sets: DataFrame) -> DataFrame:
     labels: DataFrame | None = None
     if not large.isEmpty():
         long = sets.join(large.select("node").distinct(), "node", "left_semi")
-        for turn in range(DRAWN):
-            ids = large.groupBy("family").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
-            middle = long.select(F.col("node").alias("a"), F.col("members").alias("ma")).join(ids, "a").select("family", "a", "ma")
-            met = long.join(middle, "family").where("node <> a").withColumn("both", F.size(F.array_intersect("members", "ma")))
-            links = met.where((F.size("members") + F.size("ma") - F.col("both")) * PER_CENT <= F.col("both") * 100).select("a", F.col("node").alias("b"))
-            labels = relabel(labels, written(links, "links"))
+        ids = large.groupBy("family").agg(*[F.min_by("node", F.xxhash64("node", F.lit(turn))).alias(f"a{turn}") for turn in range(DRAWN)])
+        ids = ids.select("family", F.explode(F.array_distinct(F.array(*[f"a{turn}" for turn in range(DRAWN)]))).alias("a"))
+        middle = long.select(F.col("node").alias("a"), F.col("members").alias("ma")).join(ids, "a").select("family", "a", "ma")
+        met = long.join(middle, "family").where("node <> a").select("node", "a", F.size("members").alias("n"), F.size("ma").alias("na"), F.size(F.array_intersect("members", "ma")).alias("both"))
+        links = met.where((F.col("n") + F.col("na") - F.col("both")) * PER_CENT <= F.col("both") * 100).select("a", F.col("node").alias("b"))
+        labels = components(written(links, "links"))
     if labels is None:
         named = all_rows.withColumn("label", F.col("node"))
     else:
@@ -343,7 +345,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, coords: int = COORDS,
     sigs = written(sigs, "signatures")
     posts = written(prefix_postings(sigs, least, coords), "postings")
     family = families(sigs, posts, least, coords).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(family, "doc_id")
+    near = F.broadcast(family) if family.count() <= BROADCAST_ROWS else family
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(near, "doc_id")
     labels = resolve(written(set_rows(texts, words_each), "sets"))
     named = found.join(classes, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "node")
     named = named.join(labels.select(F.col("node").alias("n2"), "label"), F.col("node") == F.col("n2"), "left")
