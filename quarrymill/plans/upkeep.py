@@ -104,7 +104,16 @@ def image_lists(s, d):
     return maintain.replace_lists(old, line, "l_partkey", "url", "position").select("l_partkey", "url", F.col("position").cast("long").alias("position")).where("l_partkey < 400")
 
 
+def rate_limiter(s, d):
+    """Events as hits of their user: two a minute and four a day, as the events are sparse."""
+    from quarrymill.streaming.live import limit_rate
+
+    hits = table(s, d, "events").select("event_id", "user_id", "ts")
+    return limit_rate(hits, "user_id", "ts", "event_id", per_minute=2, per_day=4).select("event_id", "user_id", "allowed")
+
+
 QUERIES = {
+    "rate_limiter": (rate_limiter, None),
     "diff_outcomes": (diff_outcomes, f"with {_OLD_SQL}, {_NEW_SQL} select coalesce(n.l_orderkey, o.l_orderkey) as l_orderkey, coalesce(n.l_partkey, o.l_partkey) as l_partkey, coalesce(n.l_suppkey, o.l_suppkey) as l_suppkey, case when o.l_orderkey is null then 'new' when n.l_orderkey is null then 'vanished' when o.price = n.price and o.available = n.available then 'unchanged' else 'updated' end as outcome from old o full join new n on {_ON}"),
     "run_counters": (run_counters, f"with {_OLD_SQL}, {_NEW_SQL} select coalesce(n.l_suppkey, o.l_suppkey) % 10 as store, count(*) filter (o.l_orderkey is null) as products_new, count(*) filter (o.l_orderkey is not null and n.l_orderkey is not null and not (o.price = n.price and o.available = n.available)) as products_updated, count(*) filter (o.price = n.price and o.available = n.available) as products_unchanged, count(*) filter (n.l_orderkey is null) as products_removed from old o full join new n on {_ON} group by 1"),
     "snapshot_changes": (snapshot_changes, f"with {_OLD_SQL}, {_NEW_SQL} select n.* from old o join new n on {_ON} where o.price <> n.price or o.available <> n.available"),
