@@ -332,7 +332,7 @@ def read_coefficients(media: bytes) -> dict:
             lo, hi, (high, low) = body[1 + 2 * n], body[2 + 2 * n], divmod(body[3 + 2 * n], 16)
             stop = _MARKER.search(media, at)
             end = stop.start() if stop else len(media)
-            which, where = _interleaved(tuple(p.shape for p, _ in chosen)) if n > 1 else (chosen[0][0].own, chosen[0][0].own)
+            which, where = _interleaved(tuple(p.shape for p, _ in chosen)) if n > 1 else (np.zeros_like(chosen[0][0].own), chosen[0][0].own)
             runs = [media[at:end]] if not restart else _RESTART.split(media[at:end])
             each = restart * (sum(p.h * p.v for p, _ in chosen) if n > 1 else 1) if restart else len(where)
             for i, raw in enumerate(runs):

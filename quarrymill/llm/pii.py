@@ -6,7 +6,8 @@ at sign (a word with neither is fixed to "other", so the graph falls apart there
 a chain potential; words whose digits end alike, or that are alike but for case and signs at their ends, share a skip
 potential wherever they stand, each with the one before it, so edges grow with the words. Words under a base span are
 observed. Loopy sum-product messages (damped, at most ``ROUNDS``) give each word's marginals, and an unobserved word
-whose kind has ``SURE`` or more of the mass is added, adjoining words of a kind as one span.
+whose kind has ``SURE`` or more of the mass is added, adjoining words of a kind as one span, if edges link it with an
+observed mention or its digits pass the card's check sum.
 
 Weights are trained here: node weights by multinomial logistic regression, edge potentials as smoothed log ratios, both
 from the base labels of at most about ``SAMPLE_DOCS`` documents drawn by a hash of their id, added up by Spark to
@@ -107,8 +108,8 @@ def candidate_words(text: str) -> list[tuple[int, int, int, int]]:
             cs += 1
         while ce > cs and text[ce - 1] in _EDGE:
             ce -= 1
-        if cs > s and text[cs - 1] == "(" and ")" in text[cs:ce]:
-            cs -= 1
+        if cs > s and text[cs - 1] == "(" and ")" in text[cs:e]:  # a bracketed code keeps its brackets
+            cs, ce = cs - 1, max(ce, text.rindex(")", cs, e) + 1)
         if cs < ce:
             out.append((s, e, cs, ce))
         upto = e
@@ -201,6 +202,25 @@ def messages(unary: np.ndarray, edges: list[tuple[int, int]], tables: np.ndarray
     return p / p.sum(axis=1, keepdims=True)
 
 
+LUHN = FEATURES.index("luhn")
+
+
+def _reached(seen: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
+    """Which words are linked, over any edges, with an observed mention; others are no mention unless they pass the card's check sum."""
+    root = list(range(len(seen)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in edges:
+        root[find(i)] = find(j)
+    known = {find(i) for i in np.flatnonzero(seen > 0).tolist()}
+    return np.array([find(i) in known for i in range(len(seen))])
+
+
 def find_spans(text: str | None, model: dict) -> tuple[list, list]:
     """(base spans, added spans) of a text; a null text has none."""
     text = text or ""
@@ -218,6 +238,7 @@ def find_spans(text: str | None, model: dict) -> tuple[list, list]:
     tables = np.concatenate([np.repeat(model["chain"][None], len(chain), 0), np.repeat(model["skip"][None], len(skip), 0)])
     p = messages(unary, chain + skip, tables)
     label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
+    label[~(_reached(seen, chain + skip) | np.array([LUHN in word_features(text, w) for w in words]))] = 0
     added: list[tuple[int, str, int]] = []
     joined = {j for _, j in chain}
     for i, (_, _, cs, ce) in enumerate(words):
