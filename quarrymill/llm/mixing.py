@@ -148,11 +148,13 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     targets = written(source_targets(sizes), "targets")
     pieces = taken_pieces(sizes, targets).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     cuts = pieces.groupBy("source", "first", "doc_id", "tie", "size", "copy").agg((F.min("lo") - F.col("first")).alias("lo"), (F.max("hi") - F.col("first")).alias("hi")).select(F.col("doc_id").alias("d2"), F.col("tie").alias("t2"), "size", "lo", "hi")
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("tie", F.xxhash64("text", "source", *extra)).dropDuplicates(["doc_id", "tie"])
+    # keys without nulls, the same for both steps: texts move once
+    cuts = cuts.withColumn("k", F.coalesce("d2", F.lit(0))).withColumnRenamed("t2", "tie").drop("d2")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("tie", F.xxhash64("text", "source", *extra)).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).dropDuplicates(["tie", "k"])
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
     part = F.array_join(F.slice(words, (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
     text = F.when((F.col("lo") == 0) & (F.col("hi") == F.col("size")), F.col("text")).otherwise(part)
-    out = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")))
+    out = rows.join(cuts, ["tie", "k"])
     return out.select("doc_id", text.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
