@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from quarrymill.llm import langid, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -16,12 +18,12 @@ def test_language_held_out(spark):
 
 def test_language_edge_cases(spark, edge, empty, small):
     model = langid.learn(small)
-    rows = {r.doc_id: r for r in langid.classify(edge, model, edge.doc_id == 3).collect()}
+    rows = {r.doc_id: r for r in langid.classify(edge, model, F.col("doc_id") == 3).collect()}
     assert rows[0].lang_pred == rows[1].lang_pred == rows[2].lang_pred == "und" and rows[0].score == 0.0
     assert rows[3].held_out and not rows[4].held_out and not rows[None].held_out
     assert all(0 <= r.score <= 1 for r in rows.values())
-    assert langid.classify(empty, model, edge.doc_id == 3).count() == 0 and langid.learn(empty) == []
-    assert {r.lang_pred for r in langid.classify(small, [], small.doc_id == 3).collect()} == {"und"}
+    assert langid.classify(empty, model, F.col("doc_id") == 3).count() == 0 and langid.learn(empty) == []
+    assert {r.lang_pred for r in langid.classify(small, [], F.col("doc_id") == 3).collect()} == {"und"}
 
 
 def test_language_margin():
@@ -42,7 +44,7 @@ def test_toxicity_edge_cases(spark, edge, empty, small):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for docs in (edge, empty):
         model = toxicity.train(docs, labels)
-        rows = toxicity.classify(docs, model, docs.doc_id == 3).collect()
+        rows = toxicity.classify(docs, model, F.col("doc_id") == 3).collect()
         assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
