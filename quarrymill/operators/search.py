@@ -107,3 +107,16 @@ def hybrid(candidates: DataFrame, key: str, vector: str, text: str, category: st
     fused = fuse(vector_leg(found, vector, key, query, brand=brand), text_leg(found, text, key, query_terms(residual)), key)
     named = fused.join(found.select(key, category, brand), key)
     return diversify(named, category, brand, [F.desc("score"), F.col("rank_v").asc_nulls_last(), F.col("rank_t").asc_nulls_last(), F.col(key)], returned)
+
+
+def fill_embeddings(df: DataFrame, key: str, text: str, vector: str, embed, batch: int = 100) -> DataFrame:
+    """key and ``vector`` of the rows that lack one; ``embed`` turns a list of texts into vectors, a batch a call, on the executors."""
+
+    def run(frames):
+        for pdf in frames:
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i : i + batch]
+                yield part[[key]].assign(**{vector: [list(map(float, v)) for v in embed(part[text].fillna("").tolist())]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(vector).isNull()).select(key, text).mapInPandas(run, f"{key} {kind}, {vector} array<float>")

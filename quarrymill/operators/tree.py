@@ -85,6 +85,20 @@ def expand(closed: DataFrame, picked: DataFrame, key: str) -> DataFrame:
     return closed.join(picked.select(F.col(key).alias("ancestor_id")), "ancestor_id").select(F.col("descendant_id").alias(key)).distinct()
 
 
+def resolve_names(nodes: DataFrame, closed: DataFrame, roots: list[str], names: list[str]) -> DataFrame:
+    """category_id of what a search names: under each root the first node of each name, without those that are above another one found there, and all below them.
+
+    Without names the whole roots; empty if nothing is found.
+    """
+    tops = nodes.where(F.col("parent_id").isNull() & F.lower(F.trim("name")).isin([r.strip().lower() for r in roots])).select(F.col("id").alias("root"))
+    if not names:
+        return expand(closed, tops, "root").withColumnRenamed("root", "category_id")
+    wanted = tops.select("root", F.explode(F.array(*[F.lit(n) for n in names])).alias("wanted"))
+    found = find_descendants(closed, nodes, wanted, "root", "wanted").where("found is not null").select("root", "found").distinct()
+    above = found.select("root", F.col("found").alias("descendant_id")).join(closed.where("depth > 0"), "descendant_id").select("root", F.col("ancestor_id").alias("found")).distinct()
+    return expand(closed, found.join(above, ["root", "found"], "left_anti"), "found").withColumnRenamed("found", "category_id")
+
+
 def orphans(nodes: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The rows that sit on a node with children instead of on a leaf."""
     inner = nodes.where("parent_id is not null").select(F.col("parent_id").alias(key)).distinct()

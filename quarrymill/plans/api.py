@@ -30,6 +30,7 @@ class Request:
     branch: str | None = None
     sub: str | None = None
     category: str | None = None
+    categories: list[str] = field(default_factory=list)  # names to search for, at any level
     brand: str | None = None
     q: str | None = None
     on_sale: bool = False
@@ -67,6 +68,9 @@ def refine(c: Catalog, r: Request, fold_colors: bool = False, unresolved: str =
             return rows.where(F.lit(False))
         below = tree.descendants(closed, at).select(F.col("descendant_id").alias("category_id"))
         rows = rows.join(below, "category_id", "left_semi")
+    if r.categories:
+        roots = [r.gender] if r.gender else ["Men", "Women", "Unisex"]
+        rows = rows.join(tree.resolve_names(c.categories, tree.closure(c.categories), roots, r.categories), "category_id", "left_semi")
     if r.brand:
         rows = predicates.resolved(rows, "brand_id", brand_id(c, r.brand), unresolved)
     if r.q:
