@@ -32,9 +32,10 @@ def browse_interleaved_page(s, d):
     """Rank narrow, page, then join the wide columns."""
     refined, line = _refined(s, d)
     page = topk.interleave(refined.select("p_partkey", "p_brand", "p_size"), "p_brand", [F.desc("p_size"), F.desc("p_partkey")], 24, 24)
-    near = line.join(page.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    best = enrich.cheapest_child(near, "l_partkey", "l_extendedprice", ["l_extendedprice", "l_discount"], ["l_orderkey", "l_suppkey", "l_linenumber"], _open())
-    wide = enrich.late_join(page.select("p_partkey", "rn"), table(s, d, "part"), "p_partkey").join(best.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
+    # the page is at most 24 rows: it is ranked once and meets the variants and the wide columns by broadcast
+    near = line.join(F.broadcast(page.select(F.col("p_partkey").alias("l_partkey"), "rn")), "l_partkey")
+    best = enrich.cheapest_child(near, "l_partkey", "l_extendedprice", ["rn", "l_extendedprice", "l_discount"], ["l_orderkey", "l_suppkey", "l_linenumber"], _open())
+    wide = enrich.late_join(F.broadcast(best.withColumnRenamed("l_partkey", "p_partkey")), table(s, d, "part"), "p_partkey")
     return wide.select("p_partkey", "p_name", "p_brand", "rn", F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), "any_available", "n_children")
 
 
