@@ -44,7 +44,7 @@ def edited(rng, words, share):
     return [w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in words]
 
 
-@pytest.mark.parametrize("block", [4, 16, 256])
+@pytest.mark.parametrize("block", [6, 1024])
 def test_large_groups_of_near_copies(spark, monkeypatch, block):
     """Groups larger than a block, whose members link only partly: the drawn members, the main component and the rest."""
     monkeypatch.setattr(neardup, "BLOCK", block)
