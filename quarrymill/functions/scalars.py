@@ -18,6 +18,21 @@ SIZE_ALIASES = {
 #: Tags that make a product unavailable whatever its stock says; fixed values.
 FORCED_OUT = ("cart-hide", "hide-atc", "hide-variant-fragrance")
 
+#: Hex values of colour names, and that of any other; fixed values.
+COLOR_HEX = {
+    "black": "#1a1a1a", "white": "#f7f5f0", "navy": "#1c2a4a", "blue": "#3b6ea5", "sky blue": "#8ec6e6", "red": "#b23a2e", "maroon": "#6e1f2a", "green": "#3f6b45", "olive": "#6b6b3a",
+    "khaki": "#c3b091", "beige": "#e3d5b8", "grey": "#8a8681", "gray": "#8a8681", "brown": "#5b3d2b", "pink": "#e2a0b0", "purple": "#6a4c7a", "yellow": "#e0c14c", "orange": "#d97f34",
+    "teal": "#2f7a72", "mustard": "#c9a13a", "charcoal": "#3a3733", "cream": "#f0e6cf", "ivory": "#f5f0e0", "rust": "#a4502e", "burgundy": "#5e1f2e", "mint": "#a9d6c4",
+    "lavender": "#c9bfe0", "coral": "#e08770", "peach": "#f0c3a0", "tan": "#d2b48c", "gold": "#c9a227", "silver": "#c0c0c0", "stone": "#a89f8f",
+}
+OTHER_HEX = "#a89f8f"
+
+
+def color_hex(name: Column) -> Column:
+    """The hex value of a colour name, whatever its case; a default for others and null."""
+    pairs = [F.lit(v) for item in COLOR_HEX.items() for v in item]
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(name)), F.lit(OTHER_HEX))
+
 
 def strip_html(html: Column, most: int = 2000) -> Column:
     """Tags become spaces, white space (also Unicode's) collapses, ends are trimmed, the text is cut; empty gives null. Entities stay."""

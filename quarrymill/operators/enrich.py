@@ -48,3 +48,17 @@ def fallback_lookup(rows: DataFrame, steps: list[tuple[DataFrame, list[tuple[str
 def late_join(narrow: DataFrame, wide: DataFrame, key: str) -> DataFrame:
     """The wide columns for a ranked page: the page is small, so the wide side is filtered before it moves."""
     return narrow.join(wide, key, "inner")
+
+
+def attach_lists(rows: DataFrame, other: DataFrame, keys: list[str], lists: list[str]) -> DataFrame:
+    """``rows`` with the list columns of another source by key; a miss gives empty lists and missed = true."""
+    side = other.select(*keys, *lists).withColumn("__there", F.lit(True))
+    met = rows.join(side, keys, "left")
+    filled = {c: F.coalesce(F.col(c), F.array().cast(other.schema[c].dataType)) for c in lists}
+    return met.withColumns(filled | {"missed": F.col("__there").isNull()}).drop("__there")
+
+
+def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """The first row by ``order`` of each value of the key expression (say, a name in lower case), the others dropped."""
+    whole = rows.withColumn("__k", key).groupBy("__k").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__x"))
+    return whole.select("__x.*")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.plans import browse, searching, taxonomy, texts, upkeep
+from quarrymill.plans import browse, extras, searching, taxonomy, texts, upkeep
 
 FLAGSHIP = "browse_interleaved_page"
-_ALL = {**browse.QUERIES, **taxonomy.QUERIES, **upkeep.QUERIES, **searching.QUERIES, **texts.QUERIES}
+_ALL = {**browse.QUERIES, **taxonomy.QUERIES, **upkeep.QUERIES, **searching.QUERIES, **texts.QUERIES, **extras.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -91,7 +91,6 @@ def size_dominance(s, d):
     return facets.dominance(rows, ["p_type"], "system").select("p_type", "dominant", "n", "total", F.round("minority", 6).alias("minority"))
 
 
-_WS = r"'[ \t\n\r\f\v]+'"
 QUERIES = {
     "strip_html": (strip_html, r"select page_id, nullif(substring(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x0B\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), 1, 2000), '') as text from pages"),
     "size_system_case": (size_system_case, f"select p_partkey, case when s is null or s = '' then 'none' when regexp_matches(s, '(?i)^([0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]+)Y$') then 'kids_age_years' when regexp_matches(s, '(?i)^[0-9]{{2,3}}\\s*ml$') then 'volume_ml' when regexp_matches(s, '^[0-9]{{2}}$') then 'waist_inches' when trim(s) in ('-', 'One Size', 'OS') then 'one_size' else 'alpha' end as system from (select p_partkey, {_SIZES} as s from part)"),
