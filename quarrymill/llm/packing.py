@@ -139,7 +139,7 @@ def merger(size: int, per_task: int):
         windows = OpenWindows(size, 0, 0)
         windows.most = len(pdf) + 1
         base = (MERGED + int(pdf["task"].iloc[0]) // per_task) << TASK_BITS
-        spots = [next(windows.place(int(n))) for n in pdf["length"]]
+        spots = [list(windows.place(int(n)))[0] for n in pdf["length"]]  # read to the end: what a window has left goes back after the yield
         return pdf.assign(sequence_id=[base + w for w, _, _ in spots], offset=[o for _, o, _ in spots])
 
     return run

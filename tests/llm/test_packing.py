@@ -70,3 +70,13 @@ def test_open_windows_stay_bounded():
             assert 0 <= offset and offset + length <= 100
             total += length
         assert total == n and len(w.free) <= 4
+
+
+def test_leftovers_of_small_partitions_share_windows(spark):
+    """Two short documents a partition: all but the last window of each sixteen partitions are nearly full."""
+    docs = [(i, f"word{i} and some more of it " * (3 + i % 11)) for i in range(128)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(docs, 64), "doc_id long, text string")
+    rows = pieces(packing.pack(frame))
+    _, _, seqs = check(rows, docs)
+    fill = sum(r["length"] for r in rows)
+    assert 1024 * len(seqs) < 1.05 * fill + 4 * 1024
