@@ -85,7 +85,8 @@ def schedule(targets: DataFrame) -> DataFrame:
 
 def placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """``sizes`` with first and upto, the words of its source's shuffled stream that a document is, and its source's row."""
-    per_run = Window.partitionBy("source", "run").orderBy("key", "doc_id", "size", "tie")
+    # by rows: rows that repeat have words of their own
+    per_run = Window.partitionBy("source", "run").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = targets.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]  # one number
     digits = next(d for d in range(1, 9) if rows <= RUN_ROWS * 16**d or d == 8)
     cut = sizes.withColumn("run", F.substring("key", 1, digits))

@@ -72,3 +72,26 @@ def test_rows_hold_what_the_mix_takes(spark, small):
         have[r.doc_id] = have.get(r.doc_id, 0) + len(r.text.encode().split())
     # targets are those of one input, but for the hash that breaks ties between equal ids
     assert have == {k: v for k, v in took.items() if v}
+
+
+def test_repeated_rows(spark, tmp_path):
+    """Rows that repeat, null ids included, are mixed each for itself."""
+    rows = [(7, "w " * 40, "en", "a", 80)] * 5 + [(None, "x y " * 30, "en", "a", 120)] * 4 + [(i, "z " * (20 + i), "en", "ab"[i % 2], 0) for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    got = mixing.mix(docs).collect()
+    check(got)
+    key = lambda r: tuple((v is None, v) for v in r)
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=key) == sorted(con.sql(mixing.OP5_SQL).fetchall(), key=key)
+    took, have = {}, {}
+    for r in got:
+        took[r.doc_id] = took.get(r.doc_id, 0) + r.taken
+    parts = mixing.mix_rows(docs).collect()
+    for r in parts:
+        have[r.doc_id] = have.get(r.doc_id, 0) + len(r.text.split())
+    assert have == {k: v for k, v in took.items() if v}
+    for i in (7, None):
+        assert sum(r.doc_id == i for r in parts) >= sum(r.taken > 0 for r in got if r.doc_id == i) > 1
