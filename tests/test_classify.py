@@ -80,3 +80,15 @@ def test_defaults(classified):
 def test_kids_sizing(spark):
     rows = spark.createDataFrame([(["S", "3-4Y"],), (["T2"],), (["S", None],), (None,)], "s array<string>")
     assert [r[0] for r in rows.select(has_kids_sizing(F.col("s"))).collect()] == [True, True, False, False]
+
+
+def test_full_query_reads_whole_texts(spark, tmp_path):
+    """A keyword decides wherever it stands in the document; without one the suit stays western."""
+    from quarrymill.plans.texts import classify_full
+
+    told = {5: "goes with a kurta", 13: "plain words " * 40 + "goes with a kurta", 21: "plain words " * 400 + "goes with a kurta", 29: "plain words " * 400, 37: None}
+    spark.createDataFrame([(k, "French Grey", "", "Brand") for k in told], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(list(told.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.p_partkey: (r.branch, r.leaf) for r in classify_full(spark, str(tmp_path)).collect()}
+    assert got[5] == got[13] == got[21] == ("Eastern", "Kurta")
+    assert got[29] == got[37] and got[29][0] == "Western"
