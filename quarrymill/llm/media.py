@@ -1,22 +1,23 @@
 """Progressive JPEG: lossless payloads in coefficients, scans accumulated, full-resolution RGB tensors.
 
-``read_jpeg`` reads progressive JPEG files: it accumulates the spectral-selection and successive-approximation scans of
-any number of components into coefficient arrays, dequantizes, inverse-transforms all blocks at once in numpy, upsamples
-the chroma planes and converts to RGB. Runs of blocks whose refinement bits follow without codes, and scans whose only
-code is one bit, are read as arrays of bits; all else symbol by symbol.
+``read_coefficients`` reads progressive JPEG files: it accumulates the spectral-selection and successive-approximation
+scans of any number of components into coefficient arrays; ``rgb_tensor`` dequantizes and inverse-transforms all blocks
+at once in numpy, upsamples the chroma planes and converts to RGB. Scans whose codes together with their value bits
+always have one width are read as arrays through a table, runs of blocks whose refinement bits follow without codes as
+arrays of bits; all else is read symbol by symbol.
 
 ``store`` writes a payload as such a file, a byte a coefficient of a 4:2:0 picture with quantization 1 (the format's
-unit is the coefficient): DC holds the byte itself, refined bit by bit; AC holds the sign and 128 plus the byte's low
-seven bits, its top six bits in two spectral bands, the last two by successive approximation. So the payload comes back
-bit by bit from the coefficient arrays. A comment segment holds its length; blocks beyond it are zero bytes.
+unit is the coefficient). DC holds the byte itself; AC holds the sign and 128 plus the byte's low seven bits. The first
+scans leave the lowest bit to a second, refining one; luminance AC comes in two spectral bands. Code lengths are chosen
+so that each first scan takes a byte a coefficient: a DC difference of k bits has a code of 8 - k, an AC value of seven
+bits a code of one. So the payload comes back bit by bit from the coefficient arrays. A comment segment holds its
+length; blocks beyond it are zero bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +29,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import map_batches, slices, table
 
 UNIT = 64
-LOW = 2  # bits of AC left to successive approximation
-AC_BITS = 8 - LOW  # sign and magnitude bits of the first AC scans
-BANDS = ((1, 5), (6, 63))
+BANDS = ((1, 5), (6, 63))  # of the luminance; chroma has one band
 MOST_RUN = 32_767
 TAG = b"payload="
 
@@ -46,36 +45,81 @@ def _zigzag() -> np.ndarray:
 
 ZIGZAG = _zigzag()
 _K, _X = np.mgrid[0:8, 0:8]
-BASIS = (np.where(_K == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * _X + 1) * _K * np.pi / 16)).astype(np.float32)
+BASIS = np.where(_K == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * _X + 1) * _K * np.pi / 16)
+#: Samples of a block (row by row) that a unit of each zigzag coefficient makes.
+SAMPLES = np.einsum("ux,vy->uvxy", BASIS, BASIS).reshape(64, 64)[ZIGZAG]
 
 
 # Writing
 
 
+def _dc_codes() -> np.ndarray:
+    """The byte of each difference from -127 to 127: 7 - k ones and a zero, then the k bits of the value."""
+    out = np.zeros(255, np.uint8)
+    for d in range(-127, 128):
+        k = abs(d).bit_length()
+        out[d + 127] = (0xFF << (k + 1) & 0xFF) | (d if d > 0 else d + (1 << k) - 1)
+    return out
+
+
+def _ac_codes() -> np.ndarray:
+    """The byte of each payload byte without its lowest bit: a zero, then the seven bits of the value."""
+    b = np.arange(256)
+    top = 64 + ((b & 127) >> 1)
+    return np.where(b < 128, 127 - top, top).astype(np.uint8)
+
+
+_DC_CODE, _AC_CODE = _dc_codes(), _ac_codes()
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _huffman(kind: int, symbols: list[int]) -> bytes:
+def _huffman(kind: int, place: int, symbols: list[int]) -> bytes:
     """A table of codes 0, 10, 110, ... for the symbols in order."""
-    return _segment(0xC4, bytes([kind << 4, *(1 if i < len(symbols) else 0 for i in range(16)), *symbols]))
+    return _segment(0xC4, bytes([kind << 4 | place, *(1 if i < len(symbols) else 0 for i in range(16)), *symbols]))
 
 
-def _scan(components: tuple[int, ...], band: tuple[int, int], high: int, low: int, bits: np.ndarray) -> bytes:
-    head = bytes([len(components), *(x for c in components for x in (c, 0)), *band, high << 4 | low])
-    rest = -len(bits) % 8
-    raw = np.packbits(np.concatenate([bits, np.ones(rest, np.uint8)]) if rest else bits).tobytes()
-    return _segment(0xDA, head) + raw.replace(b"\xff", b"\xff\x00")
+def _scan_head(components: tuple[int, ...], place: int, band: tuple[int, int], high: int, low: int) -> bytes:
+    return _segment(0xDA, bytes([len(components), *(x for c in components for x in (c, place)), *band, high << 4 | low]))
 
 
 @lru_cache(maxsize=256)
-def _mcu_order(across: int, down: int) -> np.ndarray:
-    """Index of each block, in the order Y plane, Cb, Cr, as an interleaved scan of a 4:2:0 picture meets them."""
+def _mcu_order(across: int, down: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Index of each block, in the order Y plane, Cb, Cr, as an interleaved scan of a 4:2:0 picture meets them; the places of each component there."""
     y, x = np.mgrid[0:down, 0:across]
     wide = 2 * across
     luma = [(2 * y + v) * wide + 2 * x + h for v in (0, 1) for h in (0, 1)]
     chroma = [4 * across * down + k * across * down + y * across + x for k in (0, 1)]
-    return np.stack([*luma, *chroma], axis=-1).ravel()
+    order = np.stack([*luma, *chroma], axis=-1).ravel()
+    plane = across * down
+    return order, tuple(np.flatnonzero((order >= lo) & (order < hi)) for lo, hi in ((0, 4 * plane), (4 * plane, 5 * plane), (5 * plane, 6 * plane)))
+
+
+@lru_cache(maxsize=256)
+def _plan(across: int, down: int) -> dict:
+    """What files of one size share: the segments before each scan, and the codes of the runs in the refining scans."""
+    plane = across * down
+    frame = struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    head = _segment(0xDB, b"\x00" + b"\x01" * 64) + _segment(0xC2, frame) + _huffman(0, 0, list(range(7, -1, -1))) + _huffman(1, 0, [7])
+    first = [(_scan_head((c,), 0, band, 0, 1), c, band) for c, bands in ((1, BANDS), (2, ((1, 63),)), (3, ((1, 63),))) for band in bands]
+    more = []
+    for c, blocks in ((1, 4 * plane), (2, plane), (3, plane)):
+        runs = [(at, min(MOST_RUN, blocks - at)) for at in range(0, blocks, MOST_RUN)]
+        orders = sorted({n.bit_length() - 1 for _, n in runs})
+        coded = []
+        for at, n in runs:
+            o = n.bit_length() - 1
+            coded.append((at, n, np.array([1] * orders.index(o) + [0] + [n >> i & 1 for i in range(o - 1, -1, -1)], np.uint8)))
+        more.append((_huffman(1, 1, [o << 4 for o in orders]) + _scan_head((c,), 1, (1, 63), 1, 0), c, coded))
+    return {"head": head, "dc": _scan_head((1, 2, 3), 0, (0, 0), 0, 1), "first": first, "dc_more": _scan_head((1, 2, 3), 0, (0, 0), 1, 0), "more": more}
+
+
+def _packed(bits: list[np.ndarray]) -> bytes:
+    """The bits, filled up with ones, as entropy-coded bytes."""
+    rest = -sum(map(len, bits)) % 8
+    return np.packbits(np.concatenate([*bits, np.ones(rest, np.uint8)])).tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def store(payload: bytes) -> bytes:
@@ -88,46 +132,72 @@ def store(payload: bytes) -> bytes:
     plane = across * down
     data = np.zeros((6 * plane, UNIT), np.uint8)
     data[:n] = np.frombuffer(payload, np.uint8).reshape(n, UNIT)
-    planes = ((1, data[: 4 * plane]), (2, data[4 * plane : 5 * plane]), (3, data[5 * plane :]))
-    out = [b"\xff\xd8", _segment(0xFE, TAG + str(len(payload)).encode()), _segment(0xDB, b"\x00" + b"\x01" * 64)]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
-    out += [_huffman(0, [0]), _scan((1, 2, 3), (0, 0), 0, 8, np.zeros(6 * plane, np.uint8))]
-    dc = data[_mcu_order(across, down), 0]
-    out += [_scan((1, 2, 3), (0, 0), low + 1, low, dc >> low & 1) for low in range(7, -1, -1)]
-    out.append(_huffman(1, [AC_BITS]))
-    shifts = np.arange(AC_BITS - 1, -1, -1, dtype=np.uint8)
-    for c, rows in planes:
-        # sign, then the magnitude's bits below its top one, all flipped for a negative number
-        ac = rows[:, 1:]
-        top = (ac >> LOW) & (0xFF >> LOW)
-        coded = np.where(ac < 128, top ^ ((1 << (AC_BITS - 1)) - 1), top).astype(np.uint8)
-        bits = np.zeros((*ac.shape, AC_BITS + 1), np.uint8)
-        bits[:, :, 1:] = coded[:, :, None] >> shifts & 1
-        out += [_scan((c,), (lo, hi), 0, LOW, bits[:, lo - 1 : hi].ravel()) for lo, hi in BANDS]
-    runs = [(at, min(MOST_RUN, 4 * plane - at)) for at in range(0, 4 * plane, MOST_RUN)]
-    for c, rows in planes:
-        own = [(at, min(MOST_RUN, len(rows) - at)) for at in range(0, len(rows), MOST_RUN)] if c > 1 else runs
-        orders = sorted({length.bit_length() - 1 for _, length in own})
-        out.append(_huffman(1, [o << 4 for o in orders]))
-        for low in range(LOW - 1, -1, -1):
-            fresh = rows[:, 1:] >> low & 1
-            bits = []
-            for at, length in own:
-                o = length.bit_length() - 1
-                code = [1] * orders.index(o) + [0] + [length >> i & 1 for i in range(o - 1, -1, -1)]
-                bits += [np.array(code, np.uint8), fresh[at : at + length].ravel()]
-            out.append(_scan((c,), (1, 63), low + 1, low, np.concatenate(bits)))
+    rows = {1: data[: 4 * plane], 2: data[4 * plane : 5 * plane], 3: data[5 * plane :]}
+    plan, (order, parts) = _plan(across, down), _mcu_order(across, down)
+    dc = data[order, 0]
+    top = (dc >> 1).astype(np.int16)
+    steps = np.empty_like(top)
+    for places in parts:
+        own = top[places]
+        own[1:] -= top[places[:-1]]
+        steps[places] = own
+    # neither kind of byte is ever 255: nothing is stuffed in the first scans
+    out = [b"\xff\xd8", _segment(0xFE, TAG + str(len(payload)).encode()), plan["head"], plan["dc"], _DC_CODE[steps + 127].tobytes()]
+    coded = _AC_CODE[data]
+    for head, c, (lo, hi) in plan["first"]:
+        at = 0 if c == 1 else (c + 2) * plane
+        out += [head, coded[at : at + len(rows[c]), lo : hi + 1].tobytes()]
+    out += [plan["dc_more"], _packed([dc & 1])]
+    low = data[:, 1:] & 1
+    for head, c, runs in plan["more"]:
+        at = 0 if c == 1 else (c + 2) * plane
+        out += [head, _packed([x for start, length, code in runs for x in (code, low[at + start : at + start + length].ravel())])]
     return b"".join([*out, b"\xff\xd9"])
 
 
 # Reading
 
 
+class _Codes:
+    """A Huffman table: symbols by (length, code), and by value where code and value bits always have ``width`` bits."""
+
+    def __init__(self, body: bytes, kind: int):
+        self.codes: dict[tuple[int, int], int] = {}
+        code, pos = 0, 16
+        for length, n in enumerate(body[:16], 1):
+            for _ in range(n):
+                self.codes[length, code] = body[pos]
+                code, pos = code + 1, pos + 1
+            code <<= 1
+        widths = {length + s for (length, _), s in self.codes.items()}
+        self.width = widths.pop() if len(widths) == 1 and all(s < 16 and (s or not kind) for s in self.codes.values()) else 0
+        if self.width > 12:
+            self.width = 0
+        if self.width:
+            self.values = np.full(1 << self.width, MISSING, np.int16)
+            for (length, code), size in self.codes.items():
+                self.values[code << size : (code + 1) << size] = _extend(np.arange(1 << size), size)
+
+
+MISSING = np.iinfo(np.int16).min
+
+
+@lru_cache(maxsize=1024)
+def _tables(body: bytes) -> tuple[tuple[int, _Codes], ...]:
+    """Place and codes of each table of a segment."""
+    out = []
+    while body:
+        size = 17 + sum(body[1:17])
+        out.append((body[0], _Codes(body[1:size], body[0] >> 4)))
+        body = body[size:]
+    return tuple(out)
+
+
 class _Bits:
     """Bits of a run of entropy-coded bytes; past the end it reads ones, as padding does."""
 
     def __init__(self, raw: bytes):
-        self.bits, self.at = np.unpackbits(np.frombuffer(raw.replace(b"\xff\x00", b"\xff"), np.uint8)), 0
+        self.raw, self.at, self._bits = np.frombuffer(raw.replace(b"\xff\x00", b"\xff"), np.uint8), 0, None
 
     def take(self, n: int) -> int:
         value = 0
@@ -136,16 +206,30 @@ class _Bits:
         return value
 
     def array(self, n: int) -> np.ndarray:
-        got = self.bits[self.at : self.at + n]
+        if self._bits is None:
+            self._bits = np.unpackbits(self.raw)
+        got = self._bits[self.at : self.at + n]
         self.at += n
         return got if len(got) == n else np.concatenate([got, np.ones(n - len(got), np.uint8)])
 
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+    def values(self, n: int, codes: _Codes) -> np.ndarray:
+        """The next ``n`` values of a table of one width."""
+        if codes.width == 8 and self.at % 8 == 0 and len(self.raw) >= self.at // 8 + n:
+            got = codes.values[self.raw[self.at // 8 : self.at // 8 + n]]
+            self.at += 8 * n
+        else:
+            weights = 1 << np.arange(codes.width - 1, -1, -1)
+            got = codes.values[self.array(n * codes.width).reshape(n, codes.width) @ weights]
+        if n and got.min() == MISSING:
+            raise ValueError("no such code")
+        return got
+
+    def symbol(self, codes: _Codes) -> int:
         code = 0
         for length in range(1, 17):
             code = code << 1 | int(self.array(1)[0])
-            if (length, code) in codes:
-                return codes[length, code]
+            if (length, code) in codes.codes:
+                return codes.codes[length, code]
         raise ValueError("no such code")
 
 
@@ -160,8 +244,8 @@ class _Component:
     def lay_out(self, width: int, height: int, hmax: int, vmax: int) -> None:
         self.across, self.down = -(-(-(-width * self.h // hmax)) // 8), -(-(-(-height * self.v // vmax)) // 8)
         self.wide, self.tall = -(-width // (8 * hmax)) * self.h, -(-height // (8 * vmax)) * self.v
-        self.coefs = np.zeros((self.tall * self.wide, 64), np.int32)
-        self.own = _own_blocks(self.across, self.down, self.wide)
+        self.coefs = np.zeros((self.tall * self.wide, 64), np.int16)
+        self.own, self.alone = _own_blocks(self.across, self.down, self.wide)
 
     @property
     def shape(self) -> tuple[int, int, int, int]:
@@ -169,9 +253,10 @@ class _Component:
 
 
 @lru_cache(maxsize=1024)
-def _own_blocks(across: int, down: int, wide: int) -> np.ndarray:
-    """Index of each block that a scan of the component alone meets."""
-    return (np.arange(down)[:, None] * wide + np.arange(across)).ravel()
+def _own_blocks(across: int, down: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each block that a scan of the component alone meets; a zero for each, its component there."""
+    own = (np.arange(down)[:, None] * wide + np.arange(across)).ravel()
+    return own, np.zeros_like(own)
 
 
 @lru_cache(maxsize=256)
@@ -194,18 +279,27 @@ def _by_component(shapes: tuple[tuple[int, int, int, int], ...]) -> list[tuple[n
     return [(sel := np.flatnonzero(which == k), where[sel]) for k in range(len(shapes))]
 
 
+def _rows(where: np.ndarray):
+    """The rows as a slice, which numpy needn't copy, if they follow each other."""
+    first, last = int(where[0]), int(where[-1])
+    return slice(first, last + 1) if last - first + 1 == len(where) else where
+
+
 def _read_dc(parts, bits: _Bits, tables, which, where, high: int, low: int, whole: bool) -> None:
+    def split() -> list[tuple[np.ndarray, np.ndarray]]:
+        if whole and len(parts) > 1:
+            return _by_component(tuple(p.shape for p in parts))
+        return [(sel := np.flatnonzero(which == k), where[sel]) for k in range(len(parts))]
+
     if high:
-        fresh = bits.array(len(where)).astype(np.int32) << low
-        if len(parts) == 1:
-            parts[0].coefs[where, 0] |= fresh
-            return
-        split = _by_component(tuple(p.shape for p in parts)) if whole else [(sel := np.flatnonzero(which == k), where[sel]) for k in range(len(parts))]
-        for p, (sel, rows) in zip(parts, split):
+        fresh = bits.array(len(where)).astype(np.int16) << low
+        for p, (sel, rows) in zip(parts, split()):
             p.coefs[rows, 0] |= fresh[sel]
         return
-    if all(t == {(1, 0): 0} for t in tables):
-        bits.at += len(where)  # every difference is zero
+    if tables[0].width and all(t is tables[0] for t in tables):
+        steps = bits.values(len(where), tables[0])
+        for p, (sel, rows) in zip(parts, split()):
+            p.coefs[rows, 0] = steps[sel].cumsum(dtype=np.int16) << low
         return
     before = [0] * len(parts)
     for k, b in zip(which.tolist(), where.tolist()):
@@ -214,13 +308,10 @@ def _read_dc(parts, bits: _Bits, tables, which, where, high: int, low: int, whol
         parts[k].coefs[b, 0] = before[k] << low
 
 
-def _read_ac_first(part, bits: _Bits, codes, where, lo: int, hi: int, low: int) -> None:
-    if len(codes) == 1 and (1, 0) in codes and 0 < codes[1, 0] < 16:
-        size, n = codes[1, 0], hi - lo + 1
-        rows = bits.array(len(where) * n * (size + 1)).reshape(-1, size + 1)
-        value = np.packbits(rows[:, 1:], axis=1).astype(np.int32)
-        value = (value[:, 0] << 8 | value[:, 1]) >> (16 - size) if size > 8 else value[:, 0] >> (8 - size)
-        part.coefs[where, lo : hi + 1] = (_extend(value, size) * (1 << low)).reshape(len(where), n)
+def _read_ac_first(part, bits: _Bits, codes: _Codes, where, lo: int, hi: int, low: int) -> None:
+    if codes.width:
+        n = hi - lo + 1
+        part.coefs[_rows(where), lo : hi + 1] = (bits.values(len(where) * n, codes) << low).reshape(len(where), n)
         return
     run = 0
     for b in where.tolist():
@@ -242,20 +333,20 @@ def _read_ac_first(part, bits: _Bits, codes, where, lo: int, hi: int, low: int)
                 break
 
 
-def _read_ac_more(part, bits: _Bits, codes, where, lo: int, hi: int, low: int) -> None:
+def _read_ac_more(part, bits: _Bits, codes: _Codes, where, lo: int, hi: int, low: int) -> None:
     step, i = 1 << low, 0
 
     def correct(rows: np.ndarray, first: int) -> None:
         """A bit for each coefficient of the blocks that isn't zero, from ``first`` on in the first block."""
-        got = part.coefs[rows, lo : hi + 1]
+        got = part.coefs[_rows(rows), lo : hi + 1]
         if first == lo and got.all():
-            fresh = bits.array(got.size).reshape(got.shape)
-            part.coefs[rows, lo : hi + 1] = got + np.sign(got) * (fresh * np.int32(step))
+            fresh = bits.array(got.size).reshape(got.shape).astype(np.int16) << low
+            part.coefs[_rows(rows), lo : hi + 1] = got + np.where(got > 0, fresh, -fresh)
             return
         there = got != 0
         if first > lo:
             there[0, : first - lo] = False
-        fresh = bits.array(int(there.sum())).astype(np.int32) * step
+        fresh = bits.array(int(there.sum())).astype(np.int16) * np.int16(step)
         got[there] += np.where(got[there] > 0, fresh, -fresh)
         part.coefs[rows, lo : hi + 1] = got
 
@@ -289,7 +380,7 @@ def _read_ac_more(part, bits: _Bits, codes, where, lo: int, hi: int, low: int) -
 def read_coefficients(media: bytes) -> dict:
     """Width, height, components with accumulated coefficient arrays (blocks by zigzag position), quantization tables, comments."""
     out = {"comments": [], "quant": {}}
-    codes: dict[int, dict] = {}
+    codes: dict[int, _Codes] = {}
     parts: dict[int, _Component] = {}
     at, restart = 2, 0
     if media[:2] != b"\xff\xd8":
@@ -310,15 +401,7 @@ def read_coefficients(media: bytes) -> dict:
                 out["quant"][body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1").astype(np.int32)
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
-            while body:
-                counts, code, pos, table_ = body[1:17], 0, 17, {}
-                for length, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        table_[length, code] = body[pos]
-                        code, pos = code + 1, pos + 1
-                    code <<= 1
-                codes[body[0]] = table_
-                body = body[pos:]
+            codes.update(_tables(body))
         elif marker == 0xC2:
             _, out["height"], out["width"], n = struct.unpack_from(">BHHB", body)
             for c, hv, q in zip(*(body[6 + k : 6 + 3 * n : 3] for k in range(3))):
@@ -332,14 +415,14 @@ def read_coefficients(media: bytes) -> dict:
             lo, hi, (high, low) = body[1 + 2 * n], body[2 + 2 * n], divmod(body[3 + 2 * n], 16)
             stop = _MARKER.search(media, at)
             end = stop.start() if stop else len(media)
-            which, where = _interleaved(tuple(p.shape for p, _ in chosen)) if n > 1 else (np.zeros_like(chosen[0][0].own), chosen[0][0].own)
+            which, where = _interleaved(tuple(p.shape for p, _ in chosen)) if n > 1 else (chosen[0][0].alone, chosen[0][0].own)
             runs = [media[at:end]] if not restart else _RESTART.split(media[at:end])
             each = restart * (sum(p.h * p.v for p, _ in chosen) if n > 1 else 1) if restart else len(where)
             for i, raw in enumerate(runs):
                 mine = slice(i * each, (i + 1) * each)
                 bits = _Bits(raw)
                 if lo == 0:
-                    _read_dc([p for p, _ in chosen], bits, [codes.get(t >> 4, {}) for _, t in chosen], which[mine], where[mine], high, low, not restart)
+                    _read_dc([p for p, _ in chosen], bits, [codes.get(t >> 4) for _, t in chosen], which[mine], where[mine], high, low, not restart)
                 else:
                     (_read_ac_more if high else _read_ac_first)(chosen[0][0], bits, codes[16 | chosen[0][1] & 15], where[mine], lo, hi, low)
             at = end
@@ -348,11 +431,21 @@ def read_coefficients(media: bytes) -> dict:
     return out | {"components": list(parts.values())}
 
 
+@lru_cache(maxsize=64)
+def _dequantizer(quant: bytes) -> np.ndarray:
+    """The inverse transform with a table of quantization steps (32-bit numbers) in it: coefficients to samples."""
+    return (np.frombuffer(quant, np.int32)[:, None] * SAMPLES).astype(np.float32)
+
+
 def inverse_transform(coefs: np.ndarray, quant: np.ndarray) -> np.ndarray:
-    """Samples (blocks, 8, 8), 0 to 255, of blocks of zigzag coefficients."""
-    natural = np.empty(coefs.shape, np.float32)
-    natural[:, ZIGZAG] = coefs * quant
-    return BASIS.T @ natural.reshape(-1, 8, 8) @ BASIS + 128
+    """Samples (blocks, 8, 8), not clipped, of blocks of zigzag coefficients."""
+    table_, values = _dequantizer(np.ascontiguousarray(quant, np.int32).tobytes()), coefs.astype(np.float32)
+    out, even = np.empty_like(values), len(values) // UNIT * UNIT
+    # in groups of 64 blocks, which the product leaves to one thread: Spark shares out the cores
+    np.matmul(values[:even].reshape(-1, UNIT, UNIT), table_, out=out[:even].reshape(-1, UNIT, UNIT))
+    np.matmul(values[even:], table_, out=out[even:])
+    out += np.float32(128)
+    return out.reshape(-1, 8, 8)
 
 
 def rgb_tensor(read: dict) -> np.ndarray:
@@ -361,14 +454,26 @@ def rgb_tensor(read: dict) -> np.ndarray:
     hmax, vmax = max(p.h for p in parts), max(p.v for p in parts)
     planes = []
     for p in parts:
-        plane = inverse_transform(p.coefs, read["quant"][p.quant]).reshape(p.tall, p.wide, 8, 8).transpose(0, 2, 1, 3).reshape(p.tall * 8, p.wide * 8)
-        plane = np.clip(np.rint(plane), 0, 255)
-        planes.append(plane.repeat(vmax // p.v, 0).repeat(hmax // p.h, 1)[: read["height"], : read["width"]])
+        plane = inverse_transform(p.coefs, read["quant"][p.quant])
+        np.rint(plane, out=plane).clip(0, 255, out=plane)
+        planes.append(plane.reshape(p.tall, p.wide, 8, 8).transpose(0, 2, 1, 3).reshape(p.tall * 8, p.wide * 8))
+    out = np.empty((read["height"], read["width"], 3), np.uint8)
+    wide = lambda x, p: x.repeat(vmax // p.v, 0).repeat(hmax // p.h, 1)[: read["height"], : read["width"]]
+    y = wide(planes[0], parts[0])
     if len(planes) == 1:
-        return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        out[:] = y[:, :, None]
+        return out
+    cb, cr = planes[1] - np.float32(128), planes[2] - np.float32(128)
+    if parts[1].shape == parts[2].shape:  # a chroma sample's share of each channel is made once, then upsampled
+        shares = (np.float32(1.402) * cr, np.float32(-0.344136) * cb - np.float32(0.714136) * cr, np.float32(1.772) * cb)
+        shares = [wide(s, parts[1]) for s in shares]
+    else:
+        cb, cr = wide(cb, parts[1]), wide(cr, parts[2])
+        shares = (np.float32(1.402) * cr, np.float32(-0.344136) * cb - np.float32(0.714136) * cr, np.float32(1.772) * cb)
+    for k, share in enumerate(shares):
+        channel = y + share
+        out[:, :, k] = np.rint(channel, out=channel).clip(0, 255, out=channel)
+    return out
 
 
 def read_jpeg(media: bytes) -> np.ndarray:
@@ -378,71 +483,80 @@ def read_jpeg(media: bytes) -> np.ndarray:
 def read_payload(read: dict) -> bytes:
     """The payload of a file that ``store`` wrote, from its coefficient arrays."""
     size = next(int(c[len(TAG) :]) for c in read["comments"] if c.startswith(TAG))
-    rows = np.concatenate([p.coefs[p.own] for p in read["components"]])[: size // UNIT]
+    rows = np.concatenate([p.coefs for p in read["components"]])[: size // UNIT]
     out = np.where(rows > 0, rows, -rows - 128)  # AC: the byte itself from 128 on, else minus the byte plus 128
     out[:, 0] = rows[:, 0]
     return out.astype(np.uint8).tobytes()
 
 
-def payload_of(text: str | None) -> bytes:
-    """The text as UTF-8 with zero bytes appended up to a positive multiple of 64."""
+def payload_of(text: str | None) -> tuple[bytes, int]:
+    """The text as UTF-8 with zero bytes appended up to a positive multiple of 64, and its length without these."""
     raw = (text or "").encode("utf-8", "replace")
-    return raw + bytes(-len(raw) % UNIT or (0 if raw else UNIT))
+    return raw + bytes(-len(raw) % UNIT or (0 if raw else UNIT)), len(raw)
 
 
 def feature_of(tensor: np.ndarray) -> str:
     """Size, channel means and a histogram of 8 luminance steps, of the whole tensor."""
-    means = "/".join(f"{x:.4f}" for x in tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (tensor.shape[0] * tensor.shape[1]))
-    steps = np.bincount((tensor.sum(axis=2, dtype=np.int32) // 96).ravel(), minlength=8)
+    pixels = tensor.shape[0] * tensor.shape[1]
+    red, green, blue = (np.ascontiguousarray(tensor[:, :, k]) for k in range(3))
+    means = "/".join(f"{int(c.sum(dtype=np.int64)) / pixels:.4f}" for c in (red, green, blue))
+    steps = np.bincount(((red.astype(np.uint16) + green + blue) // 96).ravel(), minlength=8)
     return f"{tensor.shape[0]}x{tensor.shape[1]};{means};{'/'.join(map(str, steps.tolist()))}"
 
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes (of the text), media (the stored file) of every row; a null text counts as empty."""
+    """doc_id, n_bytes (of the text), media (the stored file) of every row.
+
+    A null text counts as empty, whose payload is 64 zero bytes; a null id stays null. Texts of any length are stored
+    whole, rows that repeat alike, an empty table gives no rows, other columns are not read.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 256):
-                payloads, sizes = [], []
+                stored, sizes = [], []
                 for t in part.column(1).to_pylist():
-                    sizes.append(len((t or "").encode("utf-8", "replace")))
-                    payloads.append(store(payload_of(t)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], schema=schema)
+                    payload, size = payload_of(t)
+                    sizes.append(size)
+                    stored.append(store(payload))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], schema=schema)
 
     return map_batches(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), run, "doc_id long, n_bytes long, media binary")
 
 
-def read_tensors(media: DataFrame) -> DataFrame:
-    """doc_id, height, width, rgb (bytes, row by row) of stored files; a null file gives nulls."""
-    schema = pa.schema([("doc_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 64):
-                found = [None if m is None else read_jpeg(m) for m in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([None if t is None else t.shape[k] for t in found], pa.int32()) for k in (0, 1)), pa.array([None if t is None else t.tobytes() for t in found], pa.binary())], schema=schema)
-
-    return map_batches(media.select("doc_id", "media"), run, "doc_id long, height int, width int, rgb binary")
-
+def read_media(media: DataFrame) -> DataFrame:
+    """The columns of ``store_texts`` and, read back from the stored files: payload, height, width, rgb (the full-resolution tensor, row by row), feature.
 
-def digest(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: read back from the stored files."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    A null file gives nulls. Files are read whole, an empty table gives no rows, other columns are not read.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 256):
                 rows = []
                 for m in part.column(2).to_pylist():
+                    if m is None:
+                        rows.append((None,) * 5)
+                        continue
                     read = read_coefficients(m)
-                    payload = read_payload(read)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(rgb_tensor(read))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:]))], schema=schema)
+                    tensor = rgb_tensor(read)
+                    rows.append((read_payload(read), tensor.shape[0], tensor.shape[1], tensor.tobytes(), feature_of(tensor)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[3:]))], schema=schema)
+
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, feature string")
+
 
-    return map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def digest(read: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, height, width, rgb_crc32 of the columns of ``read_media``."""
+    size = F.length("payload")
+    return read.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", size - (UNIT - 1), F.lit(UNIT))).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "height", "width", F.crc32("rgb").alias("rgb_crc32"),
+    )
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as a progressive JPEG, read back."""
-    return digest(store_texts(table(spark, sf_dir, "documents")))
+    """Every document's text as a progressive JPEG, read back; the digests are those of the payload, file and tensor columns."""
+    return digest(read_media(store_texts(table(spark, sf_dir, "documents"))))

@@ -167,14 +167,64 @@ def test_general_files(factors, size):
         assert abs(int(tensor[y, x, 0]) - np.clip(lum + 1.402 * (cr - 128), 0, 255)) <= 1
 
 
+def naive_tensor(media_file):
+    """A stored file's picture by the sums of the inverse transform, block by block and pixel by pixel, in plain Python."""
+    read = media.read_coefficients(media_file)
+    angle = [[(0.5**0.5 if u == 0 else 1) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)]
+    planes = []
+    for p in read["components"]:
+        plane = [[0] * (p.wide * 8) for _ in range(p.tall * 8)]
+        for b, block in enumerate(p.coefs.tolist()):
+            cells = [(int(media.ZIGZAG[k]) // 8, int(media.ZIGZAG[k]) % 8, v) for k, v in enumerate(block) if v]
+            for y in range(8):
+                for x in range(8):
+                    v = 128 + sum(c * angle[r][y] * angle[s][x] for r, s, c in cells)
+                    plane[b // p.wide * 8 + y][b % p.wide * 8 + x] = min(255, max(0, round(v)))
+        planes.append(plane)
+    out = []
+    for y in range(read["height"]):
+        for x in range(read["width"]):
+            lum, cb, cr = planes[0][y][x], planes[1][y // 2][x // 2] - 128, planes[2][y // 2][x // 2] - 128
+            out.append([min(255, max(0, round(v))) for v in (lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb)])
+    return np.array(out).reshape(read["height"], read["width"], 3)
+
+
+@pytest.mark.parametrize("text", ["", "one short text", "ein längerer Text, der mehr als einen Block füllt; " * 20])
+def test_tensor_and_feature_as_naive(text):
+    stored = media.store(media.payload_of(text)[0])
+    want, got = naive_tensor(stored), media.read_jpeg(stored)
+    off = np.abs(want - got.astype(int))
+    assert off.max() <= 1 and (off == 0).mean() > 0.999  # single precision rounds a tie otherwise
+    pixels = got.reshape(-1, 3).tolist()
+    means = "/".join(f"{sum(p[k] for p in pixels) / len(pixels):.4f}" for k in range(3))
+    steps = [sum(sum(p) // 96 == i for p in pixels) for i in range(8)]
+    assert media.feature_of(got) == f"{got.shape[0]}x{got.shape[1]};{means};{'/'.join(map(str, steps))}"
+
+
+def test_first_scans_need_no_stuffing():
+    """Each value's code and bits fill a byte, and none is 255."""
+    assert 255 not in media._DC_CODE and 255 not in media._AC_CODE and len(set(media._DC_CODE.tolist())) == 255
+    stored = media.store(bytes(range(256)) * 4)
+    heads = [m.start() for m in media.re.finditer(b"\xff\xda", stored)]
+    assert len(heads) == 9  # DC, two bands of Y, Cb, Cr, then a refining scan of each
+    with pytest.raises(ValueError):
+        media.read_coefficients(stored[: heads[0] + 14] + b"\xff\x00" * 24 + stored[heads[1] :])
+
+
 def test_query_on_documents(spark, small, edge, empty):
     for docs in (small, edge):
-        rows = media.digest(media.store_texts(docs)).collect()
-        want = sorted((hashlib.sha256(media.payload_of(d.text)).hexdigest(), len((d.text or "").encode())) for d in docs.collect())
-        assert sorted((r.payload_sha256, r.n_bytes) for r in rows) == want
-        assert all(r.payload_bytes % 64 == 0 and r.payload_bytes > 0 for r in rows)
+        stored = media.store_texts(docs)
+        rows = media.digest(media.read_media(stored)).collect()
+        plain = [(d.text or "").encode() for d in docs.collect()]
+        padded = [x + bytes(-len(x) % 64 if x else 64) for x in plain]
+        want = sorted((hashlib.sha256(p).hexdigest(), len(x), len(p), zlib.crc32(p[-64:])) for x, p in zip(plain, padded))
+        assert sorted((r.payload_sha256, r.n_bytes, r.payload_bytes, r.tail_crc32) for r in rows) == want
+        files = sorted((hashlib.sha256(r.media).hexdigest(), len(r.media), media.feature_of(t := media.read_jpeg(r.media)), zlib.crc32(t.tobytes())) for r in stored.collect())
+        assert sorted((r.media_sha256, r.media_bytes, r.feature, r.rgb_crc32) for r in rows) == files
     by = {r.doc_id: r for r in rows}
     assert by[0].tail_crc32 == zlib.crc32(bytes(64)) and by[0].media_sha256 == by[1].media_sha256 and by[5].feature == by[6].feature
-    assert media.digest(media.store_texts(empty)).count() == 0
-    t = media.read_tensors(media.store_texts(small).limit(3)).collect()
-    assert all(len(r.rgb) == 3 * r.height * r.width for r in t)
+    assert media.digest(media.read_media(media.store_texts(empty))).count() == 0
+    read = media.read_media(media.store_texts(small)).collect()
+    assert all(len(r.rgb) == 3 * r.height * r.width and r.payload for r in read)
+    missing = spark.createDataFrame([(1, 2, None)], "doc_id long, n_bytes long, media binary")
+    assert media.digest(media.read_media(missing)).first().payload_sha256 is None
