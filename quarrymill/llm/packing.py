@@ -37,6 +37,8 @@ SEPARATOR = 0
 #: Sequence ids: the task in the upper bits, its running number in the lower ones; merged windows lie above all tasks.
 TASK_BITS, MERGED = 36, 1 << 25
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The vocabulary's added token, a fixed value: its string in a text is this one id, as in the vocabulary's JSON form.
+ADDED = {"<|endoftext|>": 50256}
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int, is_open boolean"
 _ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("task", pa.int32()), ("is_open", pa.bool_())])
@@ -44,18 +46,19 @@ _ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "id
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY):
-    """The public byte-level BPE; its ranks give the same ids as the JSON form of the vocabulary, special strings taken as ordinary text."""
+    """The public byte-level BPE; its ranks and the added token give the same ids as the JSON form of the vocabulary."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The text's ids, then the separator, as little-endian unsigned 32-bit numbers."""
-    ids = encoder(vocabulary).encode_ordinary(text)
+    known = encoder(vocabulary)
+    ids = known.encode(text, allowed_special="all") if any(x in text for x in ADDED) else known.encode_ordinary(text)
     ids.append(SEPARATOR)
     return np.array(ids, dtype="<u4")
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -13,7 +14,6 @@ def pieces(df):
 
 def check(rows, docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = sorted(tuple(tok.encode(t or "", add_special_tokens=False).ids) + (0,) for _, t in docs)
     seqs, by_doc = {}, {}
     for r in rows:
@@ -34,7 +34,6 @@ def test_documents(spark, small):
     rows = pieces(packing.pack(small))
     _, by_doc, seqs = check(rows, docs)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for doc_id, text in docs:
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
         at = 0
@@ -58,8 +57,25 @@ def test_reruns_agree(spark, small):
     assert sorted(pieces(packing.pack(small)), key=key) == sorted(pieces(packing.pack(small)), key=key)
 
 
-def test_special_strings_are_text():
-    assert 50256 not in packing.token_ids("a <|endoftext|> b")
+SPECIAL = "<|endoftext|>"
+
+
+def test_ids_are_those_of_the_json_vocabulary():
+    """Texts with the added token anywhere, cut, nested or repeated, and awkward ordinary ones; the tokenizer as it is loaded."""
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"a {SPECIAL} b", SPECIAL, SPECIAL * 3, f"{SPECIAL}x", f"x{SPECIAL}", f"  {SPECIAL}  ", f"\n{SPECIAL}\n\n", "<|endoftext|", "<|endof<|endoftext|>text|>", "<|ENDOFTEXT|>", f"Ä{SPECIAL}é 你好{SPECIAL}🎉", "", " ", "\t \r\n", "don't we'll 1234567 x_y", "a" * 3000, "\u200b\u00a0e\u0301"]
+    rng = random.Random(4)
+    bits = [SPECIAL, "<|", "|>", "endoftext", " ", "\n", "word", "é", "1", "'s", "你", "\u00a0"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    for t in texts:
+        assert packing.token_ids(t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_pieces_of_texts_with_the_added_token(spark):
+    docs = [(1, f"a {SPECIAL} b"), (2, SPECIAL * 1500), (3, f"x {SPECIAL}" + " word" * 5000)]
+    rows = pieces(packing.pack(spark.createDataFrame(docs, "doc_id long, text string")))
+    _, by_doc, _ = check(rows, docs)
+    assert {n for _, n in by_doc} == {5, 1501, 5004}
 
 
 def test_open_windows_stay_bounded():
