@@ -1,23 +1,35 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns find the base spans: email, ip, card, phone. The field then adds mentions that no pattern fits, such as the
-local part of a phone number that stands elsewhere in full. Its nodes are a document's words that hold a digit or an
-at sign (a word with neither is fixed to "other", so the graph falls apart there). Words that follow each other share
-a chain potential; words whose digits end alike, or that are alike but for case and signs at their ends, share a skip
-potential wherever they stand, each with the one before it, so edges grow with the words. Words under a base span are
-observed. Loopy sum-product messages (damped, at most ``ROUNDS``) give each word's marginals, and an unobserved word
-whose kind has ``SURE`` or more of the mass is added, adjoining words of a kind as one span, if edges link it with an
-observed mention or its digits pass the card's check sum.
-
-Weights are trained here: node weights by multinomial logistic regression, edge potentials as smoothed log ratios, both
-from the base labels of at most about ``SAMPLE_DOCS`` documents drawn by a hash of their id, added up by Spark to
-counts of feature rows, which are few. Base spans always stay as they are.
+Patterns find the base spans: email, ip, card, phone. The field then adds later (or earlier) mentions that no pattern
+fits, such as the local part of an address, the last digits of a card or a phone number without its country code. Its
+nodes are a document's words that hold a digit or an at sign, and the words that equal the local part of an observed
+address; other words are fixed to "other", so the graph falls apart there. Edges (``EDGES``):
+
+- chain: words that follow each other;
+- same: words that are alike but for case and signs at their ends;
+- tail: numbers whose last seven digits agree;  groups: four numbers that agree, whatever stands between them;
+- local: the local part of an address, if it holds a digit or a sign;  name: if it is of letters alone (an everyday word, maybe);
+- masked: four last digits behind signs that hide the others, last4: four digits, each as the end of a card number.
+
+Words under a base span are observed. A word meets the word before it that is the same, and a word like an observed
+mention as a whole (its last word bears the mention's keys) the nearest such mention before it, else behind it, wherever
+these stand; so edges grow with the words, and no word without a mention in its document vouches for another. Loopy
+sum-product messages (damped, at most ``ROUNDS``) give each word's marginals; an unobserved word whose kind has
+``SURE`` or more of the mass is added, adjoining words of a kind as one span. Base spans always stay as they are.
+
+Node weights and the edges' tables are trained together, by the pseudo-likelihood of unobserved words given their
+neighbours' labels. No table names later mentions, so they are planted: to a text of the sample that holds base spans,
+one of each kind is added again in a form that no pattern fits, and the same form of another number, twice, as "other"; all
+other words without a base span are "other" too. The sample has about ``SAMPLE_DOCS`` documents, drawn by a hash of
+their id; Spark adds it up to counts of equal words (features, neighbours, label).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_DOCS = 20_000
 ROUNDS, DAMPING, SURE = 12, 0.3, 0.9
+EDGES = ("chain", "tail", "groups", "local", "name", "masked", "last4", "same")
+SAME = len(EDGES) - 1
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,6 +59,8 @@ _EDGE = ".,;:!?()[]{}<>\"'`*#$%&|/="
 #: Cue words before a number, fixed values.
 _CUES = {"email": ("email", "mail", "e-mail", "contact"), "ip": ("ip", "host", "address"), "card": ("card", "visa", "credit"), "phone": ("phone", "tel", "call", "mobile", "fax")}
 _CUE_OF = {w: k for k, ws in _CUES.items() for w in ws}
+_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+_MASK = re.compile(r"[*xX#•]{2,}[*xX#•-]*[0-9]{4}(?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -116,43 +132,106 @@ def candidate_words(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-FEATURES = ("bias", "at", "at_dot", "plus", "paren", "hyphen", "letters", "dots1", "dots3", "luhn", "split", *(f"digits{k}" for k in (0, 1, 4, 7, 9, 12, 16, 20)), *(f"cue_{k}" for k in KINDS))
+DIGITS = (0, 1, 4, 5, 7, 8, 10, 11, 12, 16, 17, 20)
+FEATURES = ("bias", "at", "at_dot", "plus", "paren", "hyphen", "letters", "plain", "joined", "masked", "dots1", "dots3", "luhn", "groups", *(f"digits{k}" for k in DIGITS), *(f"cue_{k}" for k in KINDS))
+_PLACE = {f: i for i, f in enumerate(FEATURES)}
+
+
+def _digits(text: str) -> str:
+    return "".join(_PART.findall(text))
+
+
+def _groups(core: str) -> str | None:
+    """Four numbers up to 255, joined by dots, of a word that holds just four."""
+    found = _PART.findall(core)
+    if len(found) == 4 and all(len(x) < 4 and int(x) < 256 for x in found):
+        return ".".join(str(int(x)) for x in found)
+    return None
+
+
+def local_key(local: str) -> tuple[str, str] | None:
+    """Edge and key of an address's local part."""
+    local = local.lower().strip("._%+-")
+    if not local:
+        return None
+    return ("name" if local.isalpha() or len(local) < 4 else "local"), local
 
 
 def word_features(text: str, word: tuple[int, int, int, int]) -> tuple[int, ...]:
     """Indexes into FEATURES that hold for a word."""
-    s, e, cs, ce = word
-    core = text[cs:ce][:200]
-    digits = "".join(c for c in core if "0" <= c <= "9")
+    s, _, cs, ce = word
+    core = text[cs:ce]
+    digits = _digits(core)
     n = len(digits)
-    has = {"bias"}
+    has = ["bias"]
     if "@" in core:
-        has.add("at_dot" if _DOMAIN.search(core) else "at")
+        has.append("at_dot" if _DOMAIN.search(core) else "at")
+    elif not n:
+        has.append("plain" if core.isalpha() else "joined")
     dots = core.count(".")
-    for name, there in (("plus", core[0] == "+"), ("paren", "(" in text[s:e][:200]), ("hyphen", "-" in core), ("letters", any(c.isalpha() for c in core)), ("dots1", 0 < dots < 3), ("dots3", dots == 3), ("luhn", 12 <= n <= 19 and luhn(digits))):
+    letters = any(c.isalpha() for c in core)
+    for name, there in (("plus", core[0] == "+"), ("paren", "(" in core), ("hyphen", "-" in core), ("letters", letters), ("masked", n == 4 and _MASK.search(core) is not None), ("dots1", 0 < dots < 3), ("dots3", dots == 3), ("luhn", 12 <= n <= 19 and luhn(digits)), ("groups", not letters and _groups(core) is not None)):
         if there:
-            has.add(name)
-    has.add(f"digits{max(k for k in (0, 1, 4, 7, 9, 12, 16, 20) if n >= k)}")
+            has.append(name)
+    has.append(f"digits{max(k for k in DIGITS if n >= k)}")
     before = text[max(0, s - 24) : s].split()
     if before and (cue := _CUE_OF.get(before[-1].lower().strip(_EDGE))):
-        has.add(f"cue_{cue}")
-    return tuple(i for i, f in enumerate(FEATURES) if f in has)
+        has.append(f"cue_{cue}")
+    return tuple(sorted(_PLACE[f] for f in has))
 
 
-def skip_key(core: str) -> str | None:
-    """What words that share a skip potential have in common."""
-    digits = "".join(c for c in core if "0" <= c <= "9")
-    if "@" in core:
-        return "@" + core.split("@")[0].lower() if core.split("@")[0] else None
+def word_keys(core: str) -> list[tuple[str, str]]:
+    """Edges and keys of a word by itself, which link it with mentions that have one of them."""
+    digits, out = _digits(core), []
     if len(digits) >= 7:
-        return digits[-7:]
-    return None
+        out.append(("tail", digits[-7:]))
+    if groups := _groups(core):
+        out.append(("groups", groups))
+    if "@" in core:
+        if key := local_key(core.split("@")[0]):
+            out.append(key)
+    if len(digits) == 4:
+        if core == digits:
+            out.append(("last4", digits))
+        elif _MASK.search(core):
+            out.append(("masked", digits))
+    return out
+
+
+def span_keys(kind: str, mention: str) -> list[tuple[str, str]]:
+    """Edges and keys of an observed mention as a whole."""
+    if kind == "email":
+        key = local_key(mention.split("@")[0])
+        return [key] if key else []
+    if kind == "ip":
+        return [("groups", ".".join(x.lstrip("0") or "0" for x in mention.split(".")))]
+    digits = _digits(mention)
+    return [("tail", digits[-7:])] + ([("masked", digits[-4:]), ("last4", digits[-4:])] if kind == "card" else [])
+
+
+def named_words(text: str, names: set[str]) -> list[tuple[int, int, int, int]]:
+    """The words without a digit or an at sign that equal a local part but for case, signs at the ends and a genitive."""
+    out = []
+    for m in _WORDS.finditer(text):
+        core = m.group().strip(_EDGE)
+        bare = core[:-2] if core[-2:].lower() in ("'s", "’s") else core
+        if bare.lower().strip("._%+-") in names and not _HIT.search(bare):
+            cs = m.start() + m.group().index(core)
+            out.append((m.start(), m.end(), cs, cs + len(bare)))
+    return out
 
 
-def graph(text: str, spans: list[tuple[int, str, int]]) -> tuple[list, np.ndarray, list, list]:
-    """Words, their observed labels (-1: none), chain edges and skip edges."""
+def graph(text: str, spans: list[tuple[int, str, int]]) -> tuple[list, np.ndarray, list[tuple[int, int]], list[int]]:
+    """Words, their observed labels (-1: none), edges (pairs of words), and each edge's place in EDGES."""
     words = candidate_words(text)
+    for k, (s, e, cs, ce) in enumerate(words):
+        if ce - cs == 4 and cs > s and (m := _MASK.search(text, s, ce)):
+            words[k] = (s, e, m.start(), ce)  # the signs that hide digits belong to the mention
+    names = {key[1] for start, kind, end in spans if kind == "email" and (key := local_key(text[start:end].split("@")[0]))}
+    if names:
+        words = sorted([*words, *named_words(text, names)])
     seen = np.full(len(words), -1)
+    keys: list[list] = [[] for _ in words]
     k = 0
     for start, kind, end in spans:
         while k and words[k - 1][1] > start:
@@ -161,18 +240,37 @@ def graph(text: str, spans: list[tuple[int, str, int]]) -> tuple[list, np.ndarra
             k += 1
         i = k
         while i < len(words) and words[i][2] < end:
-            if seen[i] < 0 and words[i][3] > start:
-                seen[i] = LABELS.index(kind)
+            if words[i][3] > start:
+                if seen[i] < 0:
+                    seen[i] = LABELS.index(kind)
+                if i + 1 == len(words) or words[i + 1][2] >= end:
+                    keys[i] += span_keys(kind, text[start:end])
             i += 1
-    chain = [(i, i + 1) for i in range(len(words) - 1) if words[i + 1][0] - words[i][1] <= 2 and not text[words[i][1] : words[i + 1][0]].strip()]
+    kind_of: dict[tuple[int, int], int] = {}
+    for i in range(len(words) - 1):
+        if words[i + 1][0] - words[i][1] <= 2 and not text[words[i][1] : words[i + 1][0]].strip():
+            kind_of[i, i + 1] = 0
+    # words like a mention are linked with it: with the last one before, else the first one behind
+    mentions: dict[tuple[str, str], list[int]] = {}
+    for i, found in enumerate(keys):
+        for key in found:
+            mentions.setdefault(key, []).append(i)
     last: dict[str, int] = {}
-    skip = []
     for i, (_, _, cs, ce) in enumerate(words):
-        if key := skip_key(text[cs:ce]):
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
-    return words, seen, chain, skip
+        core = text[cs:ce]
+        if mentions and seen[i] < 0:
+            own = word_keys(core)
+            if names and "@" not in core and (key := local_key(core)):
+                own.append(key)
+            for key in own:
+                if at := mentions.get(key):
+                    j = at[max(bisect.bisect(at, i) - 1, 0)]
+                    kind_of.setdefault((min(i, j), max(i, j)), EDGES.index(key[0]))
+        before = last.get(core.lower())
+        if before is not None:
+            kind_of.setdefault((before, i), SAME)
+        last[core.lower()] = i
+    return words, seen, list(kind_of), list(kind_of.values())
 
 
 def messages(unary: np.ndarray, edges: list[tuple[int, int]], tables: np.ndarray) -> np.ndarray:
@@ -202,45 +300,23 @@ def messages(unary: np.ndarray, edges: list[tuple[int, int]], tables: np.ndarray
     return p / p.sum(axis=1, keepdims=True)
 
 
-LUHN = FEATURES.index("luhn")
-
-
-def _reached(seen: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
-    """Which words are linked, over any edges, with an observed mention; others are no mention unless they pass the card's check sum."""
-    root = list(range(len(seen)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in edges:
-        root[find(i)] = find(j)
-    known = {find(i) for i in np.flatnonzero(seen > 0).tolist()}
-    return np.array([find(i) in known for i in range(len(seen))])
-
-
 def find_spans(text: str | None, model: dict) -> tuple[list, list]:
     """(base spans, added spans) of a text; a null text has none."""
     text = text or ""
     if not _HIT.search(text):
         return [], []
     base = base_spans(text)
-    words, seen, chain, skip = graph(text, base)
+    words, seen, edges, kinds = graph(text, base)
     if (seen >= 0).all():
         return base, []
     unary = np.array([model["node"][:, list(word_features(text, w))].sum(axis=1) for w in words])
-    unary -= np.log(np.exp(unary - unary.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + unary.max(axis=1, keepdims=True)
     for i in np.flatnonzero(seen >= 0):
         unary[i] = -1e3
         unary[i, seen[i]] = 0
-    tables = np.concatenate([np.repeat(model["chain"][None], len(chain), 0), np.repeat(model["skip"][None], len(skip), 0)])
-    p = messages(unary, chain + skip, tables)
+    p = messages(unary, edges, model["edge"][kinds])
     label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
-    label[~(_reached(seen, chain + skip) | np.array([LUHN in word_features(text, w) for w in words]))] = 0
     added: list[tuple[int, str, int]] = []
-    joined = {j for _, j in chain}
+    joined = {j for (_, j), kind in zip(edges, kinds) if not kind}
     for i, (_, _, cs, ce) in enumerate(words):
         if seen[i] < 0 and label[i] > 0:
             kind = LABELS[label[i]]
@@ -251,54 +327,120 @@ def find_spans(text: str | None, model: dict) -> tuple[list, list]:
     return base, added
 
 
+# Training
+
+
+def later_form(kind: str, mention: str, turn: int) -> tuple[str, str]:
+    """(words before, mention) of a later mention that no pattern fits; ``turn`` picks the form."""
+    digits = _digits(mention)
+    if kind == "email":
+        local, domain = mention.split("@", 1)
+        forms = [f"{local}@{domain.split('.')[0]}"]
+        if (key := local_key(local)) and key[0] == "local":
+            forms += [local, local.capitalize(), local]
+        return "by", forms[turn % len(forms)]
+    if kind == "ip":
+        parts = mention.split(".")
+        return "on", ("-".join(parts), "[.]".join(parts), "ip-" + "-".join(parts), "_".join(parts))[turn % 4]
+    if kind == "card":
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [("no", ".".join(fours)), ("no", "/".join(fours)), ("no", "****" + digits[-4:]), ("no", "xxxx-xxxx-xxxx-" + digits[-4:]), ("card ending in", digits[-4:])][turn % 5]
+    area, rest = digits[-10:-7], f"{digits[-7:-4]}-{digits[-4:]}"
+    return "at", (f"({area}) {rest}", f"{area}.{rest.replace('-', '.')}", f"{area}-{rest}", rest, digits[-10:], digits)[turn % 6]
+
+
+def decoy_of(mention: str) -> str:
+    """Another mention of the same shape."""
+    change = {str(d): str((d * 7 + 3) % 10) for d in range(10)}
+    local, at, domain = mention.partition("@")
+    return "".join(change.get(c, c) for c in mention) if not at else f"{local[::-1]}q@{domain}"
+
+
+def planted(text: str, spans: list[tuple[int, str, int]]) -> tuple[str, list[tuple[int, str, int]]]:
+    """The text with a later mention of the first span of each kind, and a decoy, added; and the added mentions.
+
+    A phone number is added once more as another one written without signs, with a later mention: these share no word.
+    """
+    out, where, done = [text], [], set()
+    size = len(text)
+
+    def add(kind: str, mention: str, turn: int, lead: str) -> None:
+        nonlocal size
+        before, form = later_form(kind, mention, turn)
+        lead = f"\n{lead} {before} "
+        where.append((size + len(lead), kind, size + len(lead) + len(form)))
+        decoy = " ".join(later_form(kind, decoy_of(mention), turn))
+        out.append(f"{lead}{form} again, and {decoy} too, {decoy} twice")
+        size += len(out[-1])
+
+    for start, kind, end in spans:
+        if kind not in done and (kind != "phone" or len(_digits(text[start:end])) >= 10):
+            done.add(kind)
+            mention = text[start:end]
+            turn = zlib.crc32(mention.encode())
+            add(kind, mention, turn, "later")
+            if kind == "phone":
+                other = "+" + _digits(decoy_of(decoy_of(mention)))
+                add(kind, other, turn // 6, f"or {other} then")
+    return "".join(out), where
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text and _HIT.search(text):
-                words, seen, chain, skip = graph(text, base_spans(text))
-                label = np.maximum(seen, 0).tolist()
-                for w, y in zip(words, label):
-                    count["node", " ".join(map(str, word_features(text, w))), y] += 1
-                for what, edges in (("chain", chain), ("skip", skip)):
-                    for i, j in edges:
-                        count[what, str(label[i]), label[j]] += 1
-    what, left, right = zip(*count) if count else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(left, pa.string()), pa.array(right, pa.int64()), pa.array(list(count.values()), pa.int64())], names=["what", "x", "y", "n"])
+                text, later = planted(text, base_spans(text))
+                words, seen, edges, kinds = graph(text, base_spans(text))
+                label = np.maximum(seen, 0)
+                for i, (_, _, cs, ce) in enumerate(words):
+                    for start, kind, end in later:
+                        if seen[i] < 0 and cs < end and ce > start:
+                            label[i] = LABELS.index(kind)
+                met: list[Counter] = [Counter() for _ in words]
+                for (i, j), kind in zip(edges, kinds):
+                    met[i][kind * len(LABELS) + int(label[j])] += 1
+                    met[j][kind * len(LABELS) + int(label[i])] += 1
+                for i, w in enumerate(words):
+                    if seen[i] < 0:
+                        count[" ".join(map(str, word_features(text, w))), " ".join(f"{k}:{n}" for k, n in sorted(met[i].items())), int(label[i])] += 1
+    features, met_, label_ = zip(*count) if count else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(met_, pa.string()), pa.array(label_, pa.int64()), pa.array(list(count.values()), pa.int64())], names=["features", "met", "label", "n"])
+
+
+#: What a field knows without any text: shapes alone are nothing, a link with a mention of its kind is.
+PROTOTYPES = [("letters digits20", "", 0), ("digits16", "", 0), ("hyphen digits7", "", 0), ("digits1", "", 0), ("digits4", "", 0), ("dots1 digits1", "", 0), ("plain digits0", "name email", 0), ("joined digits0", "local email", 1), ("groups hyphen digits4", "groups ip", 2), ("luhn digits16 dots3", "tail card", 3), ("masked digits4", "masked card", 3), ("hyphen digits7", "tail phone", 4)]
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Weights from the base labels of about ``sample_docs`` documents; of an empty table from the prototypes alone."""
+    """Node weights (label by feature) and edge tables (edge by label by label), from about ``sample_docs`` documents; of an empty table from the prototypes alone."""
     every = max(1, docs.count() // sample_docs)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string"))
-    rows = map_batches(sample, _statistics, "what string, x string, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).orderBy("what", "x", "y").collect()
-    proto = [("at_dot letters digits1", 1), ("dots3 digits9", 2), ("luhn digits16", 3), ("plus digits9", 4), ("digits1", 0), ("digits4", 0), ("dots1 digits1", 0), ("digits16", 0), ("letters digits20", 0)]
-    xs, ys, ns = [], [], []
-    for names, y in proto:
-        xs.append([FEATURES.index(f) for f in ["bias", *names.split()]]), ys.append(y), ns.append(1.0)
-    pair = {"chain": np.full((5, 5), 0.5), "skip": np.full((5, 5), 0.05) + np.eye(5) * 5}
-    for r in rows:
-        if r["what"] == "node":
-            xs.append([int(i) for i in r["x"].split()]), ys.append(r["y"]), ns.append(min(float(r["n"]), 1e3))
-        else:
-            pair[r["what"]][int(r["x"]), r["y"]] += r["n"]
-    x = np.zeros((len(xs), len(FEATURES)))
-    for row, found in zip(x, xs):
-        row[found] = 1
-    n = np.array(ns)[:, None] / sum(ns)
-    y = np.eye(len(LABELS))[ys]
-    w = np.zeros((len(FEATURES), len(LABELS)))
-    for _ in range(600):
-        z = x @ w
+    rows = map_batches(sample, _statistics, "features string, met string, label long, n long").groupBy("features", "met", "label").agg(F.sum("n").alias("n")).orderBy("features", "met", "label").collect()
+    places = [([_PLACE[f] for f in ["bias", *names.split()]], [(EDGES.index(met.split()[0]) * len(LABELS) + LABELS.index(met.split()[1]), 1)] if met else [], y, 1) for names, met, y in PROTOTYPES]
+    places += [([int(i) for i in r["features"].split()], [tuple(map(int, x.split(":"))) for x in r["met"].split()], r["label"], r["n"]) for r in rows]
+    x, met = np.zeros((len(places), len(FEATURES))), np.zeros((len(places), len(EDGES) * len(LABELS)))
+    for k, (found, near, _, _) in enumerate(places):
+        x[k, found] = 1
+        for place, n in near:
+            met[k, place] = n
+    y = np.eye(len(LABELS))[[p[2] for p in places]]
+    n = np.array([float(p[3]) for p in places])
+    n = n[:, None] / n.sum()
+    node, edge = np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(EDGES), len(LABELS), len(LABELS)))
+    square = edge.shape
+    state = [np.zeros_like(node), np.zeros_like(node), np.zeros_like(edge), np.zeros_like(edge)]
+    for step in range(1, 1501):  # gradient steps of adaptive size; the tables stay symmetric
+        z = x @ node + met @ edge.reshape(-1, len(LABELS))
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w -= 2.0 * (x.T @ (n * (p - y)) + 1e-3 * w)
-    out = {"node": w.T}
-    for what, c in pair.items():
-        c = (c + c.T) / 2
-        own = c.sum(axis=1) / c.sum()
-        out[what] = np.clip(np.log(c / c.sum() / own[:, None] / own[None, :]), -4, 4)
-    return out
+        off = n * (p / p.sum(axis=1, keepdims=True) - y)
+        slope = (met.T @ off).reshape(square)
+        for k, (weights, grad) in enumerate(((node, x.T @ off + 1e-6 * node), (edge, (slope + slope.transpose(0, 2, 1)) / 2 + 1e-6 * edge))):
+            mean, size = state[2 * k], state[2 * k + 1]
+            mean += 0.1 * (grad - mean)
+            size += 0.01 * (grad * grad - size)
+            weights -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-9)
+    return {"node": node.T, "edge": edge}
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -330,7 +472,11 @@ def detect(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``documents`` with each span replaced by its kind in brackets, overlapping spans by that of the first, and n_chars recounted."""
+    """``documents`` with each span replaced by its kind in brackets, overlapping spans by that of the first, and n_chars recounted.
+
+    Texts without a span stay as they are, null ones null; of spans that begin together the kind listed first names
+    them. Rows that repeat are treated alike and all stay; an empty table gives none. Other columns are dropped.
+    """
     model = model or train(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
