@@ -1,13 +1,17 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each document is measured once. A rate is an integer (per ten thousand), and its sketch is a histogram whose buckets
-keep the six leading bits of the value: the error is under 1/32 of the value, the buckets are a few hundred whatever
-the input, and sketches merge by adding counts. Sketches are made per language and source and merged upwards to the
-language and to all; a group with fewer than ``LEAST_GROUP`` documents uses the sketch of its language, and a language
-with fewer that of all documents.
-
-A rate is beyond its threshold above upper quartile + ``SPREAD`` * (interquartile range) + the rule's slack, and word
-length also below the mirrored bound. Documents then meet their group's thresholds by a join.
+Each document is measured once. Four rules count events (symbols, capitals, repeated lines, repeated words) and take
+their odds, events to what is none, in millionths; the fifth takes the mean word length. The sketch of a rule is a
+histogram whose buckets keep the six leading bits of the value: the error is under 1/32 of the value, the buckets are a
+few hundred whatever the input, and sketches merge by adding counts. Sketches are made per language and source and
+merged upwards to the language and to all; a group with fewer than ``LEAST_GROUP`` documents uses the sketch of its
+language, and a language with fewer that of all documents.
+
+No rule has a cutoff of its own. Values spread by factors, so the fence stands by factors: with the quartiles Q1 and Q3
+of its group's sketch, a document is beyond Q3 * (Q3 / Q1) ** ``SPREAD``, and for word length also below
+Q1 / (Q3 / Q1) ** ``SPREAD``. Most documents have no event at all, and what their number of words can't tell from none
+counts as spread: the sketch takes each document's odds with one event more, the verdict with one less, so that one
+event alone never decides. Documents then meet their group's thresholds by a join.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from quarrymill.llm.common import WORD, map_batches, slices, table, written
 
 LEAST_WORDS, MOST_REPEATED = 50, 50  # base rules: words, per cent of words in repeated windows
 LEAST_GROUP = 200
-SPREAD = 4
-#: Slack of each rate's threshold, in the rate's unit: fixed parameters.
-RULES = {"symbol_rate": 300, "dup_line_rate": 4000, "repeat_rate": 3000, "upper_rate": 2000, "word_length": 150}
-TWO_SIDED = ("word_length",)
+SPREAD = 2
+#: The rules of events: what is counted, and in how many.
+EVENTS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_upper", "word_chars")}
+LENGTH = "word_length"
+RULES = (*EVENTS, LENGTH)
+LEAD_BITS = 6
 
 _WS, _SYMBOLS, _UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -81,23 +87,28 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return map_batches(kept, run, schema)
 
 
-def rates() -> dict[str, Column]:
-    """Each rule's rate; null where it is undefined, and a null rate is within its threshold."""
-    per = lambda a, b, k: F.when(F.col(b) > 0, F.call_function("div", F.col(a) * k, F.col(b)))
-    return {"symbol_rate": per("n_symbols", "word_chars", 10_000), "dup_line_rate": per("n_dup_lines", "n_lines", 10_000), "repeat_rate": per("n_repeat_words", "n_words", 10_000), "upper_rate": per("n_upper", "word_chars", 10_000), "word_length": per("word_chars", "n_words", 100)}
+def values(shift: int) -> dict[str, Column]:
+    """Each rule's value of a document with words: odds in millionths with ``shift`` events more, word length in thousandths."""
+    odds = lambda a, b: F.call_function("div", F.greatest(F.col(a) + shift, F.lit(0)) * 1_000_000, F.col(b) + 2 - shift - F.col(a))
+    return {k: odds(*v) for k, v in EVENTS.items()} | {LENGTH: F.when(F.col("n_words") > 0, F.call_function("div", F.col("word_chars") * 1000, F.col("n_words")))}
 
 
 def bucket(value: Column) -> Column:
     """The value with its six leading bits kept and the others cleared."""
-    drop = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    drop = F.greatest(F.length(F.bin(value)) - LEAD_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
+def edge(bucket: Column) -> Column:
+    """The largest value of a bucket."""
+    return bucket + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(bucket)) - LEAD_BITS, F.lit(0))) - 1
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: the sketches per language and source of the documents that have words."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in rates().items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in values(1).items()]))
     rows = measured.where("n_words > 0").select("lang", "source", pairs.alias("x")).select("lang", "source", "x.rule", bucket(F.col("x.value")).alias("bucket"))
-    return rows.where("bucket is not null").groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
+    return rows.groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
 
 
 def merge(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -106,7 +117,7 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, rule, docs, q1, q3: the lower edges of the quartiles' buckets."""
+    """``keys``, rule, docs, q1, q3: the buckets that hold the quartiles."""
     group = Window.partitionBy(*keys, "rule")
     upto = F.sum("n").over(group.orderBy("bucket"))
     rows = sketch.withColumn("upto", upto).withColumn("docs", F.sum("n").over(group))
@@ -122,30 +133,35 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     met = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("rule") == F.col("r2"))).join(of_all, F.col("rule") == F.col("r3"))
     pick = lambda a, b, c: F.when(F.col("docs") >= LEAST_GROUP, F.col(a)).when(F.col("docs2") >= LEAST_GROUP, F.col(b)).otherwise(F.col(c))
     met = met.select("lang", "source", "rule", pick("q1", "q12", "q13").alias("q1"), pick("q3", "q32", "q33").alias("q3"))
-    reach = lambda rule: SPREAD * (F.col("q3") - F.col("q1")) + RULES[rule]
+    met = met.withColumn("low", F.greatest("q1", F.lit(1)).cast("double")).withColumn("high", edge(F.col("q3")).cast("double")).withColumn("factor", F.col("high") / F.col("low"))
+    hi, lo = F.col("high"), F.col("low")
+    for _ in range(SPREAD):
+        hi, lo = hi * F.col("factor"), lo / F.col("factor")
     at = lambda rule, x: F.max(F.when(F.col("rule") == rule, x))
-    return met.groupBy("lang", "source").agg(*[at(r, F.col("q3") + reach(r)).alias(f"hi_{r}") for r in RULES], *[at(r, F.col("q1") - reach(r)).alias(f"lo_{r}") for r in TWO_SIDED])
+    return met.groupBy("lang", "source").agg(*[at(r, hi).alias(f"hi_{r}") for r in RULES], at(LENGTH, lo).alias(f"lo_{LENGTH}"))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """``measured`` with base_failed and kept.
 
     A document without words (or with a null text) fails the base rules. Groups are matched with null as a value of
-    its own. Rows that repeat are judged alike and all stay; an empty table gives none.
+    its own; a value that equals its threshold is within it. Rows that repeat are judged alike and all stay; an empty
+    table gives none.
     """
-    limits = written(thresholds(sketches(measured)), "thresholds").select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *[f"hi_{r}" for r in RULES], *[f"lo_{r}" for r in TWO_SIDED])
+    names = [*[f"hi_{r}" for r in RULES], f"lo_{LENGTH}"]
+    limits = written(thresholds(sketches(measured)), "thresholds").select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *names)
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    own = rates()
-    within = [own[r] <= F.col(f"hi_{r}") for r in RULES] + [own[r] >= F.col(f"lo_{r}") for r in TWO_SIDED]
+    own = values(-1)
     verdict = ~F.col("base_failed")
-    for test in within:
-        verdict = verdict & F.coalesce(test, F.lit(True))
+    for r in RULES:
+        verdict = verdict & F.coalesce(own[r] <= F.col(f"hi_{r}"), F.lit(True))
+    verdict = verdict & F.coalesce(own[LENGTH] >= F.col(f"lo_{LENGTH}"), F.lit(True))
     met = measured.join(limits, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left")
-    return met.withColumn("base_failed", base).withColumn("kept", verdict).drop("l2", "s2", *[f"hi_{r}" for r in RULES], *[f"lo_{r}" for r in TWO_SIDED])
+    return met.withColumn("base_failed", base).withColumn("kept", verdict).drop("l2", "s2", *names)
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept of every document."""
+    """doc_id, the base counts, base_failed and kept of every document; nulls, ties, repeats and empty tables as in ``judge``, other columns are not read."""
     judged = judge(written(measure(docs), "measured"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -153,7 +169,8 @@ def assess(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of ``documents``.
 
-    The verdict meets the texts by id and a hash of the row, so rows that share an id are judged on their own.
+    The verdict meets the texts by id and a hash of the row, so rows that share an id are judged on their own, also
+    where the id is null. A null or empty text fails. Rows that repeat all stay or all go; an empty table gives none.
     """
     tie = F.xxhash64("text", "lang", "source", "n_chars")
     judged = judge(written(measure(docs.withColumn("tie", tie), ("tie",)), "measured")).where("kept").select(F.col("doc_id").alias("d2"), F.col("tie").alias("t2")).distinct()
@@ -167,12 +184,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    per = {"symbol_rate": ("n_symbols", "word_chars", 10_000), "dup_line_rate": ("n_dup_lines", "n_lines", 10_000), "repeat_rate": ("n_repeat_words", "n_words", 10_000), "upper_rate": ("n_upper", "word_chars", 10_000), "word_length": ("word_chars", "n_words", 100)}
-    rate = {k: f"case when {b} > 0 then {a} * {m} // {b} end" for k, (a, b, m) in per.items()}
-    rows = " union all ".join(f"select lang, source, '{k}' as rule, {v} as value from measured where n_words > 0" for k, v in rate.items())
+    odds = lambda a, b, k: f"greatest({a} + {k}, 0) * 1000000 // ({b} + 2 - {k} - {a})"
+    value = lambda k: {r: odds(*v, f"({k})") for r, v in EVENTS.items()} | {LENGTH: "word_chars * 1000 // n_words"}
+    rows = " union all ".join(f"select lang, source, '{r}' as rule, {v} as value from measured where n_words > 0" for r, v in value(1).items())
     quart = lambda keys, src: f"select {keys} rule, max(docs) as docs, min(bucket) filter (upto * 4 >= docs) as q1, min(bucket) filter (upto * 4 >= docs * 3) as q3 from (select *, sum(n) over (partition by {keys} rule order by bucket) as upto, sum(n) over (partition by {keys} rule) as docs from ({src})) group by {keys} rule"
-    hi = ", ".join([f"max(case when rule = '{r}' then q3 + {SPREAD} * (q3 - q1) + {s} end) as hi_{r}" for r, s in RULES.items()] + [f"max(case when rule = '{r}' then q1 - {SPREAD} * (q3 - q1) - {RULES[r]} end) as lo_{r}" for r in TWO_SIDED])
-    within = " and ".join([f"coalesce({rate[r]} <= hi_{r}, true)" for r in RULES] + [f"coalesce({rate[r]} >= lo_{r}, true)" for r in TWO_SIDED])
+    drop = lambda x: f"greatest(length(bin({x})) - {LEAD_BITS}, 0)::int"
+    hi = ", ".join([f"max(case when rule = '{r}' then high{' * factor' * SPREAD} end) as hi_{r}" for r in RULES] + [f"max(case when rule = '{LENGTH}' then low{' / factor' * SPREAD} end) as lo_{LENGTH}"])
+    within = " and ".join([f"coalesce({v} <= hi_{r}, true)" for r, v in value(-1).items()] + [f"coalesce({value(-1)[LENGTH]} >= lo_{LENGTH}, true)"])
     pick = lambda q: f"case when o.docs >= {LEAST_GROUP} then o.{q} when l.docs >= {LEAST_GROUP} then l.{q} else a.{q} end as {q}"
     base = f"(n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words)"
     return f"""
@@ -190,12 +208,13 @@ measured as (
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines,
     (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as n_upper
   from docs d left join covered c on d.rid = c.rid left join lines l on d.rid = l.rid),
-sketch as (select lang, source, rule, (value >> greatest(length(bin(value)) - 6, 0)::int) << greatest(length(bin(value)) - 6, 0)::int as bucket, count(*) as n from ({rows}) where value is not null group by all),
+sketch as (select lang, source, rule, (value >> {drop("value")}) << {drop("value")} as bucket, count(*) as n from ({rows}) group by all),
 own as ({quart("lang, source,", "select * from sketch")}),
 by_lang as ({quart("lang,", "select lang, rule, bucket, sum(n) as n from sketch group by all")}),
 of_all as ({quart("", "select rule, bucket, sum(n) as n from sketch group by all")}),
 met as (select o.lang, o.source, o.rule, {pick("q1")}, {pick("q3")} from own o join by_lang l on o.lang is not distinct from l.lang and o.rule = l.rule join of_all a on o.rule = a.rule),
-limits as (select lang, source, {hi} from met group by lang, source)
+fences as (select *, greatest(q1, 1)::double as low, (q3 + (1::bigint << {drop("q3")}) - 1)::double as high, high / low as factor from met),
+limits as (select lang, source, {hi} from fences group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} as base_failed, (not {base} and {within}) as kept
 from measured m left join limits t on m.lang is not distinct from t.lang and m.source is not distinct from t.source
 """
