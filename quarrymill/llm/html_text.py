@@ -1,10 +1,16 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
 A page is cut into flat blocks at block-level tags, in one linear pass that forgives unclosed and truncated markup. A
-block has its number of words and its link density (share of words inside links), the same of its two neighbours, and
-whether it lies in a container that serves something else (menu, header, footer, sidebar, notice, advert, form, reader
-comments: by tag, role, or a name in class or id), in the page's article, or in a page that marks none. A small
-decision tree, grown here on the labelled table below, keeps or drops each block; the kept ones are joined in page order.
+block has its number of words and its link density (share of words inside links), and the same of its two neighbours;
+these are the features that the tree asks first. Further features are marks of the markup: whether the block lies in a
+container that serves something else (menu, header, footer, sidebar, notice, advert, form, reader comments: by tag,
+role, or a name in class or id), in the page's article, or in a page that marks one.
+
+The tree is trained on a small labelled table: the examples below, and the blocks of at most about ``SAMPLE_PAGES``
+pages that mark their article, labelled by that mark and entered twice, with their marks and stripped of them. It is grown
+in two steps: by words and link densities alone down to leaves that they can't split with profit, and the leaves
+so found are then split by marks. So pages without marks are judged by words and links alone; where a page has marks
+these have the last word, for on words alone a long comment or advert can't be told from a paragraph. The kept blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +29,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import map_batches, slices, table
 
 RAW = frozenset(("script", "style", "noscript", "template", "iframe", "textarea", "svg", "title", "object", "math"))
+TO_THE_END = frozenset(("script", "style", "textarea", "title"))  # without an end tag they hold the rest of the page
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video audio canvas".split())
 CONTAINER = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header html label main menu nav ol section select table td th tr ul".split())
 OTHER_TAGS = frozenset("nav footer aside form menu dialog button select label fieldset".split())
@@ -37,61 +45,118 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _SPLIT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ("words", "words_before", "words_after", "links", "links_before", "links_after", "other", "in_article", "has_article")
-#: The labelled table: the features above, then whether the block is main text.
-LABELLED = [
-    # inside the article: paragraphs, short lines, headings, lists of links
-    (120, 80, 90, 0.0, 0.0, 0.0, 0, 1, 1, 1), (60, 4, 200, 0.05, 0.0, 0.0, 0, 1, 1, 1), (1, 40, 30, 0.0, 0.0, 0.0, 0, 1, 1, 1), (2, 60, 6, 0.0, 0.0, 0.3, 0, 1, 1, 1),
-    (8, 0, 90, 0.0, 0.0, 0.0, 0, 1, 1, 1), (6, 9, 70, 0.0, 1.0, 0.0, 0, 1, 1, 1), (3, 5, 8, 0.0, 1.0, 0.2, 0, 1, 1, 1), (12, 30, 0, 1.0, 0.0, 0.0, 0, 1, 1, 1),
-    (25, 25, 25, 0.4, 0.4, 0.4, 0, 1, 1, 1), (1, 0, 0, 0.0, 0.0, 0.0, 0, 1, 1, 1), (400, 10, 12, 0.0, 0.0, 0.0, 0, 1, 1, 1), (4, 100, 3, 1.0, 0.0, 0.0, 0, 1, 1, 1),
-    (30, 40, 6, 0.0, 0.0, 1.0, 0, 1, 1, 1), (5, 50, 3, 0.0, 0.0, 1.0, 0, 1, 1, 1), (1, 2, 2, 0.0, 1.0, 1.0, 0, 1, 1, 1), (14, 6, 9, 0.0, 1.0, 0.8, 0, 1, 1, 1),
-    (3, 90, 12, 0.7, 0.0, 1.0, 0, 1, 1, 1), (80, 3, 4, 0.0, 1.0, 1.0, 0, 1, 1, 1), (9, 20, 1, 0.1, 0.0, 0.9, 0, 1, 1, 1), (2, 30, 5, 0.5, 0.0, 0.6, 0, 1, 1, 1),
-    # containers of other use, inside an article or not
-    (1, 1, 1, 1.0, 1.0, 1.0, 1, 0, 1, 0), (2, 1, 1, 1.0, 1.0, 1.0, 1, 0, 0, 0), (12, 1, 9, 0.0, 1.0, 0.0, 1, 0, 1, 0), (30, 9, 60, 0.0, 1.0, 0.0, 1, 0, 1, 0),
-    (10, 50, 0, 0.0, 0.0, 0.0, 1, 0, 1, 0), (14, 200, 0, 0.2, 0.0, 0.0, 1, 0, 0, 0), (80, 60, 70, 0.0, 0.0, 0.0, 1, 0, 0, 0), (45, 40, 30, 0.0, 0.0, 0.0, 1, 1, 1, 0),
-    (5, 70, 60, 0.0, 0.0, 0.0, 1, 1, 1, 0), (90, 120, 100, 0.0, 0.0, 0.0, 1, 1, 1, 0), (3, 3, 40, 0.5, 0.0, 0.0, 1, 1, 1, 0), (150, 0, 0, 0.0, 0.0, 0.0, 1, 0, 0, 0),
-    (20, 2, 3, 1.0, 1.0, 1.0, 1, 0, 0, 0), (7, 0, 5, 0.0, 0.0, 1.0, 1, 0, 0, 0), (9, 12, 15, 0.0, 0.0, 0.0, 1, 1, 1, 0), (200, 150, 90, 0.0, 0.0, 0.0, 1, 1, 1, 0),
-    # outside the article of a page that has one
-    (10, 2, 30, 0.0, 1.0, 0.0, 0, 0, 1, 0), (40, 90, 3, 0.0, 0.0, 1.0, 0, 0, 1, 0), (3, 1, 2, 1.0, 1.0, 1.0, 0, 0, 1, 0), (6, 80, 0, 0.0, 0.0, 0.0, 0, 0, 1, 0),
-    (70, 60, 12, 0.0, 0.0, 0.0, 0, 0, 1, 0), (15, 15, 15, 0.3, 0.5, 0.5, 0, 0, 1, 0), (120, 4, 5, 0.0, 0.0, 0.0, 0, 0, 1, 0), (1, 40, 60, 0.0, 0.0, 0.0, 0, 0, 1, 0),
-    # pages without an article: running text is wordy and has few links; short blocks follow their neighbours
-    (90, 70, 80, 0.0, 0.0, 0.0, 0, 0, 0, 1), (35, 40, 60, 0.1, 0.0, 0.0, 0, 0, 0, 1), (18, 50, 45, 0.0, 0.0, 0.0, 0, 0, 0, 1), (60, 3, 2, 0.0, 1.0, 1.0, 0, 0, 0, 1),
-    (25, 2, 40, 0.1, 1.0, 0.0, 0, 0, 0, 1), (250, 0, 0, 0.0, 0.0, 0.0, 0, 0, 0, 1), (30, 0, 0, 0.2, 0.0, 0.0, 0, 0, 0, 1), (22, 30, 1, 0.0, 0.0, 1.0, 0, 0, 0, 1),
-    (6, 2, 60, 0.0, 1.0, 0.0, 0, 0, 0, 1), (4, 70, 80, 0.0, 0.0, 0.0, 0, 0, 0, 1), (8, 40, 90, 0.0, 0.0, 0.0, 0, 0, 0, 1), (3, 30, 50, 0.0, 0.0, 0.0, 0, 0, 0, 1),
-    (9, 4, 45, 0.0, 0.0, 0.0, 0, 0, 0, 1), (5, 0, 35, 0.0, 0.0, 0.0, 0, 0, 0, 1), (7, 60, 30, 0.2, 0.0, 0.0, 0, 0, 0, 1), (2, 45, 25, 0.0, 0.0, 0.0, 0, 0, 0, 1),
-    (2, 2, 2, 1.0, 1.0, 1.0, 0, 0, 0, 0), (1, 1, 3, 1.0, 1.0, 0.5, 0, 0, 0, 0), (5, 3, 1, 0.8, 1.0, 1.0, 0, 0, 0, 0), (20, 10, 12, 0.9, 1.0, 1.0, 0, 0, 0, 0),
-    (40, 30, 30, 0.7, 0.8, 0.9, 0, 0, 0, 0), (4, 3, 2, 0.0, 1.0, 1.0, 0, 0, 0, 0), (7, 50, 3, 0.0, 0.0, 1.0, 0, 0, 0, 0), (6, 80, 0, 0.2, 0.0, 0.0, 0, 0, 0, 0),
-    (3, 6, 5, 0.0, 0.0, 0.0, 0, 0, 0, 0), (12, 30, 60, 0.9, 0.0, 0.0, 0, 0, 0, 0), (8, 1, 4, 0.0, 1.0, 0.0, 0, 0, 0, 0), (2, 5, 4, 0.5, 0.6, 0.6, 0, 0, 0, 0),
-    (1, 0, 1, 1.0, 0.0, 1.0, 0, 0, 0, 0), (4, 0, 3, 0.0, 0.0, 0.0, 0, 0, 0, 0), (2, 0, 2, 1.0, 0.0, 1.0, 0, 0, 0, 0), (12, 0, 4, 0.0, 0.0, 1.0, 0, 0, 0, 0),
-    (28, 2, 0, 0.0, 0.0, 0.0, 0, 0, 0, 1), (40, 12, 0, 0.0, 0.0, 0.0, 0, 0, 0, 1), (24, 60, 0, 0.0, 0.0, 0.0, 0, 0, 0, 1), (33, 5, 6, 0.1, 0.5, 0.5, 0, 0, 0, 1),
-    (9, 7, 6, 0.0, 0.0, 0.0, 0, 0, 0, 0), (15, 4, 90, 0.6, 1.0, 0.0, 0, 0, 0, 0), (1, 90, 2, 1.0, 0.0, 1.0, 0, 0, 0, 0), (30, 2, 2, 0.5, 1.0, 1.0, 0, 0, 0, 0),
-]
-DEPTH, LEAST_ROWS = 7, 1
-
-
-def grow(rows: list[tuple], depth: int = DEPTH):
-    """A tree by Gini impurity: (feature, threshold, left, right), or a label; ties go to the first feature and the lowest threshold."""
-    ones = sum(r[-1] for r in rows)
-    if not depth or ones in (0, len(rows)) or len(rows) < 2 * LEAST_ROWS:
-        return int(2 * ones >= len(rows))
+TEXT_FEATURES = 6  # the first ones; the others are marks
+#: Example pages, a block a word: what it is (a: article, n: menu, h: header, d: advert, s: sidebar, m: notice or form,
+#: c: reader comment, f: footer), its words, and behind a slash those in links.
+EXAMPLES = """
+n1/1 n1/1 n2/2 n1/1 d12 a7 a60/2 a45 a8 a90/5 f10/3
+n2/2 n1/1 n1/1 a9 a30 a120 a55/3 a14 a70 f12 f3/3
+h3 h8 n1/1 n1/1 n1/1 a5 a80 a1 a40 a25 s3 s4/4 s5/5 s4/4 f20/6
+n1/1 n3/3 n2/2 m18 m2/2 a11 a35/1 a150 a6/6 a5/5 a7/7 f8
+n1/1 n1/1 d8 a6 a200 a90 c2 c30 c2 c45 c3 c12 m4 m2 f9/2
+h2/2 n1/1 n1/1 n1/1 a4 a22 a18 a28 a16 s40 s25/3 f60
+a8 a50 a75 a2 a33 f7/1
+n1/1 n2/2 n1/1 d26 a8 a65 a40/2 d35 a85 a19 f11/1
+n4/4 n5/5 a10 a38/38 a44 a52/6 a3 m9 m1 f30/9
+h12 n1/1 a3 a1 a5 a2 a90 a4 c60 c80/2 c7 f4/4
+n1/1 n1/1 n1/1 n1/1 n1/1 d5 a6 a130 a7 a95 a5 a110 f14
+d10 a9 a20 a26 a30 a24 a21 s2 s30 s28 f6/6
+n1/1 n2/2 a60 a70/4 a55 f5
+n1/1 n1/1 d15 a12 a5 a9 a7 a40 a14 f9
+a9
+a30
+a250
+a4 a9
+a12 a3
+a2 a6 a60
+a5 a70
+a60 a80 a4
+n1/1
+n2/1
+h1
+h2
+m2
+f4
+f9/4
+h1 f3
+n2/2 d20 a3 f4
+m60 m5 a7 a80 a100 f3
+n2/2 n2/2 s90 s70 a6 a120 a85 c90 c110 f80
+""".strip()
+OTHER_KINDS = "nhdsmcf"
+SAMPLE_PAGES, BLOCKS_A_PAGE = 200, 100
+TEXT_DEPTH, MARK_DEPTH, LEAST_ROWS, LEAST_GAIN = 6, 3, 6, 0.002
+
+
+def neighbourhood(words: list[int], links: list[int]) -> list[tuple]:
+    """The text features of each block of a page, in order."""
+    density = [0.0, *(x / w for w, x in zip(words, links)), 0.0]
+    padded = [0, *words, 0]
+    return [(padded[i], padded[i - 1], padded[i + 1], density[i], density[i - 1], density[i + 1]) for i in range(1, len(padded) - 1)]
+
+
+def entries(rows: list[tuple], marks: list[tuple], kept: list[int]) -> list[tuple]:
+    """Rows of the labelled table: with marks, without the article's mark, and stripped of all."""
+    out = []
+    for row, (other, inside, has), y in zip(rows, marks, kept):
+        out += [(*row, other, inside, has, y), (*row, other, 0, 0, y), (*row, 0, 0, 0, y)]
+    return out
+
+
+def examples() -> list[tuple]:
+    """The labelled table of ``EXAMPLES``."""
+    out = []
+    for page in EXAMPLES.split("\n"):
+        blocks_ = [(x[0], *map(int, (x[1:] + "/0").split("/")[:2])) for x in page.split()]
+        kept = [int(kind == "a") for kind, _, _ in blocks_]
+        rows = neighbourhood([w for _, w, _ in blocks_], [x for _, _, x in blocks_])
+        # comments and adverts may lie in the article, too
+        out += entries(rows, [(int(kind in OTHER_KINDS), int(kind in "acd"), 1) for kind, _, _ in blocks_], kept)
+    return out
+
+
+def grow(rows: np.ndarray, features: range, depth: int, least_rows: int = 1, least_gain: float = 0.0, leaf=None):
+    """A tree by Gini impurity: (feature, threshold, left, right), or what ``leaf`` makes of a leaf's rows (their majority's label, ties are kept).
+
+    Ties between splits go to the first feature and the lowest threshold.
+    """
+    n, ones = len(rows), int(rows[:, -1].sum())
     best = None
-    for f in range(len(rows[0]) - 1):
-        values = sorted({r[f] for r in rows})
-        for a, b in zip(values, values[1:]):
-            cut = (a + b) / 2
-            left = [r[-1] for r in rows if r[f] <= cut]
-            n, m, x = len(left), len(rows) - len(left), sum(left)
-            impurity = 2 * x * (n - x) / n + 2 * (ones - x) * (m - ones + x) / m
-            if best is None or impurity < best[0] - 1e-12:
-                best = impurity, f, cut
-    if best is None:
-        return int(2 * ones >= len(rows))
+    if depth and 0 < ones < n and n >= 2 * least_rows:
+        for f in features:
+            order = np.argsort(rows[:, f], kind="stable")
+            v, y = rows[order, f], rows[order, -1].cumsum()
+            left = np.arange(1, n)
+            cuts = np.flatnonzero((v[1:] > v[:-1]) & (left >= least_rows) & (n - left >= least_rows))
+            if len(cuts):
+                m, x = left[cuts], y[cuts]
+                impurity = 2 * x * (m - x) / m + 2 * (ones - x) * (n - m - ones + x) / (n - m)
+                k = int(np.argmin(np.round(impurity, 9)))
+                if best is None or impurity[k] < best[0] - 1e-9:
+                    best = float(impurity[k]), f, float((v[cuts[k]] + v[cuts[k] + 1]) / 2)
+    if best is None or 2 * ones * (n - ones) / n - best[0] < least_gain * n:
+        return leaf(rows) if leaf else int(2 * ones >= n)
     _, f, cut = best
-    return f, cut, grow([r for r in rows if r[f] <= cut], depth - 1), grow([r for r in rows if r[f] > cut], depth - 1)
+    side = rows[:, f] <= cut
+    return f, cut, *(grow(rows[x], features, depth - 1, least_rows, least_gain, leaf) for x in (side, ~side))
+
+
+def grow_tree(table_: list[tuple]):
+    """The tree of a labelled table: by words and link densities first, then by marks.
+
+    A leaf of the first step that has met no block with some marks takes over what these mean in the table as a whole.
+    """
+    rows, text, marks = np.array(table_, dtype=float), range(TEXT_FEATURES), range(TEXT_FEATURES, len(FEATURES))
+    marked = rows[rows[:, TEXT_FEATURES:-1].any(axis=1)]
+    kinds, which = np.unique(marked[:, TEXT_FEATURES:-1], axis=0, return_inverse=True)
+    votes = [marked[which.ravel() == k, -1].mean() >= 0.5 for k in range(len(kinds))]
+    meant = np.column_stack([np.zeros((len(kinds), TEXT_FEATURES)), kinds, votes])
+    return grow(rows, text, TEXT_DEPTH, LEAST_ROWS, LEAST_GAIN, lambda left: grow(np.vstack([left, meant]), marks, MARK_DEPTH))
 
 
 @lru_cache(maxsize=1)
 def default_tree():
-    return grow(LABELLED)
+    return grow_tree(examples())
 
 
 def decide(tree, row: tuple) -> int:
@@ -113,7 +178,7 @@ def serves_other(name: str, attrs: str, in_article: int) -> bool:
             if value.lower() in OTHER_ROLES:
                 return True
             continue
-        for one in value.split()[:40]:
+        for one in value.split():
             if one.lower() in WHOLE or any(p.lower() in OTHER_NAMES for p in _SPLIT.split(one)):
                 return True
     return False
@@ -142,6 +207,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     open_: Counter = Counter()
     other = article = link = 0
     at, n = 0, len(page)
+    endless: set[str] = set()  # names without an end tag in what is left of the page
 
     def flush() -> None:
         nonlocal link
@@ -188,9 +254,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         name = m.group().lower()
         if name in RAW and not closing:
-            stop = re.compile(f"</{name}", re.I).search(page, end)
-            at = n if not stop else max(end, page.find(">", stop.start()) + 1 or n)
             bits.append(" ")
+            if page[end - 2] == "/" and name not in TO_THE_END:
+                continue
+            stop = None if name in endless else re.compile(f"</{name}", re.I).search(page, end)
+            if stop:
+                at = max(end, page.find(">", stop.start()) + 1 or n)
+            else:
+                endless.add(name)
+                at = n if name in TO_THE_END else end
             continue
         if name == "br":
             bits.append(" ")
@@ -221,19 +293,40 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def page_rows(found: list[tuple[str, int, int, int, int]]) -> list[tuple]:
+    """The features of a page's blocks."""
+    has = int(any(b[4] for b in found))
+    return [(*row, b[3], b[4], has) for row, b in zip(neighbourhood([b[1] for b in found], [b[2] for b in found]), found)]
+
+
 def main_text(page: str | None, tree=None) -> tuple[str, int]:
     """(main text, number of blocks); empty for a null or empty page."""
     found = blocks(page or "")
     tree = tree or default_tree()
-    has = int(any(b[4] for b in found))
-    density = [b[2] / b[1] for b in found]
-    kept = []
-    for i, b in enumerate(found):
-        before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        row = (b[1], before[1] if before else 0, after[1] if after else 0, density[i], density[i - 1] if before else 0.0, density[i + 1] if after else 0.0, b[3], b[4], has)
-        if decide(tree, row):
-            kept.append(b[0])
-    return " ".join(kept), len(found)
+    return " ".join(b[0] for b, row in zip(found, page_rows(found)) if decide(tree, row)), len(found)
+
+
+def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES):
+    """The tree, from the examples and the blocks of about ``sample_pages`` pages, at most ``BLOCKS_A_PAGE`` of each, evenly drawn.
+
+    Pages that mark no article teach nothing, nor do null ones. The pages are drawn by a hash of their id.
+    """
+    every = max(1, pages.count() // sample_pages)
+    names = [*FEATURES, "kept"]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch.column(0).to_pylist():
+                own = page_rows(blocks(page or ""))
+                if own and own[0][-1]:
+                    own = own[:: -(-len(own) // BLOCKS_A_PAGE)]
+                    rows += entries([r[:TEXT_FEATURES] for r in own], [r[TEXT_FEATURES:] for r in own], [int(r[-2] and not r[-3]) for r in own])
+            yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(names))], names=names)
+
+    sample = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select(F.col("html").cast("string"))
+    rows = map_batches(sample, label, ", ".join(f"{x} double" for x in names)).orderBy(*names).collect()  # bounded by both parameters
+    return grow_tree([*examples(), *map(tuple, rows)])
 
 
 def extract(pages: DataFrame, tree=None) -> DataFrame:
@@ -256,4 +349,5 @@ def extract(pages: DataFrame, tree=None) -> DataFrame:
 
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages))
