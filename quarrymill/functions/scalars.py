@@ -18,6 +18,15 @@ SIZE_ALIASES = {
 #: Tags that make a product unavailable whatever its stock says; fixed values.
 FORCED_OUT = ("cart-hide", "hide-atc", "hide-variant-fragrance")
 
+#: Systems of size labels, the first pattern that fits decides; fixed values.
+SIZE_SYSTEMS = [
+    (r"(?i)^\d{1,2}-\d{1,2}Y$", "kids_age_years"),
+    (r"(?i)^\d+Y$", "kids_age_years"),
+    (r"(?i)^\d{2,3}\s*ml$", "volume_ml"),
+    (r"^\d{2}$", "waist_inches"),
+]
+ONE_SIZE = ("-", "One Size", "OS")
+
 #: Hex values of colour names, and that of any other; fixed values.
 COLOR_HEX = {
     "black": "#1a1a1a", "white": "#f7f5f0", "navy": "#1c2a4a", "blue": "#3b6ea5", "sky blue": "#8ec6e6", "red": "#b23a2e", "maroon": "#6e1f2a", "green": "#3f6b45", "olive": "#6b6b3a",
@@ -60,15 +69,9 @@ def size_spellings(labels: list[str]) -> list[str]:
 
 
 def size_system(size: Column) -> Column:
-    """none, kids_age_years, volume_ml, waist_inches, one_size or alpha, by the first rule that fits."""
-    return (
-        F.when(size.isNull() | (size == ""), "none")
-        .when(size.rlike(r"(?i)^(\d{1,2}-\d{1,2}|\d+)Y$"), "kids_age_years")
-        .when(size.rlike(r"(?i)^\d{2,3}\s*ml$"), "volume_ml")
-        .when(size.rlike(r"^\d{2}$"), "waist_inches")
-        .when(F.trim(size).isin("-", "One Size", "OS"), "one_size")
-        .otherwise("alpha")
-    )
+    """none for null and empty, else the system of the first pattern that fits, one_size for its names, else alpha."""
+    named = F.when(F.trim(size).isin(*ONE_SIZE), "one_size").otherwise("alpha")
+    return F.when(F.coalesce(size, F.lit("")) == "", "none").otherwise(F.coalesce(first_match(size, SIZE_SYSTEMS, None), named))
 
 
 def parse_tags(tags: Column) -> Column:
@@ -124,7 +127,13 @@ def slug(name: Column) -> Column:
 
 
 def valid_email(address: Column) -> Column:
-    return F.coalesce((F.length(F.trim(address)) <= 254) & F.lower(F.trim(address)).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.lit(False))
+    """Whether the trimmed address has at most 254 characters, no white space, one at sign with something before it, and behind it a dot that is neither first nor last."""
+    bare = F.trim(address)
+    sides = F.split(bare, "@")
+    host = F.try_element_at(sides, F.lit(2))
+    inner = F.substring(host, F.lit(2), F.greatest(F.length(host) - 2, F.lit(0)))
+    ok = (F.length(bare) <= 254) & (F.size(sides) == 2) & (F.try_element_at(sides, F.lit(1)) != "") & inner.contains(".") & (F.regexp_count(bare, F.lit(r"\s")) == 0)
+    return F.coalesce(ok, F.lit(False))
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None) -> Column:

@@ -55,15 +55,22 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], update: list[str], ke
     return met.select(*[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in key], *pick, *stay, *seen, F.when(there, True).otherwise(F.col("o.is_active")).alias("is_active"))
 
 
-def assign_ids(old: DataFrame, names: DataFrame, name: str, fold: Column) -> DataFrame:
-    """id and name of the values that the dimension lacks: ids follow on from its greatest; of spellings that fold alike the first by order stands.
+def assign_ids(old: DataFrame, names: DataFrame, name: str, fold: Column, arrival: list[str]) -> DataFrame:
+    """id and name of the values that the dimension lacks: ids follow on from its greatest, in the order of arrival; of spellings that fold alike the first to arrive stands.
 
-    The dimension is small (colours, fabrics); its new values are numbered in one task.
+    Ids are given in two levels, ranges of the order and places within one, so that no task holds all new values.
     """
-    known = old.select(F.col(name).alias("__n")).withColumn("__f", F.lower(F.trim("__n"))).select("__f")
-    fresh = names.withColumn("__f", fold).where("__f is not null and __f <> ''").groupBy("__f").agg(F.min(F.trim(F.col(name))).alias(name)).join(known, "__f", "left_anti")
+    known = old.select(F.lower(F.trim(F.col(name))).alias("__f"))
+    at = F.struct(*arrival)
+    rows = names.withColumn("__f", fold).where("__f is not null and __f <> ''")
+    fresh = rows.groupBy("__f").agg(F.min_by(F.trim(F.col(name)), at).alias(name), F.min(at).alias("__at")).join(known, "__f", "left_anti")
+    ranged = fresh.repartitionByRange("__at", "__f").withColumn("__part", F.spark_partition_id())
+    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # at most a row a shuffle partition
+    before = before.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    return fresh.join(F.broadcast(top)).select((F.col("__top") + F.row_number().over(Window.orderBy("__f"))).cast("long").alias("id"), name)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("__at", "__f"))
+    placed = ranged.withColumn("__place", place).join(F.broadcast(before), F.col("__part") == F.col("__p")).join(F.broadcast(top))
+    return placed.select((F.col("__top") + F.col("__base") + F.col("__place")).cast("long").alias("id"), name)
 
 
 def replace_lists(old: DataFrame, new: DataFrame, key: str, value: str, position: str, most: int = 12) -> DataFrame:

@@ -5,6 +5,7 @@ Every test on variants is a semi-join of its own, so two tests may be met by dif
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -44,10 +45,20 @@ def with_size(parents: DataFrame, children: DataFrame, key: str, child_key: str,
     return any_child(parents, children, key, child_key, F.lower(F.trim(F.col(size))).isin([s.lower() for s in spellings]) & available)
 
 
+def as_number(value) -> float | None:
+    """A finite number, also of a request's text; None for anything else."""
+    if isinstance(value, bool):
+        return None
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return None
+    return number if math.isfinite(number) else None
+
+
 def cheapest_between(parents: DataFrame, children: DataFrame, key: str, child_key: str, price: str, low=None, high=None) -> DataFrame:
-    """The least price over all children lies within the bounds; a bound that is no number is ignored."""
-    number = lambda x: x if isinstance(x, (int, float)) and not isinstance(x, bool) else None
-    low, high = number(low), number(high)
+    """The least price over all children lies within the bounds; a bound that is no number, nor text of one, is ignored."""
+    low, high = as_number(low), as_number(high)
     if low is None and high is None:
         return parents
     least = children.groupBy(F.col(child_key).alias("__k")).agg(F.min(price).alias("__least"))

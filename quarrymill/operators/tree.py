@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CLOSURE = """
@@ -105,14 +105,49 @@ def orphans(nodes: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return rows.join(inner, key, "left_semi")
 
 
-def menu(closed: DataFrame, nodes: DataFrame, counts: DataFrame, key: str, n: str) -> DataFrame:
-    """A row for each root: its name, total and children (name, total, leaves with names and totals) as nested arrays; nodes without rows are pruned below the roots."""
-    total = rollup(closed, counts, key, n)
-    rows = nodes.join(total, "id")
-    leaf = rows.where("total > 0").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "total"))).alias("leaves")).withColumnRenamed("parent_id", "__p")
-    inner = rows.where("total > 0 and parent_id is not null").join(leaf, F.col("id") == F.col("__p"), "left").select("parent_id", F.struct(F.col("total"), "id", "name", "leaves").alias("__x"))
-    cols = inner.groupBy("parent_id").agg(F.array_sort(F.collect_list("__x")).alias("columns")).withColumnRenamed("parent_id", "__p")
-    return rows.where("parent_id is null").join(cols, F.col("id") == F.col("__p"), "left").select("id", "name", "total", "columns")
+def menu(closed: DataFrame, nodes: DataFrame, counts: DataFrame, key: str, n: str, roots: list[str] | None = None, branches: list[str] | None = None, subs: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row for each root that has rows: id, name, total, place, columns.
+
+    Columns are its branches with rows, nested: place, rank, id, name, total, subs, leaves. They come in the fixed order
+    of ``branches`` (others behind it), without one by falling total; roots likewise by ``roots``, which also are the
+    only ones then. A branch named in ``subs`` has its next level as subs (place, id, name, total, leaves) in that
+    order, any other branch has leaves (id, name, total) only. Ties go to the smaller id. What has no rows is left out.
+    """
+    place = lambda c, order: order_by_list(c, order) if order else F.lit(1)
+    rank = lambda order: F.lit(0).cast("long") if order else -F.col("total")
+    rows = nodes.join(rollup(closed, counts, key, n), "id").where("total > 0")
+    leaf = rows.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "total"))).alias("leaves")).withColumnRenamed("parent_id", "__p")
+    inner = rows.where("parent_id is not null").join(leaf, F.col("id") == F.col("__p"), "left").drop("__p")
+    branch = inner.join(nodes.where("parent_id is null").select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    split = F.col("name").isin(list(subs or {}))
+    order = F.lit(1)
+    for name, fixed in (subs or {}).items():
+        order = F.when(F.col("branch") == name, order_by_list(F.col("name"), fixed)).otherwise(order)
+    own = branch.where(split).select(F.col("id").alias("__b"), F.col("name").alias("branch"))
+    below = inner.join(own, F.col("parent_id") == F.col("__b")).select("__b", F.struct(order.cast("long").alias("place"), "id", "name", "total", "leaves").alias("__s"))
+    below = below.groupBy("__b").agg(F.array_sort(F.collect_list("__s")).alias("subs"))
+    columns = branch.join(below, F.col("id") == F.col("__b"), "left").select("parent_id", F.struct(place(F.col("name"), branches).cast("long").alias("place"), rank(branches).alias("rank"), "id", "name", "total", "subs", F.when(~split, F.col("leaves")).alias("leaves")).alias("__x"))
+    columns = columns.groupBy("parent_id").agg(F.array_sort(F.collect_list("__x")).alias("columns")).withColumnRenamed("parent_id", "__p")
+    top = rows.where("parent_id is null")
+    if roots:
+        top = top.where(F.col("name").isin(roots))
+    at = place(F.col("name"), roots).cast("long") if roots else F.row_number().over(Window.orderBy(F.desc("total"), "id")).cast("long")  # a row a root
+    return top.join(columns, F.col("id") == F.col("__p"), "left").select("id", "name", "total", at.alias("place"), "columns")
+
+
+def siblings(menus: DataFrame, root: str, branch: str, leaf: str | None = None) -> DataFrame:
+    """name, total of the leaves beside ``leaf`` (itself included) in a branch of ``menu``'s rows: those of its sub level, if the branch has one; without a leaf, of the whole branch."""
+    cols = menus.where(F.col("name") == root).select(F.explode("columns").alias("c")).where(F.col("c.name") == branch)
+    lists = cols.select(F.explode(F.coalesce(F.transform("c.subs", lambda x: x["leaves"]), F.array("c.leaves"))).alias("l"))
+    if leaf is not None:
+        lists = lists.where(F.exists("l", lambda x: x["name"] == leaf))
+    return lists.select(F.explode("l").alias("x")).select("x.name", "x.total")
+
+
+def branches_of(closed: DataFrame, nodes: DataFrame, roots: list[str], branches: list[str]) -> DataFrame:
+    """id of the nodes in the named branches of the named roots, branches included."""
+    tops = nodes.where(F.col("parent_id").isNull() & F.col("name").isin(roots)).select(F.col("id").alias("parent_id"))
+    return expand(closed, nodes.where(F.col("name").isin(branches)).join(tops, "parent_id", "left_semi").select("id"), "id")
 
 
 def order_by_list(column: Column, fixed: list[str]) -> Column:

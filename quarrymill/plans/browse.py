@@ -16,11 +16,15 @@ def _open():
     return F.col("l_linestatus") == "O"
 
 
-def _refined(s, d) -> tuple[DataFrame, DataFrame]:
-    """Products in stock whose cheapest variant costs up to 10,000, and all variants."""
-    part, line = table(s, d, "part"), table(s, d, "lineitem")
-    inside = predicates.any_child(part, line, "p_partkey", "l_partkey", _open())
-    return predicates.cheapest_between(inside, line, "p_partkey", "l_partkey", "l_extendedprice", None, 10_000), line
+def _summary(s, d) -> DataFrame:
+    """p_partkey, in stock, least price and the cheapest variant of each product: one aggregation serves every test and the page."""
+    best = enrich.cheapest_child(table(s, d, "lineitem"), "l_partkey", "l_extendedprice", ["l_extendedprice", "l_discount"], ["l_orderkey", "l_suppkey", "l_linenumber"], _open())
+    return best.withColumnRenamed("l_partkey", "p_partkey")
+
+
+def _refined(s, d) -> DataFrame:
+    """Products in stock whose cheapest variant costs up to 10,000, with that variant."""
+    return table(s, d, "part").join(_summary(s, d).where("any_available and l_extendedprice <= 10000"), "p_partkey")
 
 
 _REFINED = """refined as (
@@ -29,13 +33,10 @@ _REFINED = """refined as (
 
 
 def browse_interleaved_page(s, d):
-    """Rank narrow, page, then join the wide columns."""
-    refined, line = _refined(s, d)
-    page = topk.interleave(refined.select("p_partkey", "p_brand", "p_size"), "p_brand", [F.desc("p_size"), F.desc("p_partkey")], 24, 24)
-    # the page is at most 24 rows: it is ranked once and meets the variants and the wide columns by broadcast
-    near = line.join(F.broadcast(page.select(F.col("p_partkey").alias("l_partkey"), "rn")), "l_partkey")
-    best = enrich.cheapest_child(near, "l_partkey", "l_extendedprice", ["rn", "l_extendedprice", "l_discount"], ["l_orderkey", "l_suppkey", "l_linenumber"], _open())
-    wide = enrich.late_join(F.broadcast(best.withColumnRenamed("l_partkey", "p_partkey")), table(s, d, "part"), "p_partkey")
+    """Rank narrow, page, then join the wide columns; the cheapest variant comes along with the test of the products."""
+    narrow = _refined(s, d).select("p_partkey", "p_brand", "p_size", "l_extendedprice", "l_discount", "any_available", "n_children")
+    page = topk.interleave(narrow, "p_brand", [F.desc("p_size"), F.desc("p_partkey")], 24, 24).drop("p_brand", "p_size")
+    wide = enrich.late_join(F.broadcast(page), table(s, d, "part"), "p_partkey")  # the page is at most 24 rows
     return wide.select("p_partkey", "p_name", "p_brand", "rn", F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), "any_available", "n_children")
 
 
@@ -45,7 +46,7 @@ def _page_sql(order, page="limit 24"):
 
 def _listed(sort):
     def run(s, d):
-        refined, _ = _refined(s, d)
+        refined = _refined(s, d)
         offset, limit = topk.page_bounds("1", "24")
         return refined.orderBy(*topk.listing_order(sort, "p_retailprice", "p_size", "p_partkey")).offset(offset).limit(limit).select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
 
@@ -67,22 +68,27 @@ def filter_color_exact(s, d):
 
 
 def filter_color_lower(s, d):
-    return predicates.with_color(table(s, d, "part"), table(s, d, "lineitem").where("l_quantity > 45"), "p_partkey", "l_partkey", "l_returnflag", ["R", "a"], fold=True).select("p_partkey")
+    return predicates.with_color(table(s, d, "part"), table(s, d, "lineitem").withColumn("color", F.expr(_SHADE)), "p_partkey", "l_partkey", "color", ["R", "a"], fold=True).select("p_partkey")
 
 
+#: Colours of a variant: the flag of a few, a shade of the others.
+_SHADE = "if(cast(l_quantity as int) = 50, l_returnflag, concat('shade ', cast(l_quantity as int) % 10))"
 #: Sizes of a variant as labels, to have spellings that mean the same.
 _LABEL = "case cast(l_quantity as int) % 8 when 0 then 'XS' when 1 then 'small' when 2 then 'S' when 3 then 'Medium' when 4 then ' m ' when 5 then 'L' when 6 then '2XL' else 'L-XL' end"
 
+#: The same for variants of which few have a label with other spellings.
+_RARE_LABEL = f"case when l_quantity < 5 then {_LABEL} else 'size ' || cast(l_quantity as int) end"
+
 
 def filter_size_alias(s, d):
     from quarrymill.functions.scalars import size_spellings
 
-    line = table(s, d, "lineitem").where("l_quantity < 5").withColumn("label", F.expr(_LABEL))
+    line = table(s, d, "lineitem").withColumn("label", F.expr(_RARE_LABEL))
     return predicates.with_size(table(s, d, "part"), line, "p_partkey", "l_partkey", "label", size_spellings(["m", "XXL"]), _open()).select("p_partkey")
 
 
 def filter_in_stock(s, d):
-    return predicates.any_child(table(s, d, "part"), table(s, d, "lineitem").where("l_quantity > 40"), "p_partkey", "l_partkey", _open()).select("p_partkey")
+    return predicates.any_child(table(s, d, "part"), table(s, d, "lineitem"), "p_partkey", "l_partkey", _open()).select("p_partkey")
 
 
 def filter_price_range(s, d):
@@ -156,10 +162,10 @@ def fallback_chain_lookup(s, d):
 
 
 def related_products(s, d):
-    """For each product of a page, five others of its brand and type: the newest six, itself left out."""
+    """For each product, five others of its brand and type: the newest six, itself left out."""
     part = table(s, d, "part")
     six = topk.cap_per_group(part, ["p_brand", "p_type"], [F.desc("p_size"), F.desc("p_partkey")], 6).select(F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_partkey").alias("other"), "rn")
-    met = part.where("p_partkey < 100").join(six, (F.col("p_brand") == F.col("b")) & (F.col("p_type") == F.col("t")) & (F.col("p_partkey") != F.col("other"))).select("p_partkey", "other", F.col("rn").alias("r0"))
+    met = part.join(six, (F.col("p_brand") == F.col("b")) & (F.col("p_type") == F.col("t")) & (F.col("p_partkey") != F.col("other"))).select("p_partkey", "other", F.col("rn").alias("r0"))
     return topk.cap_per_group(met, ["p_partkey"], [F.col("r0")], 5).select("p_partkey", "other", "rn")
 
 
@@ -168,16 +174,16 @@ def nested_size_availability(s, d):
     line = table(s, d, "lineitem").withColumn("size", F.col("l_quantity").cast("int"))
     maps = enrich.availability_maps(line, "l_partkey", "l_returnflag", "size", _open())
     flat = maps.select("l_partkey", F.explode("by_color").alias("color", "sizes")).select("l_partkey", "color", F.explode("sizes").alias("size", "ok"))
-    return flat.where("l_partkey < 200")
+    return flat
 
 
 def facet_brand(s, d):
-    refined, _ = _refined(s, d)
+    refined = _refined(s, d)
     return facets.counts(refined, "p_brand")
 
 
 def facet_total(s, d):
-    refined, _ = _refined(s, d)
+    refined = _refined(s, d)
     return refined.agg(F.count("*").alias("n"))
 
 
@@ -261,9 +267,9 @@ QUERIES = {
     "browse_ilike": (browse_ilike, "select p_partkey, p_name from part where p_name ilike '%RING%' and p_size > 5"),
     "filter_on_sale": (filter_on_sale, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_extendedprice * (1 + l_discount) > l_extendedprice)"),
     "filter_color_exact": (filter_color_exact, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag in ('R', 'a'))"),
-    "filter_color_lower": (filter_color_lower, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45 and lower(l_returnflag) in ('r', 'a'))"),
-    "filter_size_alias": (filter_size_alias, f"select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity < 5 and l_linestatus = 'O' and lower(trim({_LABEL})) in {_SPELL})"),
-    "filter_in_stock": (filter_in_stock, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 40 and l_linestatus = 'O')"),
+    "filter_color_lower": (filter_color_lower, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and lower(case when l_quantity::int = 50 then l_returnflag else 'shade ' || (l_quantity::int % 10) end) in ('r', 'a'))"),
+    "filter_size_alias": (filter_size_alias, f"select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_linestatus = 'O' and lower(trim({_RARE_LABEL})) in {_SPELL})"),
+    "filter_in_stock": (filter_in_stock, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_linestatus = 'O')"),
     "filter_price_range": (filter_price_range, "select p_partkey from part where (select min(l_extendedprice) from lineitem where l_partkey = p_partkey) between 1500 and 4000"),
     "filter_independent_exists": (filter_independent_exists, "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity = 7 and l_linestatus = 'O') and exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R')"),
     "array_membership": (array_membership, "select p_partkey, p_brand, p_size from part where p_brand = any(['Brand#1', 'Brand#7']) and p_size not in (1, 2, 3)"),
@@ -276,8 +282,8 @@ QUERIES = {
     "left_join_counts": (left_join_counts, "select n_nationkey, n_name, count(s_suppkey) as n from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 9000 group by all"),
     "fallback_chain_lookup": (fallback_chain_lookup, "select s_suppkey, case when s_acctbal > 5000 then 's' || s_suppkey when n_nationkey % 2 = 0 then 'n' || n_nationkey else 'r' || n_regionkey end as found from supplier join nation on s_nationkey = n_nationkey"),
     "related_products": (related_products, """with six as (select * from (select p_brand, p_type, p_partkey as other, row_number() over (partition by p_brand, p_type order by p_size desc, p_partkey desc) as r0 from part) where r0 <= 6)
-      select p_partkey, other, rn from (select p.p_partkey, other, row_number() over (partition by p.p_partkey order by r0) as rn from part p join six s on p.p_brand = s.p_brand and p.p_type = s.p_type and p.p_partkey <> other where p.p_partkey < 100) where rn <= 5"""),
-    "nested_size_availability": (nested_size_availability, "select l_partkey, l_returnflag as color, l_quantity::int as size, bool_or(l_linestatus = 'O') as ok from lineitem where l_partkey < 200 group by all"),
+      select p_partkey, other, rn from (select p.p_partkey, other, row_number() over (partition by p.p_partkey order by r0) as rn from part p join six s on p.p_brand = s.p_brand and p.p_type = s.p_type and p.p_partkey <> other) where rn <= 5"""),
+    "nested_size_availability": (nested_size_availability, "select l_partkey, l_returnflag as color, l_quantity::int as size, bool_or(l_linestatus = 'O') as ok from lineitem group by all"),
     "facet_brand": (facet_brand, f"with {_REFINED} select p_brand, count(*) as n from refined group by p_brand"),
     "facet_total": (facet_total, f"with {_REFINED} select count(*) as n from refined"),
     "facet_size_distinct": (facet_size_distinct, f"with {_SIZED} select size, count(distinct l_partkey) as n from sized group by size"),

@@ -16,8 +16,8 @@ def color_swatches(s, d):
 
 
 def cross_source_lists(s, d):
-    """Suppliers of a part from another source as a list; parts that it lacks get an empty one."""
-    other = table(s, d, "lineitem").where("l_quantity > 48").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("suppliers"))
+    """Suppliers of a part from a source that numbers its parts twice as high, as a list; parts that it lacks get an empty one."""
+    other = table(s, d, "lineitem").groupBy((F.col("l_partkey") * 2).alias("p_partkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("suppliers"))
     rows = enrich.attach_lists(table(s, d, "part").select("p_partkey"), other, ["p_partkey"], ["suppliers"])
     return rows.select("p_partkey", F.array_join(F.transform("suppliers", lambda x: x.cast("string")), ",").alias("suppliers"), "missed")
 
@@ -30,7 +30,7 @@ def dedupe_keep_first(s, d):
 
 def decoded_text(s, d):
     """Tags away, then the common entities decoded."""
-    return table(s, d, "pages").select("page_id", scalars.decode_entities(scalars.strip_html(F.substring("html", 1, 1500))).alias("text"))
+    return table(s, d, "pages").select("page_id", scalars.decode_entities(scalars.strip_html(F.col("html"))).alias("text"))
 
 
 def email_check(s, d):
@@ -39,11 +39,11 @@ def email_check(s, d):
 
 
 _SPACES = r"[\s\x{00A0}\x0B\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_FLAT = f"nullif(substring(trim(regexp_replace(regexp_replace(substring(html, 1, 1500), '<[^>]+>', ' ', 'g'), '{_SPACES}', ' ', 'g')), 1, 2000), '')"
+_FLAT = f"nullif(substring(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{_SPACES}', ' ', 'g')), 1, 2000), '')"
 
 QUERIES = {
     "color_swatches": (color_swatches, f"select p_partkey, case lower({_COLORS}) when 'red' then '#b23a2e' when 'sky blue' then '#8ec6e6' when 'navy' then '#1c2a4a' else '#a89f8f' end as hex from part"),
-    "cross_source_lists": (cross_source_lists, "with o as (select l_partkey, list_sort(list_distinct(list(l_suppkey))) as s from lineitem where l_quantity > 48 group by 1) select p_partkey, coalesce(array_to_string(s, ','), '') as suppliers, s is null as missed from part left join o on l_partkey = p_partkey"),
+    "cross_source_lists": (cross_source_lists, "with o as (select l_partkey * 2 as l_partkey, list_sort(list_distinct(list(l_suppkey))) as s from lineitem group by 1) select p_partkey, coalesce(array_to_string(s, ','), '') as suppliers, s is null as missed from part left join o on l_partkey = p_partkey"),
     "dedupe_keep_first": (dedupe_keep_first, "select p_partkey, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as p_name from part qualify row_number() over (partition by lower(p_name) order by p_partkey) = 1"),
     "email_check": (email_check, "select p_partkey, p_partkey % 4 = 0 as ok from part"),
     "decoded_text": (decoded_text, f"select page_id, replace(replace(replace(replace(replace(replace({_FLAT}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') as text from pages"),

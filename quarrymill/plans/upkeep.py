@@ -67,10 +67,10 @@ def soft_delete(s, d):
 def _runs(s, d):
     """Runs of stores from the events: one a user and day, fetched its events, failed if the first was an error."""
     day = F.date_trunc("day", "ts").cast("date").cast("string").alias("day")
-    return table(s, d, "events").where("user_id < 60").groupBy("user_id", day).agg(F.count("*").alias("fetched"), F.min_by(F.when(F.col("event_type") == "error", "failed").otherwise("completed"), "event_id").alias("status"))
+    return table(s, d, "events").groupBy("user_id", day).agg(F.count("*").alias("fetched"), F.min_by(F.when(F.col("event_type") == "error", "failed").otherwise("completed"), "event_id").alias("status"))
 
 
-_RUNS = "runs as (select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) as fetched, arg_min(case when event_type = 'error' then 'failed' else 'completed' end, event_id) as status from events where user_id < 60 group by 1, 2)"
+_RUNS = "runs as (select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) as fetched, arg_min(case when event_type = 'error' then 'failed' else 'completed' end, event_id) as status from events group by 1, 2)"
 
 
 def canary_drop(s, d):
@@ -86,22 +86,23 @@ def latest_scalar(s, d):
 
 
 def price_history_scd2(s, d):
-    line = table(s, d, "lineitem").where("l_partkey < 500").select("l_partkey", "l_shipdate", "l_extendedprice").groupBy("l_partkey", "l_shipdate").agg(F.min("l_extendedprice").alias("price"))
+    line = table(s, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").groupBy("l_partkey", "l_shipdate").agg(F.min("l_extendedprice").alias("price"))
     return maintain.history(line, ["l_partkey"], "l_shipdate", "price").select("l_partkey", "price", "valid_from", "valid_to", "previous")
 
 
 def dimension_ids(s, d):
-    """New colours get ids behind the known ones; spellings that differ by case and ends are one."""
-    known = table(s, d, "part").where("p_partkey < 20").select(F.expr("split(p_name, ' ')[0]").alias("name")).distinct().withColumn("id", F.lit(100).cast("long"))
-    names = table(s, d, "part").select(F.expr("if(p_partkey % 2 = 0, upper(split(p_name, ' ')[1]), concat(' ', split(p_name, ' ')[1]))").alias("name"))
-    return maintain.assign_ids(known, names, "name", F.lower(F.trim(F.col("name"))))
+    """New colours get ids behind the known ones; spellings that differ by case and ends are one, the first to arrive."""
+    part = table(s, d, "part")
+    known = part.where("p_type = 'PROMO' and p_size = 1").select(F.expr("split(p_name, ' ')[0]").alias("name")).distinct().withColumn("id", F.lit(100).cast("long"))
+    names = part.select("p_partkey", F.expr("if(p_partkey % 2 = 0, upper(split(p_name, ' ')[1]), concat(' ', split(p_name, ' ')[1]))").alias("name"))
+    return maintain.assign_ids(known, names, "name", F.lower(F.trim(F.col("name"))), ["p_partkey"])
 
 
 def image_lists(s, d):
     """Ordered lists that differ from the old state, twelve at most."""
     line = table(s, d, "lineitem").select("l_partkey", F.concat("l_orderkey", F.lit("-"), "l_suppkey").alias("url"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("position"))
     old = line.where("l_partkey % 4 <> 0")
-    return maintain.replace_lists(old, line, "l_partkey", "url", "position").select("l_partkey", "url", F.col("position").cast("long").alias("position")).where("l_partkey < 400")
+    return maintain.replace_lists(old, line, "l_partkey", "url", "position").select("l_partkey", "url", F.col("position").cast("long").alias("position"))
 
 
 def rate_limiter(s, d):
@@ -124,7 +125,7 @@ QUERIES = {
     "canary_drop": (canary_drop, f"with {_RUNS}, p as (select *, last_value(case when status = 'completed' then fetched end ignore nulls) over (partition by user_id order by day rows between unbounded preceding and 1 preceding) as prior from runs) select user_id, day, fetched, status, prior, coalesce(fetched > 0 and fetched < prior * 0.7, false) as alert from p"),
     "latest_per_group": (latest_per_group, "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1"),
     "latest_scalar": (latest_scalar, "select value from events where event_type = 'click' order by event_id desc limit 1"),
-    "price_history_scd2": (price_history_scd2, "with p as (select l_partkey, l_shipdate, min(l_extendedprice) as price from lineitem where l_partkey < 500 group by 1, 2) select l_partkey, price, l_shipdate as valid_from, lead(l_shipdate) over w as valid_to, lag(price) over w as previous from p window w as (partition by l_partkey order by l_shipdate)"),
-    "dimension_ids": (dimension_ids, "with n as (select case when p_partkey % 2 = 0 then upper(string_split(p_name, ' ')[2]) else ' ' || string_split(p_name, ' ')[2] end as name from part), f as (select lower(trim(name)) as f, min(trim(name)) as name from n group by 1) select 100 + row_number() over (order by f) as id, name from f where f not in (select lower(string_split(p_name, ' ')[1]) from part where p_partkey < 20)"),
-    "image_lists": (image_lists, "with l as (select l_partkey, l_orderkey || '-' || l_suppkey as url, l_orderkey * 100 + l_linenumber as p from lineitem where l_partkey % 4 = 0 and l_partkey < 400) select l_partkey, url, r - 1 as position from (select *, row_number() over (partition by l_partkey order by p, url) as r from l) where r <= 12"),
+    "price_history_scd2": (price_history_scd2, "with p as (select l_partkey, l_shipdate, min(l_extendedprice) as price from lineitem group by 1, 2) select l_partkey, price, l_shipdate as valid_from, lead(l_shipdate) over w as valid_to, lag(price) over w as previous from p window w as (partition by l_partkey order by l_shipdate)"),
+    "dimension_ids": (dimension_ids, "with n as (select p_partkey, case when p_partkey % 2 = 0 then upper(string_split(p_name, ' ')[2]) else ' ' || string_split(p_name, ' ')[2] end as name from part), f as (select lower(trim(name)) as f, min(p_partkey) as seen, arg_min(trim(name), p_partkey) as name from n group by 1), k as (select distinct lower(string_split(p_name, ' ')[1]) as f from part where p_type = 'PROMO' and p_size = 1) select coalesce((select 100 from k limit 1), 0) + row_number() over (order by seen, f) as id, name from f where f not in (select f from k)"),
+    "image_lists": (image_lists, "with l as (select l_partkey, l_orderkey || '-' || l_suppkey as url, l_orderkey * 100 + l_linenumber as p from lineitem where l_partkey % 4 = 0) select l_partkey, url, r - 1 as position from (select *, row_number() over (partition by l_partkey order by p, url) as r from l) where r <= 12"),
 }

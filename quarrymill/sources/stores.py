@@ -126,14 +126,34 @@ def graphql_pages(fetch: Callable[[str | None], dict]) -> Iterator[object]:
         cursor = found["pageInfo"]["endCursor"]
 
 
+def paced(call: Callable, pause: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call`` with at least ``pause`` seconds from one request to the next, whatever a request brings."""
+    last: list[float] = []
+
+    def waiting(*args, **kwargs):
+        if last and (rest := pause - (clock() - last[0])) > 0:
+            sleep(rest)
+        last[:] = [clock()]
+        return call(*args, **kwargs)
+
+    return waiting
+
+
+def with_token(fetch: Callable[[str, str | None], dict], token: str | None) -> Callable[[str | None], dict]:
+    """A cursor page's call that bears the store's token; a store without one fails at once, before any request."""
+    if not token:
+        raise RuntimeError("the store has no token")
+    return lambda cursor: fetch(token, cursor)
+
+
 class _Store(InputPartition):
     def __init__(self, name: str):
         super().__init__(name)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, stores: list[str], read: Callable[[str], Iterator[dict]], pause: float):
-        self.stores, self.read_store, self.pause = stores, read, pause
+    def __init__(self, stores: list[str], read: Callable[[str], Iterator[dict]]):
+        self.stores, self.read_store = stores, read
 
     def partitions(self) -> list[InputPartition]:
         return [_Store(x) for x in self.stores]
@@ -141,17 +161,15 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import json
 
-        last = 0.0
         for item in self.read_store(partition.value):
-            wait = self.pause - (time.monotonic() - last)
-            if last and wait > 0:
-                time.sleep(wait)
-            last = time.monotonic()
             yield partition.value, json.dumps(item)
 
 
-def store_source(read: Callable[[str], Iterator[dict]], pause: float = 0.0) -> type[DataSource]:
-    """A data source 'stores' with one partition a store (option ``stores``, comma-separated); ``read`` gives a store's products, at least ``pause`` seconds apart."""
+def store_source(read: Callable[[str], Iterator[dict]]) -> type[DataSource]:
+    """A data source 'stores' with one partition a store (option ``stores``, comma-separated); ``read`` gives a store's products.
+
+    A store's requests are spaced by ``paced`` around its page call, so a page of many products waits once.
+    """
 
     class Stores(DataSource):
         @classmethod
@@ -162,6 +180,6 @@ def store_source(read: Callable[[str], Iterator[dict]], pause: float = 0.0) -> t
             return "store string, raw string"
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader([x for x in self.options.get("stores", "").split(",") if x], read, pause)
+            return _Reader([x for x in self.options.get("stores", "").split(",") if x], read)
 
     return Stores

@@ -6,10 +6,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarrymill.operators.maintain import snapshots, update_existing
+
 PER_MINUTE, PER_DAY = 10, 30
 MINUTE, DAY = 60.0, 86_400.0
 
@@ -49,9 +51,9 @@ def limit_rate_stream(df: DataFrame, key: str, ts: str, per_minute: int = PER_MI
             state.remove()
             return
         hits = deque(state.get[0]) if state.exists else deque()
-        for pdf in pdfs:
-            times = sorted((pdf[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist())
-            yield pd.DataFrame({key: [k[0]] * len(times), "at": times, "allowed": [admit(hits, t, per_minute, per_day) for t in times]})
+        # a trigger's rows of a key come in several chunks, in no order: their times are sorted together
+        times = sorted(t for pdf in pdfs for t in (pdf[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist())
+        yield pd.DataFrame({key: [k[0]] * len(times), "at": times, "allowed": [admit(hits, t, per_minute, per_day) for t in times]})
         state.update((list(hits),))
         last = int((hits[-1] if hits else 0) * 1000 + DAY * 1000)
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
@@ -72,10 +74,22 @@ def bucketed_stream(df: DataFrame, ts: str, width: str, late: str, *aggs) -> Dat
     return bucketed(df.withWatermark(ts, late), ts, width, *aggs)
 
 
-def changes_to_history(new: DataFrame, state_path: str, history_path: str, key: list[str], state: list[str]) -> None:
-    """A foreachBatch body: appends the changed states of a micro-batch to the history and writes the next version of the state."""
-    from quarrymill.operators.maintain import snapshots, update_existing
+def latest_state(spark: SparkSession, state_path: str, before: int) -> DataFrame | None:
+    """The state of the greatest version (folders ``version=N``) below ``before``; None if there is none."""
+    versions = spark.read.parquet(state_path).where(F.col("version") < before).agg(F.max("version")).first()[0]
+    return None if versions is None else spark.read.parquet(f"{state_path}/version={versions}")
+
+
+def changes_to_history(new: DataFrame, batch: int, state_path: str, history_path: str, key: list[str], state: list[str], at: str) -> None:
+    """A foreachBatch body: writes the changed states of a micro-batch to the history, and the next version of the state.
 
-    old = new.sparkSession.read.parquet(state_path)
-    snapshots(old, new, key, state, F.current_timestamp()).write.mode("append").parquet(history_path)
-    update_existing(old, new, key, state).write.mode("overwrite").parquet(state_path + "-next")
+    Of a key's rows in the batch the last one by ``at`` counts. A key that the state lacks enters it without a history
+    row. Version 0 is the state before the first batch; batch N reads the greatest version up to N and writes N + 1, and
+    its history rows have a folder of their own, so a batch that is run again after a failure gives the same files.
+    """
+    old = latest_state(new.sparkSession, state_path, batch + 1)
+    last = new.groupBy(*key).agg(F.max_by(F.struct(*state, at), F.struct(at, *state)).alias("__x")).select(*key, "__x.*")
+    changed = snapshots(old, last.drop(at), key, state, F.lit(None)).drop("observed_at").join(last.select(*key, F.col(at).alias("observed_at")), key)
+    changed.write.mode("overwrite").parquet(f"{history_path}/batch={batch}")
+    fresh = last.select(*key, *state).join(old.select(*key), key, "left_anti")
+    update_existing(old, last, key, state).unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").parquet(f"{state_path}/version={batch + 1}")
