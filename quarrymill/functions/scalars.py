@@ -149,3 +149,8 @@ def word_count(text: Column) -> Column:
     """Words of a trimmed title; zero for an empty one."""
     t = F.trim(text)
     return F.when(F.coalesce(t, F.lit("")) == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
+
+
+def option_roles(names: Column, words: list[str]) -> Column:
+    """The option names, in lower case and without repeats, that are among the words."""
+    return F.array_intersect(F.transform(names, lambda n: F.lower(F.trim(n))), F.array(*[F.lit(w) for w in words]))

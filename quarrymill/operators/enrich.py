@@ -62,3 +62,10 @@ def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row by ``order`` of each value of the key expression (say, a name in lower case), the others dropped."""
     whole = rows.withColumn("__k", key).groupBy("__k").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__x"))
     return whole.select("__x.*")
+
+
+def color_cards(children: DataFrame, key: str, color: str, available: Column, image: Column, position: list[str]) -> DataFrame:
+    """key and by_color: a map colour -> (any child available, the first image by position that isn't null)."""
+    first = F.min_by(F.when(image.isNotNull(), image), F.when(image.isNotNull(), F.struct(*position)))
+    each = children.where(F.col(color).isNotNull()).groupBy(key, color).agg(F.bool_or(available).alias("available"), first.alias("image"))
+    return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(color), F.struct("available", "image"))))).alias("cards"))

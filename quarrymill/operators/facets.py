@@ -52,3 +52,31 @@ def dominance(df: DataFrame, group: list[str], value: str) -> DataFrame:
     n = df.groupBy(*group, value).agg(F.count("*").alias("n"))
     out = n.groupBy(*group).agg(F.max_by(F.struct(value, "n"), F.struct("n", value)).alias("__x"), F.sum("n").alias("total"))
     return out.select(*group, F.col(f"__x.{value}").alias("dominant"), F.col("__x.n").alias("n"), "total", (1 - F.col("__x.n") / F.col("total")).alias("minority"))
+
+
+def store_counts(df: DataFrame, store: str, shown: str) -> DataFrame:
+    """store, n, shown: the entries of a drop-down of stores, by the name shown."""
+    return df.groupBy(store).agg(F.count("*").alias("n"), F.max(shown).alias("shown")).orderBy("shown", store)
+
+
+def option_sets(df: DataFrame, store: str, names: str, top: int = 8) -> DataFrame:
+    """store, names (a set of option names in order, as one text), n, rn: the most frequent sets of each store."""
+    from quarrymill.operators.topk import cap_per_group
+
+    sets = df.withColumn("__s", F.array_join(F.array_sort(F.array_distinct(F.col(names))), " + ")).groupBy(store, F.col("__s").alias("names")).agg(F.count("*").alias("n"))
+    return cap_per_group(sets, [store], [F.desc("n"), F.col("names")], top)
+
+
+def null_shares(df: DataFrame, store: str, columns: list[str]) -> DataFrame:
+    """store and, for each column, the per cent of rows that lack it (null or empty text)."""
+    lacks = lambda c: F.avg(F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), 100.0).otherwise(0.0))
+    return df.groupBy(store).agg(*[F.round(lacks(c), 6).alias(c) for c in columns])
+
+
+def sample_titles(df: DataFrame, store: str, kind: str, title: str, key: str, kinds: int = 3, most: int = 8) -> DataFrame:
+    """store, kind, title, rn: the first ``most`` titles by key of each store's ``kinds`` most frequent kinds."""
+    from quarrymill.operators.topk import cap_per_group
+
+    frequent = top_values(df, store, kind, kinds).select(store, kind)
+    rows = df.join(frequent, [store, kind], "left_semi")
+    return cap_per_group(rows, [store, kind], [F.col(key)], most).select(store, kind, title, "rn")

@@ -114,6 +114,42 @@ def run_counters(outcome: DataFrame, store: str) -> DataFrame:
     return outcome.groupBy(store).agg(n("new").alias("products_new"), n("updated").alias("products_updated"), n("unchanged").alias("products_unchanged"), n("vanished").alias("products_removed"))
 
 
+def audit(stores: DataFrame, store: str, outcome: DataFrame, counted: dict[str, DataFrame]) -> DataFrame:
+    """The run's audit: every store with the outcomes' counters and, by name, the number of its rows in other tables (excluded, errors, variants, snapshots); zero where it has none."""
+    out = stores.select(store).distinct().join(run_counters(outcome, store), store, "left")
+    for name, rows in counted.items():
+        out = out.join(rows.groupBy(store).agg(F.count("*").alias(name)), store, "left")
+    return out.select(store, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns if c != store])
+
+
+def unknown_keys(old: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
+    """key, found: what a targeted update asked for, and whether the state has it; the others are reported, never inserted."""
+    asked = seen.select(*key).distinct()
+    there = old.select(*key).distinct().withColumn("__there", F.lit(True))
+    return asked.join(there, key, "left").select(*key, F.col("__there").isNotNull().alias("found"))
+
+
+def set_flag(rows: DataFrame, flag: str, hit: Column, undo: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with the flag taken from those that the predicate hits, or given back with ``undo``; one row with the number that this changes)."""
+    hits = F.coalesce(hit, F.lit(False))
+    changes = hits & (F.col(flag) != F.lit(undo))
+    return rows.withColumn(flag, F.when(hits, F.lit(undo)).otherwise(F.col(flag))), rows.agg(F.count_if(changes).alias("n"))
+
+
+def without_excluded(state: DataFrame, excluded: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the state without the rows that the classifier now excludes, the rows deleted)."""
+    gone = excluded.select(*key).distinct()
+    return state.join(gone, key, "left_anti"), state.join(gone, key, "left_semi")
+
+
+def force_unavailable(variants: DataFrame, out: DataFrame, product: str, available: str, observed_at: Column) -> tuple[DataFrame, DataFrame]:
+    """(variants with those of the products ``out`` (one column) unavailable, the history rows of those that were available)."""
+    named = variants.join(out.select(F.col(out.columns[0]).alias("__p")).distinct().withColumn("__out", F.lit(True)), F.col(product) == F.col("__p"), "left").drop("__p")
+    hit = F.col("__out").isNotNull()
+    changed = named.where(hit & F.col(available)).drop("__out").withColumn(available, F.lit(False)).withColumn("observed_at", observed_at)
+    return named.withColumn(available, F.col(available) & ~hit).drop("__out"), changed
+
+
 def write_version(df: DataFrame, folder: str, version: str) -> str:
     """Writes a state as one version; readers follow the versions in order."""
     path = f"{folder}/version={version}"

@@ -78,3 +78,8 @@ def not_hidden(test_in_branch: Column, text: Iterable[Column], words: Iterable[s
     texts = list(text)
     has = lambda ws: reduce(lambda a, b: a | b, [F.coalesce(t.ilike(f"%{w}%"), F.lit(False)) for t in texts for w in ws], F.lit(False))
     return ~(test_in_branch & has(words) & ~has(unless))
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among saved ids (one column); ids that name no row are dropped."""
+    return rows.join(ids.select(F.col(ids.columns[0]).alias("__k")), F.col(key) == F.col("__k"), "left_semi")

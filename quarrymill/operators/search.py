@@ -1,7 +1,9 @@
 """Hybrid search: hard filters, a vector leg and a text leg, weighted reciprocal ranks, diversified order.
 
-Both legs are top-k orders (TakeOrdered), so at most 2 * k rows are fused. Distances are built-in array functions, inside
-the JVM. The text leg matches any query token and scores by BM25 over the filtered set.
+Each leg alone is a top-k order (TakeOrdered). The hybrid makes both scores in one pass over the candidates and ranks
+narrow rows, so at most 2 * k rows are fused. Distances are built-in array functions, inside the JVM. The text leg
+matches any query word; the hybrid counts the query words that a text holds, ``text_leg`` ranks by that count or by
+BM25 over the filtered set, with a light stem if asked.
 """
 
 from __future__ import annotations
@@ -63,38 +65,77 @@ def _times(words: Column, term: Column) -> Column:
     return F.size(F.filter(words, lambda x: x == term))
 
 
+def _whole(term: str) -> str:
+    """A pattern for the term as a whole run of letters of a lower-case text."""
+    return f"(?<![a-z]){term}(?![a-z])"
+
+
+def hits(text: Column, terms: list[str]) -> Column:
+    """How many of the terms the text holds; zero for a null text."""
+    low = F.lower(text)
+    return sum([F.coalesce(low.rlike(_whole(t)), F.lit(False)).cast("int") for t in terms], F.lit(0))
+
+
 def text_leg(df: DataFrame, text: str, key: str, terms: list[str], k: int = LEG, bm25: bool = False, stemmed: bool = False) -> DataFrame:
-    """The k rows that match best by any term; adds hits or the BM25 score as text_score, and rank_t (long). No terms, no rows."""
+    """The k rows that match best by any term; adds hits or the BM25 score as text_score, and rank_t (long). No terms, no rows.
+
+    For BM25 each text is read once: key, length and term counts are kept (recomputed where lost) for the statistics of
+    the set and for the order, and the k rows found get their other columns back by key.
+    """
     if not terms:
         return df.where(F.lit(False)).withColumn("text_score", F.lit(None).cast("double")).withColumn("rank_t", F.lit(None).cast("long"))
-    words = F.transform(tokens(F.col(text)), stem) if stemmed else tokens(F.col(text))
-    want = [F.lit(t) for t in terms]
+    order = Window.orderBy(F.desc("text_score"), key)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
     if stemmed:
-        want = [stem(t) for t in want]
-    rows = df.withColumn("__w", words)
-    if not bm25:
-        hit = [F.array_contains("__w", w).cast("int") for w in want]
-        rows = rows.withColumn("text_score", sum(hit[1:], hit[0]).cast("double")).where("text_score > 0")
+        words = F.transform(tokens(low), stem)
+        times, length = [_times(words, stem(F.lit(t))) for t in terms], F.size(words)
     else:
-        tf = [_times(F.col("__w"), w) for w in want]
-        rows = rows.withColumn("__tf", F.array(*tf)).withColumn("__n", F.size("__w"))
-        stats = rows.agg(F.count("*").alias("docs"), F.avg("__n").alias("length"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-        rows = rows.where(F.array_max("__tf") > 0).join(F.broadcast(stats))  # one row
-        score = F.lit(0.0)
-        for i in range(len(terms)):
-            idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-            f = F.col("__tf")[i]
-            score = score + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("__n") / F.col("length")))
-        rows = rows.withColumn("text_score", score).drop("__tf", "__n", "docs", "length", *[f"df{i}" for i in range(len(terms))])
-    top = rows.drop("__w").orderBy(F.desc("text_score"), key).limit(k)
-    return top.withColumn("rank_t", F.row_number().over(Window.orderBy(F.desc("text_score"), key)).cast("long"))
+        times, length = [F.regexp_count(low, F.lit(_whole(t))) for t in terms], F.regexp_count(low, F.lit("[a-z]+"))
+    if not bm25:
+        score = sum([(t > 0).cast("int") for t in times], F.lit(0)) if stemmed else hits(F.col(text), terms)
+        top = df.withColumn("text_score", score.cast("double")).where("text_score > 0").orderBy(F.desc("text_score"), key).limit(k)
+        return top.withColumn("rank_t", F.row_number().over(order).cast("long"))
+    narrow = df.select(key, F.array(*times).alias("__tf"), length.alias("__n")).persist()
+    stats = narrow.agg(F.count("*").alias("docs"), F.avg("__n").alias("length"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
+    rows = narrow.where(F.array_max("__tf") > 0).join(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        f = F.col("__tf")[i]
+        score = score + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("__n") / F.col("length")))
+    top = rows.select(key, score.alias("text_score")).orderBy(F.desc("text_score"), key).limit(k)
+    ranked = top.withColumn("rank_t", F.row_number().over(order).cast("long"))
+    return ranked if df.columns == [key] else df.join(F.broadcast(ranked), key)
 
 
 def fuse(vector: DataFrame, text: DataFrame, key: str) -> DataFrame:
     """key, rank_v, rank_t, score: the weighted sum of reciprocal ranks over the union of the legs."""
     met = vector.select(key, "rank_v").join(text.select(key, "rank_t"), key, "full_outer")
+    return met.withColumn("score", rrf())
+
+
+def both_legs(candidates: DataFrame, key: str, vector: str, text: str, keep: list[str], brand: str, query: list[float], residual: str, k: int = LEG, per_brand: int = PER_BRAND) -> DataFrame:
+    """key, ``keep``, rank_v, rank_t of the rows that either leg finds, from one pass over the candidates.
+
+    Each row gives up to two narrow rows, one a leg. They are cut in two steps, so that no task ranks a whole leg: first
+    to ``per_brand`` of each brand (vector leg) or to k of each of 64 parts (text leg), then to k.
+    """
+    terms = query_terms(residual)
+    scored = candidates.where(F.col(vector).isNotNull()).select(key, *keep, cosine_distance(F.col(vector), query).alias("__d"), hits(F.col(text), terms).cast("double").alias("__h"), F.coalesce(F.col(brand).cast("string"), F.lit("")).alias("__b"))
+    entry = lambda leg, score, part: F.struct(F.lit(leg).alias("leg"), score.alias("score"), part.alias("part"))
+    legs = F.array(entry("v", F.col("__d"), F.col("__b")), F.when(F.col("__h") > 0, entry("t", -F.col("__h"), F.pmod(F.xxhash64(key), F.lit(64)).cast("string"))))
+    rows = scored.select(key, *keep, F.explode(F.array_compact(legs)).alias("__x")).select(key, *keep, "__x.*")
+    order = [F.col("score").asc_nulls_last(), F.col(key)]
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("leg", "part").orderBy(*order))).where(F.col("__r") <= max(k, per_brand)).where((F.col("leg") == "t") | (F.col("__r") <= per_brand))
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("leg").orderBy(*order)).cast("long")).where(F.col("__r") <= k)
+    rank = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("__r")))
+    return rows.groupBy(key, *keep).agg(rank("v").alias("rank_v"), rank("t").alias("rank_t"))
+
+
+def rrf(rank_v: str = "rank_v", rank_t: str = "rank_t") -> Column:
+    """The weighted sum of reciprocal ranks; a leg that lacks the row adds nothing."""
     part = lambda w, r: F.coalesce(F.lit(w) / (RANK_CONSTANT + F.col(r)), F.lit(0.0))
-    return met.withColumn("score", part(W_VECTOR, "rank_v") + part(W_TEXT, "rank_t"))
+    return part(W_VECTOR, rank_v) + part(W_TEXT, rank_t)
 
 
 def hybrid(candidates: DataFrame, key: str, vector: str, text: str, category: str, brand: str, query: list[float], residual: str, returned: int = RETURNED) -> DataFrame:
@@ -103,9 +144,7 @@ def hybrid(candidates: DataFrame, key: str, vector: str, text: str, category: st
     ``candidates`` are the rows behind the hard filters; rows without a vector aren't searched. Without terms in the
     residual text the text leg is left out.
     """
-    found = candidates.where(F.col(vector).isNotNull())
-    fused = fuse(vector_leg(found, vector, key, query, brand=brand), text_leg(found, text, key, query_terms(residual)), key)
-    named = fused.join(found.select(key, category, brand), key)
+    named = both_legs(candidates, key, vector, text, [category, brand], brand, query, residual).withColumn("score", rrf())
     return diversify(named, category, brand, [F.desc("score"), F.col("rank_v").asc_nulls_last(), F.col("rank_t").asc_nulls_last(), F.col(key)], returned)
 
 

@@ -33,3 +33,14 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 def cost_sum(a: Column, b: Column) -> Column:
     """A null counts as zero, but null if both are."""
     return F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+
+
+def log_rows(searches: DataFrame, found_category: Column, found: Column, tokens: dict[str, Column]) -> DataFrame:
+    """The rows to append to the search log: all searches but those whose category wasn't found, with results, zero and the token counts."""
+    rows = searches.where(F.coalesce(found_category, F.lit(True)))
+    return rows.withColumns({"results": found.cast("long"), "zero": found == 0} | tokens)
+
+
+def append_log(rows: DataFrame, path: str, day: str) -> None:
+    """Appends to the log, a folder a day, so that a day's panel reads that folder alone."""
+    rows.write.mode("append").partitionBy(day).parquet(path)

@@ -62,8 +62,34 @@ def diverse_pick(df: DataFrame, combo: list[str], shuffled: list[Column], first:
 
 
 def sample_per_group(df: DataFrame, group: list[str], key: str, n: int, seed: int = 1) -> DataFrame:
-    """n rows of each group in the order of a seeded hash of the key; reruns agree."""
-    return cap_per_group(df, group, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], n)
+    """n rows of each group in the order of the md5 of seed and key; reruns agree."""
+    return cap_per_group(df, group, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)], n)
+
+
+def clamped_page(df: DataFrame, order: list[Column], page, size: int = 48) -> tuple[int, int, DataFrame]:
+    """(rows in all, number of the page, its rows): a page beyond the last is the last, one before the first the first."""
+    total = df.count()
+    wanted, _ = page_bounds(page, size, most=size)
+    page = min(wanted // size + 1, max(1, -(-total // size)))
+    return total, page, df.orderBy(*order).offset((page - 1) * size).limit(size)
+
+
+def resorted(pool: DataFrame, price: str, key: str, descending: bool) -> DataFrame:
+    """A returned pool, which is small, by price, rows without one last either way; adds place from 1."""
+    order = F.col(price).desc_nulls_last() if descending else F.col(price).asc_nulls_last()
+    return pool.withColumn("place", F.row_number().over(Window.orderBy(order, key)).cast("long"))
+
+
+def cap_protecting(df: DataFrame, protected: Column, order: list[Column], most: int) -> DataFrame:
+    """At most ``most`` rows, protected ones before others, each by ``order``."""
+    return df.orderBy(F.when(protected, 0).otherwise(1), *order).limit(most)
+
+
+def featured(df: DataFrame, brand: str, newest: list[Column], cap: int, offset: int, limit: int) -> DataFrame:
+    """A page of the featured listing: each brand's newest, cut to ``cap``, in the order of newness, then one brand after the other; adds rn and bp."""
+    capped = cap_per_group(df, [brand], newest, cap, "__r").drop("__r")
+    queue = capped.withColumn("pos", F.row_number().over(Window.orderBy(*newest)).cast("long"))  # ``cap`` rows a brand at most
+    return round_robin(queue, brand, "pos").orderBy("rn", "bp").offset(offset).limit(limit)
 
 
 def coverage_top_up(picked: DataFrame, pool: DataFrame, key: str, group: str, least: int, order: list[Column]) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.scalars import canonical_size, size_spellings
 from quarrymill.operators import enrich, facets, predicates, search, topk, tree
 
 FEATURED_CAP = 10
+#: Orders of the menu, and what the featured listing shows; fixed values.
+GENDER_ORDER = ["Men", "Women", "Boys", "Girls", "Unisex"]
+BRANCH_ORDER = ["Eastern", "Western", "Accessories", "Fragrance & Beauty"]
+SUB_ORDERS = {"Eastern": ["Unstitched", "Semi-Stitched", "Stitched"], "Western": ["Upperwear", "Bottomwear", "Suits & Sets", "Formalwear", "Footwear"]}
+FEATURED_GENDERS, FEATURED_BRANCHES = ["Men", "Women", "Unisex"], ["Western", "Eastern"]
 
 
 @dataclass
@@ -40,6 +45,7 @@ class Request:
     max_price: object = None
     out_of_stock: bool = False
     sort: str | None = None
+    exclude: list[int] = field(default_factory=list)  # ids that the featured listing leaves out
     page: object = 1
     page_size: object = 24
 
@@ -98,9 +104,22 @@ def _cards(c: Catalog, ids: DataFrame) -> DataFrame:
     return named.select(F.col("id").cast("string").alias("id"), "title", "brand", F.col("current_price").alias("price"), shown.alias("compare_at"), "any_available", "image", "place")
 
 
+def shop_request(r: Request) -> Request:
+    """The request that the shop's page sends: sizes count only where a leaf category is chosen."""
+    return r if r.category else replace(r, sizes=[])
+
+
 def list_products(c: Catalog, r: Request) -> tuple[int, DataFrame]:
-    """(number of products behind the filters, the page with place from 0). 'featured' caps each brand's newest and turns between brands; no sort interleaves them."""
+    """(number of products behind the filters, the page with place from 0). No sort interleaves the brands.
+
+    'featured' shows adult clothes without the excluded ids: each brand's newest, capped, brands in turn; its total is
+    the number before the cap.
+    """
     rows = refine(c, r)
+    if r.sort == "featured":
+        shown = tree.branches_of(tree.closure(c.categories), c.categories, FEATURED_GENDERS, FEATURED_BRANCHES)
+        rows = rows.join(shown.select(F.col("id").alias("category_id")), "category_id", "left_semi")
+        rows = rows.where(~F.col("id").isin(r.exclude)) if r.exclude else rows
     total = rows.count()
     offset, limit = topk.page_bounds(r.page, r.page_size)
     narrow = rows.select("id", "brand_id", "first_seen_at")
@@ -109,32 +128,36 @@ def list_products(c: Catalog, r: Request) -> tuple[int, DataFrame]:
         page = topk.interleave(narrow, "brand_id", newest, offset, limit)
         order = [F.col("rn"), F.col("brand_id")]
     elif r.sort == "featured":
-        capped = topk.cap_per_group(narrow, ["brand_id"], newest, FEATURED_CAP, "__r")
-        from pyspark.sql import Window
-
-        capped = capped.withColumn("pos", F.row_number().over(Window.orderBy(*newest)).cast("long"))  # ten a brand at most
-        page = topk.round_robin(capped, "brand_id", "pos").orderBy("rn", "bp").offset(offset).limit(limit)
+        page = topk.featured(narrow, "brand_id", newest, FEATURED_CAP, offset, limit)
         order = [F.col("rn"), F.col("bp")]
     else:
         least = c.variants.groupBy(F.col("product_id").alias("id")).agg(F.min("current_price").alias("price"))
         order = topk.listing_order(r.sort, "price", "first_seen_at", "id")
         page = narrow.join(least, "id", "left").orderBy(*order).offset(offset).limit(limit)
-    from pyspark.sql import Window
-
     placed = page.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1).select("id", "place")
     return total, _cards(c, placed).orderBy("place")
 
 
 def product_detail(c: Catalog, product_id: int) -> DataFrame:
-    """One row: the product, its path, images in order, variants in order, availability by colour and size; none for a hidden or unknown id."""
+    """One row: the product with brand, path, cheapest price, images and variants in order, availability by colour and size, and for each colour its first image; none for a hidden or unknown id.
+
+    ``variants`` of the catalog may have an image_url; without that column colours have no image.
+    """
     one = _visible(c).where(F.col("id") == product_id)
     v, i = c.variants.where(F.col("product_id") == product_id), c.images.where(F.col("product_id") == product_id)
+    v = v if "image_url" in v.columns else v.withColumn("image_url", F.lit(None).cast("string"))
     maps = enrich.availability_maps(v.where("color is not null and size_label is not null"), "product_id", "color", "size_label", F.col("current_available"))
+    cards = enrich.color_cards(v, "product_id", "color", F.col("current_available"), F.col("image_url"), ["id"])
+    best = enrich.cheapest_child(v, "product_id", "current_price", ["current_price", "current_compare_at"], ["id"], F.col("current_available"))
     rows = v.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("id", "color", "size_label", "current_price", "current_available"))).alias("variants"))
     pics = i.groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]).alias("images"))
     path = tree.paths(tree.closure(c.categories), c.categories).select(F.col("id").alias("category_id"), "path")
-    out = one.withColumn("product_id", F.col("id")).join(rows, "product_id", "left").join(pics, "product_id", "left").join(maps, "product_id", "left").join(path, "category_id", "left")
-    return out.select("id", "title", "path", "variants", "images", "by_color")
+    out = one.withColumn("product_id", F.col("id"))
+    for side in (rows, pics, maps, cards, best):
+        out = out.join(side, "product_id", "left")
+    out = out.join(path, "category_id", "left").join(c.brands.select(F.col("id").alias("brand_id"), F.col("name").alias("brand")), "brand_id", "left")
+    shown = F.when(F.col("current_compare_at") > F.col("current_price"), F.col("current_compare_at"))
+    return out.select("id", "title", "brand", "path", F.col("current_price").alias("price"), shown.alias("compare_at"), "any_available", "variants", "images", "by_color", "cards")
 
 
 def taxonomy(c: Catalog, r: Request) -> dict[str, DataFrame]:
@@ -143,7 +166,7 @@ def taxonomy(c: Catalog, r: Request) -> dict[str, DataFrame]:
     v = c.variants.where("current_available").join(rows.select(F.col("id").alias("product_id")), "product_id", "left_semi")
     counts = facets.counts(rows, "category_id")
     return {
-        "menu": tree.menu(tree.closure(c.categories), c.categories, counts, "category_id", "n"),
+        "menu": tree.menu(tree.closure(c.categories), c.categories, counts, "category_id", "n", GENDER_ORDER, BRANCH_ORDER, SUB_ORDERS),
         "brands": facets.counts(rows, "brand_id").join(c.brands.select(F.col("id").alias("brand_id"), "name"), "brand_id").orderBy(F.desc("n"), "name"),
         "sizes": facets.merged_counts(v, "size_label", canonical_size(F.col("size_label")), "product_id", False, 16),
         "colors": facets.distinct_counts(v, "color", "product_id").orderBy(F.desc("n"), "color").limit(12),
@@ -157,8 +180,26 @@ def brands(c: Catalog) -> DataFrame:
     return facets.counts_with_zeros(c.brands, "id", _visible(c), "brand_id").orderBy("name")
 
 
-def search_products(c: Catalog, r: Request, query_vector: list[float], residual: str) -> DataFrame:
-    """Hybrid search behind the hard filters: always in stock, colours whatever their case, an unknown brand is dropped."""
-    rows = refine(c, r, fold_colors=True, unresolved="drop").withColumn("searched", F.concat_ws(" ", "title", "description"))
-    found = search.hybrid(rows, "id", "embedding", "searched", "category_id", "brand_id", query_vector, residual)
+def _searched(c: Catalog, r: Request, override: str | None) -> DataFrame:
+    """The candidates of a search: always in stock, colours whatever their case, an unknown brand is dropped; an override of the gender counts only if it is one of the known ones."""
+    r = replace(r, gender=override) if override in GENDER_ORDER else r
+    return refine(c, r, fold_colors=True, unresolved="drop").withColumn("searched", F.concat_ws(" ", "title", "description"))
+
+
+def search_products(c: Catalog, r: Request, query_vector: list[float], residual: str, override: str | None = None) -> DataFrame:
+    """Hybrid search behind the hard filters: the answer's cards in order."""
+    found = search.hybrid(_searched(c, r, override), "id", "embedding", "searched", "category_id", "brand_id", query_vector, residual)
     return _cards(c, found.select("id", "place")).orderBy("place")
+
+
+def search_debug(c: Catalog, r: Request, query_vector: list[float], residual: str, override: str | None = None) -> DataFrame:
+    """Both legs' ranks and the fused score of every row that either leg found, best first."""
+    legs = search.both_legs(_searched(c, r, override), "id", "embedding", "searched", ["title"], "brand_id", query_vector, residual)
+    return legs.withColumn("score", search.rrf()).orderBy(F.desc("score"), "id")
+
+
+def search_log(answer: DataFrame, query: str, r: Request, category_found: bool, at: object) -> DataFrame | None:
+    """The log's row for a search: at, query, gender, results, zero; None where the wanted category wasn't found, as such searches aren't logged."""
+    if not category_found:
+        return None
+    return answer.agg(F.count("*").alias("results")).select(F.lit(at).alias("at"), F.lit(query).alias("query"), F.lit(r.gender).cast("string").alias("gender"), "results", (F.col("results") == 0).alias("zero"))

@@ -63,3 +63,30 @@ def reclassified(feed: DataFrame, state: DataFrame, leaves: DataFrame) -> DataFr
     seen, _ = placed(feed, leaves)
     met = seen.select(*KEY, F.col("category_id").alias("fresh")).join(state.select(*KEY, "category_id"), KEY)
     return met.where(~F.col("fresh").eqNullSafe(F.col("category_id"))).select(*KEY, F.col("fresh").alias("category_id"))
+
+
+def run(tier: str, state: DataFrame, feed: DataFrame, leaves: DataFrame, runs: DataFrame, now: Column, store: str | None = None, dry_run: bool = False) -> DailyRun:
+    """One run of a tier over all stores, or one: 'daily' does everything, 'hourly' renews the offers of known products.
+
+    The rows of other stores stay as they are. A dry run classifies and counts, and its state is the old one.
+    """
+    if tier not in ("daily", "hourly"):
+        raise ValueError(f"no such tier: {tier}")
+    own = lambda df: df if store is None else df.where(F.col("store") == store)
+    if tier == "daily":
+        done = daily(own(state), own(feed), leaves, own(runs), now)
+    else:
+        good = own(runs).where("status = 'completed'").select("store")
+        before, seen = own(state), own(feed).join(good, "store", "left_semi").select(*KEY, *OFFER)
+        outcome = maintain.outcomes(before.join(seen, KEY, "left_semi"), seen.join(before, KEY, "left_semi"), KEY, OFFER)
+        done = DailyRun(hourly(before, seen), outcome, maintain.snapshots(before, seen, KEY, OFFER, now), maintain.run_counters(outcome, "store"), maintain.unknown_keys(before, seen, KEY).where("not found"))
+    rest = state.where(F.lit(False)) if store is None else state.where(~F.col("store").eqNullSafe(F.lit(store)))
+    done.state = state if dry_run else done.state.unionByName(rest, allowMissingColumns=True)
+    failed = own(runs).where("status <> 'completed'")
+    done.counters = maintain.audit(own(runs), "store", done.outcomes, {"excluded": done.excluded, "errors": failed, "variants": own(feed), "snapshots": done.history})
+    return done
+
+
+def status(runs: DataFrame) -> DataFrame:
+    """The latest run of each store: store, started_at, status."""
+    return runs.groupBy("store").agg(F.max_by(F.struct("started_at", "status"), "started_at").alias("x")).select("store", "x.*")

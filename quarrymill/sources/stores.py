@@ -64,17 +64,18 @@ def normalize_graphql(lines: DataFrame) -> DataFrame:
     )
 
 
-def variants_of(lines: DataFrame) -> DataFrame:
+def variants_of(lines: DataFrame, first_image: bool = False) -> DataFrame:
     """A row a variant of the first shape: store, native_id, variant_id, price, compare_at, available, color, size, size_system, image.
 
-    Colour and size come from the options whose names say so. The image is the last one that names the variant, else its own.
+    Colour and size come from the options whose names say so. The image is the last one that names the variant (the
+    first one with ``first_image``, as a backfill takes it), else its own.
     """
     from quarrymill.functions.scalars import clean_compare_at, forced_unavailable, option_value, parse_tags, size_system
 
     rows = lines.withColumn("p", F.from_json("raw", REST))
     out = rows.select("store", F.col("p.id").cast("string").alias("native_id"), F.transform(F.coalesce("p.options", F.array()), lambda o: o["name"]).alias("names"), F.col("p.tags").alias("tags"), F.coalesce("p.images", F.array()).alias("images"), F.explode("p.variants").alias("v"))
     values = F.slice(F.array("v.option1", "v.option2", "v.option3"), 1, F.greatest(F.size("names"), F.lit(0)))
-    own = F.try_element_at(F.filter("images", lambda i: F.array_contains(i["variant_ids"], F.col("v.id"))), F.lit(-1))["src"]
+    own = F.try_element_at(F.filter("images", lambda i: F.array_contains(i["variant_ids"], F.col("v.id"))), F.lit(1 if first_image else -1))["src"]
     size = option_value(F.col("names"), values, "size")
     out_of = forced_unavailable(parse_tags(F.coalesce("tags", F.lit(""))))
     return out.select("store", "native_id", F.col("v.id").alias("variant_id"), F.col("v.price").try_cast("decimal(10,2)").alias("price"), clean_compare_at(F.col("v.compare_at_price"), F.col("v.price")).try_cast("decimal(10,2)").alias("compare_at"), (F.coalesce("v.available", F.lit(False)) & ~out_of).alias("available"), option_value(F.col("names"), values, "color").alias("color"), size.alias("size"), size_system(size).alias("size_system"), F.coalesce(own, F.col("v.featured_image.src")).alias("image"))

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import math
 import random
 from collections import deque
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,12 +54,17 @@ def test_filters(cat):
     assert n(colors=["red"]) == 0 and n(colors=["Red"]) == 7
     assert n(sizes=["L"]) == 5 and n(sizes=["L"], colors=["Red"]) == 5
     assert n(on_sale=True) == 3 and n(q="SHIRT 1") == 1 and n(min_price=95, max_price=96.5) == 2 and n(min_price="x") == 7
+    assert n(min_price="95", max_price=" 96.5 ") == 2 and n(min_price="nan", max_price="inf") == 7 and n(min_price=True) == 7
+    assert api.shop_request(api.Request(sizes=["L"])).sizes == [] and api.shop_request(api.Request(sizes=["L"], category="Shirt")).sizes == ["L"]
 
 
 def test_detail_brands_taxonomy(cat):
     one = api.product_detail(cat, 1).first()
     assert one.path == "Men > Western > Upperwear > Shirt" and one.images == ["u1-1", "u1-2"] and one.by_color["Red"]["M"]
+    assert one.brand == "Beta" and one.price == 91.0 and one.compare_at is None and one.any_available and one.cards["Red"].available and one.cards["Red"].image is None
     assert api.product_detail(cat, 3).count() == 0
+    pictured = replace(cat, variants=cat.variants.withColumn("image_url", F.when(F.col("color") == "Red", F.concat(F.lit("p"), "id"))))
+    assert api.product_detail(pictured, 1).first().cards["Red"].image == "p10"
     assert [(r.name, r.n) for r in api.brands(cat).collect()] == [("Alpha", 4), ("Beta", 4), ("None", 0)]
     t = api.taxonomy(cat, api.Request(brand="zzz"))
     assert t["total"].first().n == 7 and {r["name"]: r.total for r in t["menu"].collect()} == {"Men": 4, "Women": 3}
@@ -68,6 +75,38 @@ def test_search(cat):
     found = api.search_products(cat, api.Request(colors=["RED"], brand="zzz"), [0.0, 1.0], "a cotton thing").collect()
     assert sorted(int(r.id) for r in found) == [1, 2, 5, 6, 7, 8]  # 4 has no vector
     assert int(found[0].id) in (1, 5, 7)
+    debug = {r.id: r for r in api.search_debug(cat, api.Request(colors=["RED"]), [0.0, 1.0], "a cotton thing").collect()}
+    assert set(debug) == {1, 2, 5, 6, 7, 8} and debug[1].rank_t is not None and debug[2].rank_t is None and all(r.rank_v for r in debug.values())
+    men = api.search_products(cat, api.Request(), [0.0, 1.0], "shirt", override="Men")
+    assert {int(r.id) for r in men.collect()} == {1, 2, 5} and api.search_products(cat, api.Request(), [0.0, 1.0], "shirt", override="nobody").count() == 6
+    row = api.search_log(men, "shirt", api.Request(gender="Men"), True, "2024-01-01").first()
+    assert (row.results, row.zero, row.gender) == (3, False, "Men") and api.search_log(men, "x", api.Request(), False, "2024-01-01") is None
+
+
+def test_featured_shows_adult_clothes_without_the_excluded(cat, spark):
+    more = cat.categories.unionByName(spark.createDataFrame([(20, 1, "Accessories"), (21, 20, "Belt"), (30, None, "Boys"), (31, 30, "Western")], cat.categories.schema))
+    moved = cat.products.withColumn("category_id", F.when(F.col("id") == 8, 21).when(F.col("id") == 7, 31).otherwise(F.col("category_id")))
+    shop = replace(cat, categories=more, products=moved)
+    assert api.list_products(shop, api.Request())[0] == 7
+    total, page = api.list_products(shop, api.Request(sort="featured", exclude=[6]))
+    assert total == 4 and ids(page) == [5, 4, 1, 2]
+
+
+def test_menu_orders(spark):
+    nodes = [(1, None, "Men"), (2, None, "Women"), (3, None, "Cargo"), (10, 1, "Western"), (11, 1, "Eastern"), (12, 1, "Accessories"), (20, 10, "Footwear"), (21, 10, "Upperwear"), (22, 10, "Other"), (30, 20, "Shoes"), (31, 21, "Polo"), (32, 21, "Shirt"), (33, 22, "Thing"), (40, 11, "Stitched"), (41, 40, "Kurta"), (50, 12, "Belt"), (51, 12, "Cap")]
+    tree_ = spark.createDataFrame(nodes, "id long, parent_id long, name string")
+    counts = spark.createDataFrame([(30, 5), (31, 1), (33, 2), (41, 3), (50, 9), (3, 4)], "k long, n long")
+    got = {r["name"]: r for r in tree.menu(tree.closure(tree_), tree_, counts, "k", "n", api.GENDER_ORDER, api.BRANCH_ORDER, api.SUB_ORDERS).collect()}
+    assert set(got) == {"Men"}  # Women has no rows, Cargo isn't in the order
+    assert [(c["name"], c.total) for c in got["Men"]["columns"]] == [("Eastern", 3), ("Western", 8), ("Accessories", 9)]
+    west, acc = got["Men"]["columns"][1], got["Men"]["columns"][2]
+    assert [(x["name"], x.total, [y["name"] for y in x.leaves]) for x in west.subs] == [("Upperwear", 1, ["Polo"]), ("Footwear", 5, ["Shoes"]), ("Other", 2, ["Thing"])] and west.leaves is None
+    assert acc.subs is None and [y["name"] for y in acc.leaves] == ["Belt"]
+    free = tree.menu(tree.closure(tree_), tree_, counts, "k", "n").orderBy("place").collect()
+    assert [r["name"] for r in free] == ["Men", "Cargo"] and [c["name"] for c in free[0]["columns"]] == ["Accessories", "Western", "Eastern"]
+    menus = tree.menu(tree.closure(tree_), tree_, counts, "k", "n", api.GENDER_ORDER, api.BRANCH_ORDER, api.SUB_ORDERS)
+    assert [r["name"] for r in tree.siblings(menus, "Men", "Western", "Polo").collect()] == ["Polo"]
+    assert {r["name"] for r in tree.siblings(menus, "Men", "Western").collect()} == {"Polo", "Shoes", "Thing"}
 
 
 def test_diversify_is_the_queues_order(spark):
@@ -148,6 +187,67 @@ def test_streams(spark, tmp_path):
     assert sum(r.allowed for r in limited if r.k == "a") == 5
 
 
+def test_limiter_sorts_all_chunks_of_a_trigger(spark, tmp_path):
+    """A key's rows of one trigger come in many small chunks and in no order; the limit is that of their order in time."""
+    rng = random.Random(6)
+    times = [rng.randrange(3 * 86_400) for _ in range(300)]
+    spark.createDataFrame([("a", D + dt.timedelta(seconds=t)) for t in times], "k string, ts timestamp").repartition(5).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = live.limit_rate_stream(spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in")), "k", "ts", 2, 20)
+        q = df.writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hits: deque = deque()
+    assert sum(r.allowed for r in spark.table("chunks").collect()) == sum(live.admit(hits, t, 2, 20) for t in sorted(times))
+
+
+def test_changes_to_history_go_from_version_to_version(spark, tmp_path):
+    """Each batch meets the state that the one before left; new keys enter; a batch that runs again gives the same."""
+    state, history = str(tmp_path / "state"), str(tmp_path / "history")
+    schema = "k int, p double, at timestamp"
+    spark.createDataFrame([(1, 5.0), (2, 6.0)], "k int, p double").write.parquet(f"{state}/version=0")
+    batches = [[(1, 5.5, D), (1, 5.7, D + dt.timedelta(hours=1)), (3, 1.0, D)], [(1, 5.7, D + dt.timedelta(hours=2)), (3, 2.0, D + dt.timedelta(hours=2))], [(2, 7.0, D + dt.timedelta(hours=3))]]
+    for i, rows in enumerate(batches):
+        for _ in range(2 if i == 1 else 1):
+            live.changes_to_history(spark.createDataFrame(rows, schema), i, state, history, ["k"], ["p"], "at")
+    told = sorted((r.k, r.p, r.observed_at) for r in spark.read.parquet(history).collect())
+    assert told == [(1, 5.7, D + dt.timedelta(hours=1)), (2, 7.0, D + dt.timedelta(hours=3)), (3, 2.0, D + dt.timedelta(hours=2))]
+    assert sorted((r.k, r.p) for r in live.latest_state(spark, state, 99).collect()) == [(1, 5.7), (2, 7.0), (3, 2.0)]
+
+
+def test_first_spelling_stands(spark):
+    old = spark.createDataFrame([(7, "Blue")], "id long, name string")
+    names = spark.createDataFrame([(3, "RED"), (1, "Red "), (2, " blue"), (4, "Teal"), (0, None), (5, "teal")], "at int, name string")
+    got = maintain.assign_ids(old, names, "name", F.lower(F.trim("name")), ["at"]).collect()
+    assert sorted((r.id, r.name) for r in got) == [(8, "Red"), (9, "Teal")]
+
+
+def test_email_and_size_rules(spark):
+    from quarrymill.functions import scalars
+
+    cases = {"a@b.c": True, " a@b.c ": True, "a@b.": False, "a@.b": False, "a@.b.c": True, "a@b": False, "@b.c": False, "a@b@c.d": False, "a b@c.d": False, "": False, None: False, "a@..": False, "a@...": True, "x" * 250 + "@b.c": True, "x" * 251 + "@b.c": False}
+    rows = spark.createDataFrame([(k,) for k in cases], "a string").select("a", scalars.valid_email(F.col("a")).alias("ok")).collect()
+    assert {r.a: r.ok for r in rows} == cases
+    sizes = {"2-3Y": "kids_age_years", "12y": "kids_age_years", "50 ML": "volume_ml", "32": "waist_inches", " OS ": "one_size", "-": "one_size", "M": "alpha", "": "none", None: "none", "5-6": "alpha"}
+    rows = spark.createDataFrame([(k,) for k in sizes], "a string").select("a", scalars.size_system(F.col("a")).alias("s")).collect()
+    assert {r.a: r.s for r in rows} == sizes
+
+
+def test_bm25_with_stems_and_null_texts(spark):
+    from quarrymill.operators import search
+
+    rows = spark.createDataFrame([(1, "walking dogs"), (2, "a walked dog dog"), (3, None), (4, "cats")], "i int, t string")
+    plain = {r.i: r.text_score for r in search.text_leg(rows, "t", "i", ["dog"], bm25=True).collect()}
+    assert set(plain) == {2}
+    stemmed = search.text_leg(rows, "t", "i", ["walks", "dog"], bm25=True, stemmed=True).orderBy("rank_t").collect()
+    assert [r.i for r in stemmed] == [1, 2]
+    idf = lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
+    want = sum(idf(2) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * 4 / (7 / 4))) for f in (1, 2))
+    assert abs(stemmed[1].text_score - want) < 1e-9 and stemmed[1].t == "a walked dog dog"
+
+
 def test_feeds(spark, tmp_path):
     rest = {"id": 1, "title": "T", "handle": "t", "vendor": "V", "product_type": "P", "body_html": "<p>a  b</p>", "tags": "x, Cart-Hide", "options": [{"name": "Color", "values": ["Red"]}, {"name": "Size", "values": ["2-3Y"]}], "variants": [{"id": 7, "price": "10.00", "compare_at_price": "12.00", "available": True, "option1": "Red", "option2": "2-3Y"}, {"id": 8, "price": "bad", "compare_at_price": "0.00", "available": False, "option1": "Red", "option2": "M"}], "images": [{"src": "a", "variant_ids": [7]}, {"src": "b", "variant_ids": [7]}]}
     gql = {"id": "g1", "title": "G", "handle": "g", "productType": "P", "vendor": "V", "descriptionHtml": "<b>x</b>", "tags": ["t"], "priceRange": {"minVariantPrice": {"amount": "5.5"}}, "images": {"edges": [{"node": {"url": "i"}}]}, "variants": {"edges": [{"node": {"id": "v", "availableForSale": True}}]}}
@@ -160,6 +260,7 @@ def test_feeds(spark, tmp_path):
     b = stores.normalize_graphql(lines.where("store = 'two'")).first()
     assert (b.native_id, float(b.price), b.compare_at, b.available, b.images) == ("g1", 5.5, None, True, ["i"])
     v = {r.variant_id: r for r in stores.variants_of(lines.where("store = 'one'")).collect()}
+    assert {r.variant_id: r.image for r in stores.variants_of(lines.where("store = 'one'"), first_image=True).collect()}[7] == "a"
     assert v[7].color == "Red" and v[7].size_system == "kids_age_years" and v[7].image == "b" and not v[7].available and v[8].price is None
 
 
@@ -173,6 +274,16 @@ def test_paged_reading(spark):
     assert stores.with_retries(lambda: next(answers), sleep=waits.append) == "ok" and waits == [300.0, 2.0]
     with pytest.raises(RuntimeError):
         stores.with_retries(lambda: (404, {}, None), sleep=waits.append)
+    now, slept = [0.0], []
+    call = stores.paced(lambda p: p, 3.0, clock=lambda: now[0], sleep=lambda x: (slept.append(x), now.__setitem__(0, now[0] + x)))
+    assert [call(1), call(2)] == [1, 2] and slept == [3.0]
+    now[0] += 10
+    assert call(3) == 3 and slept == [3.0]  # one pause a request, none if time has passed
+    pages = {1: list(range(250)), 2: [250]}
+    assert len(list(stores.rest_pages(stores.paced(pages.get, 3.0, clock=lambda: now[0], sleep=slept.append), 250))) == 251 and slept == [3.0, 3.0]
+    with pytest.raises(RuntimeError):
+        stores.with_token(lambda token, cursor: {}, None)
+    assert stores.with_token(lambda token, cursor: {"t": token, "c": cursor}, "x")("y") == {"t": "x", "c": "y"}
     spark.dataSource.register(stores.store_source(lambda name: ({"id": i, "of": name} for i in range(3))))
     rows = spark.read.format("stores").option("stores", "a,b").load().collect()
     assert len(rows) == 6 and {r.store for r in rows} == {"a", "b"}

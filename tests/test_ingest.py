@@ -34,6 +34,27 @@ def test_daily(spark):
     assert {(r.store, r.products_updated, r.products_removed) for r in then.counters.collect()} == {("a", 1, 1)}
 
 
+def test_runs_of_a_tier_or_a_store(spark):
+    leaves = spark.createDataFrame([("Men", "Western", "Upperwear", "Polo", 6)], "gender string, branch string, sub string, leaf string, category_id int")
+    runs = spark.createDataFrame([("a", "2024-01-01", "completed"), ("b", "2024-01-01", "completed"), ("c", "2024-01-01", "failed")], "store string, started_at string, status string")
+    empty = spark.createDataFrame([], "store string, native_id string, title string, description string, category_id int, price double, compare_at double, available boolean, first_seen string, last_seen string, is_active boolean")
+    one = feed(spark, [("a", "1", "Polo", "Men", 5.0, True), ("a", "3", "Gift Card", "", 7.0, True), ("b", "1", "Polo", "Boys", 8.0, True)])
+    dry = ingest.run("daily", empty, one, leaves, runs, F.lit("2024-01-01"), dry_run=True)
+    assert dry.state.count() == 0
+    counted = {r.store: r.asDict() for r in dry.counters.collect()}
+    assert counted["a"] == {"store": "a", "products_new": 1, "products_updated": 0, "products_unchanged": 0, "products_removed": 0, "excluded": 1, "errors": 0, "variants": 2, "snapshots": 0}
+    assert counted["c"]["errors"] == 1 and counted["c"]["products_new"] == 0
+    state = ingest.run("daily", empty, one, leaves, runs, F.lit("2024-01-01")).state.cache()
+    assert state.count() == 2
+    two = feed(spark, [("a", "1", "Polo", "Men", 4.0, True), ("b", "1", "Polo", "Boys", 9.0, False), ("b", "2", "Polo", "Boys", 9.0, True)])
+    just_a = ingest.run("daily", state, two, leaves, runs, F.lit("2024-01-02"), store="a")
+    assert {(r.store, r.native_id): r.price for r in just_a.state.collect()} == {("a", "1"): 4.0, ("b", "1"): 8.0}
+    hourly = ingest.run("hourly", state, two, leaves, runs, F.lit("2024-01-02"))
+    assert {(r.store, r.native_id): (r.price, r.available) for r in hourly.state.collect()} == {("a", "1"): (4.0, True), ("b", "1"): (9.0, False)}
+    assert [(r.store, r.native_id) for r in hourly.excluded.collect()] == [("b", "2")]  # asked for, not found
+    assert {(r.store, r.status) for r in ingest.status(runs).collect()} == {("a", "completed"), ("b", "completed"), ("c", "failed")}
+
+
 def test_names_are_resolved_under_each_root(spark):
     nodes = spark.createDataFrame([(1, None, "Men"), (2, None, "Women"), (3, 1, "Western"), (4, 3, "Shirt"), (5, 3, "Polo"), (7, 2, "Western"), (8, 7, "Shirt")], "id long, parent_id long, name string")
     closed = tree.closure(nodes)
