@@ -16,7 +16,8 @@ in different families every pair is counted, in blocks of bounded size that tell
 each family is resolved on full sets. Families of up to ``BLOCK`` classes
 (and ``BLOCK_SHINGLES`` hashes) are one block, in which every pair is compared. In a larger one all members are first compared with a few drawn members; the largest component that gives needs no
 comparison within itself, and the rest is compared with it and with itself, block by block. So every pair of a family
-that isn't already connected is compared on full sets, no cap drops a partner, and no group meets in one task.
+that isn't already connected is compared on full sets, no cap drops a partner, and no group meets in one task: joins on
+a posting, or on the smallest member of a family, deal the rows of hot keys in parts (``split_join``).
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # members and hashes of a part; a block
 DRAWN = 3
 #: Families' members (two longs each) up to this number, 32 MB, are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: A key is hot with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all: there are at most so many, few enough to broadcast.
+HOT_ROWS, HOT_KEYS = 400, 10_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -110,25 +113,43 @@ def set_rows(docs: DataFrame, words_each: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "family"), run, "node long, family long, members array<long>")
 
 
+def hot_keys(counted: DataFrame, key: str, total: int) -> DataFrame:
+    """key, parts of the hot keys, of a table (key, n) of ``total`` rows in all: in so many parts none is hot."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    return written(counted.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot")
+
+
+def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``one`` (a row a key), the rows of hot keys in parts by a hash of ``by``, to each of which ``one`` gives its row."""
+    near = F.broadcast(hot.select(F.col(key).alias("hot_key"), "parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = big.join(near, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("hot_key", "parts")
+    right = one.join(near, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_key", "parts")
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def prefix_postings(sigs: DataFrame, least: int, coords: int) -> DataFrame:
     """post, node: each class under its rarest shared postings, all but the ``least`` - 1 most frequent of the ``coords``.
 
     A node with several classes (rows that share an id) skips none.
     """
     posts = sigs.select("node", F.posexplode("sig").alias("k", "v")).select("node", F.expr("shiftleft(k::bigint, 32) + (v::bigint & 4294967295)").alias("post"))
-    shared = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    met = posts.join(shared, "post").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("found"))  # at most coords a class
+    shared = written(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = hot_keys(shared, "post", sigs.count() * coords)
+    met = split_join(posts, shared, "post", hot, "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("found"))  # at most coords a class
     skip = F.when(F.size("found") <= coords, F.lit(least - 1)).otherwise(F.lit(0))
     met = met.where(F.size("found") >= least).select("node", F.explode(F.slice("found", F.lit(1), F.size("found") - skip)).alias("x"))
     return met.select("x.post", "node").distinct()
 
 
 def alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``least`` coordinates or more, and whose sizes allow the similarity."""
+    """The pairs (a, b), one for each b, whose signatures agree in ``least`` coordinates or more, and whose sizes allow the similarity."""
+    pairs = written(pairs, "met")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", pairs.count())  # the a of a large family
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-    met = pairs.join(left, "a").join(right, "b")
+    met = split_join(pairs.join(right, "b"), left, "a", hot, "b")
     return met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).where(agree >= least).select("a", "b").distinct()
 
 
@@ -140,11 +161,12 @@ def components(edges: DataFrame) -> DataFrame:
     unchanged sum ends the rounds, and no edge or label goes to the driver.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    hot = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
     total = lambda t: t.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     was = total(now)
     while was is not None:
-        heard = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        heard = split_join(both, now.select(F.col("node").alias("b"), "label"), "b", hot, "a").groupBy("a").agg(F.min("label").alias("m"))
         fell = now.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"))
         jumped = fell.join(fell.select(F.col("node").alias("up"), F.col("label").alias("m")), F.col("label") == F.col("up")).select("node", "m").withColumnRenamed("m", "label")
         now = written(jumped, "labels")
@@ -172,12 +194,12 @@ def often_met(met: DataFrame) -> DataFrame:
     return count.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed(posts: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     """post, node, label, n of the postings whose members lie in different components."""
     own = labels.select(F.col("node").alias("l2"), "label")
     named = posts.join(own, F.col("node") == F.col("l2"), "left").select("post", "node", F.coalesce("label", "node").alias("label"))
     open_ = named.groupBy("post").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("post", "n")
-    return named.join(open_, "post")
+    return split_join(named, open_, "post", hot, "node")
 
 
 def spanning(node: np.ndarray, label: np.ndarray, rows: np.ndarray, cols: np.ndarray, links) -> list[tuple[int, int]]:
@@ -253,13 +275,14 @@ def counted_blocks(members: DataFrame, sigs: DataFrame, least: int, coords: int)
 
 def families(sigs: DataFrame, posts: DataFrame, least: int, coords: int) -> DataFrame:
     """node, label: the connected components of the candidate pairs."""
-    first = posts.groupBy("post").agg(F.min("node").alias("a")).join(posts, "post").select("a", F.col("node").alias("b"))
+    hot = hot_keys(posts.groupBy("post").agg(F.count("*").alias("n")), "post", posts.count())
+    first = split_join(posts, posts.groupBy("post").agg(F.min("node").alias("a")), "post", hot, "node").select("a", F.col("node").alias("b"))
     labels = components(written(alike(often_met(first), sigs, least), "pairs"))
-    left = written(mixed(posts, labels), "mixed")
+    left = written(mixed(posts, labels, hot), "mixed")
     drawn = left.groupBy("post").agg(F.min_by(F.struct("node", "label"), F.xxhash64("post", "node")).alias("x")).select("post", F.col("x.node").alias("a"), F.col("x.label").alias("la"))
-    met = left.join(drawn, "post").where("label <> la").select("a", F.col("node").alias("b"))
+    met = split_join(left, drawn, "post", hot, "node").where("label <> la").select("a", F.col("node").alias("b"))
     labels = relabel(labels, written(alike(often_met(met), sigs, least), "pairs"))
-    return relabel(labels, written(counted_blocks(mixed(posts, labels), sigs, least, coords), "pairs"))
+    return relabel(labels, written(counted_blocks(mixed(posts, labels, hot), sigs, least, coords), "pairs"))
 
 
 def compare_block(block: pa.Table) -> list[tuple[int, int]]:

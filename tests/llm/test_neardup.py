@@ -62,6 +62,28 @@ def test_large_groups_of_near_copies(spark, monkeypatch, block):
     assert got(neardup.near_duplicates(docs, 2)) == brute(rows, 2)
 
 
+def test_hot_keys_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 10)
+    rows = [(k, i) for k, n in ((1, 95), (2, 10), (3, 11), (4, 1)) for i in range(n)]
+    big = spark.createDataFrame(rows, "post long, node long")
+    hot = neardup.hot_keys(big.groupBy("post").count().withColumnRenamed("count", "n"), "post", len(rows))
+    assert sorted(map(tuple, hot.collect())) == [(1, 10), (3, 2)]
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, "e")], "post long, name string")
+    got = neardup.split_join(big, one, "post", hot, "node").collect()
+    assert Counter((r.post, r.node, r.name) for r in got) == Counter((k, i, "xabc"[k]) for k, i in rows if k < 4)
+    kept = neardup.split_join(big, one, "post", hot, "node", "left")
+    assert kept.count() == len(rows) and kept.columns == ["post", "node", "name"]
+
+
+def test_groups_with_hot_keys_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 5)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0.0, 0.01, 0.03, 0.06, 0.2])))) for i in range(90)] + [(100 + i, f"other text number {i} with words {i * 7}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(neardup.near_duplicates(docs, 2)) == brute(rows, 2)
+
+
 def test_edge_cases(spark, edge, empty):
     rows = neardup.near_duplicates(edge, 2).collect()
     assert len(rows) == edge.count()
