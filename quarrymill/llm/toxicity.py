@@ -10,8 +10,9 @@ maximal scoring segments of the whole text. In clean text the score of the best
 a segment of score S in n words has lambda * S - ln(K * n) bits over chance, lambda and K from the clean documents
 learned from. A document's best segment and the sum over its significant ones enter a logistic calibration to the label.
 
-The model is fitted on at most about ``SAMPLE_DOCS`` labelled documents, drawn by a hash of their id, and has at most
-``MAX_FEATURES`` features; every document is scored whole.
+The model is fitted on at most about ``SAMPLE_DOCS`` labelled documents, drawn by a hash of their id, and has every
+feature of these that passes; every document is scored whole. Spark adds the sample up to sums, exact ones of integers,
+so that reruns agree; to the driver go these, the features that pass, and counts of equal evidence.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import crc_class, map_batches, slices, table, written
 
 SAMPLE_DOCS = 20_000
-MAX_FEATURES = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR = 20.0
 LEAST_ODDS, DRIFT = 1.0, 0.25
+UNIT = 1_000_000  # parts of a score or a logarithm in the sums
 THRESHOLD = 0.7
 _SIGNS = "".join(chr(i) for i in range(33, 128) if not chr(i).isalpha())
 
@@ -104,7 +105,8 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model, from documents and their labels (doc_id, toxic). Without both classes it scores all documents with the share of the label.
 
-    Rows with a null label teach nothing. An id with several labels counts with each.
+    Rows with a null label or id teach nothing, null texts count as empty. An id with several labels counts with each,
+    and rows that repeat count as rows. Empty tables give a model that scores every document 0.5.
     """
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("d2"), F.col("toxic").cast("long").alias("toxic"))
     every = max(1, known.count() // sample_docs)
@@ -125,37 +127,52 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     prior = PRIOR * both / (n1 + n0)
     odds = F.log((y1 + prior * share + 0.01) / (n1 + PRIOR * share)) - F.log((y0 + prior * (1 - share) + 0.01) / (n0 + PRIOR * (1 - share)))
     best = count.where("feature <> ''").withColumn("ratio", ratio).withColumn("odds", odds).where((F.col("ratio") >= 2 * math.log(tried) + 6) & (F.col("odds") >= LEAST_ODDS))
-    model["odds"] = {r["feature"]: r["odds"] for r in best.orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES).select("feature", "odds").collect()}
+    model["odds"] = {r["feature"]: r["odds"] for r in best.select("feature", "odds").collect()}
 
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the clean documents of a batch: their number, words, hits, the hits' scores, best segments and logarithms of lengths."""
         scorer = Scorer(model["odds"])
         for batch in batches:
-            rows = []
+            out = [0] * 6
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text or "")
-                found = scorer.hits(words)
-                rows.append((toxic, len(words), len(found), sum(s for _, s in found), [s for _, _, s in segments(found)]))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["toxic", "n", "hits", "total", "segments"])
-
-    rows = map_batches(sample, stats, "toxic long, n long, hits long, total double, segments array<double>").orderBy("toxic", "n", "hits", "total").collect()  # numbers of the bounded sample
-    clean = [r for r in rows if not r["toxic"]]
-    words, hits = sum(r["n"] for r in clean) + 1, sum(r["hits"] for r in clean) + 0.5
-    mean = (sum(r["total"] for r in clean) + 0.5 * 5) / hits
+                if not toxic:
+                    words = words_of(text or "")
+                    found = scorer.hits(words)
+                    top = max((s for _, _, s in segments(found)), default=0.0)
+                    for k, v in enumerate((1, len(words), len(found), sum(round(s * UNIT) for _, s in found), round(top * UNIT), round(math.log(max(len(words), 1)) * UNIT))):
+                        out[k] += v
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in out], names=["docs", "words", "hits", "total", "best", "logs"])
+
+    names = ("docs", "words", "hits", "total", "best", "logs")
+    clean = map_batches(sample, sums, ", ".join(f"{x} long" for x in names)).agg(*[F.sum(x).alias(x) for x in names]).first()
+    words, hits = clean["words"] + 1, clean["hits"] + 0.5
+    mean = (clean["total"] / UNIT + 0.5 * 5) / hits
     lo, hi = 1e-3, 20.0
     for _ in range(80):  # the positive root of E exp(lambda * score) = 1
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if hits / words * math.exp(min(600, mid * mean)) + (1 - hits / words) * math.exp(-mid * DRIFT) < 1 else (lo, mid)
-    model["lam"] = lam = lo
-    excess = np.mean([lam * max(r["segments"], default=0.0) - math.log(max(r["n"], 1)) for r in clean])
+    model["lam"] = lo
+    excess = (lo * clean["best"] - clean["logs"]) / UNIT / clean["docs"]
     model["log_k"] = float(np.clip(excess - 0.5772, -7, 0))
-    x = np.array([(*evidence(r["segments"], r["n"], model), 1.0) for r in rows])
-    y = np.array([r["toxic"] for r in rows], float)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The evidence for each document, in thousandths, and its label."""
+        scorer = Scorer(model["odds"])
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text or "")
+                rows.append((*(round(x * 1000) for x in evidence([s for _, _, s in segments(scorer.hits(words))], len(words), model)), toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["one", "two", "toxic"])
+
+    met = sorted(map(tuple, map_batches(sample, weigh, "one long, two long, toxic long").groupBy("one", "two", "toxic").agg(F.count("*").alias("n")).collect()))  # at most the sample's documents
+    x, y = np.array([(a / 1000, b / 1000, 1.0) for a, b, _, _ in met]), np.array([float(t) for _, _, t, _ in met])
+    n = np.array([float(k) for _, _, _, k in met])
     w = np.array(model["weights"])
     for _ in range(50):  # Newton steps of a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 1e-2 * w * [1, 1, 0]
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag([1e-2, 1e-2, 1e-6]), grad)
+        grad = x.T @ (n * (p - y)) + 1e-2 * w * [1, 1, 0]
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p) + 1e-9)[:, None]) + np.diag([1e-2, 1e-2, 1e-6]), grad)
         w = w - np.clip(step, -2, 2)
     model["weights"] = w.tolist()
     return model
@@ -172,7 +189,9 @@ def evidence(scores: list[float], n: int, model: dict) -> tuple[float, float]:
 def classify(docs: DataFrame, model: dict, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, passages (first and last word of each significant segment) of every row.
 
-    A null text counts as empty and has the score of no evidence; a null id stays null and isn't held out.
+    A null text counts as empty and has the score of no evidence, as every text without a scoring word of its length
+    has; a null id stays null and isn't held out. Of segments that score alike all are kept. Rows that repeat are scored
+    alike and all stay; an empty table gives no rows, other columns are not read.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("passages", pa.string())])
 
