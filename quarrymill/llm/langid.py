@@ -5,8 +5,10 @@ A text is folded (lower case, ASCII digits and signs dropped), cut into blocks,
 with each language's dictionary; the language with the smallest sum wins, ties go to the language with more documents.
 The answer is rejected (``accepted`` false) when the runner-up's sum is within ``MARGIN`` of it.
 
-The dictionaries come from a bounded sample of labelled rows: at most ``DOCS_PER_LANG`` documents a language, at most
-``EXCERPT`` characters of each, at most ``MAX_LANGS`` languages (those with most documents). Every text is classified whole.
+The dictionaries are the bounded sample of labelled rows: ``DICT_BYTES`` a language. They are filled by excerpts of
+``EXCERPT`` characters, one a document, each from a place in the whole text that a hash picks, of documents in the order
+of a hash of their id, until no more fits; every drawn excerpt is in. All languages are learned, each with a dictionary
+of its own: with very many the compressors of a worker take about 1 MB each. Every text is classified whole.
 """
 
 from __future__ import annotations
@@ -22,9 +24,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import crc_class, map_batches, slices, table
 
 DICT_BYTES = 64_000
-DOCS_PER_LANG = 400
 EXCERPT = 600
-MAX_LANGS = 256
 DRAW = 1 << 40
 LEVEL, MIN_MATCH, BLOCK = 6, 3, 2048
 MARGIN = 0.02
@@ -43,25 +43,30 @@ def fold(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_SPACE, _DROP)
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, bytes]]:
-    """(language, dictionary) of each learned language, those with most documents first.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", dict_bytes: int = DICT_BYTES, excerpt: int = EXCERPT) -> list[tuple[str, bytes]]:
+    """(language, dictionary) of each learned language, those with most documents first, ties by name.
 
-    Rows with a null text or language teach nothing. Documents are drawn by a hash of their id, so reruns agree.
+    Rows with a null text or language, or an empty text, teach nothing; an empty table gives an empty model. Documents
+    are drawn by a hash of their id, ties by id and excerpt, so reruns agree; rows that repeat are drawn as rows.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(text, 1, EXCERPT).alias("excerpt"))
-    sizes = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    langs = [x for x, _ in sizes]
-    if not langs:
+    size = F.char_length(F.col(text))
+    # a long text's excerpt starts anywhere in it, a short one's at its start
+    start = F.when(size > excerpt, F.pmod(F.xxhash64(F.col(key), F.lit("start")), size - excerpt + 1)).otherwise(0)
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (size > 0)).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), (start + 1).cast("int"), F.lit(excerpt)).alias("excerpt"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.octet_length("excerpt")).alias("bytes")).orderBy(F.desc("n"), "lang").collect()  # a row a language
+    if not found:
         return []
-    # a hash lets about twice the wanted documents of each language through, whatever their number
-    share = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, min(DRAW, -(-2 * DOCS_PER_LANG * DRAW // n)))])
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(DRAW)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "excerpt")
-    sample = sample.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= DOCS_PER_LANG)
-    found: dict[str, list[bytes]] = {x: [] for x in langs}
-    for row in sample.orderBy("lang", "n").select("lang", "excerpt").collect():  # bounded by the three limits
-        found[row["lang"]].append(fold(row["excerpt"]))
-    return [(x, b" ".join(found[x])[:DICT_BYTES]) for x in langs]
+    # a hash lets about three times the wanted excerpts of each language through, whatever their number
+    wanted = {r["lang"]: -(-3 * dict_bytes // max(1, int(r["bytes"]))) + 20 for r in found}
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(DRAW, -(-wanted[r["lang"]] * DRAW // r["n"]))) for r in found], "lang string, share long")
+    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("key"), F.lit(DRAW)) < F.col("share")).drop("share")
+    # of these the first ones that fill the dictionary: what goes to the driver is DICT_BYTES a language
+    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "excerpt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = sample.withColumn("upto", F.sum(F.octet_length("excerpt") + 1).over(drawn)).withColumn("n", F.row_number().over(drawn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept: dict[str, list[bytes]] = {r["lang"]: [] for r in found}
+    for row in sample.where((F.col("upto") <= dict_bytes) | (F.col("n") == 1)).orderBy("lang", "n").select("lang", "excerpt").collect():
+        kept[row["lang"]].append(fold(row["excerpt"]))
+    return [(x, b" ".join(pieces)) for x, pieces in kept.items()]
 
 
 @lru_cache(maxsize=2)
@@ -94,7 +99,12 @@ def identify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[st
 
 
 def classify(docs: DataFrame, model: list[tuple[str, bytes]], held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, accepted for every row; a null id stays null and isn't held out."""
+    """doc_id, held_out, lang_pred, score, accepted for every row.
+
+    A null text, or one without a letter, is ``und`` with score 0. A null id stays null and isn't held out. Ties go to
+    the language with more documents. Rows that repeat are judged alike and all stay; an empty table gives no rows,
+    other columns are not read. Texts of any length are compressed whole.
+    """
     frozen = tuple(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.llm import langid, toxicity
@@ -26,6 +27,38 @@ def test_language_edge_cases(spark, edge, empty, small):
     assert {r.lang_pred for r in langid.classify(small, [], F.col("doc_id") == 3).collect()} == {"und"}
 
 
+def test_language_as_brute_force(spark, small):
+    """The decision is that of the plain size of each block compressed after each dictionary, and the dictionaries are those of a plain draw."""
+    import zstandard as z
+
+    model = tuple(langid.learn(small))
+    assert {x for x, _ in model} == {r.lang for r in small.select("lang").distinct().collect() if r.lang}
+    assert [n for n, _ in model] == [r.lang for r in small.where("lang is not null and length(text) > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    rows = {r.doc_id: r for r in langid.classify(small, list(model), F.lit(False)).collect()}
+    params = [z.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=len(d), source_size=langid.BLOCK, min_match=langid.MIN_MATCH, write_checksum=0, write_content_size=0, write_dict_id=0) for _, d in model]
+    for d in small.collect():
+        raw = "".join(c for c in d.text.lower() if ord(c) >= 128 or c.isalpha() or c in " \t\n\x0b\x0c\r").encode().translate(bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256)))
+        sums = []
+        for p, (_, content) in zip(params, model):
+            learned = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            sums.append(sum(len(z.ZstdCompressor(dict_data=learned, compression_params=p).compress(raw[i : i + langid.BLOCK])) for i in range(0, len(raw), langid.BLOCK)))
+        got = rows[d.doc_id]
+        if any(c.isalpha() for c in d.text):
+            assert got.lang_pred == model[sums.index(min(sums))][0]
+            best, rest = min(sums), sorted(sums)[1]
+            assert got.accepted == (rest - best >= langid.MARGIN * rest)
+        else:
+            assert got.lang_pred == "und"
+
+
+def test_dictionaries_hold_all_drawn_excerpts(spark):
+    """No language is dropped, however many there are, and a dictionary is full but for less than one excerpt."""
+    rows = [(1000 * k + i, f"lang{k} word{i} " * (4 + i % 50), f"l{k:03d}") for k in range(300) for i in range(3)] + [(10**6 + i, f"mmm {i} some more words of it " * 60, "main") for i in range(400)] + [(None, "x", None), (1, None, "zz"), (2, "", "yy")]
+    model = dict(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert len(model) == 301 and all(model.values())
+    assert langid.DICT_BYTES * 0.8 < len(model["main"]) + 12 * 120 and len(model["main"]) <= langid.DICT_BYTES  # digits are dropped after the draw
+
+
 def test_language_margin():
     model = (("xx", b"the cat and the dog and the bird " * 40), ("yy", b"der hund und die katze und der vogel " * 40))
     name, score, sure = langid.identify("the dog and the cat and the bird and the dog", model)
@@ -40,6 +73,55 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in toxic) / len(toxic) > 0.75 and sum(r.predicted for r in clean) / len(clean) < 0.03
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    return toxicity.train(docs, labels)
+
+
+def test_toxicity_model_as_brute_force(spark, learned):
+    """Counts, the test of features, their log-odds and the extreme-value law by plain Python over all labelled documents."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic in (0, 1)}
+    rows = [(r.text or "", labels[r.doc_id]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id in labels]
+    count, n = {}, [0, 0]
+    for text, toxic in rows:
+        n[toxic] += 1
+        for f in {f for x in text.lower().split() if (w := x.strip(toxicity._SIGNS)) for f in [w, *(w[:k] + "*" for k in toxicity.PREFIXES if len(w) >= k)]}:
+            count.setdefault(f, [0, 0])[toxic] += 1
+    share, odds = n[1] / sum(n), {}
+    for f, (y0, y1) in count.items():
+        both = y0 + y1
+        ratio = 2 * ((y1 * math.log(y1 / (both * share)) if y1 else 0) + (y0 * math.log(y0 / (both * (1 - share))) if y0 else 0))
+        prior = toxicity.PRIOR * both / sum(n)
+        value = math.log((y1 + prior * share + 0.01) / (n[1] + toxicity.PRIOR * share)) - math.log((y0 + prior * (1 - share) + 0.01) / (n[0] + toxicity.PRIOR * (1 - share)))
+        if ratio >= 2 * math.log(len(count) + 1) + 6 and value >= toxicity.LEAST_ODDS:
+            odds[f] = value
+    assert odds and set(odds) == set(learned["odds"]) and all(math.isclose(odds[f], v, rel_tol=1e-9) for f, v in learned["odds"].items())
+    best, logs, words, hits, total = [], [], 0, 0, 0.0
+    for text, toxic in rows:
+        if not toxic:
+            scores = [max((odds.get(f, 0.0) for f in toxicity.features_of(w.strip(toxicity._SIGNS)))) for w in text.lower().split()]
+            words, hits, total = words + len(scores), hits + sum(s > 0 for s in scores), total + sum(scores)
+            best.append(max((s for _, _, s in toxicity.segments([(i, s) for i, s in enumerate(scores) if s])), default=0.0))
+            logs.append(math.log(max(len(scores), 1)))
+    lam = learned["lam"]
+    p, mean = (hits + 0.5) / (words + 1), (total + 2.5) / (hits + 0.5)
+    assert abs(p * math.exp(lam * mean) + (1 - p) * math.exp(-lam * toxicity.DRIFT) - 1) < 1e-4
+    assert abs(learned["log_k"] - min(0, max(-7, sum(lam * b - x for b, x in zip(best, logs)) / len(best) - 0.5772))) < 1e-4
+
+
+def test_toxicity_edge_rows_meet_a_trained_model(spark, edge, learned):
+    rows = toxicity.classify(edge, learned, F.col("doc_id") == 3).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == edge.count() and by[0].score == by[1].score == by[2].score and not by[0].passages and by[3].held_out and not by[None].held_out
+    word = max((f for f in learned["odds"] if not f.endswith("*")), key=learned["odds"].get, default=None) or max(learned["odds"], key=learned["odds"].get).rstrip("*")
+    far = f"{'clean words here ' * 20000}{(word + ' ') * 12}{'and on it goes ' * 20000}"
+    docs = spark.createDataFrame([(1, far), (2, f"{(word + ' ') * 12}"), (2, f"{(word + ' ') * 12}"), (3, "clean words here")], "doc_id long, text string")
+    got = toxicity.classify(docs, learned, F.lit(False)).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 4 and by[2].score > by[3].score and by[1].passages == "60000:60011" and by[2].passages == "0:11"
+
+
 def test_toxicity_edge_cases(spark, edge, empty, small):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for docs in (edge, empty):
