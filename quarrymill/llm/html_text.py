@@ -325,8 +325,8 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES):
             yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(names))], names=names)
 
     sample = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select(F.col("html").cast("string"))
-    rows = map_batches(sample, label, ", ".join(f"{x} double" for x in names)).orderBy(*names).collect()  # bounded by both parameters
-    return grow_tree([*examples(), *map(tuple, rows)])
+    rows = map_batches(sample, label, ", ".join(f"{x} double" for x in names)).collect()  # bounded by both parameters
+    return grow_tree([*examples(), *sorted(map(tuple, rows))])
 
 
 def extract(pages: DataFrame, tree=None) -> DataFrame:
