@@ -151,7 +151,14 @@ def force_unavailable(variants: DataFrame, out: DataFrame, product: str, availab
 
 
 def write_version(df: DataFrame, folder: str, version: str) -> str:
-    """Writes a state as one version; readers follow the versions in order."""
+    """Writes a state as one version; readers follow the versions in order, so a load that fails half-way is never read."""
     path = f"{folder}/version={version}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def full_refresh(feed: DataFrame, folder: str, version: str, key: list[str], arrival: list[str], by: str) -> DataFrame:
+    """A load from nothing: the first arrival of each key, clustered by a column that requests filter on, as a version of its own; returns it as read back."""
+    first = feed.groupBy(*key).agg(F.min_by(F.struct(*[c for c in feed.columns if c not in key]), F.struct(*arrival)).alias("__x")).select(*key, "__x.*")
+    laid = first.repartitionByRange(by, *key).sortWithinPartitions(by, *key)  # row groups with narrow ranges instead of an index
+    return feed.sparkSession.read.parquet(write_version(laid, folder, version))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrymill.functions import scalars
+from quarrymill.functions import literals, scalars
 from quarrymill.operators import enrich, facets, maintain, predicates, telemetry, topk
 from quarrymill.plans.tables import table
 from quarrymill.plans.upkeep import KEY, _states
@@ -146,6 +146,13 @@ def force_unavailable(s, d):
     return history.groupBy("l_partkey").agg(F.count("*").alias("taken")).join(open_, "l_partkey").select("l_partkey", "taken", "still")
 
 
+def parts_by_color(s, d):
+    """Parts by the colour that their name begins with; a colour without parts counts zero."""
+    first = table(s, d, "part").select(F.lower(F.split("p_name", " ")[0]).alias("word"))
+    known = literals.colors(s).withColumn("word", F.lower("name"))
+    return facets.counts_with_zeros(known, "word", first, "word").select("id", "name", "hex", "n")
+
+
 _OLD = "old as (select l_orderkey, l_partkey, l_suppkey, l_extendedprice as price, l_linestatus = 'O' as available from lineitem where (l_orderkey * 31 + l_partkey * 7 + l_suppkey) % 100 <> 50)"
 _C = "(l_orderkey * 31 + l_partkey * 7 + l_suppkey) % 100"
 _NEW = f"new as (select l_orderkey, l_partkey, l_suppkey, case when {_C} < 5 then l_extendedprice + 10 else l_extendedprice end as price, (l_linestatus = 'O') <> ({_C} between 3 and 6) as available from lineitem where {_C} <> 60)"
@@ -153,6 +160,7 @@ _ON = "o.l_orderkey = n.l_orderkey and o.l_partkey = n.l_partkey and o.l_suppkey
 _SET = "list_sort(list_distinct(case when p_size > 25 then [string_split(p_name, ' ')[1], string_split(p_name, ' ')[2], 'size'] else [string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]] end))"
 
 QUERIES = {
+    "parts_by_color": (parts_by_color, "with c as (select * from (values " + ", ".join(f"({i}::bigint, '{n}', '{h}')" for i, (n, h) in enumerate(literals.COLORS, 1)) + ") t(id, name, hex)) select id, name, hex, count(p_partkey) as n from c left join part on lower(string_split(p_name, ' ')[1]) = lower(name) group by all"),
     "viewer_last_page": (viewer_last_page, "select p_partkey, p_name from part order by p_partkey limit 48 offset (select (ceil(count(*) / 48.0)::bigint - 1) * 48 from part)"),
     "resort_pool": (resort_pool, "with p as (select p_partkey, case when p_size % 5 <> 0 then p_retailprice end as price from part order by p_size desc, p_partkey desc limit 60) select *, row_number() over (order by price desc nulls last, p_partkey) as place from p"),
     "multi_get": (multi_get, "select p_partkey, p_name from part where p_partkey in (select event_id * 7 % 50021 from events)"),

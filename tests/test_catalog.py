@@ -224,6 +224,16 @@ def test_first_spelling_stands(spark):
     assert sorted((r.id, r.name) for r in got) == [(8, "Red"), (9, "Teal")]
 
 
+def test_full_refresh_is_a_version_of_its_own(spark, tmp_path):
+    folder = str(tmp_path / "catalog")
+    feed = spark.createDataFrame([(1, "a", 5, 2), (1, "b", 6, 1), (2, "c", 7, 3)], "k int, t string, p int, at int")
+    got = maintain.full_refresh(feed, folder, "1", ["k"], ["at"], "p")
+    assert sorted((r.k, r.t, r.p) for r in got.collect()) == [(1, "b", 6), (2, "c", 7)]
+    again = maintain.full_refresh(feed.where("k = 2"), folder, "2", ["k"], ["at"], "p")
+    assert again.count() == 1 and got.count() == 2  # the version before stays as it was
+    assert maintain.full_refresh(feed.where("k = 9"), folder, "3", ["k"], ["at"], "p").count() == 0
+
+
 def test_email_and_size_rules(spark):
     from quarrymill.functions import scalars
 
