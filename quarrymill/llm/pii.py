@@ -443,7 +443,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     return {"node": node.T, "edge": edge}
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
@@ -451,12 +451,12 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def detect(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, counts of base spans by kind, their digest, all spans, n_added of every row.
+    """doc_id, counts of base spans by kind, their digest, all spans, n_added and n_spans (of all) of every row.
 
     A null or empty text has no spans. Rows that repeat are searched alike; an empty table gives no rows. Texts are
     searched whole; other columns are not read.
     """
-    arrow = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    arrow = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +465,7 @@ def detect(docs: DataFrame, model: dict) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     base, added = find_spans(text, model)
                     each = Counter(k for _, k, _ in base)
-                    rows.append((*(each[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added)))
+                    rows.append((*(each[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added), len(base) + len(added)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)

@@ -46,6 +46,7 @@ def test_query_as_brute_force(spark, small, model):
         joined = ",".join(f"{k}:{s}:{e}" for s, k, e in want)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+        assert r.n_spans == len(want) + r.n_added == len(list(filter(None, r.spans.split(","))))
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, k, _ in want) for x in pii.KINDS)
 
 
