@@ -16,8 +16,8 @@ in different families every pair is counted, in blocks of bounded size that tell
 each family is resolved on full sets. Families of up to ``BLOCK`` classes
 (and ``BLOCK_SHINGLES`` hashes) are one block, in which every pair is compared. In a larger one all members are first compared with a few drawn members; the largest component that gives needs no
 comparison within itself, and the rest is compared with it and with itself, block by block. So every pair of a family
-that isn't already connected is compared on full sets, no cap drops a partner, and no group meets in one task: joins on
-a posting, or on the smallest member of a family, deal the rows of hot keys in parts (``split_join``).
+that isn't already connected is compared on full sets, no cap drops a partner, and no group meets in one task: in joins
+on a posting, or on the smallest member of a family, the rows of hot keys stay where they are (``split_join``).
 """
 
 from __future__ import annotations
@@ -114,18 +114,17 @@ def set_rows(docs: DataFrame, words_each: int) -> DataFrame:
 
 
 def hot_keys(counted: DataFrame, key: str, total: int) -> DataFrame:
-    """key, parts of the hot keys, of a table (key, n) of ``total`` rows in all: in so many parts none is hot."""
-    limit = max(HOT_ROWS, total // HOT_KEYS)
-    return written(counted.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot")
+    """key, n of the hot keys, of a table (key, n) of ``total`` rows in all."""
+    return written(counted.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(key, "n"), "hot")
 
 
-def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``one`` (a row a key), the rows of hot keys in parts by a hash of ``by``, to each of which ``one`` gives its row."""
-    near = F.broadcast(hot.select(F.col(key).alias("hot_key"), "parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = big.join(near, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("hot_key", "parts")
-    right = one.join(near, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_key", "parts")
-    return left.join(right, [key, "salt"], how).drop("salt")
+def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``big`` joined with ``one`` (a row a key): rows of hot keys stay where they are and meet a broadcast of their keys' rows, which are at most ``HOT_KEYS``; the others are joined by a shuffle."""
+    near = F.broadcast(hot.select(F.col(key).alias("hot_key")))
+    tagged = big.join(near, F.col(key) == F.col("hot_key"), "left")
+    rest = tagged.where("hot_key is null").drop("hot_key").join(one.join(near, F.col(key) == F.col("hot_key"), "left_anti"), key)
+    heavy = tagged.where("hot_key is not null").drop("hot_key").join(F.broadcast(one.join(near, F.col(key) == F.col("hot_key"), "left_semi")), key)
+    return rest.unionByName(heavy)
 
 
 def prefix_postings(sigs: DataFrame, least: int, coords: int) -> DataFrame:
@@ -134,9 +133,14 @@ def prefix_postings(sigs: DataFrame, least: int, coords: int) -> DataFrame:
     A node with several classes (rows that share an id) skips none.
     """
     posts = sigs.select("node", F.posexplode("sig").alias("k", "v")).select("node", F.expr("shiftleft(k::bigint, 32) + (v::bigint & 4294967295)").alias("post"))
-    shared = written(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    hot = hot_keys(shared, "post", sigs.count() * coords)
-    met = split_join(posts, shared, "post", hot, "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("found"))  # at most coords a class
+    # hot postings are found on one in 16 classes; any count that all classes see alike gives one global order
+    drawn = posts.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("post").agg((F.count("*") * 16).alias("n"))
+    hot = hot_keys(drawn, "post", sigs.count() * coords)
+    near = F.broadcast(hot.select(F.col("post").alias("hot_post"), F.col("n").alias("hot_n")))
+    tagged = posts.join(near, F.col("post") == F.col("hot_post"), "left")
+    rare = tagged.where("hot_post is null").select("post", "node")
+    shared = rare.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+    met = rare.join(shared, "post").unionByName(tagged.where("hot_post is not null").select("post", "node", F.col("hot_n").alias("n"))).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("found"))  # at most coords a class
     skip = F.when(F.size("found") <= coords, F.lit(least - 1)).otherwise(F.lit(0))
     met = met.where(F.size("found") >= least).select("node", F.explode(F.slice("found", F.lit(1), F.size("found") - skip)).alias("x"))
     return met.select("x.post", "node").distinct()
@@ -149,7 +153,7 @@ def alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-    met = split_join(pairs.join(right, "b"), left, "a", hot, "b")
+    met = split_join(pairs.join(right, "b"), left, "a", hot)
     return met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).where(agree >= least).select("a", "b").distinct()
 
 
@@ -166,7 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     was = total(now)
     while was is not None:
-        heard = split_join(both, now.select(F.col("node").alias("b"), "label"), "b", hot, "a").groupBy("a").agg(F.min("label").alias("m"))
+        heard = split_join(both, now.select(F.col("node").alias("b"), "label"), "b", hot).groupBy("a").agg(F.min("label").alias("m"))
         fell = now.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"))
         jumped = fell.join(fell.select(F.col("node").alias("up"), F.col("label").alias("m")), F.col("label") == F.col("up")).select("node", "m").withColumnRenamed("m", "label")
         now = written(jumped, "labels")
@@ -199,7 +203,7 @@ def mixed(posts: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     own = labels.select(F.col("node").alias("l2"), "label")
     named = posts.join(own, F.col("node") == F.col("l2"), "left").select("post", "node", F.coalesce("label", "node").alias("label"))
     open_ = named.groupBy("post").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("post", "n")
-    return split_join(named, open_, "post", hot, "node")
+    return split_join(named, open_, "post", hot)
 
 
 def spanning(node: np.ndarray, label: np.ndarray, rows: np.ndarray, cols: np.ndarray, links) -> list[tuple[int, int]]:
@@ -276,11 +280,11 @@ def counted_blocks(members: DataFrame, sigs: DataFrame, least: int, coords: int)
 def families(sigs: DataFrame, posts: DataFrame, least: int, coords: int) -> DataFrame:
     """node, label: the connected components of the candidate pairs."""
     hot = hot_keys(posts.groupBy("post").agg(F.count("*").alias("n")), "post", posts.count())
-    first = split_join(posts, posts.groupBy("post").agg(F.min("node").alias("a")), "post", hot, "node").select("a", F.col("node").alias("b"))
+    first = split_join(posts, posts.groupBy("post").agg(F.min("node").alias("a")), "post", hot).select("a", F.col("node").alias("b"))
     labels = components(written(alike(often_met(first), sigs, least), "pairs"))
     left = written(mixed(posts, labels, hot), "mixed")
     drawn = left.groupBy("post").agg(F.min_by(F.struct("node", "label"), F.xxhash64("post", "node")).alias("x")).select("post", F.col("x.node").alias("a"), F.col("x.label").alias("la"))
-    met = split_join(left, drawn, "post", hot, "node").where("label <> la").select("a", F.col("node").alias("b"))
+    met = split_join(left, drawn, "post", hot).where("label <> la").select("a", F.col("node").alias("b"))
     labels = relabel(labels, written(alike(often_met(met), sigs, least), "pairs"))
     return relabel(labels, written(counted_blocks(mixed(posts, labels, hot), sigs, least, coords), "pairs"))
 

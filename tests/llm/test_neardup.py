@@ -62,17 +62,16 @@ def test_large_groups_of_near_copies(spark, monkeypatch, block):
     assert got(neardup.near_duplicates(docs, 2)) == brute(rows, 2)
 
 
-def test_hot_keys_are_dealt_in_parts(spark, monkeypatch):
+def test_rows_of_hot_keys_stay(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT_ROWS", 10)
-    rows = [(k, i) for k, n in ((1, 95), (2, 10), (3, 11), (4, 1)) for i in range(n)]
+    rows = [(k, i) for k, n in ((1, 95), (2, 10), (3, 11), (4, 1), (6, 30)) for i in range(n)]
     big = spark.createDataFrame(rows, "post long, node long")
     hot = neardup.hot_keys(big.groupBy("post").count().withColumnRenamed("count", "n"), "post", len(rows))
-    assert sorted(map(tuple, hot.collect())) == [(1, 10), (3, 2)]
+    assert sorted(map(tuple, hot.collect())) == [(1, 95), (3, 11), (6, 30)]
     one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, "e")], "post long, name string")
-    got = neardup.split_join(big, one, "post", hot, "node").collect()
-    assert Counter((r.post, r.node, r.name) for r in got) == Counter((k, i, "xabc"[k]) for k, i in rows if k < 4)
-    kept = neardup.split_join(big, one, "post", hot, "node", "left")
-    assert kept.count() == len(rows) and kept.columns == ["post", "node", "name"]
+    got = neardup.split_join(big, one, "post", hot)
+    assert got.columns == ["post", "node", "name"]
+    assert Counter((r.post, r.node, r.name) for r in got.collect()) == Counter((k, i, "xabc"[k]) for k, i in rows if k < 4)
 
 
 def test_groups_with_hot_keys_as_brute_force(spark, monkeypatch):
