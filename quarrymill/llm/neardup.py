@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import map_batches, slices, table, written
+from quarrymill.llm.common import hot_keys, map_batches, slices, split_join, table, written
 
 COORDS, LEAST = 48, 24
 PER_CENT = 80
@@ -39,8 +39,6 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # members and hashes of a part; a block
 DRAWN = 3
 #: Families' members (two longs each) up to this number, 32 MB, are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: A key is hot with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all: there are at most so many, few enough to broadcast.
-HOT_ROWS, HOT_KEYS = 400, 10_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -113,20 +111,6 @@ def set_rows(docs: DataFrame, words_each: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "family"), run, "node long, family long, members array<long>")
 
 
-def hot_keys(counted: DataFrame, key: str, total: int) -> DataFrame:
-    """key, n of the hot keys, of a table (key, n) of ``total`` rows in all."""
-    return written(counted.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(key, "n"), "hot")
-
-
-def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """``big`` joined with ``one`` (a row a key): rows of hot keys stay where they are and meet a broadcast of their keys' rows, which are at most ``HOT_KEYS``; the others are joined by a shuffle."""
-    near = F.broadcast(hot.select(F.col(key).alias("hot_key")))
-    tagged = big.join(near, F.col(key) == F.col("hot_key"), "left")
-    rest = tagged.where("hot_key is null").drop("hot_key").join(one.join(near, F.col(key) == F.col("hot_key"), "left_anti"), key)
-    heavy = tagged.where("hot_key is not null").drop("hot_key").join(F.broadcast(one.join(near, F.col(key) == F.col("hot_key"), "left_semi")), key)
-    return rest.unionByName(heavy)
-
-
 def prefix_postings(sigs: DataFrame, least: int, coords: int) -> DataFrame:
     """post, node: each class under its rarest shared postings, all but the ``least`` - 1 most frequent of the ``coords``.
 

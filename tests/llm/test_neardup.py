@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quarrymill.llm import neardup
+from quarrymill.llm import common, neardup
 
 
 def brute(rows, width):
@@ -63,7 +63,7 @@ def test_large_groups_of_near_copies(spark, monkeypatch, block):
 
 
 def test_rows_of_hot_keys_stay(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rows = [(k, i) for k, n in ((1, 95), (2, 10), (3, 11), (4, 1), (6, 30)) for i in range(n)]
     big = spark.createDataFrame(rows, "post long, node long")
     hot = neardup.hot_keys(big.groupBy("post").count().withColumnRenamed("count", "n"), "post", len(rows))
@@ -75,7 +75,7 @@ def test_rows_of_hot_keys_stay(spark, monkeypatch):
 
 
 def test_groups_with_hot_keys_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(edited(rng, base, rng.choice([0.0, 0.01, 0.03, 0.06, 0.2])))) for i in range(90)] + [(100 + i, f"other text number {i} with words {i * 7}") for i in range(30)]
