@@ -82,10 +82,40 @@ def hot_keys(counted: DataFrame, key: str, total: int) -> DataFrame:
     return written(counted.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(key, "n"), "hot")
 
 
-def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """``big`` joined with ``one`` (a row a key): rows of hot keys stay where they are and meet a broadcast of their keys' rows, which are at most ``HOT_KEYS``; the others are joined by a shuffle."""
+def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame | None = None, how: str = "inner", total: int = 0) -> DataFrame:
+    """``big`` joined with ``one`` (a row a key; ``how`` inner or left): rows of hot keys stay where they are and meet a broadcast of their keys' rows, which are at most ``HOT_KEYS``; the others are joined by a shuffle.
+
+    Without ``hot`` the hot keys are counted in the same job; ``total`` is then the number of rows of ``big``.
+    """
+    if hot is None:
+        hot = big.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS))
     near = F.broadcast(hot.select(F.col(key).alias("hot_key")))
     tagged = big.join(near, F.col(key) == F.col("hot_key"), "left")
-    rest = tagged.where("hot_key is null").drop("hot_key").join(one.join(near, F.col(key) == F.col("hot_key"), "left_anti"), key)
-    heavy = tagged.where("hot_key is not null").drop("hot_key").join(F.broadcast(one.join(near, F.col(key) == F.col("hot_key"), "left_semi")), key)
+    rest = tagged.where("hot_key is null").drop("hot_key").join(one.join(near, F.col(key) == F.col("hot_key"), "left_anti"), key, how)
+    heavy = tagged.where("hot_key is not null").drop("hot_key").join(F.broadcast(one.join(near, F.col(key) == F.col("hot_key"), "left_semi")), key, how)
     return rest.unionByName(heavy)
+
+
+def drawn(df: DataFrame, by: list[str], wanted: int) -> DataFrame:
+    """About ``wanted`` rows, at most twice as many, by a hash of the columns ``by``; all of them where there are no more.
+
+    Where rows are drawn, those that repeat in ``by`` are drawn once. The hash takes texts too, so ids that repeat or are null neither
+    empty nor flood the sample; where most rows are copies the draw is made anew over the number of different ones.
+    """
+    n = df.count()
+    if n <= 2 * wanted:
+        return df
+
+    def take(every: int) -> DataFrame:
+        rows = df.withColumn("draw", F.xxhash64(*by)).where(F.pmod("draw", F.lit(every)) == 0)
+        return written(rows.groupBy("draw").agg(F.first(F.struct(*df.columns)).alias("row")), "drawn")
+
+    rows = take(n // wanted)
+    got = rows.count()
+    if 2 * got < wanted:
+        different = df.agg(F.approx_count_distinct(F.xxhash64(*by))).first()[0]
+        rows = take(max(1, different // wanted))
+        got = rows.count()
+    if got > 2 * wanted:
+        rows = rows.where(F.pmod(F.xxhash64("draw"), F.lit(got // wanted)) == 0)
+    return rows.select("row.*")

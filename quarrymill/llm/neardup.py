@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import hot_keys, map_batches, slices, split_join, table, written
+from quarrymill.llm.common import HOT_KEYS, HOT_ROWS, hot_keys, map_batches, slices, split_join, table, written
 
 COORDS, LEAST = 48, 24
 PER_CENT = 80
@@ -39,6 +39,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # members and hashes of a part; a block
 DRAWN = 3
 #: Families' members (two longs each) up to this number, 32 MB, are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Hashes of all families' drawn members up to this number, 32 MB, are broadcast to the members' sets.
+BROADCAST_HASHES = 4_000_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -150,15 +152,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     hot = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
-    total = lambda t: t.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    total = lambda t: t.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
     now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    was = total(now)
+    was, nodes = total(now)
     while was is not None:
         heard = split_join(both, now.select(F.col("node").alias("b"), "label"), "b", hot).groupBy("a").agg(F.min("label").alias("m"))
-        fell = now.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"))
-        jumped = fell.join(fell.select(F.col("node").alias("up"), F.col("label").alias("m")), F.col("label") == F.col("up")).select("node", "m").withColumnRenamed("m", "label")
+        fell = written(now.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label")), "fell")
+        # all nodes of a component come to share a label: its rows stay where they are
+        jumped = split_join(fell, fell.select(F.col("node").alias("label"), F.col("label").alias("m")), "label", total=nodes).select("node", F.col("m").alias("label"))
         now = written(jumped, "labels")
-        if (then := total(now)) == was:
+        if (then := total(now)[0]) == was:
             break
         was = then
     return now
@@ -168,10 +171,11 @@ def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after the links (a, b) have joined components; nodes that aren't there are on their own."""
     if labels is None:
         return components(links)
-    own = lambda side: labels.select(F.col("node").alias(f"n{side}"), F.col("label").alias(f"l{side}"))
-    raised = links.join(own("a"), F.col("a") == F.col("na"), "left").join(own("b"), F.col("b") == F.col("nb"), "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    roots = components(raised).select(F.col("node").alias("up"), F.col("label").alias("root"))
-    old = labels.join(roots, F.col("label") == F.col("up"), "left").select("node", F.coalesce("root", "label").alias("label"))
+    n_links, n_nodes = links.count(), labels.count()
+    own = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    raised = split_join(split_join(links, own("a"), "a", how="left", total=n_links), own("b"), "b", how="left", total=n_links)
+    roots = components(raised.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).select(F.col("node").alias("up"), F.col("label").alias("root"))
+    old = split_join(labels, roots.select(F.col("up").alias("label"), "root"), "label", how="left", total=n_nodes).select("node", F.coalesce("root", "label").alias("label"))
     new = roots.join(labels, F.col("up") == F.col("node"), "left_anti").select(F.col("up").alias("node"), F.col("root").alias("label"))
     return written(old.unionByName(new), "labels")
 
@@ -305,20 +309,33 @@ def compare_block(block: pa.Table) -> list[tuple[int, int]]:
     return spanning(node, label, rows, cols, links)
 
 
+def _parts(n: str | Column, w: str | Column) -> Column:
+    """Parts of bounded size of ``n`` members with ``w`` hashes in all."""
+    n, w = (F.col(x) if isinstance(x, str) else x for x in (n, w))
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+
+
 def resolve(sets: DataFrame) -> DataFrame:
     """node, label: the components of the links, confirmed on full sets, within families; ``sets`` has node, family, members."""
-    sizes = sets.groupBy("node", "family").agg(F.sum(F.size("members")).cast("long").alias("w"))
+    sizes = written(sets.groupBy("node", "family").agg(F.sum(F.size("members")).cast("long").alias("w")), "sizes")
     family = sizes.groupBy("family").agg(F.count("*").alias("n"), F.sum("w").alias("all_w"))
-    all_rows = sizes.join(family, "family")
+    n_nodes = sizes.count()
+    all_rows = split_join(sizes, family, "family", total=n_nodes)
     is_large = (F.col("n") > BLOCK) | (F.col("all_w") > BLOCK_SHINGLES)
     large = all_rows.where(is_large)
     labels: DataFrame | None = None
     if not large.isEmpty():
-        long = sets.join(large.select("node").distinct(), "node", "left_semi")
+        large = written(large, "large")
+        long = sets.join(large.select("node", "n", "all_w").distinct(), "node")
         ids = large.groupBy("family").agg(*[F.min_by("node", F.xxhash64("node", F.lit(turn))).alias(f"a{turn}") for turn in range(DRAWN)])
         ids = ids.select("family", F.explode(F.array_distinct(F.array(*[f"a{turn}" for turn in range(DRAWN)]))).alias("a"))
-        middle = long.select(F.col("node").alias("a"), F.col("members").alias("ma")).join(ids, "a").select("family", "a", "ma")
-        met = long.join(middle, "family").where("node <> a").select("node", "a", F.size("members").alias("n"), F.size("ma").alias("na"), F.size(F.array_intersect("members", "ma")).alias("both"))
+        middle = written(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")).join(ids, "a").select("family", "a", "ma"), "middle")
+        if (middle.agg(F.sum(F.size("ma"))).first()[0] or 0) <= BROADCAST_HASHES:
+            met = long.join(F.broadcast(middle), "family")  # the members' sets stay where they are
+        else:  # a family in parts, each with its own copy of the drawn members
+            of_part = middle.join(large.select("family", _parts("n", "all_w").alias("parts")).distinct(), "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            met = long.withColumn("part", F.pmod(F.xxhash64("node"), _parts("n", "all_w")).cast("int")).join(of_part, ["family", "part"])
+        met = met.where("node <> a").select("node", "a", F.size("members").alias("n"), F.size("ma").alias("na"), F.size(F.array_intersect("members", "ma")).alias("both"))
         links = met.where((F.col("n") + F.col("na") - F.col("both")) * PER_CENT <= F.col("both") * 100).select("a", F.col("node").alias("b"))
         labels = components(written(links, "links"))
     if labels is None:
@@ -327,9 +344,8 @@ def resolve(sets: DataFrame) -> DataFrame:
         named = all_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named, "members")
     most = named.where(is_large).groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("w").alias("main_w")).groupBy("family").agg(F.max_by(F.struct("label", "m", "main_w"), F.struct("m", "label")).alias("x")).select("family", F.col("x.label").alias("main"), F.col("x.m").alias("m"), F.col("x.main_w").alias("main_w"))
-    parts = named.join(most, "family", "left").withColumn("m", F.coalesce("m", F.lit(0))).withColumn("main_w", F.coalesce("main_w", F.lit(0))).where("m < n")
-    count = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
-    parts = parts.withColumn("first", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).withColumn("mp", count(F.col("m"), F.col("main_w"))).withColumn("rp", count(F.col("n") - F.col("m"), F.col("all_w") - F.col("main_w")))
+    parts = split_join(named, most, "family", how="left", total=n_nodes).withColumn("m", F.coalesce("m", F.lit(0))).withColumn("main_w", F.coalesce("main_w", F.lit(0))).where("m < n")
+    parts = parts.withColumn("first", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).withColumn("mp", _parts("m", "main_w")).withColumn("rp", _parts(F.col("n") - F.col("m"), F.col("all_w") - F.col("main_w")))
     part = F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("mp")).otherwise(F.col("rp"))).cast("int")
     parts = parts.withColumn("part", part)
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
@@ -365,15 +381,33 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, coords: int = COORDS,
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def by_rows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with node: the id where no other row has it (``repeated`` has the ids of several rows), else a hash of the row; rows that repeat share one."""
+    tie = F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
+    hot = repeated.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS)
+    marked = split_join(docs.where("doc_id is not null"), repeated, "doc_id", hot, how="left")
+    return marked.withColumn("node", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(tie)).drop("n").unionByName(docs.where("doc_id is null").withColumn("node", tie))
+
+
 def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """The documents without near copies: of each component the one whose id it bears, with the columns of ``documents``.
+    """The documents without near copies: of each component the one with the smallest id, with the columns of ``documents``.
 
-    Documents without words all stay. Of rows that share an id and a component one stays.
+    Documents without words all stay. Rows are judged each for itself, also those that share an id or have none: of rows with one
+    id and different texts each stays that is no near copy of another; a null id is larger than any other, and ties go by
+    a hash of the row. Of rows that repeat one stays.
     """
-    kept = near_duplicates(docs, words_each).where("kept").select("doc_id").distinct()
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    one = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(rows.where("doc_id is null"))
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null"), "repeated")
+    if repeated.isEmpty():
+        kept = near_duplicates(docs, words_each).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi")
+    rows = by_rows(docs, repeated.where("doc_id is not null"))
+    found = written(near_duplicates(rows.select(F.col("node").alias("doc_id"), "text"), words_each), "components")
+    named = found.where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id").distinct().join(rows.select("node", F.col("doc_id").alias("own")), "node")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "node")).alias("x")).select(F.col("x.node").alias("node"))
+    kept = rows.join(first, "node", "left_semi").dropDuplicates(["node"])
+    bare = rows.join(found.where("n_shingles = 0").select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    return kept.unionByName(bare).select(docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,45 @@ def test_edge_cases(spark, edge, empty):
     assert one.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = [r.doc_id for r in one.collect()]
     assert ids.count(5) == 1 and 6 not in ids and {0, 1, 2, 3}.issubset(ids)
+    assert neardup.keep_one(empty, 2).count() == 0
+
+
+def test_rows_with_one_id_are_judged_each(spark, monkeypatch):
+    """Different texts under one id, or none, stay; copies go, whatever ids they have."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(60))
+    rows = [(7, text(i)) for i in range(30)] + [(7, text(0)), (7, text(1) + " more"), (None, text(2)), (None, text(40)), (None, text(40)), (3, text(4)), (9, text(41)), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in neardup.keep_one(docs, 5).collect())
+    one = got.pop((7, text(1)), 0) + got.pop((7, text(1) + " more"), 0)
+    want = Counter([(7, text(i)) for i in range(30) if i not in (1, 4)] + [(None, text(40)), (3, text(4)), (9, text(41)), (9, ""), (9, ""), (None, None)])
+    assert one == 1 and got == want
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**9])
+def test_one_family_of_many_members(spark, monkeypatch, broadcast):
+    """One family far larger than a block and hot on every key: label, family, posting; drawn members broadcast or dealt by part."""
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BROADCAST_HASHES", broadcast)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(130)]
+    rows, now = [], base
+    for i in range(160):  # a chain whose ends don't link: far members are found only through others
+        if i % 20 == 0:
+            now = edited(rng, now, 0.03)
+        rows.append((i, " ".join(edited(rng, now, 0.01))))
+    rows += [(1000 + i, f"quite another text number {i} of {i * i} words") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(neardup.near_duplicates(docs, 2)) == brute(rows, 2)
+
+
+def test_left_split_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    big = spark.createDataFrame([(k, i) for k, n in ((1, 9), (2, 2), (3, 5)) for i in range(n)], "label long, node long")
+    one = spark.createDataFrame([(1, 10), (2, 20)], "label long, m long")
+    assert Counter((r.label, r.m) for r in common.split_join(big, one, "label", how="left", total=16).collect()) == {(1, 10): 9, (2, 20): 2, (3, None): 5}
 
 
 def test_signature_is_unbiased():
