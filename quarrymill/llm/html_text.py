@@ -1,16 +1,15 @@
-"""Main text of web pages: flat text blocks, judged by a decision tree.
+"""Main text of web pages: flat text blocks, judged by a decision tree over words and link densities.
 
-A page is cut into flat blocks at block-level tags, in one linear pass that forgives unclosed and truncated markup. A
-block has its number of words and its link density (share of words inside links), and the same of its two neighbours;
-these are the features that the tree asks first. Further features are marks of the markup: whether the block lies in a
-container that serves something else (menu, header, footer, sidebar, notice, advert, form, reader comments: by tag,
-role, or a name in class or id), in the page's article, or in a page that marks one.
+A page is cut into flat blocks at block-level tags, in one linear pass that forgives unclosed and truncated markup. What
+holds other people's words or controls whatever it reads like (forms, dialogs, asides, sidebars, notices, reader comments;
+by tag, role, or a name in class or id) is no block of the page's text, no more than a script is. A block has its number of
+words and its link density (share of words inside links), and the same of its two neighbours. Marks of the markup (whether
+the block lies in a menu, header, footer or advert, in the page's article, or in a page that marks one) are known, too.
 
 The tree is trained on a small labelled table: the examples below, and the blocks of at most about ``SAMPLE_PAGES``
-pages that mark their article, labelled by that mark and entered twice, with their marks and stripped of them. It is grown
-in two steps: by words and link densities alone down to leaves that they can't split with profit, and the leaves
-so found are then split by marks. So pages without marks are judged by words and links alone; where a page has marks
-these have the last word, for on words alone a long comment or advert can't be told from a paragraph. The kept blocks are joined in page order.
+pages that mark their article, labelled by that mark and entered three times, with their marks, without the article's, and
+stripped of all. It is grown by words and link densities alone; a leaf (``LEAST_ROWS`` and ``LEAST_SHARE`` of the table at
+least) whose rows agree decides by itself, and only in leaves that stay mixed are marks asked. The kept blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -26,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import map_batches, slices, table
+from quarrymill.llm.common import drawn, map_batches, slices, table
 
 RAW = frozenset(("script", "style", "noscript", "template", "iframe", "textarea", "svg", "title", "object", "math"))
 TO_THE_END = frozenset(("script", "style", "textarea", "title"))  # without an end tag they hold the rest of the page
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video audio canvas".split())
 CONTAINER = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header html label main menu nav ol section select table td th tr ul".split())
-OTHER_TAGS = frozenset("nav footer aside form menu dialog button select label fieldset".split())
-OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Names in class or id of what is not the article, fixed values; parts of compound names count too, but for those in WHOLE.
-OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside notice notices cookie cookies consent gdpr banner popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond replies disqus widget toolbar masthead related recommended".split())
-WHOLE = frozenset("header top side reply legal copyright alert search rail".split())
+#: Names of elements, roles, and names in class or id; fixed values. The first of each pair hold no block of the page's text, the
+#: second are marks. Parts of compound names count too, but for those in WHOLE.
+CUT_TAGS, MARK_TAGS = frozenset("aside form dialog button select label fieldset".split()), frozenset("nav footer menu".split())
+CUT_ROLES, MARK_ROLES = frozenset("complementary search dialog alertdialog alert form".split()), frozenset("navigation banner contentinfo menu menubar toolbar".split())
+CUT_NAMES = frozenset("sidebar aside notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus widget related recommended".split())
+MARK_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer banner share sharing social toolbar masthead".split())
+CUT_WHOLE, MARK_WHOLE = frozenset("side reply alert search rail".split()), frozenset("header top legal copyright".split())
 NO_NAMES = frozenset(("html", "body", "main"))
 
 _QUOTE = re.compile(r"[>\"']")
@@ -46,21 +47,21 @@ _SPLIT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ("words", "words_before", "words_after", "links", "links_before", "links_after", "other", "in_article", "has_article")
 TEXT_FEATURES = 6  # the first ones; the others are marks
-#: Example pages, a block a word: what it is (a: article, n: menu, h: header, d: advert, s: sidebar, m: notice or form,
-#: c: reader comment, f: footer), its words, and behind a slash those in links.
+#: Example pages, a block a word: what it is (a: article, n: menu, h: header, d: advert, f: footer), its words, and behind a
+#: slash those in links.
 EXAMPLES = """
 n1/1 n1/1 n2/2 n1/1 d12 a7 a60/2 a45 a8 a90/5 f10/3
 n2/2 n1/1 n1/1 a9 a30 a120 a55/3 a14 a70 f12 f3/3
-h3 h8 n1/1 n1/1 n1/1 a5 a80 a1 a40 a25 s3 s4/4 s5/5 s4/4 f20/6
-n1/1 n3/3 n2/2 m18 m2/2 a11 a35/1 a150 a6/6 a5/5 a7/7 f8
-n1/1 n1/1 d8 a6 a200 a90 c2 c30 c2 c45 c3 c12 m4 m2 f9/2
-h2/2 n1/1 n1/1 n1/1 a4 a22 a18 a28 a16 s40 s25/3 f60
+h3 h8 n1/1 n1/1 n1/1 a5 a80 a1 a40 a25 f20/6
+n1/1 n3/3 n2/2 a11 a35/1 a150 a6/6 a5/5 a7/7 f8
+n1/1 n1/1 d8 a6 a200 a90 f9/2
+h2/2 n1/1 n1/1 n1/1 a4 a22 a18 a28 a16 f60
 a8 a50 a75 a2 a33 f7/1
 n1/1 n2/2 n1/1 d26 a8 a65 a40/2 d35 a85 a19 f11/1
-n4/4 n5/5 a10 a38/38 a44 a52/6 a3 m9 m1 f30/9
-h12 n1/1 a3 a1 a5 a2 a90 a4 c60 c80/2 c7 f4/4
+n4/4 n5/5 a10 a38/38 a44 a52/6 a3 f30/9
+h12 n1/1 a3 a1 a5 a2 a90 a4 f4/4
 n1/1 n1/1 n1/1 n1/1 n1/1 d5 a6 a130 a7 a95 a5 a110 f14
-d10 a9 a20 a26 a30 a24 a21 s2 s30 s28 f6/6
+d10 a9 a20 a26 a30 a24 a21 f6/6
 n1/1 n2/2 a60 a70/4 a55 f5
 n1/1 n1/1 d15 a12 a5 a9 a7 a40 a14 f9
 a9
@@ -75,17 +76,19 @@ n1/1
 n2/1
 h1
 h2
-m2
 f4
 f9/4
 h1 f3
 n2/2 d20 a3 f4
-m60 m5 a7 a80 a100 f3
-n2/2 n2/2 s90 s70 a6 a120 a85 c90 c110 f80
+d60 a5 a7 a80 a100 f3
+d45 a2
+a1 d50
+n2/2 n2/2 a6 a120 a85 f80
 """.strip()
-OTHER_KINDS = "nhdsmcf"
-SAMPLE_PAGES, BLOCKS_A_PAGE = 200, 100
-TEXT_DEPTH, MARK_DEPTH, LEAST_ROWS, LEAST_GAIN = 6, 3, 6, 0.002
+OTHER_KINDS = "nhdf"
+SAMPLE_PAGES, BLOCKS_A_PAGE = 1000, 100
+TEXT_DEPTH, MARK_DEPTH = 12, 3
+LEAST_ROWS, LEAST_SHARE = 20, 0.01  # a leaf of the text step holds so many rows and this share of the table at least
 
 
 def neighbourhood(words: list[int], links: list[int]) -> list[tuple]:
@@ -110,12 +113,12 @@ def examples() -> list[tuple]:
         blocks_ = [(x[0], *map(int, (x[1:] + "/0").split("/")[:2])) for x in page.split()]
         kept = [int(kind == "a") for kind, _, _ in blocks_]
         rows = neighbourhood([w for _, w, _ in blocks_], [x for _, _, x in blocks_])
-        # comments and adverts may lie in the article, too
-        out += entries(rows, [(int(kind in OTHER_KINDS), int(kind in "acd"), 1) for kind, _, _ in blocks_], kept)
+        # adverts may lie in the article, too
+        out += entries(rows, [(int(kind in OTHER_KINDS), int(kind in "ad"), 1) for kind, _, _ in blocks_], kept)
     return out
 
 
-def grow(rows: np.ndarray, features: range, depth: int, least_rows: int = 1, least_gain: float = 0.0, leaf=None):
+def grow(rows: np.ndarray, features: range, depth: int, least_rows: int = 1, leaf=None):
     """A tree by Gini impurity: (feature, threshold, left, right), or what ``leaf`` makes of a leaf's rows (their majority's label, ties are kept).
 
     Ties between splits go to the first feature and the lowest threshold.
@@ -134,24 +137,17 @@ def grow(rows: np.ndarray, features: range, depth: int, least_rows: int = 1, lea
                 k = int(np.argmin(np.round(impurity, 9)))
                 if best is None or impurity[k] < best[0] - 1e-9:
                     best = float(impurity[k]), f, float((v[cuts[k]] + v[cuts[k] + 1]) / 2)
-    if best is None or 2 * ones * (n - ones) / n - best[0] < least_gain * n:
+    if best is None or 2 * ones * (n - ones) / n - best[0] < 1e-9:
         return leaf(rows) if leaf else int(2 * ones >= n)
     _, f, cut = best
     side = rows[:, f] <= cut
-    return f, cut, *(grow(rows[x], features, depth - 1, least_rows, least_gain, leaf) for x in (side, ~side))
+    return f, cut, *(grow(rows[x], features, depth - 1, least_rows, leaf) for x in (side, ~side))
 
 
 def grow_tree(table_: list[tuple]):
-    """The tree of a labelled table: by words and link densities first, then by marks.
-
-    A leaf of the first step that has met no block with some marks takes over what these mean in the table as a whole.
-    """
+    """The tree of a labelled table: by words and link densities, then by marks in the leaves that stay mixed."""
     rows, text, marks = np.array(table_, dtype=float), range(TEXT_FEATURES), range(TEXT_FEATURES, len(FEATURES))
-    marked = rows[rows[:, TEXT_FEATURES:-1].any(axis=1)]
-    kinds, which = np.unique(marked[:, TEXT_FEATURES:-1], axis=0, return_inverse=True)
-    votes = [marked[which.ravel() == k, -1].mean() >= 0.5 for k in range(len(kinds))]
-    meant = np.column_stack([np.zeros((len(kinds), TEXT_FEATURES)), kinds, votes])
-    return grow(rows, text, TEXT_DEPTH, LEAST_ROWS, LEAST_GAIN, lambda left: grow(np.vstack([left, meant]), marks, MARK_DEPTH))
+    return grow(rows, text, TEXT_DEPTH, max(LEAST_ROWS, int(LEAST_SHARE * len(rows))), lambda left: grow(left, marks, MARK_DEPTH))
 
 
 @lru_cache(maxsize=1)
@@ -166,22 +162,27 @@ def decide(tree, row: tuple) -> int:
     return tree
 
 
-def serves_other(name: str, attrs: str, in_article: int) -> bool:
-    """Whether an element holds something other than the article, by its tag, role, class and id."""
-    if name in OTHER_TAGS or (name == "header" and not in_article):
-        return True
-    if "=" not in attrs or name in NO_NAMES:
-        return False
+CUT, MARK = 2, 1
+
+
+def serves_other(name: str, attrs: str, in_article: int) -> int:
+    """Whether an element, by its tag, role, class and id, holds no text of the page (``CUT``), is marked as other than the article (``MARK``), or neither (0)."""
+    found = CUT if name in CUT_TAGS else MARK if name in MARK_TAGS or (name == "header" and not in_article) else 0
+    if found == CUT or "=" not in attrs or name in NO_NAMES:
+        return found
     for m in _ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
+        value = (m[2] or m[3] or m[4] or "").strip()
         if m[1].lower() == "role":
-            if value.lower() in OTHER_ROLES:
-                return True
+            role = value.lower()
+            found = max(found, CUT if role in CUT_ROLES else MARK if role in MARK_ROLES else 0)
             continue
         for one in value.split():
-            if one.lower() in WHOLE or any(p.lower() in OTHER_NAMES for p in _SPLIT.split(one)):
-                return True
-    return False
+            parts = {p.lower() for p in _SPLIT.split(one)}
+            if one.lower() in CUT_WHOLE or parts & CUT_NAMES:
+                return CUT
+            if one.lower() in MARK_WHOLE or parts & MARK_NAMES:
+                found = MARK
+    return found
 
 
 def tag_end(page: str, at: int) -> int:
@@ -199,13 +200,13 @@ def tag_end(page: str, at: int) -> int:
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, in another container, in the article) of the page's flat text blocks, in order."""
+    """(text, words, words in links, marked as other, in the article) of the page's flat text blocks, in order."""
     out: list[tuple[str, int, int, int, int]] = []
     bits: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []
     open_: Counter = Counter()
-    other = article = link = 0
+    cut = other = article = link = 0
     at, n = 0, len(page)
     endless: set[str] = set()  # names without an end tag in what is left of the page
 
@@ -213,7 +214,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         nonlocal link
         if bits:
             words = "".join(bits).split()
-            if words:
+            if words and not cut:
                 out.append((" ".join(words), len(words), min(len(words), len("".join(linked).split())), int(other > 0), int(article > 0)))
             bits.clear()
             linked.clear()
@@ -277,16 +278,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             attrs = page[m.end() : end - 1]
             if attrs.endswith("/"):
                 continue
-            is_other = serves_other(name, attrs, article)
+            serves = serves_other(name, attrs, article)
             is_article = name in ("article", "main") or 'role="main"' in attrs
-            stack.append((name, is_other, is_article))
+            stack.append((name, serves, is_article))
             open_[name] += 1
-            other, article = other + is_other, article + is_article
+            cut, other, article = cut + (serves == CUT), other + (serves == MARK), article + is_article
         elif open_[name]:
             while True:
-                was, is_other, is_article = stack.pop()
+                was, serves, is_article = stack.pop()
                 open_[was] -= 1
-                other, article = other - is_other, article - is_article
+                cut, other, article = cut - (serves == CUT), other - (serves == MARK), article - is_article
                 if was == name:
                     break
     flush()
@@ -307,11 +308,11 @@ def main_text(page: str | None, tree=None) -> tuple[str, int]:
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES):
-    """The tree, from the examples and the blocks of about ``sample_pages`` pages, at most ``BLOCKS_A_PAGE`` of each, evenly drawn.
+    """The tree, from the examples and the blocks of about ``sample_pages`` pages (at most twice as many), at most ``BLOCKS_A_PAGE`` of each, evenly drawn.
 
-    Pages that mark no article teach nothing, nor do null ones. The pages are drawn by a hash of their id.
+    Pages that mark no article teach nothing, nor do null and empty ones, and an empty table leaves the examples. Pages are
+    drawn by a hash of id and page, so ids that repeat or are null neither empty nor flood the sample.
     """
-    every = max(1, pages.count() // sample_pages)
     names = [*FEATURES, "kept"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +325,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES):
                     rows += entries([r[:TEXT_FEATURES] for r in own], [r[TEXT_FEATURES:] for r in own], [int(r[-2] and not r[-3]) for r in own])
             yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(names))], names=names)
 
-    sample = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select(F.col("html").cast("string"))
+    sample = drawn(pages.select("page_id", F.col("html").cast("string").alias("html")), ["page_id", "html"], sample_pages).select("html")
     rows = map_batches(sample, label, ", ".join(f"{x} double" for x in names)).collect()  # bounded by both parameters
     return grow_tree([*examples(), *sorted(map(tuple, rows))])
 
