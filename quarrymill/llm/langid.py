@@ -1,14 +1,15 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary of at most ``DICT_BYTES`` is laid down from excerpts of learned documents.
+For each language a raw-content dictionary of at most ``DICT_BYTES`` is laid down from learned documents.
 A text is folded (lower case, ASCII digits and signs dropped), cut into blocks, and each block is compressed by zstandard
 with each language's dictionary; the language with the smallest sum wins, ties go to the language with more documents.
 The answer is rejected (``accepted`` false) when the runner-up's sum is within ``MARGIN`` of it.
 
-The dictionaries are the bounded sample of labelled rows: ``DICT_BYTES`` a language. They are filled by excerpts of
-``EXCERPT`` characters, one a document, each from a place in the whole text that a hash picks, of documents in the order
-of a hash of their id, until no more fits; every drawn excerpt is in. All languages are learned, each with a dictionary
-of its own: with very many the compressors of a worker take about 1 MB each. Every text is classified whole.
+The dictionaries are the bounded sample of labelled rows: ``DICT_BYTES`` a language. They are filled by whole documents in
+the order of a hash of id and text, each that still fits; only where not even one fits is the first one cut to the size.
+Rows that repeat are learned once, so copies under one id neither fill a dictionary nor leave it empty. All languages are
+learned, each with a dictionary of its own: with very many the compressors of a worker take about 1 MB each. Every text is
+classified whole.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import crc_class, map_batches, slices, table
 
-DICT_BYTES = 64_000
-EXCERPT = 600
+DICT_BYTES = 128_000
 DRAW = 1 << 40
 LEVEL, MIN_MATCH, BLOCK = 6, 3, 2048
 MARGIN = 0.02
@@ -43,30 +43,36 @@ def fold(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_SPACE, _DROP)
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", dict_bytes: int = DICT_BYTES, excerpt: int = EXCERPT) -> list[tuple[str, bytes]]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary) of each learned language, those with most documents first, ties by name.
 
     Rows with a null text or language, or an empty text, teach nothing; an empty table gives an empty model. Documents
-    are drawn by a hash of their id, ties by id and excerpt, so reruns agree; rows that repeat are drawn as rows.
+    are drawn by a hash of id and text, so reruns agree, and ids that repeat or are null do no harm; rows that repeat are
+    learned once. A language of which the draw finds nothing teaches its first document in the hash's order.
     """
-    size = F.char_length(F.col(text))
-    # a long text's excerpt starts anywhere in it, a short one's at its start
-    start = F.when(size > excerpt, F.pmod(F.xxhash64(F.col(key), F.lit("start")), size - excerpt + 1)).otherwise(0)
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (size > 0)).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), (start + 1).cast("int"), F.lit(excerpt)).alias("excerpt"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.octet_length("excerpt")).alias("bytes")).orderBy(F.desc("n"), "lang").collect()  # a row a language
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("draw"), F.octet_length(F.col(text)).alias("size")).where("text is not null and lang is not null and size > 0")
+    fits = F.col("size") < dict_bytes
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("kinds"), F.avg(F.when(fits, F.col("size"))).alias("bytes")).orderBy(F.desc("n"), "lang").collect()  # a row a language
     if not found:
         return []
-    # a hash lets about three times the wanted excerpts of each language through, whatever their number
-    wanted = {r["lang"]: -(-3 * dict_bytes // max(1, int(r["bytes"]))) + 20 for r in found}
-    share = rows.sparkSession.createDataFrame([(r["lang"], min(DRAW, -(-wanted[r["lang"]] * DRAW // r["n"]))) for r in found], "lang string, share long")
-    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("key"), F.lit(DRAW)) < F.col("share")).drop("share")
-    # of these the first ones that fill the dictionary: what goes to the driver is DICT_BYTES a language
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "excerpt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = sample.withColumn("upto", F.sum(F.octet_length("excerpt") + 1).over(drawn)).withColumn("n", F.row_number().over(drawn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kept: dict[str, list[bytes]] = {r["lang"]: [] for r in found}
-    for row in sample.where((F.col("upto") <= dict_bytes) | (F.col("n") == 1)).orderBy("lang", "n").select("lang", "excerpt").collect():
-        kept[row["lang"]].append(fold(row["excerpt"]))
-    return [(x, b" ".join(pieces)) for x, pieces in kept.items()]
+    # a hash lets about three times the wanted documents of each language through, whatever their number
+    wanted = {r["lang"]: -(-3 * dict_bytes // max(1, int(r["bytes"] or 1))) + 20 for r in found}
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(DRAW, -(-wanted[r["lang"]] * DRAW // r["kinds"]))) for r in found], "lang string, share long")
+    sample = rows.where(fits).join(F.broadcast(share), "lang").where(F.pmod("draw", F.lit(DRAW)) < F.col("share")).groupBy("lang", "draw").agg(F.first("text").alias("text"), F.first("size").alias("size"))
+    # of these the first ones: what goes to the driver is twice DICT_BYTES a language
+    order = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = sample.withColumn("upto", F.sum(F.col("size") + 1).over(order)).where(F.col("upto") <= 2 * dict_bytes)
+    kept: dict[str, list[str]] = {r["lang"]: [] for r in found}
+    left = dict.fromkeys(kept, dict_bytes)
+    for row in sample.orderBy("lang", "draw").select("lang", "size", "text").collect():
+        if row["size"] < left[row["lang"]]:
+            left[row["lang"]] -= row["size"] + 1
+            kept[row["lang"]].append(row["text"])
+    if missing := [x for x, own in kept.items() if not own]:
+        first = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.struct(F.substring("text", 1, dict_bytes).alias("text")), F.struct(~fits, "draw")).alias("x"))
+        for row in first.select("lang", "x.text").collect():
+            kept[row["lang"]].append(row["text"])
+    return [(x, b" ".join(map(fold, own))[:dict_bytes]) for x, own in kept.items()]
 
 
 @lru_cache(maxsize=2)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import map_batches, slices, table
+from quarrymill.llm.common import drawn, map_batches, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -413,9 +413,12 @@ PROTOTYPES = [("letters digits20", "", 0), ("digits16", "", 0), ("hyphen digits7
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Node weights (label by feature) and edge tables (edge by label by label), from about ``sample_docs`` documents; of an empty table from the prototypes alone."""
-    every = max(1, docs.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string"))
+    """Node weights (label by feature) and edge tables (edge by label by label), from about ``sample_docs`` documents (at most twice as many).
+
+    They are drawn by a hash of id and text, so ids that repeat or are null neither empty nor flood the sample; where rows
+    are drawn, those that repeat count once. Null and empty texts teach nothing; an empty table leaves the prototypes alone.
+    """
+    sample = drawn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id", "text"], sample_docs).select("text")
     rows = map_batches(sample, _statistics, "features string, met string, label long, n long").groupBy("features", "met", "label").agg(F.sum("n").alias("n")).orderBy("features", "met", "label").collect()
     places = [([_PLACE[f] for f in ["bias", *names.split()]], [(EDGES.index(met.split()[0]) * len(LABELS) + LABELS.index(met.split()[1]), 1)] if met else [], y, 1) for names, met, y in PROTOTYPES]
     places += [([int(i) for i in r["features"].split()], [tuple(map(int, x.split(":"))) for x in r["met"].split()], r["label"], r["n"]) for r in rows]
@@ -453,8 +456,8 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 def detect(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, counts of base spans by kind, their digest, all spans, n_added and n_spans (of all) of every row.
 
-    A null or empty text has no spans. Rows that repeat are searched alike; an empty table gives no rows. Texts are
-    searched whole; other columns are not read.
+    A null or empty text has no spans. Of spans that begin together the kind listed first comes first. Rows that repeat are
+    searched alike; an empty table gives no rows. Texts are searched whole; other columns are not read.
     """
     arrow = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
 

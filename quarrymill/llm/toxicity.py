@@ -10,7 +10,7 @@ maximal scoring segments of the whole text. In clean text the score of the best
 a segment of score S in n words has lambda * S - ln(K * n) bits over chance, lambda and K from the clean documents
 learned from. A document's best segment and the sum over its significant ones enter a logistic calibration to the label.
 
-The model is fitted on at most about ``SAMPLE_DOCS`` labelled documents, drawn by a hash of their id, and has every
+The model is fitted on at most about ``SAMPLE_DOCS`` labelled documents, drawn by hashes, and has every
 feature of these that passes; every document is scored whole. Spark adds the sample up to sums, exact ones of integers,
 so that reruns agree; to the driver go these, the features that pass, and counts of equal evidence.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import crc_class, map_batches, slices, table, written
+from quarrymill.llm.common import crc_class, drawn, map_batches, slices, table, written
 
 SAMPLE_DOCS = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -105,13 +105,14 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model, from documents and their labels (doc_id, toxic). Without both classes it scores all documents with the share of the label.
 
-    Rows with a null label or id teach nothing, null texts count as empty. An id with several labels counts with each,
-    and rows that repeat count as rows. Empty tables give a model that scores every document 0.5.
+    Rows with a null label or id teach nothing, null texts count as empty. An id with both labels counts with each, label
+    rows that repeat count once. Of documents that share an id each is labelled; ids are drawn by a hash, and what these
+    bring beyond the bound is drawn again by id and text. Empty tables give a model that scores every document 0.5.
     """
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("d2"), F.col("toxic").cast("long").alias("toxic"))
-    every = max(1, known.count() // sample_docs)
-    known = known.where(F.pmod(F.xxhash64("d2"), F.lit(every)) == 0)
-    sample = written(docs.join(known, F.col("doc_id") == F.col("d2")).select(F.col("text").cast("string"), "toxic"), "labelled")
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("d2"), F.col("toxic").cast("long").alias("toxic")).distinct()
+    known = drawn(known, ["d2", "toxic"], sample_docs)
+    joined = docs.join(known, F.col("doc_id") == F.col("d2")).select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
+    sample = drawn(written(joined, "labelled"), ["doc_id", "text", "toxic"], sample_docs).select("text", "toxic")
     count = map_batches(sample, _presence, "feature string, toxic long, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("y1"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("y0"))
     count = written(count, "features")
     whole = count.where("feature = ''").first()

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import langid, toxicity
+from quarrymill.llm import common, langid, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,12 +51,44 @@ def test_language_as_brute_force(spark, small):
             assert got.lang_pred == "und"
 
 
-def test_dictionaries_hold_all_drawn_excerpts(spark):
-    """No language is dropped, however many there are, and a dictionary is full but for less than one excerpt."""
-    rows = [(1000 * k + i, f"lang{k} word{i} " * (4 + i % 50), f"l{k:03d}") for k in range(300) for i in range(3)] + [(10**6 + i, f"mmm {i} some more words of it " * 60, "main") for i in range(400)] + [(None, "x", None), (1, None, "zz"), (2, "", "yy")]
+def test_dictionaries_are_filled_by_whole_documents(spark):
+    """No language is dropped, however many there are, and a dictionary is full but for less than one document."""
+    rows = [(1000 * k + i, f"lang{k} word{i} " * (4 + i % 50), f"l{k:03d}") for k in range(300) for i in range(3)] + [(10**6 + i, f"mmm{i} some more words of it " * 60, "main") for i in range(400)] + [(None, "x", None), (1, None, "zz"), (2, "", "yy"), (5, "über " * 40_000, "long")]
     model = dict(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
-    assert len(model) == 301 and all(model.values())
-    assert langid.DICT_BYTES * 0.8 < len(model["main"]) + 12 * 120 and len(model["main"]) <= langid.DICT_BYTES  # digits are dropped after the draw
+    assert len(model) == 302 and all(model.values()) and len(model["long"]) <= langid.DICT_BYTES
+    texts = {langid.fold(t) for _, t, x in rows if x == "main"}
+    assert langid.DICT_BYTES - 1800 - 3 * 60 * 80 < len(model["main"]) <= langid.DICT_BYTES  # digits are dropped after the draw
+    whole = b"mmm some more words of it " * 60
+    assert texts == {whole} and model["main"] == b" ".join([whole] * (len(model["main"]) // len(whole)))
+
+
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_language_with_repeated_ids(spark, doc_id):
+    """One id, or none, on all rows, and one text on all rows of a language: every dictionary is filled."""
+    rows = [(doc_id, f"{'the and of' if i % 2 else 'der und die'} word{i} " * 30, "en" if i % 2 else "de") for i in range(3000)] + [(doc_id, "la même phrase " * 20, "fr")] * 2000
+    model = dict(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dict_bytes=20_000))
+    assert all(len(model[x]) > 12_000 for x in ("en", "de")) and model["fr"] == langid.fold("la même phrase " * 20)
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_draw_with_repeated_ids(spark, doc_id):
+    """About as many rows as wanted, whatever the ids; copies are drawn once."""
+    rows = spark.range(4000).selectExpr(f"cast({doc_id if doc_id else 'null'} as long) as doc_id", "concat('text ', id) as text")
+    assert 60 <= common.drawn(rows, ["doc_id", "text"], 100).count() <= 200
+    copies = rows.selectExpr("doc_id", "'one text' as text")
+    assert common.drawn(copies, ["doc_id", "text"], 100).count() == 1
+    few = rows.selectExpr("doc_id", "concat('text ', pmod(hash(text), 150)) as text")
+    got = common.drawn(few, ["doc_id", "text"], 100)
+    assert got.columns == ["doc_id", "text"] and 75 <= got.count() <= 150 and got.distinct().count() == got.count()
+    assert common.drawn(rows, ["doc_id", "text"], 2000).count() == 4000 and common.drawn(rows.limit(0), ["doc_id"], 5).count() == 0
+
+
+def test_toxicity_with_repeated_ids(spark, small):
+    """All documents under one id with both labels, more than the bound: the sample keeps it, and both classes are learned."""
+    docs = small.selectExpr("1 as doc_id", "text")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (None, 1), (2, None)] * 50, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_docs=50)
+    assert model["odds"] == {} and 0 <= toxicity.classify(docs, model, F.lit(False)).first().score <= 1
 
 
 def test_language_margin():

@@ -153,3 +153,12 @@ def test_edge_cases(spark, edge, empty, model):
     assert got.text == "to [EMAIL], [IP]" and got.n_chars == len(got.text)
     long = "1234567890" * 20_000 + " a@b.co " + "x." * 50_000
     assert len(pii.find_spans(long, model)[0]) == 1
+
+
+@pytest.mark.parametrize("doc_id", ["1", "null"])
+def test_training_with_repeated_ids(spark, small, doc_id):
+    """With one id, or none, on all rows the draw is neither empty nor everything: mentions are learned, not prototypes alone."""
+    docs = small.selectExpr(f"cast({doc_id} as long) as doc_id", "text")
+    bare = pii.train(small.limit(0))
+    got = pii.train(docs, sample_docs=40)
+    assert abs(got["node"] - bare["node"]).max() > 0.1
