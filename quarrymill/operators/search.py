@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.operators.postings import Index, matches, terms
 from quarrymill.operators.topk import cap_per_group, diversify
 
 #: Fusion: weights of the legs and the constant of the reciprocal ranks; sizes of legs, cap a brand, rows returned. Fixed values.
@@ -79,8 +80,8 @@ def hits(text: Column, terms: list[str]) -> Column:
 def text_leg(df: DataFrame, text: str, key: str, terms: list[str], k: int = LEG, bm25: bool = False, stemmed: bool = False) -> DataFrame:
     """The k rows that match best by any term; adds hits or the BM25 score as text_score, and rank_t (long). No terms, no rows.
 
-    For BM25 each text is read once: key, length and term counts are kept (recomputed where lost) for the statistics of
-    the set and for the order, and the k rows found get their other columns back by key.
+    For BM25 the texts are read for the statistics of the set and again for the order, and the k rows found get their
+    other columns back by key. Sets that are asked often have an index instead (``postings``), which spares both.
     """
     if not terms:
         return df.where(F.lit(False)).withColumn("text_score", F.lit(None).cast("double")).withColumn("rank_t", F.lit(None).cast("long"))
@@ -95,7 +96,7 @@ def text_leg(df: DataFrame, text: str, key: str, terms: list[str], k: int = LEG,
         score = sum([(t > 0).cast("int") for t in times], F.lit(0)) if stemmed else hits(F.col(text), terms)
         top = df.withColumn("text_score", score.cast("double")).where("text_score > 0").orderBy(F.desc("text_score"), key).limit(k)
         return top.withColumn("rank_t", F.row_number().over(order).cast("long"))
-    narrow = df.select(key, F.array(*times).alias("__tf"), length.alias("__n")).persist()
+    narrow = df.select(key, F.array(*times).alias("__tf"), length.alias("__n"))
     stats = narrow.agg(F.count("*").alias("docs"), F.avg("__n").alias("length"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
     rows = narrow.where(F.array_max("__tf") > 0).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -114,14 +115,19 @@ def fuse(vector: DataFrame, text: DataFrame, key: str) -> DataFrame:
     return met.withColumn("score", rrf())
 
 
-def both_legs(candidates: DataFrame, key: str, vector: str, text: str, keep: list[str], brand: str, query: list[float], residual: str, k: int = LEG, per_brand: int = PER_BRAND) -> DataFrame:
+def both_legs(candidates: DataFrame, key: str, vector: str, text: str, keep: list[str], brand: str, query: list[float], residual: str, k: int = LEG, per_brand: int = PER_BRAND, index: Index | None = None) -> DataFrame:
     """key, ``keep``, rank_v, rank_t of the rows that either leg finds, from one pass over the candidates.
 
+    With an index the text leg is English full text: the candidates meet the scores of the query's postings and their texts
+    aren't read. Without one a text's score is the number of query words that it holds.
+
     Each row gives up to two narrow rows, one a leg. They are cut in two steps, so that no task ranks a whole leg: first
     to ``per_brand`` of each brand (vector leg) or to k of each of 64 parts (text leg), then to k.
     """
-    terms = query_terms(residual)
-    scored = candidates.where(F.col(vector).isNotNull()).select(key, *keep, cosine_distance(F.col(vector), query).alias("__d"), hits(F.col(text), terms).cast("double").alias("__h"), F.coalesce(F.col(brand).cast("string"), F.lit("")).alias("__b"))
+    score = F.lit(0.0) if index else hits(F.col(text), query_terms(residual)).cast("double")
+    scored = candidates.where(F.col(vector).isNotNull()).select(key, *keep, cosine_distance(F.col(vector), query).alias("__d"), score.alias("__h"), F.coalesce(F.col(brand).cast("string"), F.lit("")).alias("__b"))
+    if index and terms(residual):
+        scored = scored.drop("__h").join(matches(index, key, residual).select(key, F.col("text_score").alias("__h")), key, "left").withColumn("__h", F.coalesce("__h", F.lit(0.0)))
     entry = lambda leg, score, part: F.struct(F.lit(leg).alias("leg"), score.alias("score"), part.alias("part"))
     legs = F.array(entry("v", F.col("__d"), F.col("__b")), F.when(F.col("__h") > 0, entry("t", -F.col("__h"), F.pmod(F.xxhash64(key), F.lit(64)).cast("string"))))
     rows = scored.select(key, *keep, F.explode(F.array_compact(legs)).alias("__x")).select(key, *keep, "__x.*")
@@ -138,13 +144,13 @@ def rrf(rank_v: str = "rank_v", rank_t: str = "rank_t") -> Column:
     return part(W_VECTOR, rank_v) + part(W_TEXT, rank_t)
 
 
-def hybrid(candidates: DataFrame, key: str, vector: str, text: str, category: str, brand: str, query: list[float], residual: str, returned: int = RETURNED) -> DataFrame:
+def hybrid(candidates: DataFrame, key: str, vector: str, text: str, category: str, brand: str, query: list[float], residual: str, returned: int = RETURNED, index: Index | None = None) -> DataFrame:
     """The fused, diversified answer with place from 1: key, category, brand, rank_v, rank_t, score, place.
 
     ``candidates`` are the rows behind the hard filters; rows without a vector aren't searched. Without terms in the
     residual text the text leg is left out.
     """
-    named = both_legs(candidates, key, vector, text, [category, brand], brand, query, residual).withColumn("score", rrf())
+    named = both_legs(candidates, key, vector, text, [category, brand], brand, query, residual, index=index).withColumn("score", rrf())
     return diversify(named, category, brand, [F.desc("score"), F.col("rank_v").asc_nulls_last(), F.col("rank_t").asc_nulls_last(), F.col(key)], returned)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.scalars import canonical_size, size_spellings
-from quarrymill.operators import enrich, facets, predicates, search, topk, tree
+from quarrymill.operators import enrich, facets, postings, predicates, search, topk, tree
+from quarrymill.operators.postings import Index
 
 FEATURED_CAP = 10
 #: Orders of the menu, and what the featured listing shows; fixed values.
@@ -162,7 +163,7 @@ def product_detail(c: Catalog, product_id: int) -> DataFrame:
 
 def taxonomy(c: Catalog, r: Request) -> dict[str, DataFrame]:
     """The menu with counts, and the facets of the refined set: brands, sizes, colours, price bounds, total. An unknown brand is dropped."""
-    rows = refine(c, r, unresolved="drop").select("id", "brand_id", "category_id").cache()
+    rows = refine(c, r, unresolved="drop").select("id", "brand_id", "category_id")
     v = c.variants.where("current_available").join(rows.select(F.col("id").alias("product_id")), "product_id", "left_semi")
     counts = facets.counts(rows, "category_id")
     return {
@@ -186,15 +187,20 @@ def _searched(c: Catalog, r: Request, override: str | None) -> DataFrame:
     return refine(c, r, fold_colors=True, unresolved="drop").withColumn("searched", F.concat_ws(" ", "title", "description"))
 
 
-def search_products(c: Catalog, r: Request, query_vector: list[float], residual: str, override: str | None = None) -> DataFrame:
-    """Hybrid search behind the hard filters: the answer's cards in order."""
-    found = search.hybrid(_searched(c, r, override), "id", "embedding", "searched", "category_id", "brand_id", query_vector, residual)
+def search_index(c: Catalog, folder: str) -> Index:
+    """The full-text index of the products' titles and descriptions, written to ``folder`` with each load and read by every search."""
+    return postings.write_index(c.products.select("id", F.concat_ws(" ", "title", "description").alias("searched")), "id", "searched", folder)
+
+
+def search_products(c: Catalog, r: Request, query_vector: list[float], residual: str, override: str | None = None, index: Index | None = None) -> DataFrame:
+    """Hybrid search behind the hard filters: the answer's cards in order. With the index of title and description (``search_index``) the text leg is English full text."""
+    found = search.hybrid(_searched(c, r, override), "id", "embedding", "searched", "category_id", "brand_id", query_vector, residual, index=index)
     return _cards(c, found.select("id", "place")).orderBy("place")
 
 
-def search_debug(c: Catalog, r: Request, query_vector: list[float], residual: str, override: str | None = None) -> DataFrame:
+def search_debug(c: Catalog, r: Request, query_vector: list[float], residual: str, override: str | None = None, index: Index | None = None) -> DataFrame:
     """Both legs' ranks and the fused score of every row that either leg found, best first."""
-    legs = search.both_legs(_searched(c, r, override), "id", "embedding", "searched", ["title"], "brand_id", query_vector, residual)
+    legs = search.both_legs(_searched(c, r, override), "id", "embedding", "searched", ["title"], "brand_id", query_vector, residual, index=index)
     return legs.withColumn("score", search.rrf()).orderBy(F.desc("score"), "id")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrymill.operators import search, telemetry, topk
+from quarrymill.functions.stemming import STOP_WORDS, stem_sql
+from quarrymill.functions.literals import values
+from quarrymill.operators import postings, search, telemetry
 from quarrymill.plans.tables import table
 
 #: The query vector of the tests: the alternating unit vector of 64 dimensions.
@@ -29,9 +31,21 @@ def text_or_match_topk(s, d):
     return search.text_leg(table(s, d, "documents"), "text", "doc_id", TERMS).select("doc_id", "text_score", "rank_t")
 
 
+#: What the indexed legs are asked: words of the texts, inflected, among stop words.
+ASKED = "the tions of annd, therings and what ATION was doing with inge"
+
+
 def text_bm25_topk(s, d):
-    """Ranked by BM25; scores to six places."""
-    return search.text_leg(table(s, d, "documents"), "text", "doc_id", TERMS, bm25=True).select("doc_id", F.round("text_score", 6).alias("text_score"), "rank_t")
+    """English full text ranked by BM25 from postings; scores to six places."""
+    index = postings.index_of(table(s, d, "documents"), "doc_id", "text")
+    return postings.indexed_leg(index, "doc_id", ASKED, 60, "bm25").select("doc_id", F.round("text_score", 6).alias("text_score"), "rank_t")
+
+
+def text_density_topk(s, d):
+    """The same texts ranked by the density of the query's terms, within those of three languages."""
+    docs = table(s, d, "documents")
+    found = postings.indexed_leg(postings.index_of(docs, "doc_id", "text"), "doc_id", ASKED, 60, within=docs.where("lang in ('en', 'de', 'fr')"))
+    return found.select("doc_id", F.round("text_score", 9).alias("text_score"), "rank_t")
 
 
 def rrf_fusion(s, d):
@@ -43,15 +57,21 @@ def rrf_fusion(s, d):
 def hybrid_search(s, d):
     """Documents with the embedding of their number, in English, diversified by language and label."""
     vec = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    rows = table(s, d, "documents").where("n_chars > 300").join(vec, "doc_id", "left")
-    found = search.hybrid(rows, "doc_id", "embedding", "text", "lang", "label", QUERY, "word from a reading")
+    docs = table(s, d, "documents")
+    rows = docs.where("n_chars > 300").join(vec, "doc_id")
+    found = search.hybrid(rows, "doc_id", "embedding", "text", "lang", "label", QUERY, ASKED, index=postings.index_of(docs, "doc_id", "text"))
     return found.select("doc_id", "rank_v", "rank_t", "place")
 
 
 _V = f"v as (select vec_id, rank_v from (select vec_id, row_number() over (order by {_DIST}, vec_id) as rank_v from embeddings) where rank_v <= 60)"
 _T = f"t as (select doc_id, hits::double as text_score, row_number() over (order by hits desc, doc_id) as rank_t from (select doc_id, {_HITS} as hits from documents) where hits > 0 order by hits desc, doc_id limit 60)"
-_BM = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(TERMS))
-_BMS = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg_len))" for i in range(3))
+_X = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+#: English full text by plain SQL: the terms of every text by the stemmer's rules as SQL, and how often each is held.
+_FULL = f"""words as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as w from documents),
+  stems as (select w, {stem_sql("w")} as term from (select distinct w from words) where w not in ({_X})),
+  held as (select doc_id, term, count(*) as tf from words join stems using (w) group by 1, 2),
+  asked as (select distinct {stem_sql("w")} as term from (select unnest(regexp_extract_all(lower('{ASKED}'), '[a-z]+')) as w) where w not in ({_X}))"""
+_DENSITY = "sum(0.1::double / 1.64493406685::double * list_sum(list_transform(range(1, least(tf, 255) + 1), lambda i: 1.0::double / (i * i)))) / (select count(*) from asked)"
 
 
 def metric_bucket(width, aggs):
@@ -88,7 +108,7 @@ PRICES = [("click", 2.0, 8.0), ("view", 0.15, 0.6), ("purchase", 0.02, 0.0)]
 
 def cost_estimate(s, d):
     """Cost of a call by its model's prices; an unknown model's is null, and a sum of two parts is null only if both are."""
-    price = table(s, d, "events").limit(1).select(F.explode(F.array(*[F.struct(F.lit(m).alias("event_type"), F.lit(a).alias("p_in"), F.lit(b).alias("p_out")) for m, a, b in PRICES])).alias("x")).select("x.*")
+    price = values(s, PRICES, ["event_type", "p_in", "p_out"]).select("event_type", F.col("p_in").cast("double"), F.col("p_out").cast("double"))
     rows = table(s, d, "events").join(F.broadcast(price), "event_type", "left")  # a price list of a few rows
     k = F.get_json_object("props", "$.k").cast("double")
     one = telemetry.cost(k * 100, k * 10, F.col("p_in"), F.col("p_out"))
@@ -110,12 +130,16 @@ QUERIES = {
     "vector_topk": (vector_topk, f"select vec_id, round(dist, 6) as dist, row_number() over (order by dist, vec_id) as rank_v from (select vec_id, {_DIST} as dist from embeddings) order by dist, vec_id limit 60"),
     "vector_topk_capped": (vector_topk_capped, f"with c as (select vec_id, label, dist from (select vec_id, label, {_DIST} as dist, row_number() over (partition by label order by {_DIST}, vec_id) as rn from embeddings) where rn <= 8) select vec_id, label, row_number() over (order by dist, vec_id) as rank_v from c order by dist, vec_id limit 60"),
     "text_or_match_topk": (text_or_match_topk, f"with {_T} select doc_id, text_score, rank_t from t"),
-    "text_bm25_topk": (text_bm25_topk, f"with d as (select doc_id, list_filter({_WORDS}, lambda x: x <> '') as w from documents), f as (select doc_id, len(w) as len, {_BM} from d), st as (select count(*) as n, avg(len) as avg_len, count(*) filter (tf0 > 0) as df0, count(*) filter (tf1 > 0) as df1, count(*) filter (tf2 > 0) as df2 from f), sc as (select doc_id, {_BMS} as score from f, st where tf0 + tf1 + tf2 > 0) select doc_id, round(score, 6) as text_score, row_number() over (order by score desc, doc_id) as rank_t from sc order by score desc, doc_id limit 60"),
+    "text_bm25_topk": (text_bm25_topk, f"""with {_FULL}, sizes as (select doc_id, coalesce(n, 0) as n from documents left join (select doc_id, sum(tf) as n from held group by 1) using (doc_id)),
+      stats as (select count(*) as docs, avg(n) as mean from sizes), dfs as (select term, count(*) as df from held group by 1),
+      sc as (select doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as score from held join asked using (term) join dfs using (term) join sizes using (doc_id), stats group by 1)
+      select doc_id, round(score, 6) as text_score, row_number() over (order by score desc, doc_id) as rank_t from sc order by score desc, doc_id limit 60"""),
+    "text_density_topk": (text_density_topk, f"with {_FULL}, sc as (select doc_id, {_DENSITY} as score from held join asked using (term) join documents using (doc_id) where lang in ('en', 'de', 'fr') group by 1) select doc_id, round(score, 9) as text_score, row_number() over (order by score desc, doc_id) as rank_t from sc order by score desc, doc_id limit 60"),
     "rrf_fusion": (rrf_fusion, f"with {_V}, {_T} select coalesce(v.vec_id, t.doc_id) as vec_id, rank_v, rank_t, round(coalesce(0.7 / (60 + rank_v), 0) + coalesce(0.3 / (60 + rank_t), 0), 9)::double as score from v full join t on vec_id = doc_id"),
-    "hybrid_search": (hybrid_search, f"""with c as (select doc_id, text, lang, embedding, label from documents join embeddings on doc_id = vec_id where n_chars > 300),
+    "hybrid_search": (hybrid_search, f"""with {_FULL}, c as (select doc_id, text, lang, embedding, label from documents join embeddings on doc_id = vec_id where n_chars > 300),
       n as (select doc_id, dist from (select doc_id, {_DIST} as dist, row_number() over (partition by label order by {_DIST}, doc_id) as rn from c) where rn <= 8),
       v as (select doc_id, row_number() over (order by dist, doc_id) as rank_v from n order by dist, doc_id limit 60),
-      h as (select doc_id, list_contains({_WORDS}, 'word')::int + list_contains({_WORDS}, 'reading')::int as hits from c),
+      h as (select doc_id, {_DENSITY} as hits from held join asked using (term) join c using (doc_id) group by 1),
       t as (select doc_id, row_number() over (order by hits desc, doc_id) as rank_t from h where hits > 0 order by hits desc, doc_id limit 60),
       f as (select coalesce(v.doc_id, t.doc_id) as doc_id, rank_v, rank_t, coalesce(0.7::double / (60 + rank_v), 0) + coalesce(0.3::double / (60 + rank_t), 0) as score from v full join t on v.doc_id = t.doc_id),
       p as (select f.*, lang as cat, label::varchar as br, row_number() over (order by score desc, rank_v nulls last, rank_t nulls last, f.doc_id) as pos from f join c using (doc_id)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrymill.functions.literals import values
 from quarrymill.operators import tree
 from quarrymill.plans.tables import CLOSURE_SQL, NODES_SQL, nodes, table
 
@@ -99,8 +100,8 @@ def featured_categories(s, d):
 def featured_cards(s, d):
     """Cards 'root:name' with the node found, its own count and first product; those without rows are dropped."""
     t = nodes(s, d)
-    spec = ",".join(f"{r}:{n}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST") for n in ("Supplier#000000003", "Supplier#000000004", "none"))
-    cards = t.limit(1).select(F.explode(F.split(F.lit(spec), ",")).alias("card"))
+    spec = [(f"{r}:{n}",) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST") for n in ("Supplier#000000003", "Supplier#000000004", "none")]
+    cards = values(s, spec, ["card"])
     cards = cards.select("card", F.split("card", ":")[0].alias("root_name"), F.split("card", ":")[1].alias("name"))
     roots = t.where("parent_id is null").select(F.col("id").alias("root"), F.col("name").alias("root_name"))
     found = tree.find_descendants(tree.closure(t), t, cards.join(roots, "root_name"), "root", "name").where("found is not null")
