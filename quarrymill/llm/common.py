@@ -85,10 +85,12 @@ def hot_keys(counted: DataFrame, key: str, total: int) -> DataFrame:
 def split_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame | None = None, how: str = "inner", total: int = 0) -> DataFrame:
     """``big`` joined with ``one`` (a row a key; ``how`` inner or left): rows of hot keys stay where they are and meet a broadcast of their keys' rows, which are at most ``HOT_KEYS``; the others are joined by a shuffle.
 
-    Without ``hot`` the hot keys are counted in the same job; ``total`` is then the number of rows of ``big``.
+    Without ``hot`` the hot keys are counted first; ``total`` is then the number of rows of ``big``.
     """
     if hot is None:
-        hot = big.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS))
+        hot = hot_keys(big.groupBy(key).agg(F.count("*").alias("n")), key, total)
+    if hot.isEmpty():
+        return big.join(one, key, how)
     near = F.broadcast(hot.select(F.col(key).alias("hot_key")))
     tagged = big.join(near, F.col(key) == F.col("hot_key"), "left")
     rest = tagged.where("hot_key is null").drop("hot_key").join(one.join(near, F.col(key) == F.col("hot_key"), "left_anti"), key, how)

@@ -158,9 +158,14 @@ def components(edges: DataFrame) -> DataFrame:
     while was is not None:
         heard = split_join(both, now.select(F.col("node").alias("b"), "label"), "b", hot).groupBy("a").agg(F.min("label").alias("m"))
         fell = written(now.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label")), "fell")
-        # all nodes of a component come to share a label: its rows stay where they are
-        jumped = split_join(fell, fell.select(F.col("node").alias("label"), F.col("label").alias("m")), "label", total=nodes).select("node", F.col("m").alias("label"))
-        now = written(jumped, "labels")
+        # labels that have fallen themselves; all nodes of a component come to share a label, so its rows stay where they are
+        heads = fell.groupBy("label").agg(F.count("*").alias("n"))
+        jumps = written(heads.join(fell.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("m")), "label"), "jumps")
+        if jumps.isEmpty():
+            now = fell
+        else:
+            jumped = split_join(fell, jumps.select("label", "m"), "label", hot_keys(jumps, "label", nodes), "left")
+            now = written(jumped.select("node", F.coalesce("m", "label").alias("label")), "labels")
         if (then := total(now)[0]) == was:
             break
         was = then
