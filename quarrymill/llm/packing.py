@@ -152,7 +152,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one piece, the separator alone. Repeated rows are packed as often as they occur; a null
-    id stays null. Texts of any length are read whole. An empty table gives no rows; other columns are not read.
+    id stays null. A tail that fits several windows goes to the one with least room, of these to the oldest. Texts of any length are read whole. An empty table gives no rows; other columns are not read.
     """
     pieces = written(map_batches(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), packer(size, open_windows, min_gap, vocabulary), PIECE), "pieces")
     merged = pieces.where("is_open").groupBy(F.floor(F.col("task") / merge_partitions).alias("group")).applyInPandas(merger(size, merge_partitions), PIECE)
