@@ -38,6 +38,26 @@ def snapshots(old: DataFrame, new: DataFrame, key: list[str], state: list[str],
     return met.select(*[F.col(f"n.{c}").alias(c) for c in [*key, *state]], observed_at.alias("observed_at"))
 
 
+def child_changes(old: DataFrame, new: DataFrame, key: list[str], state: list[str]) -> DataFrame:
+    """``key``, the new ``state``, is_new and changed (the state of a known child differs) of every child that was seen; ``key`` names parent and child."""
+    met = new.select(*key, *state).alias("n").join(old.select(*key, *state, F.lit(True).alias("__there")).alias("o"), _keys(key, "n", "o"), "left")
+    there = F.col("o.__there").isNotNull()
+    return met.select(*[F.col(f"n.{c}").alias(c) for c in [*key, *state]], (~there).alias("is_new"), (there & ~_same(state, "n", "o")).alias("changed"))
+
+
+def nested_outcomes(old: DataFrame, new: DataFrame, key: list[str], content: list[str], changes: DataFrame) -> DataFrame:
+    """key, outcome, children, new_children, changed_children: a parent is updated if its own content differs, one of its children's state does, or it has a new child.
+
+    ``changes`` are its children's (``child_changes``). Children that are gone from the feed change nothing.
+    """
+    n = lambda c: F.count_if(F.col(c))
+    per = changes.groupBy(*key).agg(F.count("*").alias("children"), n("is_new").alias("new_children"), n("changed").alias("changed_children"))
+    met = outcomes(old, new, key, content).join(per, key, "left")
+    count = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("children", "new_children", "changed_children")}
+    more = (F.col("outcome") == "unchanged") & (count["new_children"] + count["changed_children"] > 0)
+    return met.select(*key, F.when(more, "updated").otherwise(F.col("outcome")).alias("outcome"), *[v.alias(c) for c, v in count.items()])
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
     """The rows of ``new`` to append: the first arrival of each key that isn't there yet."""
     order = F.struct(*arrival)

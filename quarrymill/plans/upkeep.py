@@ -28,6 +28,15 @@ def diff_outcomes(s, d):
     return maintain.outcomes(old, new, KEY, ["price", "available"])
 
 
+def nested_outcomes(s, d):
+    """Orders as products with their line items as variants: an order is updated by its own content, by an item's price or stock, or by a new item."""
+    old, new = _states(s, d)
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("title"))
+    before, after = orders.where("l_orderkey % 50 <> 3"), orders.where("l_orderkey % 50 <> 7").withColumn("title", F.expr("if(l_orderkey % 20 = 0, concat(title, '!'), title)"))
+    changes = maintain.child_changes(old.where("l_orderkey % 50 <> 3"), new.where("l_orderkey % 50 <> 7"), KEY, ["price", "available"])
+    return maintain.nested_outcomes(before, after, ["l_orderkey"], ["title"], changes)
+
+
 def run_counters(s, d):
     old, new = _states(s, d)
     rows = maintain.outcomes(old, new, KEY, ["price", "available"]).withColumn("store", F.col("l_suppkey") % 10)
@@ -116,6 +125,11 @@ def rate_limiter(s, d):
 QUERIES = {
     "rate_limiter": (rate_limiter, None),
     "diff_outcomes": (diff_outcomes, f"with {_OLD_SQL}, {_NEW_SQL} select coalesce(n.l_orderkey, o.l_orderkey) as l_orderkey, coalesce(n.l_partkey, o.l_partkey) as l_partkey, coalesce(n.l_suppkey, o.l_suppkey) as l_suppkey, case when o.l_orderkey is null then 'new' when n.l_orderkey is null then 'vanished' when o.price = n.price and o.available = n.available then 'unchanged' else 'updated' end as outcome from old o full join new n on {_ON}"),
+    "nested_outcomes": (nested_outcomes, f"""with {_OLD_SQL}, {_NEW_SQL},
+      c as (select n.l_orderkey, count(*) as children, count(*) filter (o.l_orderkey is null) as new_children, count(*) filter (o.l_orderkey is not null and (o.price <> n.price or o.available <> n.available)) as changed_children
+        from (select * from new where l_orderkey % 50 <> 7) n left join (select * from old where l_orderkey % 50 <> 3) o on {_ON} group by 1)
+      select o_orderkey as l_orderkey, case when o_orderkey % 50 = 3 then 'new' when o_orderkey % 50 = 7 then 'vanished' when o_orderkey % 20 = 0 or coalesce(new_children + changed_children, 0) > 0 then 'updated' else 'unchanged' end as outcome,
+        coalesce(children, 0) as children, coalesce(new_children, 0) as new_children, coalesce(changed_children, 0) as changed_children from orders left join c on o_orderkey = l_orderkey"""),
     "run_counters": (run_counters, f"with {_OLD_SQL}, {_NEW_SQL} select coalesce(n.l_suppkey, o.l_suppkey) % 10 as store, count(*) filter (o.l_orderkey is null) as products_new, count(*) filter (o.l_orderkey is not null and n.l_orderkey is not null and not (o.price = n.price and o.available = n.available)) as products_updated, count(*) filter (o.price = n.price and o.available = n.available) as products_unchanged, count(*) filter (n.l_orderkey is null) as products_removed from old o full join new n on {_ON} group by 1"),
     "snapshot_changes": (snapshot_changes, f"with {_OLD_SQL}, {_NEW_SQL} select n.* from old o join new n on {_ON} where o.price <> n.price or o.available <> n.available"),
     "upsert_state": (upsert_state, f"with {_OLD_SQL}, {_NEW_SQL} select coalesce(n.l_orderkey, o.l_orderkey) as l_orderkey, coalesce(n.l_partkey, o.l_partkey) as l_partkey, coalesce(n.l_suppkey, o.l_suppkey) as l_suppkey, coalesce(n.price, o.price) as price, coalesce(o.available, n.available) as available, case when o.l_orderkey is null then '2024-01-02' else '2024-01-01' end as first_seen, case when n.l_orderkey is null then '2024-01-01' else '2024-01-02' end as last_seen, n.l_orderkey is not null as is_active from old o full join new n on {_ON}"),

@@ -1,7 +1,8 @@
 """Product feeds of stores: JSON lines in two shapes, and a paged reader as a Python data source.
 
 Both shapes become one: store, native_id, title, handle, vendor, product_type, description, tags, price, compare_at,
-available, n_variants, images, raw.
+available, n_variants, images, sizes (the variants' values of the size option), variants (``VARIANTS``), raw. A tag that
+takes a product off sale makes all its variants, and so the product, unavailable.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ GRAPHQL = (
     f"variants struct<edges:{_NODE.format('id:string,title:string,sku:string,availableForSale:boolean,price:struct<amount:string>,selectedOptions:array<struct<name:string,value:string>>')}>"
 )
 MOST_IMAGES = 12
+VARIANTS = "array<struct<variant_id:string,sku:string,price:decimal(10,2),compare_at:decimal(10,2),available:boolean,color:string,size:string,size_system:string,image:string>>"
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,48 +39,93 @@ def _least(prices: Column) -> Column:
     return F.array_min(F.filter(F.transform(prices, lambda p: p.try_cast("decimal(10,2)")), lambda p: p.isNotNull()))
 
 
-def normalize_rest(lines: DataFrame) -> DataFrame:
+def _rest_tags() -> Column:
     """Tags come as text or as an array; either becomes an array."""
-    from quarrymill.functions.scalars import clean_compare_at, parse_tags, strip_html
+    from quarrymill.functions.scalars import parse_tags
 
-    rows = lines.withColumn("p", F.from_json("raw", REST))
-    tags = F.coalesce(F.from_json("p.tags", "array<string>"), parse_tags(F.coalesce(F.col("p.tags"), F.lit(""))))
+    return F.coalesce(F.from_json("p.tags", "array<string>"), parse_tags(F.coalesce(F.col("p.tags"), F.lit(""))))
+
+
+def _rest_variants(first_image: bool = False) -> Column:
+    """The variants of the first shape: colour and size from the options whose names say so, the image that names the variant (the last one, or the first), else its own."""
+    from quarrymill.functions.scalars import clean_compare_at, forced_unavailable, option_value, size_system
+
+    names = F.transform(F.coalesce("p.options", F.array()), lambda o: o["name"])
+    out_of = forced_unavailable(_rest_tags())
+
+    def one(v: Column) -> Column:
+        values = F.slice(F.array(v["option1"], v["option2"], v["option3"]), F.lit(1), F.greatest(F.size(names), F.lit(0)))
+        own = F.try_element_at(F.filter(F.coalesce("p.images", F.array()), lambda i: F.array_contains(i["variant_ids"], v["id"])), F.lit(1 if first_image else -1))["src"]
+        size = option_value(names, values, "size")
+        return F.struct(
+            v["id"].cast("string").alias("variant_id"), v["sku"].alias("sku"), v["price"].try_cast("decimal(10,2)").alias("price"), clean_compare_at(v["compare_at_price"], v["price"]).try_cast("decimal(10,2)").alias("compare_at"),
+            (F.coalesce(v["available"], F.lit(False)) & ~out_of).alias("available"), option_value(names, values, "color").alias("color"), size.alias("size"), size_system(size).alias("size_system"), F.coalesce(own, v["featured_image"]["src"]).alias("image"),
+        )
+
+    return F.transform(F.coalesce("p.variants", F.array()), one).cast(VARIANTS)
+
+
+def _rest_sizes() -> Column:
+    """The variants' values of the first option whose name says size; none without such an option."""
+    at = F.coalesce(F.array_position(F.transform(F.coalesce("p.options", F.array()), lambda o: F.lower(F.coalesce(o["name"], F.lit(""))).contains("size")), True), F.lit(0))
+    value = lambda v: F.when(at == 1, v["option1"]).when(at == 2, v["option2"]).when(at == 3, v["option3"])
+    return F.filter(F.transform(F.coalesce("p.variants", F.array()), value), lambda x: x.isNotNull())
+
+
+def normalize_rest(lines: DataFrame) -> DataFrame:
+    """The first shape."""
+    from quarrymill.functions.scalars import clean_compare_at, strip_html
+
+    rows = lines.withColumn("p", F.from_json("raw", REST)).withColumn("v", _rest_variants())
     first = F.try_element_at(F.array_sort(F.filter(F.transform("p.variants", lambda v: F.struct(v["price"].try_cast("decimal(10,2)").alias("a"), clean_compare_at(v["compare_at_price"], v["price"]).try_cast("decimal(10,2)").alias("b"))), lambda x: x["a"].isNotNull())), F.lit(1))
     return rows.select(
         "store", F.col("p.id").cast("string").alias("native_id"), "p.title", "p.handle", "p.vendor", F.col("p.product_type").alias("product_type"), strip_html(F.col("p.body_html")).alias("description"),
-        tags.alias("tags"), _least(F.transform("p.variants", lambda v: v["price"])).alias("price"), first["b"].alias("compare_at"), F.coalesce(F.exists("p.variants", lambda v: v["available"]), F.lit(False)).alias("available"),
-        F.coalesce(F.size("p.variants"), F.lit(0)).alias("n_variants"), F.slice(F.transform("p.images", lambda i: i["src"]), 1, MOST_IMAGES).alias("images"), "raw",
+        _rest_tags().alias("tags"), _least(F.transform("p.variants", lambda v: v["price"])).alias("price"), first["b"].alias("compare_at"), F.exists("v", lambda v: v["available"]).alias("available"),
+        F.size("v").alias("n_variants"), F.slice(F.transform("p.images", lambda i: i["src"]), 1, MOST_IMAGES).alias("images"), _rest_sizes().alias("sizes"), F.col("v").alias("variants"), "raw",
     )
 
 
 def normalize_graphql(lines: DataFrame) -> DataFrame:
-    """This shape never has a compare-at price."""
-    from quarrymill.functions.scalars import strip_html
-
-    rows = lines.withColumn("p", F.from_json("raw", GRAPHQL))
+    """The second shape; it never has a compare-at price, nor images of variants."""
+    from quarrymill.functions.scalars import forced_unavailable, option_value, size_system, strip_html
+
+    tags = F.coalesce("p.tags", F.array().cast("array<string>"))
+    out_of = forced_unavailable(tags)
+
+    def one(e: Column) -> Column:
+        n = e["node"]
+        options = F.coalesce(n["selectedOptions"], F.array())
+        names, values = F.transform(options, lambda o: o["name"]), F.transform(options, lambda o: o["value"])
+        size = option_value(names, values, "size")
+        return F.struct(
+            n["id"].alias("variant_id"), n["sku"].alias("sku"), n["price"]["amount"].try_cast("decimal(10,2)").alias("price"), F.lit(None).cast("decimal(10,2)").alias("compare_at"),
+            (F.coalesce(n["availableForSale"], F.lit(False)) & ~out_of).alias("available"), option_value(names, values, "color").alias("color"), size.alias("size"), size_system(size).alias("size_system"), F.lit(None).cast("string").alias("image"),
+        )
+
+    edges = F.coalesce("p.variants.edges", F.array())
+    rows = lines.withColumn("p", F.from_json("raw", GRAPHQL)).withColumn("v", F.transform(edges, one).cast(VARIANTS))
+    named = F.flatten(F.transform(edges, lambda e: F.coalesce(e["node"]["selectedOptions"], F.array())))
+    sizes = F.transform(F.filter(named, lambda o: (F.lower(o["name"]) == "size") & o["value"].isNotNull()), lambda o: o["value"])
     return rows.select(
         "store", F.col("p.id").alias("native_id"), "p.title", "p.handle", "p.vendor", F.col("p.productType").alias("product_type"), strip_html(F.col("p.descriptionHtml")).alias("description"),
-        F.coalesce("p.tags", F.array().cast("array<string>")).alias("tags"), F.col("p.priceRange.minVariantPrice.amount").try_cast("decimal(10,2)").alias("price"), F.lit(None).cast("decimal(10,2)").alias("compare_at"),
-        F.coalesce(F.exists("p.variants.edges", lambda e: e["node"]["availableForSale"]), F.lit(False)).alias("available"), F.coalesce(F.size("p.variants.edges"), F.lit(0)).alias("n_variants"),
-        F.slice(F.transform("p.images.edges", lambda e: e["node"]["url"]), 1, MOST_IMAGES).alias("images"), "raw",
+        tags.alias("tags"), F.col("p.priceRange.minVariantPrice.amount").try_cast("decimal(10,2)").alias("price"), F.lit(None).cast("decimal(10,2)").alias("compare_at"),
+        F.exists("v", lambda v: v["available"]).alias("available"), F.size("v").alias("n_variants"),
+        F.slice(F.transform("p.images.edges", lambda e: e["node"]["url"]), 1, MOST_IMAGES).alias("images"), sizes.alias("sizes"), F.col("v").alias("variants"), "raw",
     )
 
 
 def variants_of(lines: DataFrame, first_image: bool = False) -> DataFrame:
-    """A row a variant of the first shape: store, native_id, variant_id, price, compare_at, available, color, size, size_system, image.
+    """A row a variant of the first shape: store, native_id and the fields of ``VARIANTS``, the variant's id as a number."""
+    rows = lines.withColumn("p", F.from_json("raw", REST))
+    out = rows.select("store", F.col("p.id").cast("string").alias("native_id"), F.explode(_rest_variants(first_image)).alias("v"))
+    return out.select("store", "native_id", F.col("v.variant_id").cast("long").alias("variant_id"), "v.price", "v.compare_at", "v.available", "v.color", "v.size", "v.size_system", "v.image")
 
-    Colour and size come from the options whose names say so. The image is the last one that names the variant (the
-    first one with ``first_image``, as a backfill takes it), else its own.
-    """
-    from quarrymill.functions.scalars import clean_compare_at, forced_unavailable, option_value, parse_tags, size_system
 
-    rows = lines.withColumn("p", F.from_json("raw", REST))
-    out = rows.select("store", F.col("p.id").cast("string").alias("native_id"), F.transform(F.coalesce("p.options", F.array()), lambda o: o["name"]).alias("names"), F.col("p.tags").alias("tags"), F.coalesce("p.images", F.array()).alias("images"), F.explode("p.variants").alias("v"))
-    values = F.slice(F.array("v.option1", "v.option2", "v.option3"), 1, F.greatest(F.size("names"), F.lit(0)))
-    own = F.try_element_at(F.filter("images", lambda i: F.array_contains(i["variant_ids"], F.col("v.id"))), F.lit(1 if first_image else -1))["src"]
-    size = option_value(F.col("names"), values, "size")
-    out_of = forced_unavailable(parse_tags(F.coalesce("tags", F.lit(""))))
-    return out.select("store", "native_id", F.col("v.id").alias("variant_id"), F.col("v.price").try_cast("decimal(10,2)").alias("price"), clean_compare_at(F.col("v.compare_at_price"), F.col("v.price")).try_cast("decimal(10,2)").alias("compare_at"), (F.coalesce("v.available", F.lit(False)) & ~out_of).alias("available"), option_value(F.col("names"), values, "color").alias("color"), size.alias("size"), size_system(size).alias("size_system"), F.coalesce(own, F.col("v.featured_image.src")).alias("image"))
+def new_variant_images(variants: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, image of the variants whose image, as a backfill takes it, differs from the one they have: what is to be written."""
+    fresh = variants_of(lines, first_image=True).where("image is not null").select(*key, F.col("image").alias("fresh"))
+    met = variants.select(*key, "image").join(fresh, key)
+    return met.where(~F.col("image").eqNullSafe(F.col("fresh"))).select(*key, F.col("fresh").alias("image"))
 
 
 # Paged reading

@@ -266,7 +266,7 @@ def test_feeds(spark, tmp_path):
     lines = stores.read_lines(spark, str(tmp_path))
     assert lines.count() == 2
     a = stores.normalize_rest(lines.where("store = 'one'")).first()
-    assert (a.description, a.tags, float(a.price), float(a.compare_at), a.available, a.n_variants, a.images) == ("a b", ["x", "Cart-Hide"], 10.0, 12.0, True, 2, ["a", "b"])
+    assert (a.description, a.tags, float(a.price), float(a.compare_at), a.available, a.n_variants, a.images) == ("a b", ["x", "Cart-Hide"], 10.0, 12.0, False, 2, ["a", "b"])
     b = stores.normalize_graphql(lines.where("store = 'two'")).first()
     assert (b.native_id, float(b.price), b.compare_at, b.available, b.images) == ("g1", 5.5, None, True, ["i"])
     v = {r.variant_id: r for r in stores.variants_of(lines.where("store = 'one'")).collect()}
