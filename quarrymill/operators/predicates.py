@@ -80,6 +80,36 @@ def not_hidden(test_in_branch: Column, text: Iterable[Column], words: Iterable[s
     return ~(test_in_branch & has(words) & ~has(unless))
 
 
+def rule_categories(closed: DataFrame, paths: DataFrame, nodes: DataFrame, rules: list[tuple]) -> DataFrame:
+    """category, rules: the categories that each rule reaches, one row a category with the numbers of its rules.
+
+    A rule is (path, reach, names, words, unless); reach is self, below (the node and all below it) or children (those of the
+    given names). A path that the tree lacks reaches nothing.
+    """
+    parts = []
+    for i, (path, reach, names, _, _) in enumerate(rules):
+        top = paths.where(F.col("path") == path).select(F.col("id").alias("__top"))
+        if reach == "below":
+            found = closed.join(top, F.col("ancestor_id") == F.col("__top")).select(F.col("descendant_id").alias("category"))
+        elif reach == "children":
+            found = nodes.where(F.col("name").isin(names)).join(top, F.col("parent_id") == F.col("__top")).select(F.col("id").alias("category"))
+        else:
+            found = top.select(F.col("__top").alias("category"))
+        parts.append(found.withColumn("rule", F.lit(i)))
+    return reduce(DataFrame.unionByName, parts).groupBy("category").agg(F.collect_set("rule").alias("rules"))
+
+
+def hidden_by(rows: DataFrame, category: str, reached: DataFrame, rules: list[tuple], title: str = "title") -> DataFrame:
+    """``rows`` with hidden: one of the rules reaches the row's category (``reached`` from ``rule_categories``, small), a text holds one of its words if it has any, and the title none of its exceptions."""
+    has = lambda column, words: reduce(lambda a, b: a | b, [F.coalesce(F.col(column).ilike(f"%{w}%"), F.lit(False)) for w in words], F.lit(False))
+    met = rows.join(reached.select(F.col("category").alias("__c"), F.col("rules").alias("__rules")), F.col(category) == F.col("__c"), "left")
+    hit = F.lit(False)
+    for i, (_, _, _, words, unless) in enumerate(rules):
+        said = reduce(lambda a, b: a | b, [has(c, w) for c, w in words.items()]) if words else F.lit(True)
+        hit = hit | (F.array_contains("__rules", i) & said & ~has(title, unless))
+    return met.withColumn("hidden", F.coalesce(hit, F.lit(False))).drop("__c", "__rules")
+
+
 def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose key is among saved ids (one column); ids that name no row are dropped."""
     return rows.join(ids.select(F.col(ids.columns[0]).alias("__k")), F.col(key) == F.col("__k"), "left_semi")

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrymill.functions import categories
 from quarrymill.functions import classify as c
 from quarrymill.functions import prototype
+from quarrymill.operators import enrich, predicates, tree
 from quarrymill.plans.classified import TITLES
 from quarrymill.plans.tables import table
 
@@ -150,6 +152,41 @@ def classify_labelled(s, d):
     return c.classify(rows).select("p_partkey", *[F.col(f"class.{x}").alias(x) for x in ("gender", "branch", "sub", "leaf")])
 
 
+def category_tree(s, d):
+    """Every node of the category tree with its parent's path, and the parts that the classifier puts there or below, by the tree's stable ids."""
+    nodes = categories.categories(s)
+    found = _placed(s, d, nodes).groupBy("category_id").agg(F.count("*").alias("n"))
+    total = tree.rollup(tree.closure(nodes), found, "category_id", "n")
+    above = nodes.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
+    return nodes.join(above, "parent_id", "left").join(total, "id").select("path", "above", "slug", F.col("level").cast("long").alias("level"), "is_leaf", "total")
+
+
+def _placed(s, d, nodes):
+    """The labelled titles as products, the vendor saying for whom, with the category of their class: its leaf, else its branch, else its gender."""
+    who = F.element_at(F.array(*[F.lit(x) for x in ("", "Men", "Women", "Boys", "Girls")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = _title(table(s, d, "part")).select("p_partkey", "title", "p_name", F.lit("").alias("product_type"), F.lit("").alias("tags"), who.alias("vendor"), F.lit(None).cast("string").alias("store"), F.lit("").alias("description"), F.lit(False).alias("kids_sizing"))
+    named = c.classify(rows).where("class is not null").select("p_partkey", "title", "p_name", "class.gender", "class.branch", "class.sub", "class.leaf").withColumn("none", F.lit(None).cast("string"))
+    leaves = categories.leaves(nodes)
+    ways = [[("gender", "gender"), (b, "branch"), (x, "sub"), (y, "leaf")] for b, x, y in (("branch", "sub", "leaf"), ("branch", "none", "none"), ("none", "none", "none"))]
+    return enrich.fallback_lookup(named, [(leaves, way, "category_id") for way in ways], "category_id")
+
+
+def classes_without_leaf(s, d):
+    """The audit: classes of the labelled titles that the tree has no leaf for."""
+    return categories.unplaced(_placed(s, d, categories.categories(s)), categories.categories(s))
+
+
+def editorial_hide(s, d):
+    """What editors hide, by the category's path, words and exceptions; the part's name stands for the raw text."""
+    nodes = categories.categories(s)
+    closed = tree.closure(nodes)
+    reached = predicates.rule_categories(closed, nodes, nodes, categories.HIDDEN)
+    said = F.element_at(F.array(*[F.lit(x) for x in ("", "A Sleeveless cut", "cropped hem", "spaghetti straps", "long")]), (F.col("p_partkey") % 7 % 5 + 1).cast("int"))
+    title = F.when(F.col("p_partkey") % 11 == 0, F.concat("title", F.lit(" Crop"))).otherwise(F.col("title"))
+    rows = _placed(s, d, nodes).withColumn("title", title).withColumn("description", said).withColumnRenamed("p_name", "raw")
+    return predicates.hidden_by(rows, "category_id", reached, categories.HIDDEN).select("p_partkey", "hidden")
+
+
 def prototype_labelled(s, d):
     """The prototype's classifier over the same titles, every third one from a store of men's wear."""
     store = F.when(F.col("p_partkey") % 3 == 0, "monark").otherwise("other")
@@ -198,7 +235,34 @@ from (select distinct l_partkey from lineitem) left join lists using (l_partkey)
 """
 
 
+def _placed_sql() -> str:
+    """The labelled titles with the path of their category: by hand made labels, and whom the vendor names."""
+    letters = "(values " + ", ".join(f"('{k}', '{v}')" for k, v in categories.GENDERS.items()) + ") as g(letter, gender)"
+    return f"""tree as (select gender, branch, nullif(sub, '-') as sub, leaf from (values {", ".join(f"('{a}', '{b or '-'}', '{leaf}', '{g}')" for a, b, leaf, g in categories.leaf_rows())}) as l(branch, sub, leaf, letters), {letters} where contains(letters, letter)),
+  nodes as (select distinct concat_ws(' > ', gender, branch, sub, leaf) as path, gender, branch, sub, leaf, true as is_leaf from tree
+    union select distinct concat_ws(' > ', gender, branch, sub), gender, branch, sub, null, false from tree union select distinct concat_ws(' > ', gender, branch), gender, branch, null, null, false from tree union select distinct gender, gender, null, null, null, false from tree),
+  {_labels(1, "gender, branch, sub, leaf")},
+  named as (select p_partkey, p_name, i, branch, sub, leaf, case when leaf = 'Kurti' and who in ('Men', 'Women') then 'Women' when leaf = 'Kurti' and who in ('Boys', 'Girls') then 'Girls'
+      when who is not null then who else gender end as gender from (select *, ([null, 'Men', 'Women', 'Boys', 'Girls'])[p_partkey % 5 + 1] as who from part) p join labels on p_partkey % {len(TITLES)} = i where branch is not null),
+  -- what the label of a title becomes for some genders
+  made as (select p_partkey, p_name, i, gender, branch, case when t = 'Formal Suit Navy' and gender in ('Men', 'Boys') or t = 'Linen Blazers Suit' and gender in ('Men', 'Boys') then 'Formalwear' else sub end as sub,
+      case when t in ('Formal Suit Navy', 'Linen Blazers Suit') and gender in ('Men', 'Boys') then 'Formal Suit' when t = 'Women Sandals' and gender <> 'Women' then 'Shoes' when t = 'Printed Tunic' and gender in ('Women', 'Girls') then 'Top' else leaf end as leaf
+    from named join (values {", ".join(f"({k}, '{t}')" for k, t in enumerate(TITLES))}) as titles(k, t) on i = k),
+  placed as (select m.*, coalesce(a.path, b.path, m.gender) as path from made m
+    left join nodes a on a.is_leaf and a.gender = m.gender and a.branch = m.branch and a.sub is not distinct from m.sub and a.leaf = m.leaf
+    left join nodes b on not b.is_leaf and b.sub is null and b.gender = m.gender and b.branch = m.branch)"""
+
+
+_SAID = "(['', 'A Sleeveless cut', 'cropped hem', 'spaghetti straps', 'long'])[p_partkey % 7 % 5 + 1]"
 QUERIES = {
+    "category_tree": (category_tree, f"""with {_placed_sql()}, uppers as (select path, nullif(regexp_replace(path, '( > )?[^>]+$', ''), '') as above from nodes)
+      select n.path, u.above, case when is_leaf then replace(lower(leaf), ' ', '-') else regexp_replace(lower(coalesce(sub, branch, gender)), '[^a-z]+', '-', 'g') end as slug,
+        len(string_split(n.path, ' > '))::bigint as level, is_leaf, (select count(*) from placed p where p.path = n.path or starts_with(p.path, n.path || ' > ')) as total from nodes n join uppers u using (path)"""),
+    "classes_without_leaf": (classes_without_leaf, f"with {_placed_sql()} select gender, branch, sub, leaf, count(*) as n from made m where not exists (select 1 from tree t where t.gender = m.gender and t.branch = m.branch and t.sub is not distinct from m.sub and t.leaf = m.leaf) group by all"),
+    "editorial_hide": (editorial_hide, f"""with {_placed_sql()}, r as (select p_partkey, path, t || case when p_partkey % 11 = 0 then ' Crop' else '' end as title, {_SAID} as d from placed join (values {", ".join(f"({k}, '{t}')" for k, t in enumerate(TITLES))}) as titles(k, t) on i = k)
+      select p_partkey, path in ('Women > Western > Bottomwear > Shorts', 'Women > Western > Bottomwear > Tights', 'Women > Accessories > Underwear', 'Women > Western > Upperwear > Tank Top')
+        or (path = 'Women' or starts_with(path, 'Women > ')) and d in ('A Sleeveless cut', 'spaghetti straps') and not regexp_matches(title, '(?i)vest|gilet|bodywarmer')
+        or regexp_matches(path, '^Women > Western > Upperwear > (Shirt|T-Shirt|Sweatshirt|Hoodie|Sweater|Polo)$') and (title ilike '%crop%' or d = 'cropped hem') as hidden from r"""),
     "classify_labelled": (classify_labelled, f"with {_labels(1, 'gender, branch, sub, leaf')} select p_partkey, gender, branch, sub, leaf from part join labels on p_partkey % {len(TITLES)} = i"),
     "prototype_labelled": (prototype_labelled, f"with {_labels(2, 'gender, branch, sub, category')} select p_partkey, case when gender = 'Unisex' and p_partkey % 3 = 0 then 'Men' else gender end as gender, branch, sub, category from part join labels on p_partkey % {len(TITLES)} = i"),
     "option_axes": (option_axes, _option_sql()),
