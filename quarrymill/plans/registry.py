@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.plans import browse, classified, extras, labelled, searching, shop, taxonomy, texts, upkeep
+from quarrymill.plans import asked, browse, classified, extras, labelled, searching, shop, taxonomy, texts, upkeep
 
 FLAGSHIP = "browse_interleaved_page"
-_ALL = {**browse.QUERIES, **taxonomy.QUERIES, **upkeep.QUERIES, **searching.QUERIES, **texts.QUERIES, **extras.QUERIES, **shop.QUERIES, **classified.QUERIES, **labelled.QUERIES}
+_ALL = {**browse.QUERIES, **taxonomy.QUERIES, **upkeep.QUERIES, **searching.QUERIES, **texts.QUERIES, **extras.QUERIES, **shop.QUERIES, **classified.QUERIES, **labelled.QUERIES, **asked.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
