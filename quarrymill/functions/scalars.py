@@ -49,11 +49,32 @@ def strip_html(html: Column, most: int = 2000) -> Column:
     return F.nullif(F.substring(F.trim(flat), 1, most), F.lit(""))
 
 
+#: Named references and their signs, fixed values.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
 def decode_entities(text: Column) -> Column:
-    """The five named entities, nbsp and the quote's number."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    """The named references above and all numeric ones, in one pass: what a reference gives is not decoded again. Others stay."""
+    point = lambda r: F.coalesce(F.conv(F.nullif(F.regexp_extract(r, "^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(r, r"^&#(\d{1,7});$", 1), F.lit(""))).try_cast("int")
+    sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    fine = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    pairs = [F.lit(x) for item in ENTITIES.items() for x in item]
+    named = lambda r: F.element_at(F.create_map(*pairs), r)
+    one = lambda r: F.when(~r.startswith("&"), r).otherwise(F.coalesce(named(r), F.when(fine(point(r)), sign(point(r))), r))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#?[a-zA-Z0-9]{1,10};|&|[^&]+"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def price_text(value: Column, currency: str = "PKR") -> Column:
+    """A whole price with its thousands apart, as in 'Rs. 12,500'; halves go up, null and NaN give an empty text."""
+    whole = F.format_number(F.floor(value.cast("double") + 0.5).cast("long"), 0)
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "").otherwise(F.concat(F.lit("Rs. " if currency == "PKR" else f"{currency} "), whole))
+
+
+def gallery(images_json: Column, image_url: Column) -> Column:
+    """A product page's images: those of a JSON list, else the one image, else none; a list that can't be read counts as none."""
+    found = F.coalesce(F.try_variant_get(F.try_parse_json(images_json), "$", "array<string>"), F.array().cast("array<string>"))
+    return F.when(F.size(found) > 0, found).when(F.coalesce(image_url, F.lit("")) != "", F.array(image_url)).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_size(size: Column) -> Column:

@@ -69,3 +69,9 @@ def color_cards(children: DataFrame, key: str, color: str, available: Column, im
     first = F.min_by(F.when(image.isNotNull(), image), F.when(image.isNotNull(), F.struct(*position)))
     each = children.where(F.col(color).isNotNull()).groupBy(key, color).agg(F.bool_or(available).alias("available"), first.alias("image"))
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(color), F.struct("available", "image"))))).alias("cards"))
+
+
+def named_color(children: DataFrame, colors: DataFrame, color_id: str) -> DataFrame:
+    """``children`` with color and hex from a dimension (id, name, hex); null where a child has no colour or an unknown one."""
+    known = colors.select(F.col("id").alias("__color"), F.col("name").alias("color"), "hex")
+    return children.join(known, F.col(color_id) == F.col("__color"), "left").drop("__color")

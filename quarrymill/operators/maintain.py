@@ -170,15 +170,29 @@ def force_unavailable(variants: DataFrame, out: DataFrame, product: str, availab
     return named.withColumn(available, F.col(available) & ~hit).drop("__out"), changed
 
 
-def write_version(df: DataFrame, folder: str, version: str) -> str:
+def write_version(df: DataFrame, folder: str, version: str, options: dict[str, str] | None = None) -> str:
     """Writes a state as one version; readers follow the versions in order, so a load that fails half-way is never read."""
     path = f"{folder}/version={version}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
     return path
 
 
-def full_refresh(feed: DataFrame, folder: str, version: str, key: list[str], arrival: list[str], by: str) -> DataFrame:
-    """A load from nothing: the first arrival of each key, clustered by a column that requests filter on, as a version of its own; returns it as read back."""
+def lookup_options(columns: dict[str, int], row_group: int = 128 << 20) -> dict[str, str]:
+    """Options of a Parquet writer for lookups: a bloom filter on each column, sized for its number of different values in a file, in row groups of so many bytes.
+
+    The table is clustered by something else; a lookup of a key reads the row groups whose filters may hold it.
+    """
+    out = {"parquet.block.size": str(row_group)}
+    for name, distinct in columns.items():
+        out |= {f"parquet.bloom.filter.enabled#{name}": "true", f"parquet.bloom.filter.expected.ndv#{name}": str(distinct)}
+    return out
+
+
+def full_refresh(feed: DataFrame, folder: str, version: str, key: list[str], arrival: list[str], by: str, lookups: dict[str, int] | None = None) -> DataFrame:
+    """A load from nothing: the first arrival of each key, clustered by a column that requests filter on, as a version of its own; returns it as read back.
+
+    ``lookups``: columns that requests look up by value, with the number of different values that a file may hold.
+    """
     first = feed.groupBy(*key).agg(F.min_by(F.struct(*[c for c in feed.columns if c not in key]), F.struct(*arrival)).alias("__x")).select(*key, "__x.*")
     laid = first.repartitionByRange(by, *key).sortWithinPartitions(by, *key)  # row groups with narrow ranges instead of an index
-    return feed.sparkSession.read.parquet(write_version(laid, folder, version))
+    return feed.sparkSession.read.parquet(write_version(laid, folder, version, lookup_options(lookups) if lookups else {}))

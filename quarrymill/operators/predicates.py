@@ -40,6 +40,13 @@ def with_color(parents: DataFrame, children: DataFrame, key: str, child_key: str
     return any_child(parents, children, key, child_key, (F.lower(color) if fold else F.col(color)).isin(names))
 
 
+def with_color_of(parents: DataFrame, children: DataFrame, colors: DataFrame, key: str, child_key: str, color_id: str, wanted: Iterable[str], fold: bool = False) -> DataFrame:
+    """The same where a child refers to a colour dimension (id, name): the dimension is filtered first, the children meet its ids, the parents meet these; a child without a colour has none."""
+    names = [w.lower() for w in wanted] if fold else list(wanted)
+    ids = colors.where((F.lower("name") if fold else F.col("name")).isin(names)).select(F.col("id").alias("__color"))
+    return any_child(parents, children.join(ids, F.col(color_id) == F.col("__color"), "left_semi"), key, child_key, F.lit(True))
+
+
 def with_size(parents: DataFrame, children: DataFrame, key: str, child_key: str, size: str, spellings: Iterable[str], available: Column) -> DataFrame:
     """An available child has one of the spellings of the size."""
     return any_child(parents, children, key, child_key, F.lower(F.trim(F.col(size))).isin([s.lower() for s in spellings]) & available)

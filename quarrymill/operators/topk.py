@@ -107,3 +107,13 @@ def listing_order(sort: str | None, price: str, seen: str, key: str) -> list[Col
         "price_desc": [F.col(price).desc_nulls_last(), F.col(key)],
         "newest": [F.col(seen).desc_nulls_last(), F.col(key).desc()],
     }.get(sort or "", [F.col(key)])
+
+
+def ranked(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """``df`` with its place (long, from 1) in an order over the whole set, in two levels: ranges of the order, then places within one, so no task holds all rows."""
+    # a range may not part rows that tie: the order ends with a key
+    keyed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    before = keyed.groupBy("__part").agg(F.count("*").alias("__n"))  # at most a row a shuffle partition
+    before = before.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return keyed.withColumn("__r", within).join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(place, (F.col("__base") + F.col("__r")).cast("long")).drop("__part", "__p", "__base", "__r")

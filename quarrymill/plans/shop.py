@@ -49,6 +49,25 @@ def export_json(s, d):
     return export.json_array(rows, _newest(), 360)
 
 
+def color_dimension_filter(s, d):
+    """Parts with a line item of a wanted colour, the colours a dimension of their own; one in seven items has no colour, one an unknown one."""
+    line = table(s, d, "lineitem").withColumn("color_id", F.expr("case l_suppkey % 7 when 0 then null when 1 then 999 else (l_orderkey + l_linenumber) % 400 end"))
+    return predicates.with_color_of(table(s, d, "part").select("p_partkey"), line, literals.colors(s), "p_partkey", "l_partkey", "color_id", ["NAVY", "off-white"], fold=True)
+
+
+def named_colors(s, d):
+    """Line items with the names of their colours, by name."""
+    line = table(s, d, "lineitem").select(F.expr("if(l_suppkey % 7 = 0, null, (l_orderkey + l_linenumber) % 25)").alias("color_id"))
+    return enrich.named_color(line, literals.colors(s), "color_id").groupBy("color", "hex").agg(F.count("*").alias("n"))
+
+
+def product_pages(s, d):
+    """The viewer's page of each part: its price as text, and images from a list that may be missing, empty or broken."""
+    images = F.expr("case p_partkey % 5 when 0 then concat('[\"a', p_partkey, '\", \"b\"]') when 1 then '[]' when 2 then 'broken [' when 3 then null else '[\"x\"]' end")
+    url = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("u"), "p_partkey")).when(F.col("p_partkey") % 3 == 0, "")
+    return table(s, d, "part").select("p_partkey", scalars.price_text(F.when(F.col("p_size") != 5, F.col("p_retailprice") * 10)).alias("price"), F.array_join(scalars.gallery(images, url), "|").alias("images"))
+
+
 def profile_report(s, d):
     """The report's lines: parts by type."""
     n = table(s, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
@@ -184,6 +203,9 @@ QUERIES = {
       v as (select l_suppkey % 10 as store, count(*) filter (price > 90000) as excluded, count(*) filter (price < 950) as errors, count(*) as variants from new group by 1)
       select store, coalesce(a, 0) as products_new, coalesce(b, 0) as products_updated, coalesce(c, 0) as products_unchanged, coalesce(d, 0) as products_removed, coalesce(excluded, 0) as excluded, coalesce(errors, 0) as errors, coalesce(variants, 0) as variants, coalesce(b, 0) as snapshots from st left join c using (store) left join v using (store)"""),
     "unknown_updates": (unknown_updates, f"with {_OLD}, {_NEW}, k as (select distinct l_orderkey, l_partkey, l_suppkey from new), j as (select distinct l_orderkey, l_partkey, l_suppkey from old) select k.l_suppkey % 10 as store, j.l_orderkey is not null as found, count(*) as n from k left join j on k.l_orderkey = j.l_orderkey and k.l_partkey = j.l_partkey and k.l_suppkey = j.l_suppkey group by 1, 2"),
+    "color_dimension_filter": (color_dimension_filter, f"with colors(id, name) as (values {', '.join(f"({i}, '{n}')" for i, (n, _) in enumerate(literals.COLORS, 1))}), l as (select l_partkey, case l_suppkey % 7 when 0 then null when 1 then 999 else (l_orderkey + l_linenumber) % 400 end as color_id from lineitem) select p_partkey from part where exists (select 1 from l join colors c on c.id = l.color_id where l_partkey = p_partkey and lower(c.name) in ('navy', 'off-white'))"),
+    "named_colors": (named_colors, f"with colors(id, name, hex) as (values {', '.join(f"({i}, '{n}', '{h}')" for i, (n, h) in enumerate(literals.COLORS, 1))}) select name as color, hex, count(*) as n from (select case when l_suppkey % 7 <> 0 then (l_orderkey + l_linenumber) % 25 end as color_id from lineitem) left join colors on id = color_id group by 1, 2"),
+    "product_pages": (product_pages, "select p_partkey, case when p_size <> 5 then 'Rs. ' || format('{:,}', floor(p_retailprice * 10 + 0.5)::bigint) else '' end as price, case when p_partkey % 5 = 0 then 'a' || p_partkey || '|b' when p_partkey % 5 = 4 then 'x' when p_partkey % 2 = 0 then 'u' || p_partkey else '' end as images from part"),
     "hide_and_unhide": (hide_and_unhide, "with r as (select p_size <> 7 as shown, p_type = 'SMALL' and p_name ilike '%ring%' as hit from part) select count(*) filter (hit and shown) as hides, count(*) filter (hit or not shown) as hidden, count(*) filter (hit) as shows, count(*) filter (not hit and not shown) as hidden_after from r"),
     "delete_excluded": (delete_excluded, "select p_type, p_name ilike '%gear%' as deleted, count(*) as n from part group by 1, 2"),
     "force_unavailable": (force_unavailable, "select l_partkey, count(*) as taken, 0::bigint as still from lineitem join part on l_partkey = p_partkey where p_size < 10 and l_linestatus = 'O' group by 1"),
