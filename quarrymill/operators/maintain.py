@@ -122,6 +122,13 @@ def canary(runs: DataFrame, store: str, order: str, fetched: str, drop: float =
     return runs.withColumn("prior", prior).withColumn("alert", F.coalesce(alert, F.lit(False)))
 
 
+def alert_messages(runs: DataFrame, store: str, fetched: str) -> DataFrame:
+    """message: a row for each run that ``canary`` finds fault with, or that failed; what the alert sink takes."""
+    told = F.when(F.col("status") != "completed", F.concat(F.col(store).cast("string"), F.lit(": run failed")))
+    fell = F.when(F.col("alert"), F.concat(F.col(store).cast("string"), F.lit(": fetched "), F.col(fetched).cast("string"), F.lit(" of "), F.col("prior").cast("string"), F.lit(" before")))
+    return runs.select(F.coalesce(told, fell).alias("message")).where("message is not null")
+
+
 def history(changes: DataFrame, key: list[str], at: str, value: str) -> DataFrame:
     """Validity intervals of a change table: valid_from, valid_to (null: still), previous value."""
     by = Window.partitionBy(*key).orderBy(at)

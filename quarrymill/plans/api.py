@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from quarrymill.functions import literals
 from quarrymill.functions.scalars import canonical_size, size_spellings
 from quarrymill.operators import enrich, facets, postings, predicates, search, topk, tree
 from quarrymill.operators.postings import Index
@@ -176,6 +177,25 @@ def taxonomy(c: Catalog, r: Request) -> dict[str, DataFrame]:
     }
 
 
+def featured_categories(c: Catalog, items: str) -> DataFrame:
+    """gender, category, count, image_url, place of the wanted cards, as in 'Men:Polo,Women:Shirt': the first node of that name below the gender, its own visible products in stock, and the first image of the first of these.
+
+    A card whose gender or name isn't found, or whose category has no product, is left out; no card gives no rows.
+    """
+    wanted = [(g, n) for g, _, n in (x.partition(":") for x in items.split(",") if x)]
+    if not wanted:
+        return c.products.sparkSession.createDataFrame([], "gender string, category string, count long, image_url string, place long")
+    cards = literals.values(c.products.sparkSession, wanted, ["gender", "category"]).withColumnRenamed("id", "place")
+    roots = c.categories.where("parent_id is null").select(F.col("id").alias("root"), F.lower("name").alias("__root"))
+    met = cards.join(roots, F.lower(F.trim("gender")) == F.col("__root")).drop("__root")
+    found = tree.find_descendants(tree.closure(c.categories), c.categories, met, "root", "category").where("found is not null")
+    shown = predicates.any_child(_visible(c), c.variants, "id", "product_id", F.col("current_available")).join(F.broadcast(found.select("found").distinct()), F.col("category_id") == F.col("found"), "left_semi").select("id", "category_id")
+    image = enrich.first_child(c.images.join(shown.select(F.col("id").alias("product_id")), "product_id", "left_semi"), "product_id", "url", ["position"], name="image_url")
+    # the first image in the order of products, so of the first product that has one
+    per = shown.join(image.withColumnRenamed("product_id", "id"), "id", "left").groupBy("category_id").agg(F.count("*").alias("count"), F.min_by("image_url", F.when(F.col("image_url").isNotNull(), F.col("id"))).alias("image_url"))
+    return found.join(per, F.col("found") == F.col("category_id")).select("gender", "category", "count", "image_url", "place").orderBy("place")
+
+
 def brands(c: Catalog) -> DataFrame:
     """Every brand with its number of visible products, zero included."""
     return facets.counts_with_zeros(c.brands, "id", _visible(c), "brand_id").orderBy("name")
@@ -187,6 +207,11 @@ def _searched(c: Catalog, r: Request, override: str | None) -> DataFrame:
     return refine(c, r, fold_colors=True, unresolved="drop").withColumn("searched", F.concat_ws(" ", "title", "description"))
 
 
+def request_of(filters: Row) -> Request:
+    """The search that a row of filters asks for (``understanding.filters``, or a valid struct from elsewhere)."""
+    return Request(gender=filters["gender"], categories=list(filters["categories"] or []), brand=filters["brand"], on_sale=bool(filters["onSale"]), colors=list(filters["colors"] or []), sizes=list(filters["sizes"] or []), min_price=filters["minPrice"], max_price=filters["maxPrice"])
+
+
 def search_index(c: Catalog, folder: str) -> Index:
     """The full-text index of the products' titles and descriptions, written to ``folder`` with each load and read by every search."""
     return postings.write_index(c.products.select("id", F.concat_ws(" ", "title", "description").alias("searched")), "id", "searched", folder)

@@ -155,6 +155,33 @@ def test_canary(spark):
     assert {(r.store, r.day) for r in maintain.canary(df, "store", "day", "fetched").where("alert").collect()} == {("a", 2), ("c", 2)}
 
 
+def test_featured_categories(cat):
+    got = api.featured_categories(cat, "Women: shirt,Nobody:Shirt,,men:SHIRT,Men:Polo,Men,Men:no").collect()
+    want = {5: [i for i in range(1, 9) if i < 6 and i != 3], 9: [i for i in range(6, 9)]}
+    assert [(r.gender, r.category, r["count"], r.image_url) for r in got] == [("Women", " shirt", len(want[9]), "u6-1"), ("men", "SHIRT", len(want[5]), "u1-1")]
+    assert api.featured_categories(cat, "").count() == 0
+
+
+def test_search_by_a_query_alone(spark, cat, tmp_path):
+    """The query's filters become the request, what is left the residual; with the index the text leg is full text."""
+    from quarrymill.functions import understanding
+
+    known = understanding.phrases(spark, cat.brands.select("name"))
+    row = understanding.filters(spark.createDataFrame([(1, "soft cottons for men by Beta under 105")], "i int, q string"), "i", "q", known).first()
+    r = api.request_of(row)
+    assert (r.gender, r.brand, r.max_price, row.semantic_query) == ("Men", "Beta", 105.0, "soft cottons")
+    index = api.search_index(cat, f"file://{tmp_path}/index")
+    found = api.search_products(cat, r, [0.0, 1.0], row.semantic_query, index=index)
+    assert {int(x.id) for x in found.collect()} == {1, 5}
+    debug = {x.id: x.rank_t for x in api.search_debug(cat, api.Request(), [0.0, 1.0], "cottons", index=index).collect()}
+    assert {i for i, t in debug.items() if t} == {1, 5, 7}
+
+
+def test_alert_messages(spark):
+    runs = spark.createDataFrame([("a", 100, 60, "completed", True), ("a", 100, 90, "completed", False), ("b", None, 0, "failed", False)], "store string, prior int, fetched int, status string, alert boolean")
+    assert sorted(r.message for r in maintain.alert_messages(runs, "store", "fetched").collect()) == ["a: fetched 60 of 100 before", "b: run failed"]
+
+
 def test_limiter(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("ab"), D + dt.timedelta(seconds=rng.randrange(200_000))) for i in range(400)]
