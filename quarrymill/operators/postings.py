@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: What a term's rank adds up to at most, the sum of 1 / i^2, the weight of a plain word, and the positions that count; fixed values.
 ALL_SQUARES, WEIGHT, MOST_POSITIONS = 1.64493406685, 0.1, 255
 K1, B = 1.2, 0.75
+#: Words that a worker keeps the terms of.
+MOST_WORDS = 500_000
 
 
 def terms(text: str) -> list[str]:
@@ -36,33 +40,54 @@ class Index(NamedTuple):
     sizes: DataFrame  # key, n: the terms of each text
 
 
+class _Codes(dict):
+    """Numbers of the terms of words met, 0 for stop words; ``terms`` has the terms by number."""
+
+    def __init__(self):
+        super().__init__(dict.fromkeys(STOP_WORDS, 0))
+        self.terms, self.numbers = [""], {"": 0}
+
+    def __missing__(self, word: str) -> int:
+        term = stem(word)
+        if term not in self.numbers:
+            self.numbers[term] = len(self.terms)
+            self.terms.append(term)
+        self[word] = self.numbers[term]
+        return self[word]
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """term, ``key``, positions (from 1, among all words): a row a term of each text; null and empty texts have none, rows that share a key are texts of their own."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                names, owner, places = [], [], []
-                for i, value in enumerate(part.column(1)):
-                    held: dict[str, list[int]] = {}
-                    for n, word in enumerate(_WORD.findall((value.as_py() or "").lower()), 1):
-                        if word not in STOP_WORDS:
-                            held.setdefault(stem(word), []).append(n)
-                    names += held
-                    owner += [i] * len(held)
-                    places += held.values()
-                keys = part.column(0).take(pa.array(owner, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), keys, pa.array(places, pa.list_(pa.int32()))], names=["term", key, "positions"])
+                if len(met) > MOST_WORDS:
+                    met = _Codes()
+                words = [_WORD.findall((value.as_py() or "").lower()) for value in part.column(1)]
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                code = np.fromiter(map(met.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+                owner = np.repeat(np.arange(len(words)), sizes)
+                place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                kept = np.flatnonzero(code)
+                kept = kept[np.argsort(owner[kept] * len(met.terms) + code[kept], kind="stable")]
+                code, owner, place = code[kept], owner[kept], place[kept]
+                first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])][: len(code)])
+                names = pa.array(met.terms, pa.string()).take(pa.array(code[first]))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)], pa.int32()), pa.array(place, pa.int32()))
+                yield pa.RecordBatch.from_arrays([names, part.column(0).take(pa.array(owner[first])), lists], names=["term", key, "positions"])
 
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"term string, `{key}` {kind}, positions array<int>")
 
 
 def write_index(df: DataFrame, key: str, text: str, folder: str) -> Index:
-    """Writes the two tables to ``folder`` and reads them back."""
-    postings(df, key, text).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
-    found = df.sparkSession.read.parquet(f"{folder}/postings")
+    """Writes the two tables to ``folder`` and reads them back. The postings are written twice, as they come and in their ranges, so texts are read once."""
+    postings(df, key, text).write.mode("overwrite").parquet(f"{folder}/raw")
+    found = df.sparkSession.read.parquet(f"{folder}/raw")
+    found.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
     sizes = df.select(key).distinct().join(found.groupBy(key).agg(F.sum(F.size("positions")).cast("long").alias("n")), key, "left")
     sizes.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n")).write.mode("overwrite").parquet(f"{folder}/sizes")
     return read_index(df, folder)
