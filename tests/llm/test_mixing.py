@@ -155,3 +155,13 @@ def test_repeated_rows(spark, tmp_path):
     assert have == {k: v for k, v in took.items() if v}
     for i in (7, None):
         assert sum(r.doc_id == i for r in parts) >= sum(r.taken > 0 for r in got if r.doc_id == i) > 1
+
+
+def test_many_sources_as_sql(spark, tmp_path):
+    """More sources than the join's cells can part evenly: quotas, slots and blocks are those of SQL."""
+    rows = [(i, "w " * (1 + i * 7 % 37), "en", f"s{i % 300:03d}" if i % 11 else None, 0) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in mixing.op5_mix_documents(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(mixing.OP5_SQL).fetchall())
