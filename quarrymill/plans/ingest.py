@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.classify import classify, has_kids_sizing
 from quarrymill.functions.scalars import pieces
 from quarrymill.operators import enrich, maintain
+from quarrymill.session import written
 
 KEY = ["store", "native_id"]
 CONTENT = ["title", "description", "category_id"]
@@ -39,10 +40,11 @@ def placed(feed: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(products with their category and construction, excluded rows) of a normalized feed; ``leaves`` has gender, branch, sub, leaf, category_id, with nulls for the levels above a leaf.
 
     A class whose leaf the tree lacks falls back to its branch, then to its gender. A feed's ``sizes`` tell children's
-    clothes where no word does.
+    clothes where no word does. The classes are written, so that all that a run derives from them classifies once.
     """
     kids = has_kids_sizing(F.col("sizes")) if "sizes" in feed.columns else F.lit(False)
     rows = classify(feed.withColumn("tags", F.array_join("tags", ",")).withColumn("kids_sizing", kids))
+    rows = written(rows.select(*KEY, "title", "description", *OFFER, "class"), "classes")
     named = rows.where("class is not null").select("*", "class.gender", "class.branch", "class.sub", "class.leaf", "class.construction").withColumn("nothing", F.lit(None).cast("string"))
     full = [("gender", "gender"), ("branch", "branch"), ("sub", "sub"), ("leaf", "leaf")]
     branch = [("gender", "gender"), ("branch", "branch"), ("nothing", "sub"), ("nothing", "leaf")]
