@@ -26,6 +26,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: What a term's rank adds up to at most, the sum of 1 / i^2, the weight of a plain word, and the positions that count; fixed values.
 ALL_SQUARES, WEIGHT, MOST_POSITIONS = 1.64493406685, 0.1, 255
 K1, B = 1.2, 0.75
+#: Goes up when terms or layout change, so that an index of before isn't found.
+VERSION = 2
 #: Words that a worker keeps the terms of.
 MOST_WORDS = 500_000
 
@@ -111,7 +113,7 @@ def index_of(files: DataFrame, key: str, text: str) -> Index:
     """The index of a table read from files: written once to the shared folder and found again while the files are the same (by path, size and time)."""
     meta = F.col("_metadata")
     seen = files.select(F.xxhash64(meta["file_path"], meta["file_size"], meta["file_modification_time"]).alias("h")).distinct().agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
-    folder = f"{shared_folder(files.sparkSession)}/postings-{key}-{text}-{seen['n']}-{(seen['x'] or 0) & (2**64 - 1):016x}"
+    folder = f"{shared_folder(files.sparkSession)}/postings-v{VERSION}-{key}-{text}-{seen['n']}-{(seen['x'] or 0) & (2**64 - 1):016x}"
     if _written(files, f"{folder}/sizes/_SUCCESS"):
         return read_index(files, folder)
     return write_index(files, key, text, folder)
