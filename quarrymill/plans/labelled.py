@@ -1,6 +1,7 @@
-"""Both classifiers against labels made by hand, and option values as colours and sizes against a table of their own.
+"""Both classifiers against a table of labels, and option values as colours and sizes against a table of their own.
 
-The labels were written by reading the rules, title by title; the oracles look them up and know nothing of the rules.
+The labels were printed by the classifiers and then reviewed against the rules, the prototype's title by title, the main
+classifier's in part. The oracles look them up and know nothing of the rules.
 """
 
 from __future__ import annotations
