@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import categories, literals
 from quarrymill.functions.scalars import COLOR_HEX, SIZE_ALIASES
 from quarrymill.functions.stemming import STOP_WORDS
+from quarrymill.session import spread
 
 # The struct's fields and kinds, and what a gender may be.
 FIELDS = {
@@ -72,18 +73,20 @@ def filters(queries: DataFrame, key: str, text: str, known: DataFrame, longest:
 
     A null or empty query has no filter and an empty semantic query. Lists are in the order of the query, each value once; of
     several genders or brands the first counts. Phrases of more than ``longest`` words aren't looked for. Keys are unique.
+    The queries are dealt out by key first, as a small file of them is much work; all else but the known phrases stays in place.
     """
-    low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = queries.select(key, low.alias("__t"))
+    rows = spread(queries.select(key, F.col(text).alias("__q")), key).select(key, F.lower(F.coalesce(F.col("__q").cast("string"), F.lit(""))).alias("__t"))
     between = F.regexp_extract("__t", _BETWEEN, 1) != ""
     least = F.when(between, _price(F.col("__t"), _BETWEEN, 1)).otherwise(_price(F.col("__t"), _LEAST, 1))
     most = F.when(between, _price(F.col("__t"), _BETWEEN, 3)).otherwise(_price(F.col("__t"), _MOST, 1))
     bare = reduce(lambda t, p: F.regexp_replace(t, p, " "), (_BETWEEN, _MOST, _LEAST), F.col("__t"))
     rows = rows.select(key, least.alias("minPrice"), most.alias("maxPrice"), F.filter(F.split(folded(bare), " "), lambda w: w != "").alias("__w"))
     n = F.size("__w")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct(i.alias("at"), k.alias("k")))))
-    runs = rows.where(n > 0).select(key, "__w", F.explode(F.filter(spans, lambda x: x["at"] + x["k"] - 1 <= n)).alias("x"))
-    runs = runs.select(key, F.col("x.at").alias("at"), F.col("x.k").alias("k"), F.array_join(F.slice("__w", F.col("x.at"), F.col("x.k")), " ").alias("phrase"))
+    # two plain generators: a place and how many words from there; where there is no word neither gives a row
+    upto = lambda m: F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    runs = rows.select(key, "__w", F.explode(upto(n)).alias("at"))
+    runs = runs.select(key, "__w", "at", F.explode(upto(F.least(F.lit(longest), n - F.col("at") + 1))).alias("k"))
+    runs = runs.select(key, "at", "k", F.array_join(F.slice("__w", F.col("at"), F.col("k")), " ").alias("phrase"))
     # the known phrases are few: Spark broadcasts them by their size
     met = runs.join(known.select("phrase", "kind", "value"), "phrase").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("k")).alias("minus_k"), "kind", "value"))).alias("__found"))
     kind = "array<struct<at:int,minus_k:int,kind:string,value:string>>"

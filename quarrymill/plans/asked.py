@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import understanding
 from quarrymill.plans.tables import table
+from quarrymill.session import written
 
 COLORS = [("navy", "navy"), ("sky blue", "sky blue"), ("Off-White", "off-white"), ("red", "red"), ("", "")]
 GARMENTS = [("polos", "Polo", ""), ("t-shirts and jeans", "T-Shirt|Jeans", ""), ("cargo trousers", "Cargo Trouser", ""), ("SHALWAR  kameez", "Shalwar Kameez", ""), ("tees", "T-Shirt", ""), ("knitted", "", "knitted "), ("upperwear", "Upperwear", "")]
@@ -21,7 +22,8 @@ def query_filters(s, d):
     noun = F.element_at(F.split("p_name", " "), -1)
     text = F.concat_ws(" ", F.lit("Show me"), pick(COLORS, "p_partkey"), pick(GARMENTS, "p_partkey"), pick(GENDERS, "p_partkey div 3"), pick(PRICES, "p_partkey div 2"), F.lit("by"), "p_brand", pick(SIZES, "p_partkey div 7"), pick(SALES, "p_partkey div 11"), noun)
     part = table(s, d, "part")
-    known = understanding.phrases(s, part.select(F.col("p_brand").alias("name")).distinct())
+    # a table of its own, so that Spark knows its size when it plans the join: an estimate from the parts' file would shuffle every run of words
+    known = written(understanding.phrases(s, part.select(F.col("p_brand").alias("name")).distinct()), "phrases")
     found = understanding.filters(part.select("p_partkey", text.alias("q")), "p_partkey", "q", known)
     return found.select("p_partkey", "gender", F.array_join("categories", "|").alias("categories"), "minPrice", "maxPrice", "brand", F.array_join("sizes", "|").alias("sizes"), F.array_join("colors", "|").alias("colors"), "onSale", "semantic_query")
 

@@ -38,6 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by unique keys to the session's number of shuffle partitions, for rows that are few bytes and much work: a file of some megabytes is one task, and adaptive execution would put them together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once for all that reads it, and not again where an executor is lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -39,6 +39,15 @@ def test_filters(spark, known):
     assert u.filters(rows.limit(0), "i", "q", known).count() == 0
 
 
+def test_filters_are_spread(spark, known):
+    """Queries in one file's task are dealt out before their word runs are made, and runs of words never cross a shuffle."""
+    rows = spark.createDataFrame([(i, "navy polos for women") for i in range(40)], "i int, q string").coalesce(1)
+    found = u.filters(rows, "i", "q", known)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(phrase" not in plan
+    assert {(r.gender, *r.categories, *r.colors) for r in found.collect()} == {("Women", "Polo", "navy")}
+
+
 GOOD = {"gender": "Women", "categories": ["Polo", "Western"], "minPrice": None, "maxPrice": 5000, "brand": None, "sizes": [], "colors": ["blue"], "onSale": False, "semantic_query": "", "response_text": "x \"gender\": 3", "suggested_refinements": []}
 BAD = [
     ({}, []), ({"gender": None}, []), ({"gender": "Kids"}, ["gender is unknown"]), ({"categories": ["Polo", "Kilt"]}, ["a category is unknown"]), ({"more": 1}, ["unknown: more"]), ({"brand": ...}, ["missing: brand"]),
