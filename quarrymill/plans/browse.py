@@ -134,11 +134,15 @@ def cheapest_compare_at(s, d):
 
 
 def lateral_top1(s, d):
-    """The cheapest variant in its lateral form, as SQL."""
+    """The cheapest variant in its lateral form, as SQL; of variants at one price the first by order, supplier and line, as everywhere.
+
+    The subquery selects what it orders by: with a projection between the order and the limit Spark ranks a part's rows in a window
+    without an order, and which row comes first is left to the shuffle.
+    """
     s.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("lateral_part")
     s.read.parquet(f"{d}/lineitem.parquet").createOrReplaceTempView("lateral_line")
     return s.sql("""select p_partkey, v.l_extendedprice as price from lateral_part,
-      lateral (select l_extendedprice from lateral_line where l_partkey = p_partkey order by l_extendedprice asc nulls last, l_orderkey limit 1) v""")
+      lateral (select l_extendedprice, l_orderkey, l_suppkey, l_linenumber from lateral_line where l_partkey = p_partkey order by l_extendedprice asc nulls last, l_orderkey, l_suppkey, l_linenumber limit 1) v""")
 
 
 def first_child_coalesce(s, d):
@@ -277,7 +281,7 @@ QUERIES = {
     "hidden_products": (hidden_products, "select p_partkey from part where p_size < 25 and (p_name ilike '%ring%' or p_name ilike '%gear%' or p_type ilike '%ring%' or p_type ilike '%gear%') and not (p_name ilike '%blue%' or p_type ilike '%blue%')"),
     "cheapest_variant": (cheapest_variant, f"select l_partkey, x.v as price, x.d as discount, any_available, n_children from ({_CH})"),
     "cheapest_compare_at": (cheapest_compare_at, "select l_partkey, case when c > v then c end as compare_at, case when c > v then floor((c - v) / c * 100 + 0.5)::bigint end as per_cent_off from (select l_partkey, x.v as v, case when x.d > 0.03 then floor(x.v * 125 + 0.5) / 100 end as c from (" + _CH + "))"),
-    "lateral_top1": (lateral_top1, "select p_partkey, v.l_extendedprice as price from part, lateral (select l_extendedprice from lineitem where l_partkey = p_partkey order by l_extendedprice asc nulls last, l_orderkey limit 1) v"),
+    "lateral_top1": (lateral_top1, "select p_partkey, v.l_extendedprice as price from part, lateral (select l_extendedprice from lineitem where l_partkey = p_partkey order by l_extendedprice asc nulls last, l_orderkey, l_suppkey, l_linenumber limit 1) v"),
     "first_child_coalesce": (first_child_coalesce, "select p_partkey as l_partkey, coalesce(arg_min(l_suppkey, {a: l_orderkey, b: l_linenumber, c: l_suppkey}) filter (l_returnflag = 'R'), arg_min(l_suppkey, {a: l_orderkey, b: l_linenumber, c: l_suppkey})) as image from part left join lineitem on l_partkey = p_partkey group by p_partkey"),
     "left_join_counts": (left_join_counts, "select n_nationkey, n_name, count(s_suppkey) as n from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 9000 group by all"),
     "fallback_chain_lookup": (fallback_chain_lookup, "select s_suppkey, case when s_acctbal > 5000 then 's' || s_suppkey when n_nationkey % 2 = 0 then 'n' || n_nationkey else 'r' || n_regionkey end as found from supplier join nation on s_nationkey = n_nationkey"),

@@ -37,6 +37,15 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_lateral_order_is_total(spark):
+    """Query and SQL name the same variant of those at one price: the order ends with the whole key of a variant."""
+    order = "order by l_extendedprice asc nulls last, l_orderkey, l_suppkey, l_linenumber limit 1"
+    assert order in registry.oracle_sql()["lateral_top1"]
+    plan = registry.queries()["lateral_top1"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.split("\n") if "row_number()" in x)
+    assert all(f"{c}#" in window for c in ("l_extendedprice", "l_orderkey", "l_suppkey", "l_linenumber"))
+
+
 def test_flagship(spark):
     import __spark_entry__ as entry
 
