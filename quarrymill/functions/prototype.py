@@ -96,6 +96,11 @@ def classify_prototype(product_type: Column, title: Column, tags: Column, vendor
     return F.struct(gender.alias("gender"), found["branch"].alias("branch"), found["sub"].alias("sub"), found["category"].alias("category"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -106,9 +111,8 @@ def placeholder(value: Column) -> Column:
 
 def looks_like_size(value: Column) -> Column:
     """A size word, digits alone (with blanks, dashes, dots), or digits with up to three letters: 40.5, 7-8, 12Y."""
-    v = _bare(value)
-    letters = F.regexp_replace(v, r"(?U)[0-9\s.\-–]", "")
-    return F.lower(v).isin(*SIZE_WORDS, *NAMED_SIZES) | (letters == "") | (letters.rlike("^[A-Za-z]{1,3}$") & v.rlike(r"(?U)\d"))
+    few = lambda v: _let(F.regexp_replace(v, r"(?U)[0-9\s.\-–]", ""), lambda x: (x == "") | (x.rlike("^[A-Za-z]{1,3}$") & v.rlike(r"(?U)\d")))
+    return _let(_bare(value), lambda v: F.lower(v).isin(*SIZE_WORDS, *NAMED_SIZES) | few(v))
 
 
 def looks_like_color(value: Column) -> Column:
@@ -123,29 +127,41 @@ def _titled(text: Column) -> Column:
 
 def label_of(value: Column) -> Column:
     """Size words in capitals, a number's unit in lower case and close to it, longer words of capitals alone as titles."""
-    v = _bare(value)
     unit = r"^(\d+(?:\.\d+)?)\s*([a-zA-Z]{1,3})$"
-    shouted = (F.upper(v) == v) & (F.lower(v) != v) & (F.length(v) > 2)
-    return F.when(F.lower(v).isin(*SIZE_WORDS), F.upper(v)).when(v.rlike(unit), F.concat(F.regexp_extract(v, unit, 1), F.lower(F.regexp_extract(v, unit, 2)))).when(shouted, _titled(v)).otherwise(v)
+    shouted = lambda v: (F.upper(v) == v) & (F.lower(v) != v) & (F.length(v) > 2)
+    return _let(_bare(value), lambda v: F.when(F.lower(v).isin(*SIZE_WORDS), F.upper(v)).when(v.rlike(unit), F.concat(F.regexp_extract(v, unit, 1), F.lower(F.regexp_extract(v, unit, 2)))).when(shouted(v), _titled(v)).otherwise(v))
 
 
 def _once(labels: Column) -> Column:
     """The labels without later ones that differ in case alone."""
-    folded = F.transform(labels, F.lower)
-    return F.filter(labels, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+    folded = lambda xs: F.struct(xs.alias("xs"), F.transform(xs, F.lower).alias("low"))
+    first = lambda p: F.filter(p["xs"], lambda x, i: F.array_position(p["low"], F.lower(x)) == i + 1)
+    # equal labels go first, by hash, so only labels that differ are compared
+    return _let(F.array_distinct(labels), lambda xs: _let(folded(xs), first))
+
+
+def _axis(name: Column) -> Column:
+    """c for colours, s for sizes, t for the option Title, null for others."""
+    return _let(F.lower(_bare(F.coalesce(name, F.lit("")))), lambda n: F.when(n.contains("color"), "c").when(n.contains("size"), "s").when(n == "title", "t"))
 
 
 def option_axes(pairs: Column) -> Column:
-    """A struct (colors, sizes) of an array of (name, value); null and placeholder values don't count, other options are left out. A null array has neither."""
-    real = F.filter(F.coalesce(pairs, F.array()), lambda x: ~placeholder(x["value"]))
-    name = lambda x: F.lower(_bare(F.coalesce(x["name"], F.lit(""))))
-    values = lambda test: F.transform(F.filter(real, test), lambda x: x["value"])
-    titles = values(lambda x: name(x) == "title")
-    half = lambda test: (F.size(titles) > 0) & (F.size(F.filter(titles, test)) * 2 >= F.size(titles))
+    """A struct (colors, sizes) of an array of (name, value); null and placeholder values don't count, other options are left out. A null array has neither.
+
+    Each pair is looked at once, each different value of an axis is labelled once.
+    """
     none = F.array().cast("array<string>")
-    is_size = half(looks_like_size)
-    more_sizes, more_colors = F.when(is_size, titles).otherwise(none), F.when(~is_size & half(looks_like_color), titles).otherwise(none)
-    color = lambda x: name(x).contains("color")
-    colors = F.concat(values(color), more_colors)
-    sizes = F.concat(values(lambda x: name(x).contains("size") & ~color(x)), more_sizes)
-    return F.struct(_once(F.transform(colors, label_of)).alias("colors"), _once(F.transform(sizes, label_of)).alias("sizes"))
+    told = F.transform(F.coalesce(pairs, F.array()), lambda x: F.struct(_axis(x["name"]).alias("axis"), x["value"].alias("value")))
+    real = F.filter(told, lambda x: x["axis"].isNotNull() & ~placeholder(x["value"]))
+    of = lambda xs, axis: F.transform(F.filter(xs, lambda x: x["axis"] == axis), lambda x: x["value"])
+    half = lambda titles, test: (F.size(titles) > 0) & (F.size(F.filter(titles, test)) * 2 >= F.size(titles))
+    vote = lambda titles: F.when(half(titles, looks_like_size), "s").when(half(titles, looks_like_color), "c")
+    labels = lambda values: _once(F.transform(F.array_distinct(values), label_of))
+
+    def both(x: Column) -> Column:
+        more = lambda axis: F.when(x["vote"] == axis, x["titles"]).otherwise(none)
+        return F.struct(labels(F.concat(of(x["real"], "c"), more("c"))).alias("colors"), labels(F.concat(of(x["real"], "s"), more("s"))).alias("sizes"))
+
+    split = lambda xs: F.struct(xs.alias("real"), of(xs, "t").alias("titles"))
+    voted = lambda x: F.struct(x["real"].alias("real"), x["titles"].alias("titles"), vote(x["titles"]).alias("vote"))
+    return _let(real, lambda xs: _let(split(xs), lambda x: _let(voted(x), both)))

@@ -27,6 +27,14 @@ def test_option_axes(spark, pairs, colors, sizes):
     assert (got.colors, got.sizes) == (colors, sizes)
 
 
+def test_option_axes_of_many_pairs(spark):
+    """The time grows with the pairs, not with their square, and each pair is looked at once: no pattern is planned again for each use of its outcome."""
+    found = p.option_axes(F.expr("transform(sequence(1, 20000), i -> struct(if(i % 3 = 0, 'Title', 'Color') as name, concat('NAVY ', i % 7) as value))"))
+    assert str(found._jc).count("regexp_replace") < 20
+    x = spark.range(1).select(found.alias("x")).first().x
+    assert x.sizes == [] and sorted(x.colors) == [f"Navy {k}" for k in range(7)]
+
+
 CASES = [
     (("", "Semi-Stitched Khaddar Kurti", "", "", ""), ("Unisex", "Eastern", "Semi-Stitched", "Kurti")),
     (("", "Un-Stitched Unstitched 2 piece", "", "", "monark"), ("Men", "Eastern", "Unstitched", "2-Piece")),
