@@ -14,6 +14,7 @@ from quarrymill.functions import prototype
 from quarrymill.operators import enrich, predicates, tree
 from quarrymill.plans.classified import TITLES
 from quarrymill.plans.tables import table
+from quarrymill.session import spread
 
 #: A title, its class (- for no product), and its class by the prototype: gender/branch/sub/leaf, - for none.
 LABELS = """
@@ -149,7 +150,7 @@ def _title(rows):
 
 def classify_labelled(s, d):
     """The classifier over titles, described by the parts' names and sold by their brands; excluded rows have nulls."""
-    rows = _title(table(s, d, "part")).select("p_partkey", "title", F.lit("").alias("product_type"), F.lit("").alias("tags"), F.col("p_brand").alias("vendor"), F.lit(None).cast("string").alias("store"), F.col("p_name").alias("description"), F.lit(False).alias("kids_sizing"))
+    rows = _title(spread(table(s, d, "part"), "p_partkey")).select("p_partkey", "title", F.lit("").alias("product_type"), F.lit("").alias("tags"), F.col("p_brand").alias("vendor"), F.lit(None).cast("string").alias("store"), F.col("p_name").alias("description"), F.lit(False).alias("kids_sizing"))
     return c.classify(rows).select("p_partkey", *[F.col(f"class.{x}").alias(x) for x in ("gender", "branch", "sub", "leaf")])
 
 
@@ -166,7 +167,8 @@ def _placed(s, d, nodes):
     """The labelled titles as products, the vendor saying for whom, with the category of their class: its leaf, else its branch, else its gender."""
     who = F.element_at(F.array(*[F.lit(x) for x in ("", "Men", "Women", "Boys", "Girls")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     rows = _title(table(s, d, "part")).select("p_partkey", "title", "p_name", F.lit("").alias("product_type"), F.lit("").alias("tags"), who.alias("vendor"), F.lit(None).cast("string").alias("store"), F.lit("").alias("description"), F.lit(False).alias("kids_sizing"))
-    named = c.classify(rows).where("class is not null").select("p_partkey", "title", "p_name", "class.gender", "class.branch", "class.sub", "class.leaf").withColumn("none", F.lit(None).cast("string"))
+    # a part is few bytes and some hundred patterns: parts are dealt out before they meet the rules
+    named = c.products(spread(rows, "p_partkey")).select("p_partkey", "title", "p_name", "class.gender", "class.branch", "class.sub", "class.leaf").withColumn("none", F.lit(None).cast("string"))
     leaves = categories.leaves(nodes)
     ways = [[("gender", "gender"), (b, "branch"), (x, "sub"), (y, "leaf")] for b, x, y in (("branch", "sub", "leaf"), ("branch", "none", "none"), ("none", "none", "none"))]
     return enrich.fallback_lookup(named, [(leaves, way, "category_id") for way in ways], "category_id")

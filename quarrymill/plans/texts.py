@@ -53,13 +53,12 @@ def piece_extract(s, d):
 
 def classify_full(s, d):
     """The whole classifier over titles made of part names and words of documents."""
-    from quarrymill.functions.classify import classify
+    from quarrymill.functions.classify import products
 
     words = table(s, d, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("description"))
     garment = F.element_at(F.array(*[F.lit(x) for x in ("Kurta Set", "Denim Jacket", "Cargo Trouser", "Polo", "Leather Belt", "3 Piece Suit", "Running Shoes", "Hoodie")]), (F.col("p_partkey") % 8 + 1).cast("int"))
     rows = table(s, d, "part").join(words, "p_partkey", "left").select("p_partkey", F.concat_ws(" ", "p_name", garment).alias("title"), F.col("p_type").alias("product_type"), F.lit("").alias("tags"), F.col("p_brand").alias("vendor"), F.lit("").alias("store"), "description", F.lit(False).alias("kids_sizing"))
-    out = classify(rows)
-    return out.where("class is not null").select("p_partkey", "class.*")
+    return products(rows).select("p_partkey", "class.*")
 
 
 def compare_at_clean(s, d):

@@ -92,3 +92,24 @@ def test_full_query_reads_whole_texts(spark, tmp_path):
     got = {r.p_partkey: (r.branch, r.leaf) for r in classify_full(spark, str(tmp_path)).collect()}
     assert got[5] == got[13] == got[21] == ("Eastern", "Kurta")
     assert got[29] == got[37] and got[29][0] == "Western"
+
+
+def test_products_leave_no_rules_in_a_filter(spark):
+    """The rows that are no products go by a filter of their own, and those left are classified once."""
+    from quarrymill.functions.classify import products
+
+    rows = spark.createDataFrame([(i, t, "", "", "", "", "", False) for i, t in enumerate(("Gift Card", "Polo", "Test", None))], "i int, title string, product_type string, tags string, vendor string, store string, description string, kids_sizing boolean")
+    out = products(rows).select("i", "class.*")
+    assert {r.i: r.leaf for r in out.collect()} == {r.i: r.leaf for r in classify(rows).where("class is not null").select("i", "class.*").collect()} == {1: "Polo", 3: "Shirt"}
+    plan = products(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(line.count("RLIKE") <= 4 for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter"))
+
+
+def test_placed_parts_are_spread(spark):
+    """Parts of one file are dealt out before they are classified, and no filter holds the rules."""
+    from quarrymill.plans import registry
+
+    for name in ("editorial_hide",):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [p_partkey" in plan, name
+        assert all(line.count("RLIKE") <= 4 for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter")), name
