@@ -109,7 +109,7 @@ def test_placed_parts_are_spread(spark):
     """Parts of one file are dealt out before they are classified, and no filter holds the rules."""
     from quarrymill.plans import registry
 
-    for name in ("editorial_hide", "category_tree"):
+    for name in ("editorial_hide", "category_tree", "classes_without_leaf"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [p_partkey" in plan, name
         assert all(line.count("RLIKE") <= 4 for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter")), name
