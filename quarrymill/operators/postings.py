@@ -124,18 +124,23 @@ def _squares(times: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), times), F.lit(0.0), lambda s, i: s + F.lit(1.0) / (i * i))
 
 
+def _exact_sum(part: Column) -> Column:
+    """The sum of doubles, each rounded to 12 places first: whole numbers add up the same in any order, so texts that match alike tie whatever the shuffle."""
+    return F.sum(F.round(part * 1e12).cast("long")) / F.lit(1e12)
+
+
 def matches(index: Index, key: str, query: str | list[str], rank: str = "density") -> DataFrame:
     """``key`` and text_score of the texts that hold any of the query's terms.
 
     ``density``: for each term the sum of 1 / i^2 over its occurrences, weighted, as a share of all terms asked. ``bm25``:
-    Okapi BM25 over the whole index. A query of stop words alone matches nothing.
+    Okapi BM25 over the whole index. A term's part counts to 12 places. A query of stop words alone matches nothing.
     """
     asked = terms(query) if isinstance(query, str) else query
     held = index.postings.where(F.col("term").isin(asked))
     times = F.size("positions")
     if rank == "density":
         part = _squares(F.least(times, F.lit(MOST_POSITIONS))) * WEIGHT / ALL_SQUARES
-        return held.groupBy(key).agg((F.sum(part) / max(1, len(asked))).alias("text_score"))
+        return held.groupBy(key).agg((_exact_sum(part) / max(1, len(asked))).alias("text_score"))
     if rank != "bm25":
         raise ValueError(f"no such rank: {rank}")
     stats = index.sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))  # one row
@@ -143,7 +148,7 @@ def matches(index: Index, key: str, query: str | list[str], rank: str = "density
     tf = held.select("term", key, times.alias("tf")).join(F.broadcast(df), "term").join(index.sizes, key).join(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    return tf.groupBy(key).agg(F.sum(score).alias("text_score"))
+    return tf.groupBy(key).agg(_exact_sum(score).alias("text_score"))
 
 
 def indexed_leg(index: Index, key: str, query: str | list[str], k: int, rank: str = "density", within: DataFrame | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ ASKED = "the tions of annd, therings and what ATION was doing with inge"
 
 
 def text_bm25_topk(s, d):
-    """English full text ranked by BM25 from postings; scores to six places."""
+    """English full text ranked by BM25 from postings, a term's part to 12 places, ties by key; scores to six places."""
     index = postings.index_of(table(s, d, "documents"), "doc_id", "text")
     return postings.indexed_leg(index, "doc_id", ASKED, 60, "bm25").select("doc_id", F.round("text_score", 6).alias("text_score"), "rank_t")
 
@@ -132,7 +132,7 @@ QUERIES = {
     "text_or_match_topk": (text_or_match_topk, f"with {_T} select doc_id, text_score, rank_t from t"),
     "text_bm25_topk": (text_bm25_topk, f"""with {_FULL}, sizes as (select doc_id, coalesce(n, 0) as n from documents left join (select doc_id, sum(tf) as n from held group by 1) using (doc_id)),
       stats as (select count(*) as docs, avg(n) as mean from sizes), dfs as (select term, count(*) as df from held group by 1),
-      sc as (select doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as score from held join asked using (term) join dfs using (term) join sizes using (doc_id), stats group by 1)
+      sc as (select doc_id, sum(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) * 1e12)::bigint)::double / 1e12 as score from held join asked using (term) join dfs using (term) join sizes using (doc_id), stats group by 1)
       select doc_id, round(score, 6) as text_score, row_number() over (order by score desc, doc_id) as rank_t from sc order by score desc, doc_id limit 60"""),
     "text_density_topk": (text_density_topk, f"with {_FULL}, sc as (select doc_id, {_DENSITY} as score from held join asked using (term) join documents using (doc_id) where lang in ('en', 'de', 'fr') group by 1) select doc_id, round(score, 9) as text_score, row_number() over (order by score desc, doc_id) as rank_t from sc order by score desc, doc_id limit 60"),
     "rrf_fusion": (rrf_fusion, f"with {_V}, {_T} select coalesce(v.vec_id, t.doc_id) as vec_id, rank_v, rank_t, round(coalesce(0.7 / (60 + rank_v), 0) + coalesce(0.3 / (60 + rank_t), 0), 9)::double as score from v full join t on vec_id = doc_id"),
