@@ -136,3 +136,14 @@ def test_equal_matches_tie(spark, tmp_path):
         found += [[(r.id, r.text_score) for r in postings.matches(index, "id", list(times), rank).orderBy("id").collect()] for rank in ("density", "bm25")]
     assert all(len({score for _, score in rows}) == 1 and len(rows) == 20 for rows in found)
     assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
+
+
+def test_a_stem_tries_few_suffixes(monkeypatch):
+    """The long suffixes are looked for only in words that end in a last letter of theirs: an index stems each word that it meets."""
+    from quarrymill.functions import stemming
+
+    tried = []
+    real = stemming._replaced
+    monkeypatch.setattr(stemming, "_replaced", lambda word, *rest: tried.append(word) or real(word, *rest))
+    assert [stemming.stem.__wrapped__(w) for w in ("drop", "yoghurt", "walking", "yy1")] == ["drop", "yoghurt", "walk", "yy1"] and tried == []
+    assert stemming.stem.__wrapped__("relational") == "relat" and tried
