@@ -55,7 +55,7 @@ def rrf_fusion(s, d):
 
 
 def hybrid_search(s, d):
-    """Documents with the embedding of their number, in English, diversified by language and label."""
+    """Documents with the embedding of their number, in English, diversified by language and label; a term's part of the text leg to 12 places, ties by key."""
     vec = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     docs = table(s, d, "documents")
     rows = docs.where("n_chars > 300").join(vec, "doc_id")
@@ -71,7 +71,9 @@ _FULL = f"""words as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\
   stems as (select w, {stem_sql("w")} as term from (select distinct w from words) where w not in ({_X})),
   held as (select doc_id, term, count(*) as tf from words join stems using (w) group by 1, 2),
   asked as (select distinct {stem_sql("w")} as term from (select unnest(regexp_extract_all(lower('{ASKED}'), '[a-z]+')) as w) where w not in ({_X}))"""
-_DENSITY = "sum(0.1::double / 1.64493406685::double * list_sum(list_transform(range(1, least(tf, 255) + 1), lambda i: 1.0::double / (i * i)))) / (select count(*) from asked)"
+#: Each term's part counts to 12 places and adds up as a whole number, as in ``postings.matches``: in any order alike, so texts that match alike tie and the key decides.
+_PART = "list_sum(list_transform(range(1, least(tf, 255) + 1), lambda i: 1.0::double / (i * i))) * 0.1::double / 1.64493406685::double"
+_DENSITY = f"sum(round({_PART} * 1e12)::bigint)::double / 1e12 / (select count(*) from asked)"
 
 
 def metric_bucket(width, aggs):

@@ -1,5 +1,7 @@
 """Every registered query of the catalog against its oracle, on the smallest tables."""
 
+from itertools import permutations
+
 import duckdb
 import pytest
 
@@ -46,6 +48,35 @@ def test_lateral_order_is_total(spark):
     assert all(f"{c}#" in window for c in ("l_extendedprice", "l_orderkey", "l_suppkey", "l_linenumber"))
 
 
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """A folder of 120 texts that hold the words asked 1 to 5 times each, every one in another order, so all match alike; half have an embedding."""
+    folder = str(tmp_path_factory.mktemp("tied"))
+    words = ["tions", "annd", "therings", "ation", "inge"]
+    texts = [(i, " ".join(w for w, n in zip(words, times) for _ in range(n)), "en", 400) for i, times in enumerate(permutations(range(1, 6)))]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i, [float((i * j) % 7 + 1) for j in range(64)], i % 10) for i in range(0, 120, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def both(spark, folder, name):
+    """The rows of a query and of its SQL, by column, in their order by key."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df = registry.queries()[name](spark, folder)
+    found = con.execute(f"select {', '.join(df.columns)} from ({registry.oracle_sql()[name]}) order by doc_id").fetchall()
+    return [tuple(r) for r in df.orderBy("doc_id").collect()], found
+
+
+def test_hybrid_search_ties(spark, tied):
+    """Texts that match alike tie in the query and in its SQL: the text leg ranks them by key."""
+    got, want = both(spark, tied, "hybrid_search")
+    assert got == want and len(got) == 50
+    assert all(rank_t == doc_id // 2 + 1 for rows in (got, want) for doc_id, _, rank_t, _ in rows)
+
+
 def test_flagship(spark):
     import __spark_entry__ as entry
 
