@@ -42,7 +42,7 @@ def text_bm25_topk(s, d):
 
 
 def text_density_topk(s, d):
-    """The same texts ranked by the density of the query's terms, within those of three languages."""
+    """The same texts ranked by the density of the query's terms, within those of three languages; a term's part to 12 places, ties by key."""
     docs = table(s, d, "documents")
     found = postings.indexed_leg(postings.index_of(docs, "doc_id", "text"), "doc_id", ASKED, 60, within=docs.where("lang in ('en', 'de', 'fr')"))
     return found.select("doc_id", F.round("text_score", 9).alias("text_score"), "rank_t")

@@ -77,6 +77,14 @@ def test_hybrid_search_ties(spark, tied):
     assert all(rank_t == doc_id // 2 + 1 for rows in (got, want) for doc_id, _, rank_t, _ in rows)
 
 
+def test_text_density_ties(spark, tied):
+    """The same for the text leg alone: the first 60 of 120 texts that match alike are those of the smallest keys, in their order."""
+    got, want = both(spark, tied, "text_density_topk")
+    assert got == want
+    assert [(doc_id, rank_t) for doc_id, _, rank_t in want] == [(i, i + 1) for i in range(60)]
+    assert len({score for _, score, _ in want}) == 1
+
+
 def test_flagship(spark):
     import __spark_entry__ as entry
 
